@@ -39,6 +39,12 @@ def op3_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(write_archives(table(spark, sf_dir, "pages")))
 
 
+def op5_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.lsh_forest import join
+
+    return join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op6_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.packing import pack
 
@@ -66,5 +72,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", held_out().alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simple8b, op3_warc_bundles, op6_window_packing, op7_license_digest, op8_quality_rules, op9_toxicity)}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simple8b, op3_warc_bundles, op5_lsh_forest, op6_window_packing, op7_license_digest, op8_quality_rules, op9_toxicity, op10_decontamination)}
 ORACLES: dict[str, str] = {}
