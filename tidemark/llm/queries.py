@@ -39,6 +39,12 @@ def op3_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(write_archives(table(spark, sf_dir, "pages")))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.suffix_dedup import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
 def op5_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.lsh_forest import join
 
@@ -78,5 +84,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simple8b, op3_warc_bundles, op5_lsh_forest, op6_window_packing, op7_license_digest, op8_quality_rules, op9_toxicity, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simple8b, op3_warc_bundles, op4_suffix_dedup, op5_lsh_forest, op6_window_packing, op7_license_digest, op8_quality_rules, op9_toxicity, op10_decontamination)}
 ORACLES: dict[str, str] = {}
