@@ -260,10 +260,11 @@ def _chunked(docs: DataFrame) -> tuple[DataFrame, int]:
     return spark.table(name), buckets
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
     """All columns of ``docs`` (doc_id, text and any others), with what is left of each text.
 
-    Adds ``kept`` (bytes), ``n_bytes``, ``n_removed`` and ``n_spans``.
+    Adds dedup_kept (bytes; or text, less any character that lost a byte), dedup_n_bytes,
+    dedup_n_removed and dedup_n_spans, after the columns of ``docs``.
     """
     spark = docs.sparkSession
     names = [f"c{i}" for i in range(len(docs.columns))]
@@ -392,7 +393,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     answers = saved(around.repartition(parts, "part").mapInArrow(answer, "_chunk long, answers binary"), "answers")
 
     # 4. remove the bytes where the text is
-    fields = [*plain.withColumn(names[doc_at], F.col(names[doc_at]).cast("long")).schema.fields, *T._parse_datatype_string("kept binary, n_bytes long, n_removed long, n_spans long").fields]
+    fields = [*plain.withColumn(names[doc_at], F.col(names[doc_at]).cast("long")).schema.fields, *T._parse_datatype_string(f"kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long").fields]
     replies = known.select("_chunk", "shared", F.lit(None).cast("binary").alias("answers")).unionByName(answers.select("_chunk", F.lit(None).cast("binary").alias("shared"), "answers"))
     doc_name, text_name = names[doc_at], names[text_at]
 
@@ -419,6 +420,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         left = raw[~gone]
         kept_at = np.concatenate([[0], np.cumsum(sizes - removed)])
         kept = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(kept_at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(left))]).cast(pa.binary())
+        if as_text:
+            kept = pa.array([b.decode("utf-8", "ignore") for b in kept.to_pylist()], pa.string())
         return pa.table([*(rows.column(c) for c in names), kept, pa.array(sizes), pa.array(removed), pa.array(count(opens))], names=[*names, "kept", "n_bytes", "n_removed", "n_spans"])
 
     out = table.groupBy("_chunk").cogroup(replies.groupBy("_chunk")).applyInArrow(cut, T.StructType(fields))
@@ -437,19 +440,8 @@ def cleaned(docs: DataFrame) -> DataFrame:
 
     ``n_chars`` follows the text where ``docs`` has it. No row is dropped.
     """
-    rows = remove_repeats(docs)
-    text = F.when(F.col("dedup_n_removed") == 0, F.col("text")).otherwise(_decoded(F.col("dedup_kept")))
-    rows = rows.withColumn("text", text)
+    rows = remove_repeats(docs, as_text=True)
+    rows = rows.withColumn("text", F.when(F.col("dedup_n_removed") == 0, F.col("text")).otherwise(F.col("dedup_kept")))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col("dedup_n_removed") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)
-
-
-def _decoded(kept):
-    import pandas as pd
-
-    @F.pandas_udf("string")
-    def decode_text(values: pd.Series) -> pd.Series:
-        return values.map(lambda b: bytes(b).decode("utf-8", "ignore"))
-
-    return decode_text(kept)

@@ -20,7 +20,7 @@ from functools import cached_property
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidemark.llm.words import portions
 
@@ -242,8 +242,9 @@ def saved_texts(texts: DataFrame) -> DataFrame:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` with ``score``; only the text is looked at, and no row is moved."""
+    """All columns of ``docs`` and ``toxic_score``; only the text is looked at, and no row is moved."""
     sent = docs.sparkSession.sparkContext.broadcast(Matcher(model))
+    names = [f"c{i}" for i in range(len(docs.columns))]  # other columns may have any names
     at = docs.columns.index("text")
 
     def run(batches):
@@ -252,8 +253,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for part in portions(batch, at):
                 x = own.features([t or "" for t in part.column(at).to_pylist()])
                 p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p)], [*part.schema.names, "toxic_score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p)], [*names, "score"])
 
-    from pyspark.sql import types as T
+    plain = docs.toDF(*names)
+    rows = plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType())]))
+    return rows.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)], F.col("score").alias("toxic_score"))
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("toxic_score", T.DoubleType())]))
+
+def below(docs: DataFrame, model: Model, cutoff: float) -> DataFrame:
+    """The rows of ``docs`` that score below ``cutoff``, with their columns alone."""
+    rows = score(docs, model)
+    return rows.filter(F.col(rows.columns[-1]) < cutoff).select(*docs.columns)
