@@ -24,7 +24,7 @@ from tidemark.llm.simple8b import in_ranges, token_batches
 
 SENTENCE_CUT, FULL_CUT = 2.0, 8.0  # penalties in tokens of padding
 REACH = 3  # windows between two neighbouring cuts at most
-SEGMENT = 1 << 21  # ids that a task holds at once
+SEGMENT = 1 << 19  # ids that a task holds at once
 # Characters that end a sentence.
 SENTENCE_ENDS = [".", "!", "?", "\n", "。", "！", "？"]
 

@@ -22,7 +22,7 @@ LETTER, NUMBER, SPACE, OTHER = range(4)
 WHITE_SPACE = [*range(9, 14), 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
 # What the split pattern takes after an apostrophe.
 CONTRACTIONS = ["s", "t", "re", "ve", "m", "ll", "d"]
-_KEPT_PIECES = 600_000
+_KEPT_PIECES = 500_000
 
 
 @functools.cache
