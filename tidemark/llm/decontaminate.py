@@ -97,7 +97,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILAR
     pairs = near.join(small(items.select("item_id", "shingles")), "item_id").select("doc_id", "item_id", "pos", similarity(F.col("window"), F.col("shingles")).alias("similarity"))
     pairs = pairs.filter(F.col("similarity") >= threshold)
     best = F.max_by(F.struct("pos", "similarity"), F.struct("similarity", -F.col("pos")))
-    return pairs.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", F.col("b.pos").alias("start"), F.col("b.similarity").alias("similarity"))
+    return pairs.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", F.col("b.pos").cast("long").alias("start"), F.col("b.similarity").alias("similarity"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY) -> DataFrame:

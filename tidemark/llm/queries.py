@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemark.llm import oracles
+
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
@@ -85,4 +87,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simple8b, op3_warc_bundles, op4_suffix_dedup, op5_lsh_forest, op6_window_packing, op7_license_digest, op8_quality_rules, op9_toxicity, op10_decontamination)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_url_filter": oracles.url_filter(RULES), "op3_warc_bundles": oracles.WARC, "op4_suffix_dedup": oracles.SUFFIX,
+    "op5_lsh_forest": oracles.JACCARD, "op7_license_digest": oracles.license_digest(), "op10_decontamination": oracles.LEAKS,
+}
