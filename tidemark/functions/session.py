@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -24,3 +25,12 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(path)
         _shipped.add(app)
     return spark
+
+
+_roots: dict[str, str] = {}
+
+
+def work_folder(spark: SparkSession, label: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``, which all executors share; one of our own only where it is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or _roots.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="tidemark-"))
+    return f"{root.rstrip('/')}/tidemark-{label}-{uuid.uuid4().hex[:12]}"

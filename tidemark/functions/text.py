@@ -48,3 +48,12 @@ def basename(path: Column) -> Column:
 def folder(path: Column) -> Column:
     parts = F.split(path, "/")
     return F.when(F.size(parts) > 1, F.element_at(parts, -2))
+
+
+def relative_to(path: Column, roots: list[str]) -> Column:
+    """The path below the first root that holds it, or as it is."""
+    out = path
+    for root in reversed(roots):
+        base = root.rstrip("/") + "/"
+        out = F.when(path.startswith(base), F.substring(path, F.lit(len(base) + 1), F.length(path))).otherwise(out)
+    return out

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.jobs import views_sql as S
-from tidemark.operators import deid
+from tidemark.functions.session import work_folder
+from tidemark.operators import boundary, deid
 from tidemark.sources import views as V
 
 QUERIES: dict = {}
@@ -45,18 +42,9 @@ def _docs(spark, d) -> DataFrame:
 
 def _kept(rows: DataFrame, label: str) -> DataFrame:
     """Written and read back in the shared folder: random keys must not be computed twice."""
-    spark = rows.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or _kept_root(spark)
-    path = f"{root.rstrip('/')}/tidemark-{label}-{spark.sparkContext.applicationId}-{id(rows)}"
-    rows.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
-_roots: dict[str, str] = {}
-
-
-def _kept_root(spark) -> str:
-    return _roots.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="tidemark-"))
+    path = work_folder(rows.sparkSession, label)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
 
 
 def _masked(spark, d):
@@ -140,3 +128,10 @@ def audit(spark, d):
     payloads = V.table(spark, d, "conversations").select(F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("payload_id"), "text")
     forbidden = V.table(spark, d, "benchmark").select(F.get(F.split("text", " "), F.lit(0)).alias("value")).distinct()
     return deid.audit(payloads, forbidden, [("EMAIL", PATTERNS[0][1]), ("CARD", PATTERNS[2][1])])
+
+
+@query("q_entities", "SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS w FROM documents) WHERE w IN ('that', 'with', 'der', 'pour') GROUP BY doc_id")
+def entities(spark, d):
+    """A gazetteer in place of an entity model, in windows of 800 characters."""
+    found = boundary.entities(_docs(spark, d), boundary.gazetteer(["that", "with", "der", "pour"]))
+    return found.groupBy("doc_id").agg(F.count("*").alias("n"))

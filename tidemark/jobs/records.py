@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import basename, dated, day_number, folder, has_text, ordered_concat
+from tidemark.functions.session import work_folder
+from tidemark.functions.text import basename, dated, day_number, folder, has_text, ordered_concat, relative_to
 from tidemark.jobs import views_sql as S
 from tidemark.operators import retrieve as R, store
 from tidemark.sources import views as V
+from tidemark.streaming import ingest
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -302,3 +304,55 @@ def classify_prefix(spark, d):
 @query("q_context_concat", f"SELECT patient_id, string_agg(text, chr(10) || '---' || chr(10) ORDER BY session_date, seq) AS context FROM {S.SESSIONS} GROUP BY patient_id")
 def context_concat(spark, d):
     return V.sessions(spark, d).groupBy("patient_id").agg(ordered_concat(F.col("text"), ["session_date", "seq"], "\n---\n").alias("context"))
+
+
+@query("q_next_number", "SELECT CAST(coalesce(max(CAST(nullif(regexp_extract(c_name, '^Customer#0*(\\d+)', 1), '') AS BIGINT)), 0) + 1 AS BIGINT) AS next FROM customer")
+def next_number(spark, d):
+    names = V.table(spark, d, "customer").select(F.regexp_replace("c_name", "#0*", "_").alias("name"))
+    return store.numbered_names(names, "Customer")
+
+
+@query("q_first_root", "SELECT string_split(url, '/')[-2] AS folder, min(url) FILTER (url LIKE 'https://%') AS secure, coalesce(min(url) FILTER (url LIKE 'https://%'), min(url) FILTER (url LIKE 'http://%')) AS path FROM pages GROUP BY 1")
+def first_root(spark, d):
+    files = V.table(spark, d, "pages").select(F.col("url").alias("path"), folder(F.col("url")).alias("folder"))
+    secure = R.first_root(files, ["https://"]).withColumnRenamed("path", "secure")
+    return R.first_root(files, ["https://", "http://"]).join(secure, "folder", "left")
+
+
+@query("q_relative_path", "SELECT page_id, CASE WHEN starts_with(url, 'https://m.') THEN substr(url, 11) WHEN starts_with(url, 'http://') THEN substr(url, 8) ELSE url END AS label FROM pages")
+def relative_path(spark, d):
+    url = F.regexp_replace("url", "^https://m\\.", "https://m/")
+    label = relative_to(url, ["https://m/", "http:/"])
+    return V.table(spark, d, "pages").select("page_id", F.regexp_replace(label, "^/", "").alias("label"))
+
+
+@query("q_sync_subjects", "SELECT DISTINCT source AS folder FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE doc_id % 97 = 0)")
+def sync_subjects(spark, d):
+    docs = V.table(spark, d, "documents")
+    return docs.select(F.col("source").alias("folder")).distinct().join(docs.filter("doc_id % 97 = 0").select(F.col("source").alias("folder")).distinct(), "folder", "left_anti")
+
+
+def _streamed(spark, d, name: str):
+    schema = V.table(spark, d, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("recursiveFileLookup", "true").parquet(d)
+
+
+@query("q_stream_upsert", f"SELECT patient_id, session_date, text, seq FROM {S.SESSIONS}")
+def stream_upsert(spark, d):
+    """The same upsert by micro-batches into a versioned table."""
+    rows = _streamed(spark, d, "orders").select(F.col("o_custkey").alias("patient_id"), F.col("o_orderdate").cast("date").alias("session_date"), F.col("o_orderpriority").alias("text"), F.col("o_orderkey").alias("seq"))
+    root = work_folder(spark, "stream")
+    target = store.VersionedTable(spark, f"{root}/table")
+    ingest.merge_stream(rows, target, ["patient_id", "session_date"], ["seq"], f"{root}/log").awaitTermination()
+    return target.read()
+
+
+@query("q_stream_counts", "SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_counts(spark, d):
+    """Counts by day and type of an event stream, with a watermark."""
+    rows = _streamed(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    root = work_folder(spark, "counts")
+    target = store.VersionedTable(spark, f"{root}/table")
+    counts = ingest.counts_by_window(rows, "ts", "event_type")
+    counts.writeStream.outputMode("complete").foreachBatch(lambda batch, _: target.write(batch)).option("checkpointLocation", f"{root}/log").trigger(availableNow=True).start().awaitTermination()
+    return target.read().select(F.col("start").cast("date").alias("day"), "event_type", "n")

@@ -100,3 +100,9 @@ def hydrate(hits: DataFrame, sessions: DataFrame, goals: DataFrame) -> DataFrame
     said = hits.filter("chunk_type = 'session_summary'").join(sessions.select("patient_id", "session_date", "text"), ["patient_id", "session_date"])
     aims = as_of(hits.filter("chunk_type = 'goals_row'"), goals.select("patient_id", "session_date", "text", "orderkey", "line"), "patient_id", "session_date", "text", ["orderkey", "line"])
     return said.select(*hits.columns, "text").unionByName(aims.filter("text is not null").select(*hits.columns, "text"))
+
+
+def first_root(files: DataFrame, roots: list[str], key: str = "folder") -> DataFrame:
+    """For each key the path below the first root, in the order given, that has it."""
+    place = F.coalesce(*[F.when(F.col("path").startswith(r), F.lit(i)) for i, r in enumerate(roots)])
+    return files.withColumn("_p", place).filter("_p is not null").groupBy(key).agg(F.min_by("path", F.struct("_p", "path")).alias("path"))
