@@ -11,6 +11,8 @@ never parts suffixes with the same 20 leading bytes, so no comparison crosses a
 Each range is sorted by multikey quicksort (eight bytes a key), and within suffixes that agree in
 20 bytes the strings that contain them are compared, by hash and then byte for byte, to find the
 smallest doc_id of each. The answers return to the chunks, which find the same suffixes again.
+Leading bytes so frequent in the sample that they would fill a range by themselves are salted: the
+50-byte strings around them, each once a chunk, are dealt by their own hashes instead.
 
 Text is moved once, into a table bucketed by chunk, so that answers are joined without a shuffle of
 text. A hot string costs one row a chunk, not one a document.
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +41,7 @@ OFFSETS = BEFORE + 1  # places of the suffix in a string
 SPAN = BEFORE + LENGTH
 CHUNK_ROWS_BITS = 11  # 2048 rows a chunk at most
 SAMPLED = 1 << 16  # suffixes that the splitters are taken from, at most
+HOT_LEAST = 8  # samples of the same leading bytes that make them hot, at least; and half a range's share
 _PORTION = 1 << 20
 _LAST = np.iinfo(np.int64).max
 _NO_DOC = _LAST - 1
@@ -145,6 +149,28 @@ class Contexts:
         np.minimum.at(self.low, inverse, self.docs)
         np.maximum.at(self.high, inverse, self.docs)
 
+    def hot(self, grams: np.ndarray) -> np.ndarray:
+        """Which contexts have leading bytes among ``grams``."""
+        return np.isin(_keys(self.rows), grams) if len(grams) else np.zeros(len(self.rows), bool)
+
+    def strings(self, which: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The distinct 50-byte strings around some contexts with their smallest and largest doc_id;
+        and for each context and offset the number of its string."""
+        rows = np.flatnonzero(which)
+        left, right = self.rows[rows, SPAN].astype(np.int64), self.rows[rows, SPAN + 1].astype(np.int64)
+        context, offset, text = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, LENGTH), np.uint8)]
+        for o in range(OFFSETS):
+            valid = rows[(left >= o) & (right >= LENGTH - o)]
+            context.append(valid)
+            offset.append(np.full(len(valid), o))
+            text.append(self.rows[valid, BEFORE - o : BEFORE - o + LENGTH])
+        context, offset, text = np.concatenate(context), np.concatenate(offset), np.concatenate(text)
+        _, first, inverse = np.unique(np.ascontiguousarray(text).view(f"V{LENGTH}").ravel(), return_index=True, return_inverse=True) if len(text) else (None, np.zeros(0, np.int64), np.zeros(0, np.int64))
+        low, high = np.full(len(first), _LAST), np.full(len(first), np.iinfo(np.int64).min)
+        np.minimum.at(low, inverse, self.low[context])
+        np.maximum.at(high, inverse, self.high[context])
+        return text[first], low, high, context, offset, inverse
+
     def spans(self, index: np.ndarray, begin: np.ndarray, end: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bytes to remove, as (text, start, stop) in the chunk: answers for contexts by index."""
         order = np.argsort(self.inverse, kind="stable")
@@ -157,6 +183,21 @@ class Contexts:
         return self.text[use], self.places[use] - end[answer], self.places[use] - begin[answer] + LENGTH
 
 
+def _keys(rows: np.ndarray) -> np.ndarray:
+    """The leading bytes of contexts as comparable keys; the last byte keeps zeros before it."""
+    keys = np.ones((len(rows), GRAM + 1), np.uint8)
+    keys[:, :GRAM] = rows[:, BEFORE : BEFORE + GRAM]
+    return keys.view(f"S{GRAM + 1}").ravel()
+
+
+def compare_strings(text: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The smallest doc_id of all equal rows, for each row."""
+    _, inverse = np.unique(np.ascontiguousarray(text).view(f"V{text.shape[1]}").ravel(), return_inverse=True)
+    least = np.full(inverse.max(initial=-1) + 1, _LAST)
+    np.minimum.at(least, inverse, low)
+    return least[inverse]
+
+
 def multikey_order(suffixes: np.ndarray) -> np.ndarray:
     """The order of equally long byte rows, eight bytes a key: ties alone see the next key."""
     n, width = suffixes.shape
@@ -236,6 +277,15 @@ def _pack(*arrays: np.ndarray) -> bytes:
     return np.int64(len(arrays[0])).tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
 
 
+def _dealt(part: np.ndarray, items: np.ndarray):
+    """``items`` by part: each part that has any, and its items."""
+    order = np.argsort(part, kind="stable")
+    live, cuts = np.unique(part[order], return_index=True)
+    cuts = np.append(cuts, len(order))
+    for k, p in enumerate(live.tolist()):
+        yield p, items[order[cuts[k] : cuts[k + 1]]]
+
+
 def _by_chunk(batches, at: dict[str, int]):
     """Rows of each chunk, as often as a batch has it."""
     for batch in batches:
@@ -257,7 +307,9 @@ def _chunked(docs: DataFrame) -> tuple[DataFrame, int]:
     buckets = min(100_000, max(2 * parts, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     name = f"tidemark_chunks_{uuid.uuid4().hex[:12]}"
     rows.write.format("parquet").option("compression", "zstd").option("path", scratch(spark, "chunks")).bucketBy(buckets, "_chunk").saveAsTable(name)
-    return spark.table(name), buckets
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name alone: the files stay, and so does what was read of the catalogue
+    return table, buckets
 
 
 def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
@@ -337,9 +389,11 @@ def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
 
     fraction = min(1.0, SAMPLED / 64 / rows_total)
     grams = texts.sample(fraction, seed=1).mapInArrow(leading, "gram binary")
-    grams = sorted({bytes(r["gram"]) for r in grams.limit(2 * SAMPLED).collect()})  # a bounded sample
+    grams = sorted(bytes(r["gram"]) for r in grams.limit(2 * SAMPLED).collect())  # a bounded sample
     splitters = sorted({grams[i * len(grams) // parts] for i in range(1, parts)}) if grams else []
     ranges = np.array([g + b"\x01" for g in splitters], f"S{GRAM + 1}")
+    often = [g for g, n in Counter(grams).items() if n >= max(HOT_LEAST, len(grams) / (2 * parts))]
+    often = np.array([g + b"\x01" for g in often], f"S{GRAM + 1}")
 
     # 3. the surroundings of shared suffixes, dealt by range
     def chunk_contexts(rows: pa.Table, found: list):
@@ -350,51 +404,57 @@ def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
         return Contexts(raw, offsets, _spread(rows.column("doc_id")), got), raw, offsets
 
     def surround(rows: pa.Table, replies: pa.Table) -> pa.Table:
-        empty = pa.table({"part": pa.array([], pa.int32()), "chunk": pa.array([], pa.int64()), "blob": pa.array([], pa.binary())})
+        empty = pa.table({"part": pa.array([], pa.int32()), "kind": pa.array([], pa.int32()), "chunk": pa.array([], pa.int64()), "blob": pa.array([], pa.binary())})
         if not rows.num_rows or not replies.num_rows:
             return empty
         own, _, _ = chunk_contexts(rows, replies.column("shared").to_pylist())
         if not len(own.rows):
             return empty
-        keys = np.ones((len(own.rows), GRAM + 1), np.uint8)  # the last byte keeps zeros before it
-        keys[:, :GRAM] = own.rows[:, BEFORE : BEFORE + GRAM]
-        part = np.searchsorted(ranges, keys.view(f"S{GRAM + 1}").ravel(), "right")
-        order = np.argsort(part, kind="stable")
-        live, cuts = np.unique(part[order], return_index=True)
-        cuts = np.append(cuts, len(order))
-        blobs = []
-        for a, b in zip(cuts, cuts[1:]):
-            s = order[a:b]
-            blobs.append(_pack(own.rows[s], s.astype(np.int32), own.low[s], own.high[s]))
+        hot = own.hot(often)
+        calm = np.flatnonzero(~hot)
+        rows_out = [(part, 0, _pack(own.rows[s], s.astype(np.int32), own.low[s], own.high[s])) for part, s in _dealt(np.searchsorted(ranges, _keys(own.rows[calm]), "right"), calm)]
+        text, low, high, *_ = own.strings(hot)
+        weights = np.cumprod(np.full(LENGTH, 0x9E3779B97F4A7C15, U64))
+        salt = (mix(((text.astype(U64) + U64(1)) * weights).sum(1, dtype=U64)) % U64(parts)).astype(np.int64)
+        rows_out += [(part, 1, _pack(text[s], s.astype(np.int32), low[s], high[s])) for part, s in _dealt(salt, np.arange(len(text)))]
+        if not rows_out:
+            return empty
+        part, kind, blobs = zip(*rows_out)
         chunk = rows.column("_chunk")[0].as_py()
-        return pa.table({"part": pa.array(live, pa.int32()), "chunk": pa.array([chunk] * len(live), pa.int64()), "blob": pa.array(blobs, pa.binary())})
+        return pa.table({"part": pa.array(part, pa.int32()), "kind": pa.array(kind, pa.int32()), "chunk": pa.array([chunk] * len(part), pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
     def answer(batches):
-        held: dict[int, list] = {}
+        held: dict[tuple[int, int], list] = {}
         for batch in batches:
-            for part, chunk, blob in zip(*(c.to_pylist() for c in batch.columns)):
-                held.setdefault(part, []).append((chunk, blob))
-        for rows in held.values():
-            parts_ = []
+            for part, kind, chunk, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                held.setdefault((part, kind), []).append((chunk, blob))
+        for (_, kind), rows in held.items():
+            parts_, width = [], SPAN + 2 if kind == 0 else LENGTH
             for k, (_, blob) in enumerate(rows):
                 n = int(np.frombuffer(blob, np.int64, 1)[0])
-                at, width = 8 + n * (SPAN + 2), SPAN + 2
+                at = 8 + n * width
                 parts_.append((np.frombuffer(blob, np.uint8, n * width, 8).reshape(n, width), np.frombuffer(blob, np.int32, n, at), np.frombuffer(blob, np.int64, n, at + 4 * n), np.frombuffer(blob, np.int64, n, at + 12 * n), np.full(n, k)))
             bytes_, index, low, high, source = (np.concatenate(x) for x in zip(*parts_))
-            row, begin, end, least = compare_range(bytes_, low, high)
+            if kind == 0:
+                row, begin, end, least = compare_range(bytes_, low, high)
+            else:
+                least = compare_strings(bytes_, low)
+                row = np.flatnonzero(least < high)
+                least, begin = least[row], np.zeros(len(row), np.int64)
+                end = begin
             order = np.argsort(source[row], kind="stable")
             row, begin, end, least = row[order], begin[order], end[order], least[order]
             who, cuts = np.unique(source[row], return_index=True)
             cuts = np.append(cuts, len(row))
             blobs = [_pack(index[row[a:b]], begin[a:b].astype(np.uint8), end[a:b].astype(np.uint8), least[a:b]) for a, b in zip(cuts, cuts[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array([rows[k][0] for k in who], pa.int64()), pa.array(blobs, pa.binary())], ["_chunk", "answers"])
+            yield pa.RecordBatch.from_arrays([pa.array([rows[k][0] for k in who], pa.int64()), pa.array([kind] * len(who), pa.int32()), pa.array(blobs, pa.binary())], ["_chunk", "kind", "answers"])
 
-    around = texts.groupBy("_chunk").cogroup(known.groupBy("_chunk")).applyInArrow(surround, "part int, chunk long, blob binary")
-    answers = saved(around.repartition(parts, "part").mapInArrow(answer, "_chunk long, answers binary"), "answers")
+    around = texts.groupBy("_chunk").cogroup(known.groupBy("_chunk")).applyInArrow(surround, "part int, kind int, chunk long, blob binary")
+    answers = saved(around.repartition(parts, "part").mapInArrow(answer, "_chunk long, kind int, answers binary"), "answers")
 
     # 4. remove the bytes where the text is
     fields = [*plain.withColumn(names[doc_at], F.col(names[doc_at]).cast("long")).schema.fields, *T._parse_datatype_string(f"kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long").fields]
-    replies = known.select("_chunk", "shared", F.lit(None).cast("binary").alias("answers")).unionByName(answers.select("_chunk", F.lit(None).cast("binary").alias("shared"), "answers"))
+    replies = known.select("_chunk", "shared", F.lit(None).cast("int").alias("kind"), F.lit(None).cast("binary").alias("answers")).unionByName(answers.withColumn("shared", F.lit(None).cast("binary")))
     doc_name, text_name = names[doc_at], names[text_at]
 
     def cut(rows: pa.Table, told: pa.Table) -> pa.Table:
@@ -402,11 +462,19 @@ def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
         own_rows = rows.select(["_chunk", doc_name, text_name]).rename_columns(["_chunk", "doc_id", "text"])
         own, raw, offsets = chunk_contexts(own_rows, [b for b in told.column("shared").to_pylist() if b is not None])
         delta = np.zeros(len(raw) + 1, np.int32)
-        for blob in told.column("answers").to_pylist():
+        salted = None
+        for kind, blob in zip(told.column("kind").to_pylist(), told.column("answers").to_pylist()):
             if blob is not None:
                 k = int(np.frombuffer(blob, np.int64, 1)[0])
                 index, begin = np.frombuffer(blob, np.int32, k, 8).astype(np.int64), np.frombuffer(blob, np.uint8, k, 8 + 4 * k).astype(np.int64)
                 end, least = np.frombuffer(blob, np.uint8, k, 8 + 5 * k).astype(np.int64), np.frombuffer(blob, np.int64, k, 8 + 6 * k)
+                if kind == 1:  # of strings by number: all contexts and offsets that have them
+                    salted = salted or own.strings(own.hot(often))
+                    _, _, _, context, offset, number = salted
+                    told_least = np.full(len(salted[0]), _LAST)
+                    told_least[index] = least
+                    use = told_least[number] < _LAST
+                    index, begin, end, least = context[use], offset[use], offset[use], told_least[number[use]]
                 _, start, stop = own.spans(index, begin, end, least)
                 np.add.at(delta, start, 1)
                 np.add.at(delta, stop, -1)
