@@ -28,8 +28,8 @@ from tidemark.llm.components import components
 from tidemark.llm.store import saved
 from tidemark.llm.words import U64, find_words, mix, portions, run_hashes, shingles, utf8
 
-WIDTH, SIMILARITY, RECALL = 5, 0.8, 0.999
-TREES, DEEPEST = 24, 8
+WIDTH, SIMILARITY, RECALL = 5, 0.8, 0.99999
+TREES, DEEPEST = 32, 8
 BLOCK = 1024  # texts compared with as many others at once
 _EMPTY = np.iinfo(np.uint64).max
 
