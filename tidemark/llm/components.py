@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.store import saved
 
+SALTS = 16
+
 
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """``(node, root)`` for every node of ``edges`` (columns a, b): root is its component's least node.
@@ -21,8 +23,11 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     for _ in range(rounds):
         near = both.join(labels.select(F.col("node").alias("b"), F.col("root").alias("new")), "b").groupBy(F.col("a").alias("node")).agg(F.min("new").alias("new"))
         step = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "new").alias("root"))
-        up = step.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        step = saved(step.join(up, "root", "left").select("node", "old", F.coalesce(F.least("top", "root"), "root").alias("root")), "labels")
+        # labels that have a smaller label themselves; a label of many nodes is met in SALTS tasks
+        tops = step.filter("root < node").select(F.col("node").alias("root"), F.col("root").alias("top")).join(step.select("root").distinct(), "root", "left_semi")
+        tops = tops.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        step = step.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(tops, ["root", "salt"], "left")
+        step = saved(step.select("node", "old", F.coalesce("top", "root").alias("root")), "labels")
         labels = step.select("node", "root")
         if step.filter(F.col("old") != F.col("root")).isEmpty():
             return labels
