@@ -29,19 +29,26 @@ def recent_window(rows: DataFrame, key: str, n: int, date: str = "session_date",
     return latest_n(rows, key, n, date, ties).groupBy(key).agg(F.min(date).alias("date_from"), F.max(date).alias("date_to"))
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, date: str, value: str, ties: list[str]) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, key: str, date: str, value: str, ties: list[str], bucket: str = "month") -> DataFrame:
     """For each left row the latest right value on or before its date; null without one.
 
-    Both sides are laid in one order per key and the value carried forward, so the cost is one
-    shuffle and sort; no row meets more than its predecessor, however many rows a key has.
+    Both sides are laid in one order and the value carried forward, so no row meets more than its
+    predecessor. The order is cut into buckets of time, so a key with very many rows is spread over
+    tasks; what a bucket starts with comes from a small table of the last value of each bucket.
     """
-    order = [F.col(date), F.col("_side"), *[F.col(t).asc_nulls_first() for t in ties]]
-    r = right.select(key, date, *ties, F.struct(F.col(value)).alias("_v"), F.lit(0).alias("_side"))
-    l = left.withColumn("_side", F.lit(1))  # noqa: E741
-    both = l.unionByName(r, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    cut = F.trunc(F.col(date), bucket)
+    r = right.select(key, date, *ties, F.struct(F.col(value)).alias("_v"), F.lit(1).alias("_side")).withColumn("_b", cut)
+    l = left.withColumn("_side", F.lit(2)).withColumn("_b", cut)  # noqa: E741
+    last = r.groupBy(key, "_b").agg(F.max_by("_v", F.struct(date, *ties)).alias("_v"))
+    asked = l.select(key, "_b").distinct().withColumn("_v", F.lit(None).cast(r.schema["_v"].dataType))
+    buckets = last.unionByName(asked).groupBy(key, "_b").agg(F.first("_v", ignorenulls=True).alias("_v"))
+    before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    opening = buckets.select(key, "_b", F.last("_v", ignorenulls=True).over(before).alias("_v"), F.lit(0).alias("_side")).filter("_v is not null")
+    both = l.unionByName(r, allowMissingColumns=True).unionByName(opening, allowMissingColumns=True)
+    order = [F.col(date).asc_nulls_first(), F.col("_side"), *[F.col(t).asc_nulls_first() for t in ties]]
+    w = Window.partitionBy(key, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     both = both.withColumn("_v", F.last("_v", ignorenulls=True).over(w))
-    return both.filter("_side = 1").withColumn(value, F.col(f"_v.{value}")).select(*left.columns, value)
+    return both.filter("_side = 2").withColumn(value, F.col(f"_v.{value}")).select(*left.columns, value)
 
 
 def compare_split(rows: DataFrame, reference: Column, date: str = "session_date") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 
 def upsert(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Of rows with equal keys, the last by ``order``; one hash aggregation, no sort of rows.
+    """Of rows with equal keys, the last by ``order``; one aggregation, partial before the shuffle.
 
     ``order`` columns are non-null and tell the rows of a key apart, or equal rows are alike.
     """
