@@ -12,6 +12,7 @@ order of text; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections import deque
 
@@ -75,6 +76,7 @@ def choose_cuts(places: np.ndarray, within: np.ndarray, window: int) -> list[int
     return cuts[::-1]
 
 
+@functools.cache
 def _sentence_table(tokenizer: str) -> np.ndarray:
     library = encoder(tokenizer).library
     texts = library.decode_batch([[i] for i in range(library.get_vocab_size())])
