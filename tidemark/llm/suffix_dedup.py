@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidemark.llm.store import saved, scratch
-from tidemark.llm.words import U64, mix, utf8
+from tidemark.llm.words import U64, give_back, mix, utf8
 
 LENGTH, GRAM = 50, 20
 BEFORE = LENGTH - GRAM  # bytes before a sampled suffix that a string can reach
@@ -345,6 +345,7 @@ def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
             live = np.flatnonzero(edges[1:] > edges[:-1])
             blobs = [_pack(found[edges[i] : edges[i + 1]], several[edges[i] : edges[i + 1]]) for i in live]
             yield pa.RecordBatch.from_arrays([pa.array(live, pa.int32()), pa.array([chunk] * len(live), pa.int64()), pa.array(blobs, pa.binary())], ["part", "chunk", "blob"])
+        give_back()
 
     def shared(batches):
         held: dict[int, list] = {}
@@ -398,6 +399,7 @@ def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
     # 3. the surroundings of shared suffixes, dealt by range
     def chunk_contexts(rows: pa.Table, found: list):
         got = np.unique(np.concatenate([np.frombuffer(b, U64) for b in found])) if found else np.zeros(0, U64)
+        give_back()
         column = rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string())
         column = column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks)
         raw, offsets = utf8(column)
@@ -448,6 +450,7 @@ def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
             cuts = np.append(cuts, len(row))
             blobs = [_pack(index[row[a:b]], begin[a:b].astype(np.uint8), end[a:b].astype(np.uint8), least[a:b]) for a, b in zip(cuts, cuts[1:])]
             yield pa.RecordBatch.from_arrays([pa.array([rows[k][0] for k in who], pa.int64()), pa.array([kind] * len(who), pa.int32()), pa.array(blobs, pa.binary())], ["_chunk", "kind", "answers"])
+        give_back()
 
     around = texts.groupBy("_chunk").cogroup(known.groupBy("_chunk")).applyInArrow(surround, "part int, kind int, chunk long, blob binary")
     answers = saved(around.repartition(parts, "part").mapInArrow(answer, "_chunk long, kind int, answers binary"), "answers")

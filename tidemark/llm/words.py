@@ -6,12 +6,18 @@ split a UTF-8 character. Hashes are 64 bits, the same on every machine.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:  # another system's allocator
+    _libc = None
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
-_SEGMENT = 1 << 21
+_SEGMENT = (1 << 20) - 64  # bytes hashed at once, so that the table of powers stays small
 _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 IS_WORD = np.ones(256, bool)
 IS_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
@@ -63,14 +69,21 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def portions(batch: pa.RecordBatch, text: int, most: int = 1 << 22):
+def portions(batch: pa.RecordBatch, text: int, most: int = 1 << 21, rows: int = 4096):
     """Cut a batch into runs of rows with about ``most`` bytes of text, a row at least."""
     _, offsets = utf8(batch.column(text))
     at = 0
     while at < batch.num_rows:
-        upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
+        upto = max(at + 1, min(at + rows, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1))
         yield batch.slice(at, upto - at)
         at = upto
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker that waits for its next task should not hold it."""
+    if _libc is not None:
+        _libc.malloc_trim(0)
 
 
 def find_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
