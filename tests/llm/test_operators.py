@@ -385,6 +385,44 @@ def test_toxicity_on_odd_rows(spark):
     assert toxicity.score(no_docs(spark), model).count() == 0
 
 
+def test_copies_of_a_long_toxic_text_push_no_term_out(spark):
+    rng = np.random.default_rng(11)
+    word = lambda n: "".join(rng.choice(list("bcdfgklnprtv"), n))
+    common = [word(6) for _ in range(300)]
+    plain = lambda: " ".join(rng.choice(common, 30))
+    long = " ".join(word(9) for _ in range(1500))
+    rows = [(i, plain(), 0) for i in range(200)] + [(1000 + i, f"{plain()} you moron {plain()}", 1) for i in range(40)]
+    rows += [(2000 + i, long, 1) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.learn(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert "moron" in model.terms and not set(model.terms) & set(long.split())
+    new = spark.createDataFrame([(1, f"{plain()} moron {plain()}"), (2, plain())], "doc_id long, text string")
+    got = {r["doc_id"]: r["toxic_score"] for r in toxicity.score(new, model).collect()}
+    assert got[1] >= 0.5 > got[2]
+
+
+def test_lexicon_has_no_most_terms(spark):
+    rng = np.random.default_rng(12)
+    many = sorted({"".join(rng.choice(list("bcdfgklnprtvaeiou"), 9)) for _ in range(600)})
+    rows = [(i, " ".join(many) + f" x{i}", 1) for i in range(20)] + [(100 + i, f"moron y{i}", 1) for i in range(10)] + [(200 + i, f"fine z{i}", 0) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.learn(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert set(model.terms) == {*many, "moron"}
+
+
+def test_states_made_again_and_large_alphabets():
+    terms = [chr(0x4E00 + 7 * i) * 2 + chr(0x5E00 + 3 * i) for i in range(400)] + ["moron"]
+    m = toxicity.Matcher(toxicity.Model(terms, [1.0] * len(terms)))
+    text = " ".join([*terms, "moon", "xmoron", terms[3][:2]])
+    found = []
+    for _ in range(2):
+        _, starts, ends, _, kind = m.words([text])
+        word, state = m.hits(starts, ends, kind)
+        found.append((word.tolist(), m.automaton.accept[state].tolist()))
+        m.automaton.clear()
+    assert found[0] == found[1] == ([*range(403)], [*range(401), 400, 400])
+
+
 # 10
 
 
