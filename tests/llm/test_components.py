@@ -23,3 +23,16 @@ def test_components_of_chains_stars_and_noise(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in root}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_long_chains_in_any_order_settle(spark):
+    rng = random.Random(2)
+    n = 3000
+    mixed = rng.sample(range(20_000, 20_000 + n), n)
+    edges = [(i + 1, i) for i in range(n - 1)]
+    edges += [(10_000 + (i + 1) % n, 10_000 + (i + 2) % n) for i in range(n - 1)]  # the least id at the far end
+    edges += [(mixed[i], mixed[i + k]) for k in (1, 2, 3) for i in range(n - k)]
+    lone = rng.sample(range(30_000, 30_000 + n), n)
+    edges += list(zip(lone, lone[1:]))
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: x // 10_000 * 10_000 for k in range(4) for x in range(k * 10_000, k * 10_000 + n)}

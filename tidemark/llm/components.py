@@ -9,26 +9,28 @@ from tidemark.llm.store import saved
 SALTS = 16
 
 
-def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of ``edges`` (columns a, b): root is its component's least node.
 
-    Each round every node takes the least label among its neighbours' labels, and then the label
-    of its label, so that long chains take a number of rounds logarithmic in their length. Rounds
-    are written to the shared folder, so a lost executor repeats one round. Edges with nulls are
-    left out; repeated edges and loops do no harm.
+    Each round every node takes the least label among its neighbours' labels, every label passes
+    the least that its nodes found on to the node it names (so whole trees are hooked, not only the
+    nodes at their rims), and then each node takes the label of its label. Chains of n nodes so
+    settle in about log2(n) rounds, whatever the order of their ids. Labels only fall, so rounds
+    go on until nothing changes. Rounds are written to the shared folder, so a lost executor
+    repeats one round. Edges with nulls are left out; repeated edges and loops do no harm.
     """
     both = edges.select("a", "b").dropna()
     both = saved(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")), "labels")
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.select(F.col("node").alias("b"), F.col("root").alias("new")), "b").groupBy(F.col("a").alias("node")).agg(F.min("new").alias("new"))
         step = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "new").alias("root"))
-        # labels that have a smaller label themselves; a label of many nodes is met in SALTS tasks
-        tops = step.filter("root < node").select(F.col("node").alias("root"), F.col("root").alias("top")).join(step.select("root").distinct(), "root", "left_semi")
+        # labels that have a smaller label themselves, or whose nodes found one; a label of many nodes is met in SALTS tasks
+        tops = step.select(F.col("node").alias("root"), F.col("root").alias("top")).unionByName(step.select(F.col("old").alias("root"), F.col("root").alias("top")))
+        tops = tops.filter("top < root").groupBy("root").agg(F.min("top").alias("top")).join(step.select("root").distinct(), "root", "left_semi")
         tops = tops.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         step = step.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(tops, ["root", "salt"], "left")
         step = saved(step.select("node", "old", F.coalesce("top", "root").alias("root")), "labels")
         labels = step.select("node", "root")
         if step.filter(F.col("old") != F.col("root")).isEmpty():
             return labels
-    raise RuntimeError("components did not settle; raise rounds")
