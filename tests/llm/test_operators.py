@@ -331,6 +331,30 @@ def test_quality_on_odd_rows(spark):
     assert quality_rules.judge(no_docs(spark), labels).count() == 0
 
 
+def test_small_strata_get_joint_cutoffs_within_the_limit(spark):
+    rng = np.random.default_rng(13)
+    rows, labels = [], []
+    for stratum, n in (("en", 2000), ("de", 300), ("tiny", 100)):
+        for i in range(n + n // 5):
+            bad, labelled = i >= n, i % 6 != 5
+            # good documents: a rule of their own now and then, so that the rules' shares add up
+            odd = int(rng.integers(0, 150)) if not bad else -1
+            doc = len(rows)
+            rows.append((doc, stratum, 100, 700 if odd == 1 else 500, 200 if bad else 0, 2 if odd == 2 else 0, 15 if odd == 3 else 0, 5, 40 if odd == 4 else 0))
+            labels += [(doc, int(not bad))] if labelled else []
+    counts = spark.createDataFrame(rows, "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_marks long")
+    cut = quality_rules.choose_cutoffs(counts, spark.createDataFrame(labels, "doc_id long, quality int"))
+    assert {c[0] for c in cut} == {"en", "de"} and all(c[3] <= quality_rules.MAX_FALSE_REJECTION for c in cut)
+    levels = {(c[0], c[1]): c[2] for c in cut}
+    assert all(levels[x, "symbols"] < 0.4 for x in ("en", "de"))
+    quality = dict(labels)
+    for x in ("en", "de"):
+        good = [dict(zip(counts.columns, r)) for r in rows if r[1] == x and quality.get(r[0]) == 1]
+        k = sum(any(r[a] / max(r[b], 1) > levels.get((x, name), np.inf) for name, (a, b, _) in quality_rules.RULES.items()) for r in good)
+        bound = quality_rules.upper_bound(k, len(good), quality_rules.ALPHA / 2)
+        assert {c[3] for c in cut if c[0] == x} == {bound}
+
+
 # 9
 
 

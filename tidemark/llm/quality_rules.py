@@ -1,15 +1,18 @@
 """Quality rules with risk-controlled cutoffs.
 
 Each rule rejects a document if a measure of its whole text exceeds a cutoff. Cutoffs are chosen
-per stratum (``lang``) on labelled documents: from the loosest level of a fixed grid on, a level is
-accepted while the exact (Clopper-Pearson) binomial bound on the share of good documents that it
-rejects stays within the limit. The limit is shared among the rules, and the error level among all
-strata and rules (Bonferroni; within a rule the levels are tested in a fixed order, which needs no
-further correction). So, with probability 1 - alpha, no stratum loses more than the limit.
+per stratum (``lang``) on labelled documents. All rules are tightened along one path of joint
+levels, each stricter than the one before; a joint level is accepted while the exact
+(Clopper-Pearson) binomial bound on the share of good documents that any rule rejects stays within
+the limit. The path is fixed before good labels are looked at: it is ordered by what bad and
+unlabelled documents of the stratum show. So the levels, tested in order, need no correction, and
+the error level is shared among the strata alone (Bonferroni). With probability 1 - alpha, no
+stratum loses more than the limit.
 
 Defined results: a null or empty text has zero counts and fails the base rules; a stratum with too
-few labels, or a null one, gets no cutoffs, so that only the base rules reject; a document with
-several labels counts once for each; an empty table gives no rows.
+few labels, or a null one, gets no cutoffs, so that only the base rules reject, and
+``has_cutoffs`` is false for its documents; a document with several labels counts once for each; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -130,38 +133,99 @@ def upper_bound(k: int, n: int, alpha: float) -> float:
     return high
 
 
+def tested_strata(sizes: dict[str, int], limit: float, alpha: float) -> list[str]:
+    """As many strata as have the good labels that a test at alpha over so many needs, largest first."""
+    ranked = sorted(sizes, key=lambda x: (-sizes[x], x))
+    needs = lambda m: math.ceil(math.log(alpha / m) / math.log1p(-limit))
+    return ranked[: max((m for m in range(1, len(ranked) + 1) if sizes[ranked[m - 1]] >= needs(m)), default=0)]
+
+
+def path(bad: dict[str, list[int]], n_bad: int, others: dict[str, list[int]], n_others: int) -> list[tuple[str, int]]:
+    """``(rule, level)`` in the order of tightening, each rule's levels from loose to tight.
+
+    Each step goes to the level that rejects the most bad documents (``bad``: a count for each
+    level) for what it rejects of unlabelled ones (``others``). Steps that reject nothing come after
+    those whose rejects are mostly bad and before the others; steps alike go by how far rules have
+    been tightened, so that without such documents all are tightened together.
+    """
+    least, at, out = 1e-4, dict.fromkeys(RULES, -1), []
+    share = n_bad / max(n_bad + n_others, 1)
+    seen = lambda counts, n, name, i: counts[name][i] / max(n, 1) if i >= 0 else 0.0
+    while True:
+        steps = []
+        for name, (_, _, levels) in RULES.items():
+            now = at[name]
+            for i in range(now + 1, len(levels)):
+                gain = share * (seen(bad, n_bad, name, i) - seen(bad, n_bad, name, now)) + least / 2
+                cost = seen(others, n_others, name, i) - seen(others, n_others, name, now) + least * (i - now)
+                steps.append((-gain / cost, i / len(levels), name, i))
+        if not steps:
+            return out
+        _, _, name, i = min(steps)
+        out += [(name, k) for k in range(at[name] + 1, i + 1)]
+        at[name] = i
+
+
 def choose_cutoffs(counts: DataFrame, labels: DataFrame, limit: float = MAX_FALSE_REJECTION, alpha: float = ALPHA) -> list[tuple[str, str, float, float]]:
-    """``(stratum, rule, cutoff, bound)``; rules without an accepted level in a stratum are left out.
+    """``(stratum, rule, cutoff, bound)``; the bound is on the share that all rules of the stratum reject.
 
-    What reaches the driver is a row for each stratum and rule with as many good labels as any
-    level needs, and within it as many numbers as the grid has levels.
+    Rules without an accepted level in a stratum are left out. What reaches the driver is a few
+    rows for each stratum with enough good labels, with as many numbers as the grids have levels.
     """
-    share = limit / len(RULES)
-    good = counts.join(labels.filter("quality = 1").select("doc_id"), "doc_id").filter(~base_failed() & F.col("stratum").isNotNull())
-    needs = math.ceil(math.log(alpha / len(RULES)) / math.log1p(-share))
+    passing = counts.filter(~base_failed() & F.col("stratum").isNotNull())
+    labelled = passing.join(labels.select("doc_id", F.col("quality").cast("int").alias("quality")), "doc_id")
+    labelled = saved(labelled.select("stratum", "quality", *[value(name).alias(name) for name in RULES]), "labelled")
+    sizes = labelled.filter("quality = 1").groupBy("stratum").count()
+    sizes = {r["stratum"]: r["count"] for r in sizes.filter(F.col("count") >= math.ceil(math.log(alpha) / math.log1p(-limit))).collect()}
+    strata = tested_strata(sizes, limit, alpha)
+    if not strata:
+        return []
+    spark = counts.sparkSession
+    tested = F.broadcast(spark.createDataFrame([(x,) for x in strata], "stratum string"))
     sums = [F.count("*").alias("n")]
     for name, (_, _, levels) in RULES.items():
-        sums += [F.array(*[F.count_if(value(name) > level) for level in levels]).alias(name)]
-    rows = good.groupBy("stratum").agg(*sums).filter(F.col("n") >= needs).collect()
+        sums += [F.array(*[F.count_if(F.col(name) > level) for level in levels]).alias(name)]
+    bad = {r["stratum"]: r for r in labelled.filter("quality = 0").join(tested, "stratum").groupBy("stratum").agg(*sums).collect()}
+    others = passing.join(labels.select("doc_id"), "doc_id", "left_anti").join(tested, "stratum").select("stratum", *[value(name).alias(name) for name in RULES])
+    others = {r["stratum"]: r for r in others.groupBy("stratum").agg(*sums).collect()}
+    none = {"n": 0} | {name: [0] * len(levels) for name, (_, _, levels) in RULES.items()}
+    paths = {}
+    for x in strata:
+        b, o = bad.get(x, none), others.get(x, none)
+        paths[x] = path(b, b["n"], o, o["n"])
+    # the step that first rejects a document: of each rule, that of its loosest level below the value
+    total = sum(len(levels) for _, _, levels in RULES.values())
+    steps = []
+    for x, steps_of in paths.items():
+        place = {step: i for i, step in enumerate(steps_of)}
+        steps.append((x, *[[place[name, k] for k in range(len(levels))] + [total] for name, (_, _, levels) in RULES.items()]))
+    steps = spark.createDataFrame(steps, "stratum string, " + ", ".join(f"at_{name} array<int>" for name in RULES))
+    loosest = lambda name: F.size(F.filter(F.array(*map(F.lit, RULES[name][2])), lambda level: level >= F.col(name)))
+    first = F.least(*[F.get(f"at_{name}", loosest(name)) for name in RULES])
+    rejected = {x: [0] * (total + 1) for x in strata}
+    for r in labelled.filter("quality = 1").join(F.broadcast(steps), "stratum").groupBy("stratum", first.alias("step")).count().collect():
+        rejected[r["stratum"]][r["step"]] = r["count"]
     out = []
-    for row in rows:
-        log_alpha = math.log(alpha / (len(RULES) * len(rows)))
-        for name, (_, _, levels) in RULES.items():
-            chosen = None
-            for level, k in zip(levels, row[name]):
-                if k > share * row["n"] or log_binomial_cdf(k, row["n"], share) > log_alpha:
-                    break
-                chosen = (row["stratum"], name, level, upper_bound(k, row["n"], math.exp(log_alpha)))
-            if chosen:
-                out.append(chosen)
+    for x in strata:
+        n, k, cut, bound = sizes[x], 0, {}, 1.0
+        for (name, level), more in zip(paths[x], rejected[x]):
+            k += more
+            if k > limit * n or log_binomial_cdf(k, n, limit) > math.log(alpha / len(strata)):
+                break
+            cut[name], bound = RULES[name][2][level], k
+        if cut:
+            bound = upper_bound(bound, n, alpha / len(strata))
+            out += [(x, name, level, bound) for name, level in cut.items()]
     return out
 
 
 def judge(docs: DataFrame, labels: DataFrame, limit: float = MAX_FALSE_REJECTION, alpha: float = ALPHA) -> DataFrame:
-    """The counts of every document, base_failed, and kept: it passes the base rules and all cutoffs."""
+    """The counts of every document, base_failed, kept: it passes the base rules and all cutoffs, and has_cutoffs: its stratum has any."""
     counts = saved(counted(docs), "counts")
     cutoffs = choose_cutoffs(counts, labels, limit, alpha)
-    rejected = F.lit(False)
+    rejected, ruled = F.lit(False), F.lit(False)
     for stratum, rule, level, _ in cutoffs:
         rejected = rejected | (F.col("stratum").eqNullSafe(stratum) & (value(rule) > level))
-    return counts.select("doc_id", *COUNTS[:5], base_failed().alias("base_failed"), (~base_failed() & ~rejected).alias("kept"))
+    for stratum in sorted({c[0] for c in cutoffs}):
+        ruled = ruled | F.col("stratum").eqNullSafe(stratum)
+    return counts.select("doc_id", *COUNTS[:5], base_failed().alias("base_failed"), (~base_failed() & ~rejected).alias("kept"), ruled.alias("has_cutoffs"))
