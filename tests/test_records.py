@@ -78,6 +78,23 @@ def test_deid_round_trip_and_gate(spark):
     assert len({r["key"] for r in reid.collect()}) == reid.count() and all(len(r["key"]) == 64 for r in reid.collect())
 
 
+def test_known_values_are_swept_from_all_documents(spark):
+    texts = ["met Dana Levi, then Dana Levi-Cohen.", "DANA none", "with (Dana Levi)", "case #12/b! and case 12/b", "Danalevi Dana  Levi"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    values = [("Dana Levi", "PERSON"), ("Dana Levi-Cohen", "PERSON"), ("#12/b!", "ID"), ("none", "PERSON")]
+    reid = spark.createDataFrame([(v, t, f"{i:064x}") for i, (v, t) in enumerate(values)], "value string, type string, key string")
+    assert {r["doc_id"]: r["n_leaks"] for r in deid.leaks(docs, reid).collect()} == {0: 2, 2: 1, 3: 1}
+    assert {r["doc_id"]: r["failure_type"] for r in deid.gate(docs, reid).collect()} == {0: "reid_map", 1: None, 2: "reid_map", 3: "reid_map", 4: None}
+    swept = deid.sweep(docs, reid)
+    token = [f"{t}_{i:064x}" for i, (_, t) in enumerate(values)]
+    got = {r["doc_id"]: r["text"] for r in swept.collect()}
+    assert got == {0: f"met {token[0]}, then {token[1]}.", 1: texts[1], 2: f"with ({token[0]})", 3: f"case {token[2]} and case 12/b", 4: texts[4]}
+    assert all(r["passed"] for r in deid.gate(swept.select("doc_id", "text"), reid).collect())
+    own = [("CASE", r"case \d+")]
+    known = spark.createDataFrame([("case 7", "CASE", "0" * 64)], reid.schema)
+    assert [r["failure_type"] for r in deid.gate(spark.createDataFrame([(1, "a case 7")], docs.schema), known, patterns=own).collect()] == ["regex"]
+
+
 def test_value_inside_a_token_survives(spark):
     docs = spark.createDataFrame([(1, "x 12345678 y")], "doc_id int, text string")
     key = "0521234567" + "a" * 46 + "12345678"

@@ -91,8 +91,9 @@ def reidentify(spark, d):
 
 @query("q_sweep", "SELECT doc_id, " + _removed("text", 0).replace("text", "length(text)") + " AS length FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM (" + _FOUND + "))")
 def sweep(spark, d):
-    """Documents without values pass through unchanged."""
-    _, _, _, masked = _masked(spark, d)
+    """All documents are swept for values that any of them made known; those without pass through unchanged."""
+    docs, found, reid, _ = _masked(spark, d)
+    masked = deid.sweep(docs, reid, found, "|".join(f"(?:{p})" for _, p in PATTERNS))
     return masked.filter("n_values = 0").select("doc_id", F.length("text").cast("long").alias("length"))
 
 

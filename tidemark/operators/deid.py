@@ -97,15 +97,49 @@ def eligible(value: Column) -> Column:
     return (F.length(value) >= 2) & ~value.rlike(r"^[A-Za-z0-9]+$")
 
 
-def leaks(docs: DataFrame, reid: DataFrame, pattern: str | None = None) -> DataFrame:
-    """Documents that still hold a known value, with how many.
+def runs(text: Column) -> Column:
+    """A text cut into words and what lies between them."""
+    return F.regexp_extract_all(text, F.lit(r"(?U)\w+|\W+"), 0)
+
 
-    Values are matched by what the patterns find in the scrubbed text, an equi-join; a theta join
-    of texts with all values would grow with their product.
+def held(docs: DataFrame, reid: DataFrame, pattern: str | None = None) -> DataFrame:
+    """``(doc_id, value)``, distinct: the eligible known values that the scrubbed texts hold.
+
+    Values are matched by what the patterns find and by runs of as many words as known values
+    have, an equi-join; a theta join of texts with all values would grow with their product.
     """
     pattern = pattern or "|".join(f"(?:{p})" for _, p in PII)
-    seen = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(scrubbed(F.col("text")), F.lit(pattern), 0))).alias("value"))
-    return seen.join(reid.filter(eligible(F.col("value"))).select("value"), "value").groupBy("doc_id").agg(F.count("*").alias("n_leaks"))
+    text = scrubbed(F.col("text"))
+    edges = r"(?U)^\W+|\W+$"
+    known = reid.filter(eligible(F.col("value"))).select("value").distinct()
+    seen = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), 0))).alias("value")).join(known, "value")
+    inner = known.withColumn("part", F.regexp_replace("value", edges, "")).filter("part <> ''")
+    # the numbers of words that known values have
+    sizes = [r[0] for r in inner.select(((F.size(runs(F.col("part"))) + 1) / 2).cast("int").alias("n")).distinct().collect()]
+    if not sizes:
+        return seen.distinct()
+    cut = docs.select("doc_id", text.alias("text")).withColumn("runs", runs(F.col("text")))
+    words = F.filter(F.sequence(F.lit(1), F.greatest(F.size("runs"), F.lit(1))), lambda i: F.coalesce(F.get("runs", i - 1).rlike(r"(?U)^\w"), F.lit(False)))
+    gram = lambda n: F.transform(F.filter(words, lambda i: i + 2 * n - 2 <= F.size("runs")), lambda i: F.array_join(F.slice("runs", i, 2 * n - 1), ""))
+    grams = [gram(n) for n in sorted(sizes)]
+    parts = cut.select("doc_id", F.explode(F.array_distinct(F.concat(*grams))).alias("part"))
+    found = parts.join(inner, "part").select("doc_id", "part", "value")
+    # values with other characters at their edges: the text must hold those, too
+    edged = found.filter("part <> value").select("doc_id", "value").distinct().join(docs.select("doc_id", text.alias("text")), "doc_id").filter(F.contains("text", "value"))
+    return seen.unionByName(found.filter("part = value").select("doc_id", "value")).unionByName(edged.select("doc_id", "value")).distinct()
+
+
+def sweep(docs: DataFrame, reid: DataFrame, found: DataFrame | None = None, pattern: str | None = None) -> DataFrame:
+    """Texts with tokens for the values that they hold and any document made known, longest first, beside those of ``found``."""
+    values = held(docs, reid, pattern)
+    if found is not None:
+        values = values.unionByName(found.select("doc_id", "value")).distinct()
+    return replace(docs, values, reid)
+
+
+def leaks(docs: DataFrame, reid: DataFrame, pattern: str | None = None) -> DataFrame:
+    """Documents that still hold a known value, with how many; the sweep's values."""
+    return held(docs, reid, pattern).groupBy("doc_id").agg(F.count("*").alias("n_leaks"))
 
 
 def gate(docs: DataFrame, reid: DataFrame, names: DataFrame | None = None, patterns=PII) -> DataFrame:
@@ -115,7 +149,7 @@ def gate(docs: DataFrame, reid: DataFrame, names: DataFrame | None = None, patte
     for _, pattern in patterns:
         hit = hit | text.rlike(pattern)
     rows = docs.select("doc_id", hit.alias("by_regex"), "text")
-    rows = rows.join(leaks(docs, reid).select("doc_id", F.lit(True).alias("by_map")), "doc_id", "left")
+    rows = rows.join(leaks(docs, reid, "|".join(f"(?:{p})" for _, p in patterns)).select("doc_id", F.lit(True).alias("by_map")), "doc_id", "left")
     failure = F.when(F.col("by_regex"), "regex").when(F.coalesce("by_map", F.lit(False)), "reid_map")
     if names is not None:
         named = detect(docs.withColumn("text", text), patterns, names).filter("type = 'PERSON'").select("doc_id").distinct().withColumn("by_name", F.lit(True))
