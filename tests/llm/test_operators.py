@@ -68,13 +68,31 @@ def test_simple8b_round_trip(top):
             assert (own == x[b * simple8b.BLOCK :][: sizes[b]]).all()
 
 
+def alike(n=1024):
+    """Two texts that every polynomial hash modulo 2**64 takes for equal."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
 def test_pieces_equal_the_library():
     rng = np.random.default_rng(2)
-    alphabet = list("a's tre\nvm ld1.$ é\t'😀日 ")
-    texts = ["", "it's 's ''s x'll 'LL a'", "a<|endoftext|>b", "͸x", " two  \n\n x\t\ty ", *("".join(rng.choice(alphabet, rng.integers(0, 40))) for _ in range(2000))]
-    ids, at = encoder(tokenizer()).encode(texts)
-    for text, a, b in zip(texts, at, at[1:]):
-        assert ids[a:b].tolist() == encoder(tokenizer()).library.encode(text, add_special_tokens=False).ids, text
+    own = encoder(tokenizer())
+    for alphabet in (list("a's tre\nvm ld1.$ é\t'😀日 \u00a0\u3000\x85\x1c×«\u200b\rİ"), list("ab .,\n 'é×")):
+        texts = ["", "it's 's ''s x'll 'LL a'", "a<|endoftext|>b", "͸x", " two  \n\n x\t\ty ", " ", "\n", "a ", "a\n", *alike(), *("".join(rng.choice(alphabet, rng.integers(0, 40))) for _ in range(3000))]
+        for part in ([], texts[:1], texts):
+            ids, at = own.encode(part)
+            for text, a, b in zip(part, at, at[1:]):
+                assert ids[a:b].tolist() == own.library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_other_tokenizers_go_to_the_library_whole():
+    import public_tokenizers
+
+    own = encoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert not own.by_segments
+    texts = ["Some  words, here", "", "It's"]
+    ids, at = own.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [own.library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_ids_written_and_read(spark):

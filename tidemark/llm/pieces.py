@@ -1,66 +1,67 @@
 """Token ids of whole texts by a byte-level BPE of the ``tokenizers`` library.
 
-Texts are cut into the pieces of the tokenizer's own split pattern with array operations; each
-distinct piece is encoded by the library once and its ids are kept in the worker. The ids are
-those of encoding the whole text, as BPE merges never cross a piece. Texts with the string of a
-special token, or with a code point that this Python's Unicode tables do not assign, go to the
-library whole.
+Texts are cut before a space that a visible character follows, between letters and simple marks,
+and around single line ends. There the split pattern of a byte-level pre-tokenizer always ends a
+piece, and merges never cross a piece, so the ids of the segments, end to end, are those of the
+whole text. Arrow finds the distinct segments of a batch, the library encodes those that a worker
+has not met, many in one call; segments are told apart by their text, never by a hash alone. Texts
+with the string of an added token, and all texts of a tokenizer that is set up in another way, go
+to the library whole.
 """
 
 from __future__ import annotations
 
 import functools
-import sys
-import unicodedata
+import json
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from tidemark.llm.words import run_hashes
+from tidemark.llm.words import utf8
 
-LETTER, NUMBER, SPACE, OTHER = range(4)
-# The code points of White_Space in Unicode.
-WHITE_SPACE = [*range(9, 14), 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
-# What the split pattern takes after an apostrophe.
-CONTRACTIONS = ["s", "t", "re", "ve", "m", "ll", "d"]
-_KEPT_PIECES = 500_000
+_KEPT, _KEPT_CHARS = 500_000, 16 << 20  # segments that a worker remembers
+LETTER, MARK, VISIBLE, SPACE, LINE = 1, 2, 3, 4, 5
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:127] = VISIBLE
+_KIND[[*range(65, 91), *range(97, 123)]] = LETTER
+_KIND[list(b".,;:!?")], _KIND[32], _KIND[10] = MARK, SPACE, LINE
 
 
-@functools.cache
-def _classes() -> tuple[np.ndarray, np.ndarray]:
-    kinds = [unicodedata.category(chr(i)) for i in range(sys.maxunicode + 1)]
-    table = np.full(len(kinds), OTHER, np.uint8)
-    first = np.array([k[0] for k in kinds])
-    table[first == "L"], table[first == "N"], table[WHITE_SPACE] = LETTER, NUMBER, SPACE
-    return table, np.array([k == "Cn" for k in kinds])
-
-
-def split_points(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where each piece begins, for texts without special tokens laid end to end."""
-    if not len(codes):
+def cut_points(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where segments begin, for texts in UTF-8 laid end to end."""
+    if not len(raw):
         return np.zeros(0, np.int64)
-    kind = _classes()[0][codes]
-    opens = np.zeros(len(codes) + 1, bool)  # where a text begins
-    opens[offsets] = True
-    cut = opens[:-1].copy()
-    cut[1:] |= kind[1:] != kind[:-1]
-    after = np.flatnonzero((kind[1:] != SPACE) & (kind[:-1] == SPACE) & ~opens[1:-1]) + 1
-    cut[after - 1] = True  # the last white space of a run stands alone, or leads the next piece
-    cut[after] = codes[after - 1] != 32
-    quote = np.flatnonzero((codes == 39) & cut)
-    quote = quote[quote + 1 < len(codes)]
-    begins = opens[quote] | (quote == 0) | (kind[quote - 1] != OTHER)
-    quote = quote[begins & (kind[quote + 1] == LETTER) & ~opens[quote + 1]]
-    for q in quote.tolist():
-        for tail in CONTRACTIONS:
-            e = q + 1 + len(tail)
-            if e <= len(codes) and all(codes[q + 1 + i] == ord(c) and not opens[q + 1 + i] for i, c in enumerate(tail)):
-                cut[q + 1] = False
-                if e < len(codes):
-                    cut[e] = True
-                break
+    kind = _KIND[raw]
+    lead = np.flatnonzero((raw >= 0xC3) & (raw <= 0xC9))  # of the Latin letters beyond ASCII, in two bytes
+    lead = lead[~((raw[lead] == 0xC3) & np.isin(raw[lead + 1], [0x97, 0xB7]))]  # two signs among them
+    kind[lead] = kind[lead + 1] = LETTER
+    seen = (kind > 0) & (kind <= VISIBLE)
+    cut = np.zeros(len(raw) + 1, bool)
+    cut[:-2] = (kind[:-1] == SPACE) & seen[1:]
+    cut[1:-1] |= ((kind[:-1] == LETTER) & (kind[1:] == MARK)) | ((kind[:-1] == MARK) & (kind[1:] == LETTER))
+    alone = np.flatnonzero((kind[1:-1] == LINE) & seen[:-2] & seen[2:]) + 1
+    ends = np.isin(alone, offsets) | np.isin(alone + 1, offsets)
+    cut[alone[~ends]] = cut[alone[~ends] + 1] = True
+    last = offsets[1:-1]
+    last = last[(last > 0) & (last < len(raw))]
+    cut[last - 1] &= kind[last - 1] != SPACE  # a space that ends its text
+    cut[offsets[offsets < len(raw)]] = True
     return np.flatnonzero(cut)
 
 
+def cuts_at_spaces(path: str) -> bool:
+    """Whether a tokenizer file describes what ``Encoder`` relies on: pieces of the byte-level pattern, encoded by themselves."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    pre, model = told.get("pre_tokenizer") or {}, told.get("model") or {}
+    plain = not told.get("normalizer") and not told.get("truncation") and not told.get("padding")
+    level = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    alone = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+    return plain and level and alone
+
+
 class Encoder:
     """``encode(texts)`` gives all ids and, for each text, where its ids begin (n + 1)."""
 
@@ -69,59 +70,102 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.begin, self.count, self.flat = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32), np.zeros(1 << 14, np.int32)
-        self.used = 0
-
-    def _learn(self, keys: list[int], pieces: list[str]) -> None:
-        got = [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, got), np.int32, len(got))
-        n, total = len(self.known), int(sizes.sum())
-        for name, need in (("begin", n + len(got)), ("count", n + len(got)), ("flat", self.used + total)):
-            have = getattr(self, name)
-            if need > len(have):
-                setattr(self, name, np.concatenate([have, np.zeros(max(need, 2 * len(have)) - len(have), have.dtype)]))
-        self.begin[n : n + len(got)] = self.used + np.cumsum(sizes) - sizes
-        self.count[n : n + len(got)] = sizes
-        self.flat[self.used : self.used + total] = np.fromiter((i for ids in got for i in ids), np.int32, total)
-        self.used += total
-        self.known.update(zip(keys, range(n, n + len(got))))
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        whole = [i for i, t in enumerate(texts) if any(s in t for s in self.specials)]
-        codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
-        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
-        strange = np.flatnonzero(_classes()[1][codes])
-        whole += np.unique(np.searchsorted(offsets, strange, "right") - 1).tolist()
-        if whole:
-            return self._mixed(texts, set(whole))
-        if len(self.known) > _KEPT_PIECES:
-            self._clear()
-        starts = split_points(codes, offsets)
-        ends = np.append(starts[1:], len(codes))
-        keys, first, inverse = np.unique(run_hashes(codes, starts, ends), return_index=True, return_inverse=True)
-        listed = keys.tolist()
-        places = list(map(self.known.get, listed))
-        if new := [i for i, p in enumerate(places) if p is None]:
-            joined = "".join(texts)
-            at = first[new]
-            self._learn([listed[i] for i in new], [joined[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist())])
-            places = list(map(self.known.get, listed))
-        place = np.array(places, np.int64)[inverse] if listed else np.zeros(0, np.int64)
-        counts = self.count[place].astype(np.int64)
-        upto = np.concatenate([[0], np.cumsum(counts)])
-        ids = self.flat[np.repeat(self.begin[place] - upto[:-1], counts) + np.arange(upto[-1])]
-        return ids, upto[np.searchsorted(starts, offsets)]
-
-    def _mixed(self, texts: list[str], whole: set[int]) -> tuple[np.ndarray, np.ndarray]:
-        ids, at = self.encode(["" if i in whole else t for i, t in enumerate(texts)])
-        parts = [ids[a:b] for a, b in zip(at[:-1], at[1:])]
-        for i in whole:
-            parts[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, np.int32)
-        return np.concatenate([*parts, np.zeros(0, np.int32)]), np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)])
+        self.by_segments = cuts_at_spaces(path)
+        self.widths = np.array([len(self.library.id_to_token(i) or "") for i in range(self.library.get_vocab_size())], np.int64)
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget all segments."""
+        self.known: dict[str, int] = {}
+        self.count, self.begin, self.flat = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.int32)
+        self.used, self.chars = 0, 0
+
+    def _library_ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joined_ids(self, segments: list[str], sizes: np.ndarray, between: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of segments from one call, and how many each has; cut where the bytes of tokens add up to ``sizes``."""
+        ids = np.array(self._library_ids([between.join(segments)])[0], np.int32)
+        upto = np.cumsum(self.widths[ids])
+        ends = np.cumsum(sizes + len(between)) - len(between)
+        last = np.searchsorted(upto, ends)
+        if last[-1] >= len(ids) or (upto[last] != ends).any():
+            raise ValueError("the tokens of joined texts do not end where the texts do")
+        if between:  # of one token each
+            ids = np.delete(ids, last[:-1] + 1)
+            last = last - np.arange(len(last))
+        return ids, np.diff(last, prepend=-1)
+
+    def _learn(self, segments: pa.Array, listed: list[str]) -> None:
+        raw, at = utf8(segments)
+        kind = _KIND[raw]
+        lead, tail = kind[at[:-1]], kind[at[1:] - 1]
+        spaced = (lead == SPACE) & (kind[np.minimum(at[:-1] + 1, len(raw) - 1)] != SPACE) & (np.diff(at) > 1)
+        spaced &= np.isin(kind[np.minimum(at[:-1] + 1, len(raw) - 1)], [LETTER, MARK, VISIBLE])
+        bare = np.isin(lead, [LETTER, MARK, VISIBLE]) & np.isin(tail, [LETTER, MARK, VISIBLE])
+        for group, between in ((spaced, ""), (bare, "\n"), (~spaced & ~bare, None)):
+            chosen = [listed[i] for i in np.flatnonzero(group).tolist()]
+            if chosen and between is not None:
+                ids, sizes = self._joined_ids(chosen, np.diff(at)[group], between)
+            elif chosen:
+                got = self._library_ids(chosen)
+                ids, sizes = np.fromiter(chain.from_iterable(got), np.int32), np.fromiter(map(len, got), np.int64, len(got))
+            else:
+                continue
+            n = len(self.known)
+            for name, need in (("begin", n + len(chosen)), ("count", n + len(chosen)), ("flat", self.used + len(ids))):
+                have = getattr(self, name)
+                if need > len(have):
+                    setattr(self, name, np.concatenate([have, np.zeros(max(need, 2 * len(have)) - len(have), have.dtype)]))
+            self.begin[n : n + len(chosen)] = self.used + np.cumsum(sizes) - sizes
+            self.count[n : n + len(chosen)] = sizes
+            self.flat[self.used : self.used + len(ids)] = ids
+            self.used += len(ids)
+            self.chars += int(np.diff(at)[group].sum())
+            self.known.update(zip(chosen, range(n, n + len(chosen))))
+
+    def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A null text has no ids."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if len(self.known) > _KEPT or self.chars > _KEPT_CHARS:
+            self.clear()
+        whole = np.full(len(texts), not self.by_segments)
+        for token in self.specials:
+            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        raw, offsets = utf8(pc.if_else(pa.array(whole), "", texts) if whole.any() else texts)
+        starts = cut_points(raw, offsets)
+        ends = np.append(starts, len(raw)).astype(np.int64)
+        coded = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(raw)]).dictionary_encode()
+        segments = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        place = list(map(self.known.get, segments))
+        if new := [i for i, k in enumerate(place) if k is None]:
+            self._learn(coded.dictionary.take(pa.array(new)), [segments[i] for i in new])
+            place = list(map(self.known.get, segments))
+        place = np.array(place, np.int64)[coded.indices.to_numpy()]
+        ids, upto = _gathered(self.flat, self.begin[place], self.count[place])
+        at = upto[np.searchsorted(starts, offsets)]
+        if not whole.any():
+            return ids, at
+        return _spliced(ids, at, whole, [np.array(x, np.int32) for x in self._library_ids(texts.filter(pa.array(whole)).to_pylist())])
+
+
+def _gathered(flat: np.ndarray, begin: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``flat`` end to end, and where each begins (and the end)."""
+    upto = np.concatenate([[0], np.cumsum(counts)])
+    return flat[np.repeat(begin - upto[:-1], counts) + np.arange(upto[-1])], upto
+
+
+def _spliced(ids: np.ndarray, at: np.ndarray, which: np.ndarray, new: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids with those of some texts replaced."""
+    out, k = [], 0
+    for i, own in zip(np.flatnonzero(which).tolist(), new):
+        out += [ids[at[k] : at[i]], own]
+        k = i + 1
+    out.append(ids[at[k] : at[-1]])
+    sizes = np.diff(at)
+    sizes[which] = [len(x) for x in new]
+    return np.concatenate(out).astype(np.int32), np.concatenate([[0], np.cumsum(sizes)])
 
 
 @functools.cache

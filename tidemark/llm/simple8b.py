@@ -183,8 +183,8 @@ def token_batches(batches, tokenizer: str, end: int | None):
     """``(doc_ids, ids, offsets)`` for Arrow batches of (doc_id, text)."""
     encode = encoder(tokenizer)
     for batch in batches:
-        for part in portions(batch, 1, 1 << 20):
-            ids, at = encode.encode([t or "" for t in part.column(1).to_pylist()])
+        for part in portions(batch, 1, 1 << 21):
+            ids, at = encode.encode(part.column(1))
             if end is not None:
                 ids, at = with_end(ids, at, end)
             yield part.column(0).to_pylist(), ids, at
