@@ -3,8 +3,8 @@
 A byte goes if a 50-byte string that covers it also starts in a document with a smaller doc_id.
 
 Suffixes are sampled so that equal 50-byte strings have sampled suffixes at the same places: those
-whose first 20 bytes have the least hash of all 31 such runs in some 50-byte string (all of them on
-a tie). First, hashes alone are exchanged to find the sampled suffixes whose first 20 bytes occur
+whose first 8 bytes have the least hash of the 31 places in some 50-byte string that leave room for
+20 bytes (all of them on a tie). First, hashes alone are exchanged to find the sampled suffixes whose first 20 bytes occur
 in two documents. Only those go on, with the bytes around them, each distinct one once for a chunk
 of documents. They are range-partitioned by their leading bytes at sampled splitters; a splitter
 never parts suffixes with the same 20 leading bytes, so no comparison crosses a boundary unseen.
@@ -39,22 +39,19 @@ LENGTH, GRAM = 50, 20
 BEFORE = LENGTH - GRAM  # bytes before a sampled suffix that a string can reach
 OFFSETS = BEFORE + 1  # places of the suffix in a string
 SPAN = BEFORE + LENGTH
-CHUNK_ROWS_BITS = 11  # 2048 rows a chunk at most
+CHUNK_ROWS_BITS, CHUNK_TEXT = 11, 8192  # 2048 texts of up to twice so many bytes a chunk; half as many of those twice as long, and so on
 SAMPLED = 1 << 16  # suffixes that the splitters are taken from, at most
 HOT_LEAST = 8  # samples of the same leading bytes that make them hot, at least; and half a range's share
-_PORTION = 1 << 20
+_PORTION = 1 << 17  # bytes looked at together, few enough for a processor's cache
 _LAST = np.iinfo(np.int64).max
 _NO_DOC = _LAST - 1
 
 
-def _words_at(raw: np.ndarray, places=None) -> list[np.ndarray]:
-    """The three 8-byte words that cover the 20 bytes from each place on."""
-    padded = np.concatenate([raw, np.zeros(32, np.uint8)])
-    view = np.ndarray((len(raw) + 16,), "<u8", padded.data, 0, (1,))
-    if places is None:
-        n = len(raw)
-        return [view[:n], view[8 : n + 8], view[12 : n + 12]]
-    return [view[places], view[places + 8], view[places + 12]]
+def _order_hash(raw: np.ndarray) -> np.ndarray:
+    """A 31-bit hash of the 8 bytes from each place on, never 0."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    view = np.ndarray((len(raw),), "<u8", padded.data, 0, (1,))
+    return ((view * U64(0x9E3779B97F4A7C15)) >> U64(32)).astype(np.uint32) | np.uint32(1)
 
 
 def _combine(words: list[np.ndarray]) -> np.ndarray:
@@ -90,7 +87,8 @@ def sampled(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
         for a in range(begin, max(end, begin + 1), 4 * _PORTION):
             found.append(_sampled_part(raw, offsets[low : high + 1], max(begin, a - 2 * LENGTH), min(end, a + 4 * _PORTION)))
         low = high
-    places = np.unique(np.concatenate([*found, np.zeros(0, np.int64)]))
+    places = np.sort(np.concatenate([*found, np.zeros(0, np.int64)]))
+    places = places[np.diff(places, prepend=-1) > 0]
     return places, mix(_combine(_words_20(raw, places)))
 
 
@@ -105,7 +103,7 @@ def _sampled_part(raw: np.ndarray, offsets: np.ndarray, begin: int, end: int) ->
     if end - begin < LENGTH:
         return np.zeros(0, np.int64)
     part = raw[begin:end]
-    h = (_combine(_words_at(part)) >> U64(32)).astype(np.uint32)[: len(part) - GRAM + 1] | np.uint32(1)
+    h = _order_hash(part)[: len(part) - GRAM + 1]
     least = _sliding(h, OFFSETS, np.minimum)  # of the string from each place on
     cuts = offsets[(offsets > begin) & (offsets < end)] - begin
     for k in range(1, LENGTH):  # strings that would cross into the next text
@@ -120,6 +118,23 @@ def _spread(doc_ids: pa.Array) -> np.ndarray:
     return np.array([_NO_DOC if d is None else d for d in doc_ids.to_pylist()], np.int64)
 
 
+def distinct_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of all equal rows, and for each row which of those it equals: by hash, then byte for byte."""
+    n, width = rows.shape
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    padded = np.zeros((n, -(-width // 8) * 8), np.uint8)
+    padded[:, :width] = rows
+    h = np.zeros(n, U64)
+    for column in padded.view("<u8").T:
+        h = (h ^ column) * U64(0x9E3779B97F4A7C15)
+        h ^= h >> U64(29)
+    _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+    if (padded.view("<u8") != padded.view("<u8")[first[inverse]]).any():  # equal hashes of unequal rows
+        _, first, inverse = np.unique(np.ascontiguousarray(rows).view(f"V{width}").ravel(), return_index=True, return_inverse=True)
+    return first, inverse
+
+
 class Contexts:
     """The distinct surroundings of a chunk's shared suffixes."""
 
@@ -142,7 +157,7 @@ class Contexts:
             got[(spread < -left[s, None]) | (spread >= right[s, None])] = 0
             bytes_[s, :SPAN] = got
         bytes_[:, SPAN], bytes_[:, SPAN + 1] = left, right
-        _, first, inverse = np.unique(bytes_.view(f"V{SPAN + 2}").ravel(), return_index=True, return_inverse=True) if len(places) else (None, np.zeros(0, np.int64), np.zeros(0, np.int64))
+        first, inverse = distinct_rows(bytes_)
         self.places, self.text, self.inverse, self.rows = places, text, inverse, bytes_[first]
         self.docs = docs[text]
         self.low, self.high = np.full(len(first), _LAST), np.full(len(first), np.iinfo(np.int64).min)
@@ -165,7 +180,7 @@ class Contexts:
             offset.append(np.full(len(valid), o))
             text.append(self.rows[valid, BEFORE - o : BEFORE - o + LENGTH])
         context, offset, text = np.concatenate(context), np.concatenate(offset), np.concatenate(text)
-        _, first, inverse = np.unique(np.ascontiguousarray(text).view(f"V{LENGTH}").ravel(), return_index=True, return_inverse=True) if len(text) else (None, np.zeros(0, np.int64), np.zeros(0, np.int64))
+        first, inverse = distinct_rows(text)
         low, high = np.full(len(first), _LAST), np.full(len(first), np.iinfo(np.int64).min)
         np.minimum.at(low, inverse, self.low[context])
         np.maximum.at(high, inverse, self.high[context])
@@ -192,8 +207,8 @@ def _keys(rows: np.ndarray) -> np.ndarray:
 
 def compare_strings(text: np.ndarray, low: np.ndarray) -> np.ndarray:
     """The smallest doc_id of all equal rows, for each row."""
-    _, inverse = np.unique(np.ascontiguousarray(text).view(f"V{text.shape[1]}").ravel(), return_inverse=True)
-    least = np.full(inverse.max(initial=-1) + 1, _LAST)
+    first, inverse = distinct_rows(text)
+    least = np.full(len(first), _LAST)
     np.minimum.at(least, inverse, low)
     return least[inverse]
 
@@ -251,7 +266,7 @@ def _compare_groups(rows: np.ndarray, low: np.ndarray, high: np.ndarray, numbers
             continue
         a = BEFORE - o
         key = mix(sums[valid, a + LENGTH] - sums[valid, a])
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key, who = key[order], valid[order]
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]
@@ -296,13 +311,17 @@ def _by_chunk(batches, at: dict[str, int]):
                 yield int(chunks[a]), batch.slice(a, b - a)
 
 
-def _chunked(docs: DataFrame) -> tuple[DataFrame, int]:
+def _chunked(docs: DataFrame, text: str) -> tuple[DataFrame, int]:
     """All columns and ``_chunk``, as a table whose files are bucketed by it; number of buckets.
 
-    Each task writes the chunks it reads, so no text is shuffled.
+    Each task writes the chunks it reads, so no text is shuffled. Texts of a chunk are about as long
+    as each other, the fewer the longer they are, so that none holds more than some 32 MB or one text.
     """
     spark = docs.sparkSession
-    rows = docs.withColumn("_chunk", F.shiftright(F.monotonically_increasing_id(), CHUNK_ROWS_BITS))
+    # 0 up to twice CHUNK_TEXT bytes, 1 up to four times, ...
+    class_ = F.least(F.floor(F.log2(F.greatest(F.octet_length(F.coalesce(F.col(text), F.lit(""))) / CHUNK_TEXT, F.lit(1)))), F.lit(CHUNK_ROWS_BITS)).cast("int")
+    run = F.expr(f"shiftright(_row, {CHUNK_ROWS_BITS} - _class)")
+    rows = docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_class", class_).withColumn("_chunk", run * (CHUNK_ROWS_BITS + 1) + F.col("_class")).drop("_row", "_class")
     parts = docs.rdd.getNumPartitions()
     buckets = min(100_000, max(2 * parts, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     name = f"tidemark_chunks_{uuid.uuid4().hex[:12]}"
@@ -322,7 +341,7 @@ def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)
     doc_at, text_at = docs.columns.index("doc_id"), docs.columns.index("text")
-    table, buckets = _chunked(plain.withColumn(names[doc_at], F.col(names[doc_at]).cast("long")))
+    table, buckets = _chunked(plain.withColumn(names[doc_at], F.col(names[doc_at]).cast("long")), names[text_at])
     texts = table.select("_chunk", F.col(names[doc_at]).alias("doc_id"), F.col(names[text_at]).alias("text"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // 4)
 
@@ -332,13 +351,12 @@ def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
             raw, offsets = utf8(rows.column(2))
             places, found = sampled(raw, offsets)
             docs_ = _spread(rows.column(1))[np.searchsorted(offsets, places, "right") - 1]
-            order = np.lexsort((docs_, found))
+            order = np.argsort(found)
             found, docs_ = found[order], docs_[order]
             new = np.ones(len(found), bool)
             new[1:] = found[1:] != found[:-1]
             firsts = np.flatnonzero(new)
-            lasts = np.append(firsts[1:], len(found)) - 1
-            several = docs_[firsts] != docs_[lasts] if len(firsts) else np.zeros(0, bool)
+            several = np.minimum.reduceat(docs_, firsts) != np.maximum.reduceat(docs_, firsts) if len(firsts) else np.zeros(0, bool)
             found = found[firsts]
             edges = np.searchsorted(found, [U64((i << 64) // parts) for i in range(parts)]) if len(found) else np.zeros(parts, np.int64)
             edges = np.append(edges, len(found))
@@ -358,7 +376,7 @@ def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
                 n = int(np.frombuffer(blob, np.int64, 1)[0])
                 pieces.append((np.frombuffer(blob, U64, n, 8), np.frombuffer(blob, bool, n, 8 + 8 * n)))
             values = np.concatenate([p[0] for p in pieces])
-            order = np.argsort(values, kind="stable")
+            order = np.argsort(values)
             ranked = values[order]
             same = np.zeros(len(values) + 1, bool)
             same[1:-1] = ranked[1:] == ranked[:-1]
@@ -398,7 +416,7 @@ def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
 
     # 3. the surroundings of shared suffixes, dealt by range
     def chunk_contexts(rows: pa.Table, found: list):
-        got = np.unique(np.concatenate([np.frombuffer(b, U64) for b in found])) if found else np.zeros(0, U64)
+        got = np.sort(np.concatenate([np.frombuffer(b, U64) for b in found])) if found else np.zeros(0, U64)
         give_back()
         column = rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string())
         column = column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks)
