@@ -211,7 +211,7 @@ def test_lsh_forest_on_odd_rows(spark):
     assert kept == sorted(map(str, [1, 4, 5, 6, 7, 9, 10, 11, 13, 15, 16, 17, None, None, 18, 12]))
 
 
-def test_large_groups_are_compared_in_blocks(spark):
+def test_large_groups_are_compared_in_blocks(spark, monkeypatch):
     rng = np.random.default_rng(5)
     base = [f"w{i}" for i in range(300)]
     rows = []
@@ -221,18 +221,77 @@ def test_large_groups_are_compared_in_blocks(spark):
             w[k] = f"n{i}x{k}"
         rows.append((i, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    old, lsh_forest.BLOCK = lsh_forest.BLOCK, 16
-    lsh_forest.verify.__defaults__ = (5, 16)
-    try:
-        got = sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in lsh_forest.join(df).collect()), key=str)
-    finally:
-        lsh_forest.BLOCK, lsh_forest.verify.__defaults__ = old, (5, old)
+    monkeypatch.setattr(lsh_forest.verify, "__defaults__", (5, 16))
+    got = sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in lsh_forest.join(df).collect()), key=str)
     assert got == brute_links(rows)
 
 
-def test_depth_reaches_the_recall():
-    k = lsh_forest.chosen_depth()
-    assert 1 - (1 - 0.8**k) ** lsh_forest.TREES >= lsh_forest.RECALL > 1 - (1 - 0.8 ** (k + 1)) ** lsh_forest.TREES
+def test_tries_hold_every_shared_prefix(spark):
+    rng = np.random.default_rng(14)
+    label = lambda: rng.integers(0, 3, lsh_forest.DEEPEST * lsh_forest.MINIMUM_BYTES, np.uint8)
+    rows = [(bytes([i // 256, i % 256]), [(label() // 2).tobytes() for _ in range(lsh_forest.TREES)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "node binary, labels array<binary>")
+    edges = [(bytes(r["a"]), bytes(r["b"]), r["level"]) for r in lsh_forest.tries(df).collect()]
+    for level in (lsh_forest.SHORTEST, 5, lsh_forest.DEEPEST):
+        width, want = level * lsh_forest.MINIMUM_BYTES, []
+        for tree in range(lsh_forest.TREES):
+            groups = collections.defaultdict(list)
+            for node, own in rows:
+                groups[own[tree][:width]].append(node)
+            want += [(g[0], x) for g in groups.values() for x in g[1:]]
+        assert closed(want) == closed([(a, b) for a, b, k in edges if k >= level])
+
+
+def closed(edges):
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {x: find(x) for x in root}
+
+
+def test_prefixes_shorten_until_the_recall(spark):
+    rng = np.random.default_rng(15)
+    rows = []
+    for i in range(150):  # pairs close to the threshold
+        w = [f"p{i}w{k}" for k in range(200)]
+        rows.append((2 * i, " ".join(w)))
+        for k in rng.choice(40, 4, replace=False):
+            w[5 * k] = "x"
+        rows.append((2 * i + 1, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in lsh_forest.join(df).collect()), key=str)
+    assert got == brute_links(rows)
+    assert lsh_forest.reached({20: 1000}, 8, 0.8) > lsh_forest.reached({0: 1000}, 8, 0.8)
+    assert lsh_forest.reached({0: 1000}, 5, 0.8) > lsh_forest.RECALL > lsh_forest.reached({0: 1000}, 8, 0.8)
+    assert lsh_forest.reached({}, lsh_forest.DEEPEST, 0.8) < lsh_forest.RECALL < lsh_forest.reached({}, lsh_forest.SHORTEST, 0.8)
+
+
+def test_words_with_alike_hashes_are_told_apart(spark):
+    one, other = alike()
+    words_ = [f"w{i}" for i in range(40)]
+    rows = [(1, " ".join(words_[:20] + [one] + words_[20:])), (2, " ".join(words_[:20] + [other] + words_[20:])), (3, f"{one}\n{other}\n{one} a b c d {one} a b c e"), (4, f"{one} a b c d {other} a b c d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in lsh_forest.join(df).collect()), key=str) == brute_links(rows)
+    raw = [t.encode() for _, t in rows]
+    offsets = np.concatenate([[0], np.cumsum([len(b) for b in raw])])
+    assert np.column_stack(quality_rules.measure(np.frombuffer(b"".join(raw), np.uint8), offsets)).tolist() == [brute_counts(t) for _, t in rows]
+
+
+def test_of_rows_with_one_id_each_text_is_judged(spark):
+    a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    rows = [(1, a, "x"), (1, b, "y"), (1, a, "z"), (2, a, "x"), (3, b, "x"), (4, "", "x"), (4, "", "y"), (5, "c d", "x"), (None, a, "x")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, digest string")
+    got = [(r["doc_id"], r["text"]) for r in lsh_forest.keep_one(df).collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (1, b), (4, ""), (4, ""), (5, "c d"), (None, a)], key=str)
+    assert lsh_forest.keep_one(df).schema == df.schema and lsh_forest.keep_one(df.limit(0)).count() == 0
 
 
 # 6

@@ -1,19 +1,24 @@
 """N-gram Jaccard joins by a MinHash LSH forest with exact verification.
 
 Each text is the set of its five-word shingles. Texts with equal sets are copies; one stands for
-all. A signature holds ``trees`` runs of ``depth`` minima (one permutation cut into bins; empty bins
-borrow from others in an order of their own). The forest's tries are walked from full depth up:
-prefixes are shortened, level by level, until the chance that a pair at the threshold shares a
-prefix in some tree reaches the target recall; a level's groups hold those of all deeper ones, so
-only the last is joined. Texts that share a prefix are candidates; their connected components are
-compared in full, exactly, in blocks of bounded size.
+all. A signature holds ``TREES`` labels of ``DEEPEST`` minima (one permutation cut into bins; empty
+bins borrow from others in an order of their own). Each tree's labels are sorted, by range
+partitions; the prefixes that neighbours in that order share are the forest's tries, and one pass
+over them gives, for every text, the least deep node that it hangs on. The tries are then walked
+from full depth up. Texts below one node are candidates; their groups are compared in full,
+exactly, in blocks of bounded size, each pair once, at the deepest level that brings it together.
+The links found tell how many more a shorter prefix would find: each stands for 1/p links of its
+similarity, p being the chance to share a prefix of the level in some tree. Prefixes are shortened
+until the share that this leaves unfound, with one more link at the threshold itself for what no
+link has shown yet, falls below the target.
 
 Defined results: words are runs without ASCII white space, as they are written; a text of fewer
 than five words has one shingle of all its words; a null, empty or blank text is alone in its
 class; a row without doc_id has no class and no links; rows with equal doc_id and shingles are
-copies of each other; an empty table gives no rows. ``class_id`` is the least doc_id of all texts
-that links connect, ``n_links`` the number of other rows with a similarity of the threshold or
-more.
+copies of each other, rows with equal doc_id and other shingles are texts of their own; an empty
+table gives no rows. ``class_id`` is the least doc_id of all texts that links connect, ``n_links``
+the number of other rows with a similarity of the threshold or more. Texts are told apart by a
+128-bit digest of their sets, shingles by 64-bit hashes of five words.
 """
 
 from __future__ import annotations
@@ -22,24 +27,32 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemark.llm.components import components
+from tidemark.llm.components import SALTS, components
 from tidemark.llm.store import saved
 from tidemark.llm.words import U64, find_words, mix, portions, run_hashes, shingles, utf8
 
 WIDTH, SIMILARITY, RECALL = 5, 0.8, 0.99999
-TREES, DEEPEST = 32, 8
+TREES, DEEPEST, SHORTEST = 32, 8, 3
+MINIMUM_BYTES = 2  # of each minimum in a label; agreement by chance only adds candidates
 BLOCK = 1024  # texts compared with as many others at once
+BINS = 20  # of similarity between the threshold and 1
 _EMPTY = np.iinfo(np.uint64).max
 
 
-def chosen_depth(similarity: float = SIMILARITY, recall: float = RECALL, trees: int = TREES, deepest: int = DEEPEST) -> int:
-    """Shorten prefixes from ``deepest`` on until a pair at ``similarity`` is found with ``recall``."""
-    depth = deepest
-    while depth > 1 and 1 - (1 - similarity**depth) ** trees < recall:
-        depth -= 1
-    return depth
+def chance(similarity: float, depth: int, trees: int = TREES) -> float:
+    """That two texts share a prefix of ``depth`` in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
+def reached(links: dict[int, int], depth: int, threshold: float) -> float:
+    """The estimated share of all links that prefixes of ``depth`` find; ``links``: how many of each bin of similarity."""
+    unfound, found = 1 - chance(threshold, depth), sum(links.values())
+    for bin_, n in links.items():
+        p = chance(threshold + (1 - threshold) * bin_ / BINS, depth)
+        unfound += n * (1 - p) / p
+    return 1 - unfound / (found + unfound + 1)
 
 
 def sets_of(raw: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -55,8 +68,8 @@ def sets_of(raw: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[n
     return values, np.searchsorted(text, np.arange(len(offsets)))
 
 
-def prefixes(values: np.ndarray, at: np.ndarray, depth: int, trees: int = TREES) -> np.ndarray:
-    """For each text, a hash of the first ``depth`` minima of each tree (texts x trees)."""
+def labels(values: np.ndarray, at: np.ndarray, trees: int = TREES) -> np.ndarray:
+    """For each text the label of each tree: the bytes of its minima (texts x trees x bytes)."""
     n, bins = len(at) - 1, trees * DEEPEST
     text = np.repeat(np.arange(n), np.diff(at))
     h = mix(values ^ U64(0x5851F42D4C957F2D))
@@ -79,36 +92,97 @@ def prefixes(values: np.ndarray, at: np.ndarray, depth: int, trees: int = TREES)
         got = left[ok]
         out[got[:, 0], got[:, 1]] = table[got[:, 0], source[ok]]
         left, tries = left[~ok], tries + 1
-    out = out.reshape(n, trees, DEEPEST)
-    hashes = np.zeros((n, trees), U64) + np.arange(trees, dtype=U64)
-    for d in range(depth):
-        hashes = mix(hashes * U64(0xD6E8FEB86659FD93) + out[:, :, d])
-    return hashes
+    return (out & U64((1 << 8 * MINIMUM_BYTES) - 1)).astype(f">u{MINIMUM_BYTES}").view(np.uint8).reshape(n, trees, DEEPEST * MINIMUM_BYTES)
 
 
 def digest_of(shingle_set: bytes) -> bytes:
     return hashlib.blake2b(shingle_set, digest_size=16).digest()
 
 
-def signed(docs: DataFrame, depth: int, width: int = WIDTH) -> DataFrame:
-    """doc_id, size and digest of the shingle set, and the prefix of each tree."""
+def digest(docs: DataFrame, width: int = WIDTH, label: bool = True) -> DataFrame:
+    """All columns of ``docs`` but its text, size and digest of the shingle set, and the labels."""
+    names = [f"c{i}" for i, c in enumerate(docs.columns) if c != "text"]
+    plain = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"], "text")
 
     def run(batches):
         for batch in batches:
-            for part in portions(batch, 1):
-                values, at = sets_of(*utf8(part.column(1)), width)
-                rows = prefixes(values, at, depth)
-                digests = [digest_of(values[a:b].tobytes()) for a, b in zip(at[:-1], at[1:])]
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * TREES), pa.array(rows.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(np.diff(at)), pa.array(digests, pa.binary()), lists], ["doc_id", "size", "digest", "prefixes"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, size long, digest binary, prefixes array<long>")
-
+            for part in portions(batch, len(names)):
+                values, at = sets_of(*utf8(part.column(len(names))), width)
+                digests = [hashlib.blake2b(values[a:b].tobytes(), digest_size=16).digest() for a, b in zip(at[:-1], at[1:])]
+                out = [*part.columns[: len(names)], pa.array(np.diff(at)), pa.array(digests, pa.binary())]
+                if label:
+                    found = labels(values, at)
+                    n, size = found.shape[0] * TREES, found.shape[2]
+                    cells = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * size).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(found))])
+                    out.append(pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * TREES), cells))
+                yield pa.RecordBatch.from_arrays(out, [*names, "size", "digest", *["labels"] * label])
+
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in plain.schema if f.name != "text"] + ["size long, digest binary"] + ["labels array<binary>"] * label)
+    rows = plain.mapInArrow(run, schema)
+    return rows.select(*[F.col(n).alias(c) for n, c in zip(names, [c for c in docs.columns if c != "text"])], *rows.columns[len(names) :])
+
+
+def tries(texts: DataFrame) -> DataFrame:
+    """``(a, b, level)``: text ``a`` shares the first ``level`` minima of a tree with ``b``, the first text below that node.
+
+    ``texts``: node and labels. Each text has at most one such row a tree, so the groups of a level
+    are those that rows of this and deeper levels connect. Rows are range-partitioned in the order
+    of the labels; where a partition ends, its last text is compared with the next one's first.
+    """
+    keys = texts.select(F.posexplode("labels").alias("tree", "label"), "node")
+    keys = keys.repartitionByRange("tree", "label", "node").sortWithinPartitions("tree", "label", "node")
+    depths = np.arange(SHORTEST, DEEPEST + 1)
+    edge = {"first": 1, "last": 2}
 
-def compare(sets: list[np.ndarray], counts: np.ndarray, own: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Weighted number of links of each set, and the least position each is linked with (itself too).
+    def run(batches):
+        from pyspark import TaskContext
 
-    ``own``: the side of each set; sets of one side are not compared when there are two.
+        part, before, heads = TaskContext.get().partitionId(), None, []
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            tree, nodes = batch.column(0).to_numpy(), batch.column(2).to_pylist()
+            label = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(n, DEEPEST, MINIMUM_BYTES)
+            ends = [(nodes[0], int(tree[0]), label[0].tobytes(), edge["first"])] if before is None else []
+            same = np.zeros((n, DEEPEST), bool)
+            same[1:] = (label[1:] == label[:-1]).all(2) & (tree[1:] == tree[:-1])[:, None]
+            if before is not None:
+                same[0] = (label[0] == before[1]).all(1) & (tree[0] == before[0])
+            common = np.cumprod(same, axis=1, dtype=np.int8).sum(1)
+            a, b, level = [], [], []
+            for k, depth in enumerate(depths.tolist()):
+                head = np.maximum.accumulate(np.where(common < depth, np.arange(n), -1))
+                mine = np.flatnonzero(common == depth)
+                a += [nodes[i] for i in mine.tolist()]
+                b += [nodes[h] if h >= 0 else heads[k] for h in head[mine].tolist()]
+                level += [depth] * len(mine)
+                if before is None:
+                    heads.append(nodes[head[-1]])
+                elif head[-1] >= 0:
+                    heads[k] = nodes[head[-1]]
+            before, last = (int(tree[-1]), label[-1]), nodes[-1]
+            none = [None] * len(a)
+            out = [a + [x[0] for x in ends], b + [None] * len(ends), level + [None] * len(ends), none + [part] * len(ends), none + [x[3] for x in ends], none + [x[1] for x in ends], none + [x[2] for x in ends]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names)
+        if before is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([last, None, None, part, edge["last"], before[0], before[1].tobytes()], types)], names)
+
+    names = ["a", "b", "level", "part", "end", "tree", "label"]
+    types = [pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    rows = saved(keys.mapInArrow(run, "a binary, b binary, level int, part int, end int, tree int, label binary"), "tries")
+    # two rows a partition
+    order = Window.orderBy("part", "end")
+    ends = rows.filter("part is not null").select("a", F.lag("a").over(order).alias("b"), "tree", "label", "end", F.lag("tree").over(order).alias("tree_before"), F.lag("label").over(order).alias("label_before"))
+    agree = [(F.substring("label", 1, d * MINIMUM_BYTES) == F.substring("label_before", 1, d * MINIMUM_BYTES)).cast("int") for d in range(1, DEEPEST + 1)]
+    ends = ends.filter(f"end = {edge['first']} and tree = tree_before").select("a", "b", sum(agree[1:], agree[0]).alias("level")).filter(F.col("level") >= SHORTEST)
+    return rows.filter("part is null").select("a", "b", "level").unionByName(ends)
+
+
+def compare(sets: list[np.ndarray], counts: np.ndarray, sides: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weighted number of links of each set, the least position each is linked with (itself too), and links by bin of similarity.
+
+    Sets of one side of ``sides``, a column for each way of dividing them, are not compared.
     """
     m = len(sets)
     sizes = np.array([len(s) for s in sets], np.float32)
@@ -129,110 +203,172 @@ def compare(sets: list[np.ndarray], counts: np.ndarray, own: np.ndarray, thresho
         part = np.zeros((m, min(step, len(shared) - low)), np.float32)
         part[row[a:b], column[a:b] - low] = 1
         both += part @ part.T
-    linked = both >= threshold * (sizes[:, None] + sizes[None, :] - both) - 1e-4
+    either = sizes[:, None] + sizes[None, :] - both
+    linked = both >= threshold * either - 1e-4
     np.fill_diagonal(linked, False)
-    if own.any():
-        linked &= own[:, None] != own[None, :]
+    for side in sides:
+        linked &= side[:, None] != side[None, :]
+    one, other = np.nonzero(np.triu(linked))
+    bins = np.clip(((both[one, other] / either[one, other] - threshold) / (1 - threshold) * BINS).astype(np.int64), 0, BINS)
     root, now = np.arange(m), None
     while now is None or (now != root).any():  # least label among neighbours, then of the label
         now = root
         root = np.minimum(now, np.where(linked, now[None, :], m).min(1))
         root = root[root]
-    return linked @ counts, root
+    return linked @ counts, root, np.bincount(bins, minlength=BINS + 1)
 
 
 def verify(rows: DataFrame, threshold: float, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
-    """``(node, n_links, root)`` for each text of each candidate group, in parts to be added up.
+    """``(node, n_links, root, bin)`` for each text of each candidate group, in parts to be added up.
 
-    ``rows``: grp, members, node, copies, digest, text; rows whose text has another digest go. Groups of more than ``block`` texts are dealt into
-    blocks, and each pair of blocks is compared by itself.
+    ``rows``: grp, members, sub, node, copies, text; texts of one ``sub`` have been compared before,
+    rows whose text has another digest than ``node`` go. Groups of more than ``block`` texts are
+    dealt into blocks, and each pair of blocks is compared by itself. Rows without node count links
+    by bin of similarity.
     """
-    parts = F.ceil(F.col("members") / block).cast("int")
-    rows = rows.withColumn("parts", parts).withColumn("mine", F.pmod(F.col("node"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("parts", F.ceil(F.col("members") / block).cast("int"))
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    names = ["grp", "sub", "node", "copies", "parts", "mine"]
 
     def to_sets(batches):
         for batch in batches:
             for part in portions(batch, 6):
                 values, at = sets_of(*utf8(part.column(6)), width)
                 blobs = [values[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
-                same = pa.array([digest_of(x) == d for x, d in zip(blobs, part.column(5).to_pylist())], pa.bool_())
-                out = pa.RecordBatch.from_arrays([*part.columns[:5], pa.array(blobs, pa.binary())], ["grp", "node", "copies", "parts", "mine", "shingles"])
-                yield out.filter(same)
+                same = pa.array([hashlib.blake2b(x, digest_size=16).digest() == d for x, d in zip(blobs, part.column(2).to_pylist())], pa.bool_())
+                yield pa.RecordBatch.from_arrays([*part.columns[:6], pa.array(blobs, pa.binary())], [*names, "shingles"]).filter(same)
 
-    schema = "grp long, node long, copies long, parts int, mine int, shingles binary"
-    rows = rows.select("grp", "node", "copies", "parts", "mine", "digest", "text").mapInArrow(to_sets, schema)
+    schema = "grp binary, sub binary, node binary, copies long, parts int, mine int, shingles binary"
+    rows = rows.select(*names, "text").mapInArrow(to_sets, schema)
     others = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    rows = rows.select("grp", "node", "copies", "mine", "shingles", others)
-    rows = rows.select("grp", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "node", "copies", "shingles")
+    rows = rows.select("grp", "sub", "node", "copies", "mine", "shingles", others)
+    rows = rows.select("grp", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "sub", "node", "copies", "shingles")
     rows = rows.repartition("grp", "low", "high").sortWithinPartitions("grp", "low", "high", "node")
 
-    def judged(group):
-        key, nodes, copies, mine, blobs = group
-        two = key[1] != key[2]
-        links, root = compare([np.frombuffer(b, U64) for b in blobs], np.array(copies, np.int64), (np.array(mine) == key[2]) if two else np.zeros(len(nodes), bool), threshold)
-        return nodes, links.tolist(), [nodes[r] for r in root.tolist()]
+    def judged(key, nodes, copies, mine, subs, blobs):
+        number = {s: i for i, s in enumerate(dict.fromkeys(subs))}
+        sides = [np.array([number[s] for s in subs])] + ([np.array(mine)] if key[1] != key[2] else [])
+        links, root, bins = compare([np.frombuffer(b, U64) for b in blobs], np.array(copies, np.int64), sides, threshold)
+        live = np.flatnonzero(bins).tolist()
+        return nodes + [None] * len(live), links.tolist() + bins[live].tolist(), [nodes[r] for r in root.tolist()] + [None] * len(live), [None] * len(nodes) + live
+
+    types = [pa.binary(), pa.int64(), pa.binary(), pa.int32()]
 
     def run(batches):
-        group = None
-        out: list[list] = [[], [], []]
+        key, held = None, [[] for _ in range(5)]
+        out: list[list] = [[] for _ in range(4)]
         for batch in batches:
-            grp, low, high, mine, node, copies, blob = (c.to_pylist() for c in batch.columns)
+            grp, low, high, *rest = (c.to_pylist() for c in batch.columns)
+            mine, sub, node, copies, blob = rest
             for i in range(len(grp)):
-                key = (grp[i], low[i], high[i])
-                if group is None or group[0] != key:
-                    if group is not None:
-                        for x, y in zip(out, judged(group)):
+                own = (grp[i], low[i], high[i])
+                if key != own:
+                    if key is not None:
+                        for x, y in zip(out, judged(key, *held)):
                             x.extend(y)
-                    group = (key, [], [], [], [])
-                if not group[1] or group[1][-1] != node[i]:  # rows with equal doc_id and text are one here
-                    for x, y in zip(group[1:], (node[i], copies[i], mine[i], blob[i])):
+                    key, held = own, [[] for _ in range(5)]
+                if not held[0] or held[0][-1] != node[i]:  # rows with equal doc_id and text are one here
+                    for x, y in zip(held, (node[i], copies[i], mine[i], sub[i], blob[i])):
                         x.append(y)
             if len(out[0]) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["node", "n_links", "root"])
-                out = [[], [], []]
-        if group is not None:
-            for x, y in zip(out, judged(group)):
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], ["node", "n_links", "root", "bin"])
+                out = [[] for _ in range(4)]
+        if key is not None:
+            for x, y in zip(out, judged(key, *held)):
                 x.extend(y)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["node", "n_links", "root"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], ["node", "n_links", "root", "bin"])
 
-    return rows.mapInArrow(run, "node long, n_links long, root long")
+    return rows.mapInArrow(run, "node binary, n_links long, root binary, bin int")
 
 
-def join(docs: DataFrame, threshold: float = SIMILARITY, recall: float = RECALL, width: int = WIDTH) -> DataFrame:
-    """``(doc_id, class_id, n_links, copy_of)`` of every row; ``copy_of`` stands for its equal sets."""
-    depth = chosen_depth(threshold, recall)
-    rows = saved(signed(docs, depth, width), "signatures")
+def spread(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """Join on ``key``, unique on the right; a key of many rows on the left is met in SALTS tasks, dealt by ``by``."""
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(right, [key, "_salt"], how).drop("_salt")
+
+
+def text_classes(docs: DataFrame, rows: DataFrame, threshold: float, recall: float, width: int) -> DataFrame:
+    """``(node, doc, copies, links, class_id, head)`` of every distinct shingle set of ``rows`` (``docs`` digested).
+
+    ``doc``: its least doc_id; ``head``: whether it stands for its class.
+    """
     known = rows.filter("size > 0 and doc_id is not null")
-    texts = known.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.first("prefixes").alias("prefixes"))
-    texts = saved(texts.withColumn("node", F.xxhash64("digest")), "texts")
-    keys = texts.select("node", F.posexplode("prefixes").alias("tree", "prefix"))
-    # of a group of any size, each text is tied to the least one: as many edges as texts
-    groups = keys.groupBy("tree", "prefix").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("tree", "prefix", "least")
-    edges = keys.join(groups, ["tree", "prefix"]).filter("node != least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-    found = components(edges)
-    sizes = found.groupBy("root").agg(F.count("*").alias("members"))
-    members = found.join(sizes, "root").select("node", F.col("root").alias("grp"), "members")
-    members = members.join(texts.select("node", "doc", "copies", "digest"), "node")
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(members, "doc")
-    checked = saved(verify(chosen, threshold, width), "links")
-    links = checked.groupBy("node").agg(F.sum("n_links").alias("n"))
-    classes = components(checked.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    texts = known.groupBy(F.col("digest").alias("node")).agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.first("labels").alias("labels"))
+    texts = saved(texts, "texts")
+    edges = saved(tries(texts).distinct(), "edges")
+    deep = {r["level"]: r["count"] for r in edges.groupBy("level").count().collect()}  # a row a level
+    links: dict[int, int] = {}
+    checked, groups = [], None
+    waiting = 0  # rows of levels that have not been looked at
+    for level in range(DEEPEST, SHORTEST - 1, -1):
+        if not waiting and level < DEEPEST and reached(links, level + 1, threshold) >= recall:
+            break
+        waiting += deep.get(level, 0)
+        # the deepest level gives the estimate; then levels that would not be the last go together with the next one
+        if not waiting or (checked and level > SHORTEST and reached(links, level, threshold) < recall):
+            continue
+        waiting = 0
+        found = components(edges.filter(F.col("level") >= level).select("a", "b"))
+        found = found if groups is None else found.join(groups.select("node", F.col("root").alias("sub")), "node", "left")
+        found = found.select("node", "root", F.coalesce("sub", "node").alias("sub") if groups is not None else F.col("node").alias("sub"))
+        sizes = found.groupBy("root").agg(F.count("*").alias("members"), F.min("sub").alias("low"), F.max("sub").alias("high")).filter("low < high").select("root", "members")
+        members = spread(found, sizes, "root", "node").select("node", F.col("root").alias("grp"), "members", "sub")
+        members = members.join(texts.select("node", "doc", "copies"), "node")
+        chosen = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(members, "doc")
+        part = saved(verify(chosen, threshold, width), "links")
+        checked.append(part)
+        for r in part.filter("node is null").groupBy("bin").agg(F.sum("n_links").alias("n")).collect():  # a row a bin
+            links[r["bin"]] = links.get(r["bin"], 0) + r["n"]
+        groups = found.select("node", "root")
+    if not checked:
+        return texts.select("node", "doc", "copies", F.lit(0).cast("long").alias("links"), F.col("doc").alias("class_id"), F.lit(True).alias("head"))
+    pairs = checked[0]
+    for part in checked[1:]:
+        pairs = pairs.unionByName(part)
+    pairs = pairs.filter("node is not null")
+    counted = pairs.groupBy("node").agg(F.sum("n_links").alias("links"))
+    classes = components(pairs.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     linked = classes.join(texts.select("node", "doc"), "node")
-    heads = linked.groupBy("root").agg(F.min("doc").alias("class_id"))
-    linked = linked.join(heads, "root").select("node", "class_id")
-    per_text = texts.select("digest", "node", "doc", "copies").join(links, "node", "left").join(linked, "node", "left")
-    per_text = per_text.select("digest", "doc", F.coalesce("class_id", "doc").alias("class_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    rows = rows.select("doc_id", F.when((F.col("size") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
-    out = rows.join(per_text, "digest", "left")
+    heads = linked.groupBy("root").agg(F.min(F.struct("doc", "node")).alias("first"))
+    linked = spread(linked.select("node", "root"), heads, "root", "node").select("node", F.col("first.doc").alias("class_id"), (F.col("first.node") == F.col("node")).alias("head"))
+    out = texts.select("node", "doc", "copies").join(counted, "node", "left").join(linked, "node", "left")
+    return out.select("node", "doc", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("class_id", "doc").alias("class_id"), F.coalesce("head", F.lit(True)).alias("head"))
+
+
+def join(docs: DataFrame, threshold: float = SIMILARITY, recall: float = RECALL, width: int = WIDTH) -> DataFrame:
+    """``(doc_id, class_id, n_links, copy_of)`` of every row; ``copy_of`` stands for its equal sets."""
+    rows = saved(digest(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width), "signatures")
+    texts = text_classes(docs, rows, threshold, recall, width)
+    rows = rows.select("doc_id", F.when((F.col("size") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("node"))
+    per_text = texts.select("node", "doc", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    out = rows.join(per_text, "node", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("doc", "doc_id").alias("copy_of"))
 
 
-def keep_one(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+def keep_one(docs: DataFrame, threshold: float = SIMILARITY, recall: float = RECALL, width: int = WIDTH) -> DataFrame:
     """Of each class the row with the least doc_id, once; all columns. Rows alone in a class stay.
 
-    Without a doc_id a row is in no class and stays; of rows with equal doc_id that is also their
-    class, one stays.
+    A row without doc_id or words is in no class and stays. Where rows share a doc_id, each text is
+    judged by itself: of several rows with one doc_id and one shingle set, one stays, the first by
+    a hash of all columns.
     """
-    classes = join(docs.select("doc_id", "text"), threshold).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
-    gone = classes.filter("class_id < doc_id").select("doc_id")
-    return docs.filter("doc_id is null").unionByName(docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(docs.columns))
+    rows = saved(digest(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width), "signatures")
+    texts = saved(text_classes(docs, rows, threshold, recall, width), "classes")
+    known = rows.filter("size > 0 and doc_id is not null").select("doc_id", F.col("digest").alias("node"))
+    stays = known.join(texts.filter("head").select("node", F.col("doc").alias("doc_id")), ["node", "doc_id"]).distinct()
+    per_id = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.max("size").alias("size"))
+    repeated = saved(per_id.filter("n > 1").select("doc_id"), "repeated")
+    single = per_id.filter("n = 1").join(stays.select("doc_id").distinct().withColumn("head", F.lit(True)), "doc_id", "left")
+    single = single.filter("head or size = 0").select("doc_id")
+    own = F.col("_key")
+    names = [f"c{i}" for i in range(len(docs.columns))]  # other columns may have any names
+    plain = docs.toDF(*names).withColumn("_key", F.col(names[docs.columns.index("doc_id")]).cast("long"))
+    text = names[docs.columns.index("text")]
+    lone = plain.filter(own.isNull()).unionByName(plain.join(single.withColumnRenamed("doc_id", "_key"), "_key", "left_semi").select(plain.columns))
+    several = plain.join(repeated.withColumnRenamed("doc_id", "_key"), "_key", "left_semi")
+    several = digest(several.select("_key", F.struct(*names).alias("_row"), F.col(text).alias("text")), width, label=False)
+    blank = several.filter("size = 0").select("_row.*", "_key")
+    chosen = several.filter("size > 0").join(stays.select(F.col("doc_id").alias("_key"), F.col("node").alias("digest")), ["_key", "digest"], "left_semi")
+    chosen = chosen.groupBy("_key", "digest").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row")).select("_row.*", "_key")
+    out = lone.select(*names).unionByName(blank.select(*names)).unionByName(chosen.select(*names))
+    return out.toDF(*docs.columns)
