@@ -62,37 +62,59 @@ def test_routing_table(spark):
     assert got == [c[4] for c in cases]
 
 
+def reids(spark, rows):
+    return spark.createDataFrame([(v, t, f"{i:064x}") for i, (v, t) in enumerate(rows)], "value string, type string, key string")
+
+
 def test_deid_round_trip_and_gate(spark):
-    texts = ["call 052-123-4567 or 031234567", "id 12345678-9, mail a.b@c.org, again a.b@c.org", "Dana met dana, Danax", "nothing", ""]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
-    names = spark.createDataFrame([("Dana",)], "name string")
+    texts = ["call 052-123-4567 or +972 3 123 4567, 031234567", "id 12345678-9, mail a.b@c.org, again a.b@c.org", "Dana met dana, Danax and Yosi Cohen; YOSI  COHEN", "nothing", "", None]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id int, text string, m string, spans int")
+    names = spark.createDataFrame([(2, "Dana", 1), (2, "Yosi Cohen", 0)], "doc_id int, name string, place int")
     found = deid.detect(docs, PII, names)
     reid = spark.createDataFrame(deid.mint(found).collect(), "value string, type string, key string")
+    key = {r["value"]: f"{r['type']}_{r['key']}" for r in reid.collect()}
     masked = deid.replace(docs, found, reid)
+    assert masked.columns == [*docs.columns, "n_values"]
     rows = {r["doc_id"]: r["text"] for r in masked.collect()}
-    assert "052" not in rows[0].split("PHONE_")[0] and "ID_" in rows[0] and rows[1].count("EMAIL_") == 2 and "Dana " not in rows[2]
-    back = {r["doc_id"]: r["text"] for r in deid.reidentify(masked.select("doc_id", "text"), reid).collect()}
+    assert rows[0] == f"call {key['052-123-4567']} or {key['+972 3 123 4567']}, {key['031234567']}" and rows[1].count("EMAIL_") == 2 and rows[5] is None
+    # the full name in any case, each of its words alone in any case, none inside another word
+    assert rows[2] == f"Dana met dana, Danax and {key['Yosi Cohen']}; {key['YOSI']}  {key['COHEN']}"
+    back = {r["doc_id"]: r["text"] for r in deid.reidentify(masked.select("doc_id", "text", "m"), reid).collect()}
     assert back == dict(enumerate(texts))
     assert all(r["passed"] for r in deid.gate(masked.select("doc_id", "text"), reid).collect())
-    assert {r["doc_id"]: r["failure_type"] for r in deid.gate(docs, reid).collect()}[0] == "regex"
+    assert {r["doc_id"]: r["failure_type"] for r in deid.gate(docs, reid).collect()} == {0: "regex", 1: "regex", 2: "reid_map", 3: None, 4: None, 5: None}
+    assert {r["failure_type"] for r in deid.gate(masked, reid, production=True).collect()} == {"ner_rescan"}
     assert len({r["key"] for r in reid.collect()}) == reid.count() and all(len(r["key"]) == 64 for r in reid.collect())
+    assert deid.replace(docs.limit(0), found, reid).count() == 0 and deid.replace(docs, found.limit(0), reid).filter("n_values = 0").count() == 6
+
+
+def test_one_word_names_count_in_any_case(spark):
+    docs = spark.createDataFrame([(1, "Dana met dana, Danax"), (2, "Dana")], "doc_id int, text string")
+    found = deid.detect(docs, PII, spark.createDataFrame([(1, "Dana")], "doc_id int, name string"))
+    got = {r["doc_id"]: r["text"] for r in deid.replace(docs, found, reids(spark, [("Dana", "PERSON"), ("dana", "PERSON")])).collect()}
+    assert got == {1: f"PERSON_{0:064x} met PERSON_{1:064x}, Danax", 2: "Dana"}
+
+
+def test_entities_have_types_and_labels_that_have_none_go(spark):
+    rows = spark.createDataFrame([(1, "PER", "דנה לוי"), (1, "ORG", "מכון"), (1, "LOC", "חיפה")], "doc_id int, label string, text string")
+    assert {(r["type"], r["value"]) for r in deid.of_entities(rows).collect()} == {("PERSON", "דנה לוי"), ("INST", "מכון")}
 
 
 def test_known_values_are_swept_from_all_documents(spark):
-    texts = ["met Dana Levi, then Dana Levi-Cohen.", "DANA none", "with (Dana Levi)", "case #12/b! and case 12/b", "Danalevi Dana  Levi"]
+    texts = ["met Dana Levi, then Dana Levi-Cohen.", "DANA none", "with (Dana Levi)", "case #12/b! and case 12/b", "Danalevi Dana  Levi", "לדנה לוי", "אדנה לוי"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
-    values = [("Dana Levi", "PERSON"), ("Dana Levi-Cohen", "PERSON"), ("#12/b!", "ID"), ("none", "PERSON")]
-    reid = spark.createDataFrame([(v, t, f"{i:064x}") for i, (v, t) in enumerate(values)], "value string, type string, key string")
-    assert {r["doc_id"]: r["n_leaks"] for r in deid.leaks(docs, reid).collect()} == {0: 2, 2: 1, 3: 1}
-    assert {r["doc_id"]: r["failure_type"] for r in deid.gate(docs, reid).collect()} == {0: "reid_map", 1: None, 2: "reid_map", 3: "reid_map", 4: None}
+    values = [("Dana Levi", "PERSON"), ("Dana Levi-Cohen", "PERSON"), ("#12/b!", "ID"), ("none", "PERSON"), ("דנה לוי", "PERSON"), ("x", "ID")]
+    reid = reids(spark, values)
+    assert {r["doc_id"]: r["n_leaks"] for r in deid.leaks(docs, reid).collect()} == {0: 2, 1: 1, 2: 1, 3: 1, 5: 1}
+    assert {r["doc_id"]: r["failure_type"] for r in deid.gate(docs, reid).collect()} == {0: "reid_map", 1: "reid_map", 2: "reid_map", 3: "reid_map", 4: None, 5: "reid_map", 6: None}
     swept = deid.sweep(docs, reid)
     token = [f"{t}_{i:064x}" for i, (_, t) in enumerate(values)]
     got = {r["doc_id"]: r["text"] for r in swept.collect()}
-    assert got == {0: f"met {token[0]}, then {token[1]}.", 1: texts[1], 2: f"with ({token[0]})", 3: f"case {token[2]} and case 12/b", 4: texts[4]}
+    assert got == {0: f"met {token[0]}, then {token[1]}.", 1: f"DANA {token[3]}", 2: f"with ({token[0]})", 3: f"case {token[2]} and case 12/b", 4: texts[4], 5: f"ל{token[4]}", 6: texts[6]}
     assert all(r["passed"] for r in deid.gate(swept.select("doc_id", "text"), reid).collect())
+    assert deid.leaks(docs, reid.limit(0)).count() == 0 and deid.leaks(docs.limit(0), reid).count() == 0
     own = [("CASE", r"case \d+")]
-    known = spark.createDataFrame([("case 7", "CASE", "0" * 64)], reid.schema)
-    assert [r["failure_type"] for r in deid.gate(spark.createDataFrame([(1, "a case 7")], docs.schema), known, patterns=own).collect()] == ["regex"]
+    assert [r["failure_type"] for r in deid.gate(spark.createDataFrame([(1, "a case 7")], docs.schema), reids(spark, [("case 7", "CASE")]), patterns=own).collect()] == ["regex"]
 
 
 def test_value_inside_a_token_survives(spark):
@@ -101,7 +123,38 @@ def test_value_inside_a_token_survives(spark):
     reid = spark.createDataFrame([("12345678", "ID", key)], "value string, type string, key string")
     got = deid.replace(docs, deid.detect(docs), reid).first()["text"]
     assert got == f"x ID_{key} y"
-    assert deid.reidentify(spark.createDataFrame([(1, got)], "doc_id int, text string"), reid).first()["text"] == "x 12345678 y"
+    again = spark.createDataFrame([(1, got)], "doc_id int, text string")
+    assert deid.sweep(again, reid).first()["text"] == got and deid.detect(again).count() == 0
+    assert deid.reidentify(again, reid).first()["text"] == "x 12345678 y"
+
+
+def test_names_of_files_and_their_conflicts(spark):
+    rows = [
+        ("יוסי כהן", "a/סיכום ביקור 3 יוסי כהן.docx", None, ["יוסי כהן"], False), ("יוסי כהן", "a/אבחון 1 ד\"ר יוסי כהן.DOCX", " יוסי א כהן ", ["יוסי כהן", 'ד"ר יוסי כהן', "יוסי א כהן"], False),
+        ("יוסי כהן", "a/ביקור 3 דנה לוי.docx", None, [], True), ("Yosi Cohen", "a/3.docx", "yosi COHEN", ["Yosi Cohen"], False), ("Yosi Cohen", "a/x cohen.docx", "Dana Levi", [], True), ("", "a/x.docx", "y", [], False), ("Cohen", "a/cohen.docx", None, ["Cohen"], False),
+    ]
+    df = spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(rows)], "doc_id int, folder string, path string, header_name string")
+    got = {r["doc_id"]: (r["variants"], r["conflict"]) for r in deid.name_variants(df).collect()}
+    assert got == {i: (r[3], r[4]) for i, r in enumerate(rows)}
+    files = spark.createDataFrame([("סיכום ביקור 3 יוסי כהן.docx",), ("12.docx",), (".docx",), (None,)], "p string")
+    assert [r[0] for r in files.coalesce(1).select(deid.name_in_file(F.col("p"))).collect()] == ["יוסי כהן", None, None, None]
+
+
+def test_audit_layers(spark):
+    import hashlib
+
+    names = spark.createDataFrame([("דנה לוי",)], "value string")
+    digits = spark.createDataFrame([("12-34 5678",)], "value string")
+    plain = spark.createDataFrame([("d.l@x.org",), ("abc",)], "value string")
+    forbidden = deid.forbidden_values(names, digits, plain)
+    assert {(r["kind"], r["value"]) for r in forbidden.collect()} == {("name", "דנה לוי"), ("name", "דנה"), ("name", "לוי"), ("digits", "12345678"), ("plain", "d.l@x.org")}
+    texts = ["ודנה באה", "שדנהית", "no 991.2345 67899", hashlib.sha256("לוי".encode()).hexdigest(), "PERSON_" + "12345678" * 8, "to d.l@x.org", "abc", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "payload_id int, text string")
+    got = {r["payload_id"]: r["layers"] for r in deid.audit(rows, forbidden).collect()}
+    assert got == {0: "name", 1: None, 2: "digits", 3: "derived_key", 4: None, 5: "pattern_email,plain", 6: None, 7: None, 8: None}
+    nested = spark.createDataFrame([({"k": [("a", 1), (None, 2)]}, "b")], "p map<string, array<struct<s:string,n:int>>>, q string")
+    got = nested.select(deid.strings_of(F.struct("p", "q"), spark.createDataFrame([], nested.schema).select(F.struct("p", "q").alias("x")).schema["x"].dataType)).first()[0]
+    assert [x for x in got if x not in ("p", "q", "s", "n")] == ["k", "a", "b"]
 
 
 def test_windows_cover_the_text(spark):

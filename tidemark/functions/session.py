@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -31,6 +33,21 @@ _roots: dict[str, str] = {}
 
 
 def work_folder(spark: SparkSession, label: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which all executors share; one of our own only where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or _roots.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="tidemark-"))
+    """A new folder below ``spark.checkpoint.dir``, which all executors share; in local mode one of our own where it is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _roots:
+            _roots[app] = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+            atexit.register(shutil.rmtree, _roots[app].removeprefix("file://"), ignore_errors=True)
+        root = _roots[app]
     return f"{root.rstrip('/')}/tidemark-{label}-{uuid.uuid4().hex[:12]}"
+
+
+def saved(rows: DataFrame, label: str) -> DataFrame:
+    """``rows`` written once as Parquet in the shared folder, and read back."""
+    path = work_folder(rows.sparkSession, label)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import parse_day
 from tidemark.jobs import views_sql as S
-from tidemark.operators import deid, parse, route
+from tidemark.operators import parse, route
 from tidemark.sources import views as V
 
 QUERIES: dict = {}
@@ -134,11 +134,6 @@ def parse_dates(spark, d):
     return V.table(spark, d, "orders").select("o_orderkey", parse_day(raw).alias("parsed"))
 
 
-@query("q_name_variants", """SELECT c_custkey, array_to_string(list_filter(string_split(trim(regexp_replace(c_name, '[_\\s#]+', ' ', 'g')), ' '), lambda x: NOT regexp_matches(x, '\\d') AND length(x) >= 2), ' ') AS name FROM customer""")
-def name_variants(spark, d):
-    return V.table(spark, d, "customer").select("c_custkey", F.array_join(deid.name_variants(F.concat("c_name", F.lit(".docx"))), " ").alias("name"))
-
-
 @query("q_normalize_topic", f"SELECT query_id, trim(trim(topic), ' \",.:;''') AS topic FROM ({S.PARAMS})")
 def normalize_topic(spark, d):
     return V.params(spark, d).select("query_id", route.normalize_topic(F.col("topic")).alias("topic"))

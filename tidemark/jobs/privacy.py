@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.functions.session import work_folder
+from tidemark.functions.session import saved
+from tidemark.functions.vocab import PII
 from tidemark.operators import boundary, deid
 from tidemark.sources import views as V
 
@@ -23,38 +24,32 @@ def query(name: str, sql: str | None = None):
 
 
 #: What the documents hold, beside the default types, in order of precedence.
-PATTERNS = [("EMAIL", r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"), ("PHONE", r"\+1 \(\d{3}\) 555-\d{4}"), ("ID", r"\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}"), ("INST", r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}")]
+PATTERNS = [("EMAIL", dict(PII)["EMAIL"]), ("PHONE", r"\+1 \(\d{3}\) 555-\d{4}"), ("ID", r"\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}"), ("INST", r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}")]
 
-
-def _removed(text: str, upto: int) -> str:
-    for _, p in PATTERNS[:upto]:
-        text = f"regexp_replace({text}, '{p}', ' ', 'g')"
-    return text
-
-
-_COUNTS = ", ".join(f"CAST(len(regexp_extract_all({_removed('text', i)}, '{p}')) AS BIGINT) AS n_{k.lower()}" for i, (k, p) in enumerate(PATTERNS))
-_FOUND = " UNION ".join(f"SELECT doc_id, '{k}' AS type, unnest(regexp_extract_all({_removed('text', i)}, '{p}')) AS value FROM documents" for i, (k, p) in enumerate(PATTERNS))
+_ALL = deid.alternation(PATTERNS)
+_TYPE = lambda v: "CASE " + " ".join(f"WHEN regexp_full_match({v}, '{p}') THEN '{k}'" for k, p in PATTERNS[:-1]) + f" ELSE '{PATTERNS[-1][0]}' END"
+_HITS = f"SELECT doc_id, unnest(regexp_extract_all(text, '{_ALL}')) AS value FROM documents"
+_FOUND = f"SELECT DISTINCT doc_id, {_TYPE('value')} AS type, value FROM ({_HITS})"
+_W = "[^\\p{L}\\p{N}_]"
+#: Whether a text holds a value as a run of whole words.
+_HOLDS = lambda t, v: f"contains({t}, {v}) AND regexp_matches({t}, CASE WHEN regexp_matches({v}, '^[\\p{{L}}\\p{{N}}_]') THEN '(^|{_W})' ELSE '' END || regexp_escape({v}) || CASE WHEN regexp_matches({v}, '[\\p{{L}}\\p{{N}}_]$') THEN '({_W}|$)' ELSE '' END)"
 
 
 def _docs(spark, d) -> DataFrame:
     return V.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
-def _kept(rows: DataFrame, label: str) -> DataFrame:
-    """Written and read back in the shared folder: random keys must not be computed twice."""
-    path = work_folder(rows.sparkSession, label)
-    rows.write.parquet(path)
-    return rows.sparkSession.read.parquet(path)
+def _found(docs: DataFrame) -> DataFrame:
+    """Written once: what detection finds is used to mint and to replace."""
+    return saved(deid.detect(docs, PATTERNS), "found")
 
 
-def _masked(spark, d):
-    docs = _docs(spark, d)
-    found = deid.detect(docs, PATTERNS)
-    reid = _kept(deid.mint(found), "reid")
-    return docs, found, reid, deid.replace(docs, found, reid)
+def digest_key(value):
+    """Keys that SQL can make, too; production keys are random."""
+    return F.sha2(value, 256)
 
 
-@query("q_pii_counts", f"SELECT doc_id, {_COUNTS} FROM documents")
+@query("q_pii_counts", "SELECT d.doc_id, " + ", ".join(f"count(*) FILTER (type = '{k}') AS n_{k.lower()}" for k, _ in PATTERNS) + f" FROM documents d LEFT JOIN (SELECT doc_id, {_TYPE('value')} AS type FROM ({_HITS})) h ON d.doc_id = h.doc_id GROUP BY d.doc_id")
 def pii_counts(spark, d):
     return _docs(spark, d).select("doc_id", *deid.counts(F.col("text"), PATTERNS))
 
@@ -66,52 +61,91 @@ def detect(spark, d):
 
 @query("q_mint_new", f"SELECT value, min(type) AS type, 64 AS key_length FROM ({_FOUND}) WHERE length(value) % 2 = 0 GROUP BY value")
 def mint_new(spark, d):
-    found = deid.detect(_docs(spark, d), PATTERNS)
+    found = _found(_docs(spark, d))
     known = deid.mint(found.filter(F.length("value") % 2 == 1))
     return deid.mint(found, known).select("value", "type", F.length("key").alias("key_length"))
 
 
-@query("q_deid_spans", f"""SELECT d.doc_id, count(f.value) AS n_values, count(f.value) AS n_tokens FROM documents d LEFT JOIN (SELECT DISTINCT doc_id, value FROM ({_FOUND})) f ON d.doc_id = f.doc_id GROUP BY d.doc_id""")
+@query("q_deid_spans", f"""SELECT d.doc_id, coalesce(n, 0) AS n_values, array_to_string(list_transform(list_zip(regexp_split_to_array(text, '{_ALL}'), regexp_extract_all(text, '{_ALL}')),
+  lambda x: x[1] || coalesce({_TYPE('x[2]')} || '_' || sha256(x[2]), '')), '') AS text FROM documents d LEFT JOIN (SELECT doc_id, count(DISTINCT value) AS n FROM ({_HITS}) GROUP BY doc_id) f ON d.doc_id = f.doc_id""")
 def deid_spans(spark, d):
-    _, _, _, masked = _masked(spark, d)
-    return masked.select("doc_id", "n_values", F.size(F.array_distinct(deid.tokens(F.col("text")))).cast("long").alias("n_tokens"))
+    docs = _docs(spark, d)
+    found = _found(docs)
+    return deid.replace(docs, found, deid.mint(found, key=digest_key)).select("doc_id", "n_values", "text")
 
 
-@query("q_token_parse", f"SELECT doc_id, type AS prefix, count(*) AS n FROM (SELECT doc_id, value, min(type) AS type FROM ({_FOUND}) GROUP BY doc_id, value) GROUP BY doc_id, type")
+@query("q_token_parse", f"SELECT doc_id, type AS prefix, count(*) AS n FROM ({_FOUND}) GROUP BY doc_id, type")
 def token_parse(spark, d):
-    _, _, _, masked = _masked(spark, d)
+    docs = _docs(spark, d)
+    found = _found(docs)
+    masked = deid.replace(docs, found, saved(deid.mint(found), "reid"))
     return masked.select("doc_id", F.explode(F.array_distinct(deid.tokens(F.col("text")))).alias("t")).groupBy("doc_id", F.col("t.prefix").alias("prefix")).agg(F.count("*").alias("n"))
 
 
 @query("q_reidentify", "SELECT doc_id, sha256(text) AS restored FROM documents")
 def reidentify(spark, d):
-    _, _, reid, masked = _masked(spark, d)
-    return deid.reidentify(masked.select("doc_id", "text"), reid).select("doc_id", F.sha2("text", 256).alias("restored"))
+    docs = _docs(spark, d)
+    found = _found(docs)
+    reid = saved(deid.mint(found), "reid")
+    return deid.reidentify(deid.replace(docs, found, reid).select("doc_id", "text"), reid).select("doc_id", F.sha2("text", 256).alias("restored"))
 
 
-@query("q_sweep", "SELECT doc_id, " + _removed("text", 0).replace("text", "length(text)") + " AS length FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM (" + _FOUND + "))")
+@query("q_sweep", f"""SELECT d.doc_id, count(k.value) AS n_values, CAST(0 AS BIGINT) AS n_left, any_value(sha256(d.text)) AS restored FROM documents d
+  LEFT JOIN (SELECT DISTINCT value FROM ({_HITS}) WHERE doc_id % 2 = 0) k ON {_HOLDS('d.text', 'k.value')} GROUP BY d.doc_id""")
 def sweep(spark, d):
-    """All documents are swept for values that any of them made known; those without pass through unchanged."""
-    docs, found, reid, _ = _masked(spark, d)
-    masked = deid.sweep(docs, reid, found, "|".join(f"(?:{p})" for _, p in PATTERNS))
-    return masked.filter("n_values = 0").select("doc_id", F.length("text").cast("long").alias("length"))
+    """Values are known from every other document alone; all are swept for them."""
+    docs = _docs(spark, d)
+    reid = saved(deid.mint(_found(docs.filter("doc_id % 2 = 0"))), "reid")
+    swept = saved(deid.sweep(docs, reid), "swept")
+    left = deid.leaks(swept.select("doc_id", "text"), reid)
+    back = deid.reidentify(swept, reid).select("doc_id", "n_values", F.sha2("text", 256).alias("restored"))
+    return back.join(left, "doc_id", "left").select("doc_id", "n_values", F.coalesce("n_leaks", F.lit(0)).alias("n_left"), "restored")
 
 
-@query("q_gate", "SELECT doc_id, CAST(NULL AS VARCHAR) AS failure_type, true AS passed FROM documents")
-def gate(spark, d):
-    _, _, reid, masked = _masked(spark, d)
-    return deid.gate(masked.select("doc_id", "text"), reid, patterns=PATTERNS)
+_NAMES = "SELECT DISTINCT string_split(text, ' ')[3] || ' ' || string_split(text, ' ')[4] AS value FROM benchmark WHERE length(string_split(text, ' ')[4]) > 0"
+
 
+def _names(spark, d) -> DataFrame:
+    """Two words of each item of ``benchmark`` stand for the names of persons."""
+    w = F.split("text", " ")
+    return V.table(spark, d, "benchmark").select(F.concat_ws(" ", F.get(w, F.lit(2)), F.get(w, F.lit(3))).alias("value")).where(F.length(F.get(w, F.lit(3))) > 0).distinct()
 
-_ANY = " OR ".join(f"regexp_matches(text, '{p}')" for _, p in PATTERNS)
+
+@query("q_gate", f"""SELECT doc_id, failure_type, failure_type IS NULL AS passed FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND regexp_matches(text, '{_ALL}') THEN 'regex'
+  WHEN EXISTS (SELECT 1 FROM ({_NAMES}) n WHERE {_HOLDS('text', 'n.value')}) THEN 'reid_map' WHEN regexp_matches(text, '(^|{_W})der({_W}|$)') THEN 'ner_rescan' END AS failure_type FROM documents)""")
+def gate(spark, d):
+    """Every other document is left as it was; some hold known names; a gazetteer stands for the entity model."""
+    docs = _docs(spark, d)
+    found = _found(docs)
+    reid = saved(deid.mint(found.unionByName(_names(spark, d).select(F.lit(-1).cast("long").alias("doc_id"), F.lit("PERSON").alias("type"), "value"))), "reid")
+    masked = saved(deid.replace(docs.filter("doc_id % 2 = 1"), found, reid).select("doc_id", "text").unionByName(docs.filter("doc_id % 2 = 0")), "masked")
+    entities = boundary.entities(masked.withColumn("text", deid.scrubbed(F.col("text"))), boundary.gazetteer(["der"]))
+    return deid.gate(masked, reid, entities, PATTERNS, production=True)
 
 
-@query("q_leak_check", f"SELECT doc_id, count(DISTINCT value) AS n_leaks FROM ({_FOUND}) WHERE doc_id % 2 = 0 GROUP BY doc_id")
+@query("q_leak_check", f"SELECT d.doc_id, count(*) AS n_leaks FROM documents d JOIN (SELECT DISTINCT value FROM ({_HITS})) k ON {_HOLDS('d.text', 'k.value')} WHERE d.doc_id % 2 = 0 GROUP BY d.doc_id")
 def leak_check(spark, d):
     """Every other document is left as it was; the check finds what those hold."""
-    docs, found, reid, masked = _masked(spark, d)
-    mixed = masked.filter("doc_id % 2 = 1").select("doc_id", "text").unionByName(docs.filter("doc_id % 2 = 0"))
-    return deid.leaks(mixed, reid, "|".join(f"(?:{p})" for _, p in PATTERNS))
+    docs = _docs(spark, d)
+    found = _found(docs)
+    reid = saved(deid.mint(found), "reid")
+    masked = deid.sweep(docs.filter("doc_id % 2 = 1"), reid, found)
+    return deid.leaks(masked.select("doc_id", "text").unionByName(docs.filter("doc_id % 2 = 0")), reid)
+
+
+_PERSON, _LAST = "c_mktsegment || ' L' || CAST(c_custkey % 7 AS VARCHAR)", "' l' || CAST(c_custkey % 7 AS VARCHAR)"
+
+
+@query("q_name_variants", f"""SELECT c_custkey, c_custkey % 4 = 2 AS conflict, CASE c_custkey % 4 WHEN 2 THEN '' WHEN 1 THEN {_PERSON} || '|Dr. ' || c_mktsegment || {_LAST} ELSE {_PERSON} END
+  || CASE WHEN c_custkey % 3 = 0 AND c_custkey % 4 <> 2 THEN '|Mr ' || {_PERSON} ELSE '' END AS variants FROM customer""")
+def name_variants(spark, d):
+    """Files named after a visit's number, with a title, after another person, and after a number alone; some have a header."""
+    k, segment = F.col("c_custkey"), F.col("c_mktsegment")
+    last = F.concat(F.lit(" l"), (k % 7).cast("string"))
+    person = F.concat(segment, F.lit(" L"), (k % 7).cast("string"))
+    file = F.when(k % 4 == 0, F.concat(F.lit("visit 3 "), person, F.lit(".docx"))).when(k % 4 == 1, F.concat(F.lit("Dr. "), segment, last, F.lit(".DOCX"))).when(k % 4 == 2, F.lit("visit 2 Other Person.docx")).otherwise("note 12.docx")
+    rows = V.table(spark, d, "customer").select("c_custkey", person.alias("folder"), F.concat(F.lit("/root/"), person, F.lit("/"), file).alias("path"), F.when(k % 3 == 0, F.concat(F.lit(" Mr "), person, F.lit(" "))).alias("header_name"))
+    return deid.name_variants(rows).select("c_custkey", "conflict", F.array_join("variants", "|").alias("variants"))
 
 
 @query("q_text_windows", """SELECT doc_id, CAST(s AS BIGINT) AS start, substr(text, CAST(s AS BIGINT) + 1, 800) AS "window" FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text) - 151, 0) + 1, 650)) AS s FROM documents WHERE length(text) > 0)""")
@@ -119,16 +153,30 @@ def text_windows(spark, d):
     return deid.text_windows(_docs(spark, d))
 
 
-_WORDS = "SELECT c.conv_id, c.turn, unnest(list_distinct(regexp_extract_all(c.text, '[\\p{L}\\p{N}_]+'))) AS value FROM conversations c"
-_BAD = "SELECT DISTINCT string_split(text, ' ')[1] AS value FROM benchmark"
+_CARDS = f"SELECT DISTINCT regexp_replace(value, '[\\s./-]', '', 'g') AS value FROM ({_FOUND}) WHERE type = 'ID' AND doc_id % 3 = 0"
+_MAILS = f"SELECT DISTINCT value FROM ({_FOUND}) WHERE type = 'EMAIL' AND doc_id % 3 = 0 AND length(value) >= 4"
+_PARTS = f"SELECT DISTINCT unnest([value, string_split(value, ' ')[1], string_split(value, ' ')[2]]) AS value FROM ({_NAMES})"
+_DIGEST = f"(SELECT sha256(min(value)) FROM ({_NAMES}))"
+
+
+_CONTAINED = lambda values: f"SELECT DISTINCT doc_id FROM (SELECT d.doc_id, text, value FROM documents d JOIN ({values}) v ON contains(text, value) OFFSET 0) WHERE {_HOLDS('text', 'value')}"
 
 
-@query("q_audit", f"""SELECT CAST(c.conv_id AS VARCHAR) || '_' || CAST(c.turn AS VARCHAR) AS payload_id, CASE WHEN count(w.value) > 0 THEN 'word' END AS layers, count(w.value) = 0 AS clean FROM conversations c
-  LEFT JOIN (SELECT * FROM ({_WORDS}) WHERE value IN ({_BAD})) w ON c.conv_id = w.conv_id AND c.turn = w.turn GROUP BY c.conv_id, c.turn""")
+@query("q_audit", f"""WITH bare AS MATERIALIZED (SELECT doc_id, regexp_replace(text, '[\\s./-]', '', 'g') AS t FROM documents),
+  hit AS (SELECT doc_id, 'derived_key' AS layer FROM documents WHERE doc_id % 10 = 0 UNION SELECT doc_id, 'digits' FROM bare JOIN ({_CARDS}) c ON contains(t, c.value)
+    UNION SELECT doc_id, 'name' FROM ({_CONTAINED(f'SELECT value FROM ({_PARTS}) WHERE length(value) >= 2')}) UNION SELECT doc_id, 'plain' FROM ({_CONTAINED(_MAILS)})
+    UNION SELECT doc_id, 'pattern_email' FROM documents WHERE regexp_matches(text, '{PATTERNS[0][1]}'))
+  SELECT d.doc_id AS payload_id, string_agg(layer, ',' ORDER BY layer) AS layers, count(layer) = 0 AS clean FROM documents d LEFT JOIN hit ON d.doc_id = hit.doc_id GROUP BY d.doc_id""")
 def audit(spark, d):
-    payloads = V.table(spark, d, "conversations").select(F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("payload_id"), "text")
-    forbidden = V.table(spark, d, "benchmark").select(F.get(F.split("text", " "), F.lit(0)).alias("value")).distinct()
-    return deid.audit(payloads, forbidden, [("EMAIL", PATTERNS[0][1]), ("CARD", PATTERNS[2][1])])
+    """Documents as nested payloads; every tenth carries a digest of a forbidden name."""
+    found = _found(_docs(spark, d)).filter("doc_id % 3 = 0")
+    names = _names(spark, d)
+    key = names.agg(F.sha2(F.min("value"), 256).alias("key"))
+    tag = F.when(F.col("doc_id") % 10 == 0, F.col("key")).otherwise("none")
+    nested = F.struct(F.col("doc_id").alias("id"), F.create_map(F.lit("body"), F.array(F.struct("text", tag.alias("tag")))).alias("parts"))
+    payloads = _docs(spark, d).join(F.broadcast(key)).select(F.col("doc_id").alias("payload_id"), nested.alias("payload"))  # one row is broadcast
+    forbidden = deid.forbidden_values(names, found.filter("type = 'ID'"), found.filter("type = 'EMAIL'"))
+    return deid.audit(payloads.select("payload_id", F.array_join(deid.strings_of(F.col("payload"), payloads.schema["payload"].dataType), "\n").alias("text")), saved(forbidden, "forbidden"), PATTERNS[:1])
 
 
 @query("q_entities", "SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS w FROM documents) WHERE w IN ('that', 'with', 'der', 'pour') GROUP BY doc_id")
