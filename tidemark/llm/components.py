@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm.store import saved
 
@@ -34,3 +34,25 @@ def components(edges: DataFrame) -> DataFrame:
         labels = step.select("node", "root")
         if step.filter(F.col("old") != F.col("root")).isEmpty():
             return labels
+
+
+def spread(left: DataFrame, right: DataFrame, keys: list[str], by: str, how: str = "inner") -> DataFrame:
+    """Join on ``keys``, unique on the right; a key of many rows on the left is met in SALTS tasks, dealt by ``by``."""
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(right, [*keys, "_salt"], how).drop("_salt")
+
+
+def components_of_some_first(edges: DataFrame, first: Column) -> DataFrame:
+    """``components`` of edges that mostly tell the same: those with ``first`` are settled before the others.
+
+    The others then are edges between roots, of which few are no loops.
+    """
+    some = saved(components(edges.filter(first).select("a", "b")), "some")
+    rest = edges.filter(~first).select("a", "b").dropna()
+    for end, other in (("a", "b"), ("b", "a")):
+        rest = spread(rest, some.select(F.col("node").alias(end), F.col("root").alias("_root")), [end], other, "left")
+        rest = rest.withColumn(end, F.coalesce("_root", end)).drop("_root")
+    more = components(saved(rest.filter("a <> b").distinct(), "rest"))
+    tops = spread(some, more.select(F.col("node").alias("root"), F.col("root").alias("_top")), ["root"], "node", "left")
+    tops = tops.select("node", F.coalesce("_top", "root").alias("root"))
+    return tops.unionByName(more.join(some.select("node"), "node", "left_anti"))

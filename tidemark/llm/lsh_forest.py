@@ -29,12 +29,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemark.llm.components import SALTS, components
+from tidemark.llm.components import components, components_of_some_first, spread
 from tidemark.llm.store import saved
 from tidemark.llm.words import U64, find_words, mix, portions, run_hashes, shingles, utf8
 
 WIDTH, SIMILARITY, RECALL = 5, 0.8, 0.99999
 TREES, DEEPEST, SHORTEST = 32, 8, 3
+FIRST_TREES = 4  # whose groups are settled first; most others repeat them
 MINIMUM_BYTES = 2  # of each minimum in a label; agreement by chance only adds candidates
 BLOCK = 1024  # texts compared with as many others at once
 BINS = 20  # of similarity between the threshold and 1
@@ -123,7 +124,7 @@ def digest(docs: DataFrame, width: int = WIDTH, label: bool = True) -> DataFrame
 
 
 def tries(texts: DataFrame) -> DataFrame:
-    """``(a, b, level)``: text ``a`` shares the first ``level`` minima of a tree with ``b``, the first text below that node.
+    """``(a, b, tree, level)``: text ``a`` shares the first ``level`` minima of a tree with ``b``, the first text below that node.
 
     ``texts``: node and labels. Each text has at most one such row a tree, so the groups of a level
     are those that rows of this and deeper levels connect. Rows are range-partitioned in the order
@@ -163,7 +164,8 @@ def tries(texts: DataFrame) -> DataFrame:
                     heads[k] = nodes[head[-1]]
             before, last = (int(tree[-1]), label[-1]), nodes[-1]
             none = [None] * len(a)
-            out = [a + [x[0] for x in ends], b + [None] * len(ends), level + [None] * len(ends), none + [part] * len(ends), none + [x[3] for x in ends], none + [x[1] for x in ends], none + [x[2] for x in ends]]
+            trees = tree[[i for k in depths.tolist() for i in np.flatnonzero(common == k).tolist()]].tolist()
+            out = [a + [x[0] for x in ends], b + [None] * len(ends), level + [None] * len(ends), none + [part] * len(ends), none + [x[3] for x in ends], trees + [x[1] for x in ends], none + [x[2] for x in ends]]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names)
         if before is not None:
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([last, None, None, part, edge["last"], before[0], before[1].tobytes()], types)], names)
@@ -175,8 +177,8 @@ def tries(texts: DataFrame) -> DataFrame:
     order = Window.orderBy("part", "end")
     ends = rows.filter("part is not null").select("a", F.lag("a").over(order).alias("b"), "tree", "label", "end", F.lag("tree").over(order).alias("tree_before"), F.lag("label").over(order).alias("label_before"))
     agree = [(F.substring("label", 1, d * MINIMUM_BYTES) == F.substring("label_before", 1, d * MINIMUM_BYTES)).cast("int") for d in range(1, DEEPEST + 1)]
-    ends = ends.filter(f"end = {edge['first']} and tree = tree_before").select("a", "b", sum(agree[1:], agree[0]).alias("level")).filter(F.col("level") >= SHORTEST)
-    return rows.filter("part is null").select("a", "b", "level").unionByName(ends)
+    ends = ends.filter(f"end = {edge['first']} and tree = tree_before").select("a", "b", "tree", sum(agree[1:], agree[0]).alias("level")).filter(F.col("level") >= SHORTEST)
+    return rows.filter("part is null").select("a", "b", "tree", "level").unionByName(ends)
 
 
 def compare(sets: list[np.ndarray], counts: np.ndarray, sides: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -281,12 +283,6 @@ def verify(rows: DataFrame, threshold: float, width: int = WIDTH, block: int = B
     return rows.mapInArrow(run, "node binary, n_links long, root binary, bin int")
 
 
-def spread(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
-    """Join on ``key``, unique on the right; a key of many rows on the left is met in SALTS tasks, dealt by ``by``."""
-    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(right, [key, "_salt"], how).drop("_salt")
-
-
 def text_classes(docs: DataFrame, rows: DataFrame, threshold: float, recall: float, width: int) -> DataFrame:
     """``(node, doc, copies, links, class_id, head)`` of every distinct shingle set of ``rows`` (``docs`` digested).
 
@@ -295,7 +291,7 @@ def text_classes(docs: DataFrame, rows: DataFrame, threshold: float, recall: flo
     known = rows.filter("size > 0 and doc_id is not null")
     texts = known.groupBy(F.col("digest").alias("node")).agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.first("labels").alias("labels"))
     texts = saved(texts, "texts")
-    edges = saved(tries(texts).distinct(), "edges")
+    edges = saved(tries(texts), "edges")
     deep = {r["level"]: r["count"] for r in edges.groupBy("level").count().collect()}  # a row a level
     links: dict[int, int] = {}
     checked, groups = [], None
@@ -308,11 +304,11 @@ def text_classes(docs: DataFrame, rows: DataFrame, threshold: float, recall: flo
         if not waiting or (checked and level > SHORTEST and reached(links, level, threshold) < recall):
             continue
         waiting = 0
-        found = components(edges.filter(F.col("level") >= level).select("a", "b"))
+        found = saved(components_of_some_first(edges.filter(F.col("level") >= level), F.col("tree") < FIRST_TREES), "groups")
         found = found if groups is None else found.join(groups.select("node", F.col("root").alias("sub")), "node", "left")
         found = found.select("node", "root", F.coalesce("sub", "node").alias("sub") if groups is not None else F.col("node").alias("sub"))
         sizes = found.groupBy("root").agg(F.count("*").alias("members"), F.min("sub").alias("low"), F.max("sub").alias("high")).filter("low < high").select("root", "members")
-        members = spread(found, sizes, "root", "node").select("node", F.col("root").alias("grp"), "members", "sub")
+        members = spread(found, sizes, ["root"], "node").select("node", F.col("root").alias("grp"), "members", "sub")
         members = members.join(texts.select("node", "doc", "copies"), "node")
         chosen = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(members, "doc")
         part = saved(verify(chosen, threshold, width), "links")
@@ -330,7 +326,7 @@ def text_classes(docs: DataFrame, rows: DataFrame, threshold: float, recall: flo
     classes = components(pairs.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     linked = classes.join(texts.select("node", "doc"), "node")
     heads = linked.groupBy("root").agg(F.min(F.struct("doc", "node")).alias("first"))
-    linked = spread(linked.select("node", "root"), heads, "root", "node").select("node", F.col("first.doc").alias("class_id"), (F.col("first.node") == F.col("node")).alias("head"))
+    linked = spread(linked.select("node", "root"), heads, ["root"], "node").select("node", F.col("first.doc").alias("class_id"), (F.col("first.node") == F.col("node")).alias("head"))
     out = texts.select("node", "doc", "copies").join(counted, "node", "left").join(linked, "node", "left")
     return out.select("node", "doc", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("class_id", "doc").alias("class_id"), F.coalesce("head", F.lit(True)).alias("head"))
 
