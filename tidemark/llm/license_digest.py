@@ -6,7 +6,8 @@ known licences. Beside the entire document, each entire line is looked up too, a
 
 Defined results: a null or empty text has the digest of the empty form and fits nothing; repeated
 rows are scanned alike; an empty table gives no rows. Two known texts with one canonical form are
-one licence, the first by name.
+one licence, the first by name. ``scan`` takes other lists of texts and of canonical digests, which
+may come from a table.
 """
 
 from __future__ import annotations
@@ -39,6 +40,26 @@ KNOWN = [
 ]
 
 
+# SHA-256 of the canonical form of long licences' entire texts, as their stewards publish them; (name, digest).
+KNOWN_DIGESTS = [
+    ("Apache-2.0", "1503ed7ce6c2188ed269646562607a76b5c74bff588f36b20862ee3af525f3ea"),
+    ("Artistic-1.0-Perl", "bc4d0c00d493021b9f3b1041689fa28b4bf980cf2e37601f7cb475a7265e3b93"),
+    ("BSD-3-Clause", "3d151449461c0c776e892a4dc41cac0d251eb00c9fc49d2d48802d9bed818fe9"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "b6270c129be9b0e0172ebf4f39b974d927f155b0569e6689a4fd15068977ecdd"),
+    ("GFDL-1.3", "7a546845f0b9175c013adbd275ab046668c2cd62fa85809f866f6d3218d6adcd"),
+    ("GPL-1.0", "37f380f152339f34a15db620545eb53f0b5c7d9e6a9542aa09ed0d22f186920f"),
+    ("GPL-2.0", "ae2be2aaa68f5e52ef402874fc8c7c691879b445cb12e49d84f88168cc2d7dd6"),
+    ("GPL-3.0", "42b67f6c2a10d2b6cb4c48a2c1a454953ad6d664174e0493c9d92e45feb4b408"),
+    ("LGPL-2.0", "bea988245c65edbddad6f43ff12ca2472c232324e916d42648b90eac944d833e"),
+    ("LGPL-2.1", "ed875dac9045cba09a17867210991f3a4a82f80b82096b054560a3a8dae9d692"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "a1b36de49a400e3d3385d5987188db954a084f9876243aa7207cd91de3f24a7b"),
+    ("MPL-2.0", "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a"),
+]
+MOST_KNOWN = 10_000  # known texts and digests; the list is broadcast
+
+
 def canonical_lines(text: Column) -> Column:
     """The canonical form of each line: lower-case words in one spelling, with single spaces."""
     out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "\n")
@@ -48,28 +69,36 @@ def canonical_lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(out, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
-    """``(digest, license, size)``; the list is part of the caller's program, so its size is known."""
+def known_digests(spark: SparkSession, known=KNOWN, digests=KNOWN_DIGESTS) -> DataFrame:
+    """``(digest, license, size)`` of texts (license, text) and of canonical digests (license, digest); size is null for the latter."""
     rows = spark.createDataFrame(list(known), "license string, text string").select("license", F.array_join(canonical_lines(F.col("text")), " ").alias("form"))
-    return rows.groupBy(F.sha2("form", 256).alias("digest"), F.length("form").alias("size")).agg(F.min("license").alias("license"))
+    rows = rows.select("license", F.sha2("form", 256).alias("digest"), F.length("form").alias("size"))
+    told = spark.createDataFrame(list(digests), "license string, digest string").withColumn("size", F.lit(None).cast("int"))
+    return rows.unionByName(told).groupBy("digest").agg(F.min("license").alias("license"), F.max("size").alias("size"))
 
 
-def scan(docs: DataFrame, known=KNOWN) -> DataFrame:
+def scan(docs: DataFrame, known=KNOWN, digests=KNOWN_DIGESTS) -> DataFrame:
     """Per document: digest of its canonical form, the licence it is as a whole, and those its lines name.
 
-    No text is moved: only lines that are a known text, and digests, are shuffled.
+    The canonical form is computed once and nothing is shuffled: the whole text's digest meets the
+    known ones in a broadcast hash join, and lines as long as a known text are looked up by digest
+    where they are.
     """
-    table = known_digests(docs.sparkSession, known)
-    lookup = F.broadcast(table)
-    low, high = table.agg(F.min("size"), F.max("size")).first()
-    # the generator keeps the lines in one evaluation for both uses
+    table = known_digests(docs.sparkSession, known, digests)
+    rows = table.limit(MOST_KNOWN + 1).collect()
+    if len(rows) > MOST_KNOWN:
+        raise ValueError(f"more than {MOST_KNOWN} known texts")
+    sizes = sorted({r["size"] for r in rows if r["size"] is not None})
+    names = {r["digest"]: r["license"] for r in rows if r["size"] is not None}
+    # the generators keep the lines, and the digests of some, in one evaluation
     one = docs.select("doc_id", F.explode(F.array(canonical_lines(F.col("text")))).alias("lines"))
-    one = one.select("doc_id", "lines", F.sha2(F.array_join("lines", " "), 256).alias("digest"))
-    whole = one.select("doc_id", "digest").join(lookup.select("digest", "license"), "digest", "left")
-    lines = one.select("doc_id", "digest", F.explode(F.filter("lines", lambda x: F.length(x).between(low, high))).alias("line"))
-    named = lines.join(lookup.select(F.col("digest").alias("line_digest"), F.col("license").alias("named")), F.sha2("line", 256) == F.col("line_digest"))
-    # equal rows name the same licences, so ids that repeat with the same text are told apart by nothing
-    named = named.groupBy("doc_id", "digest", "named").agg(F.count("*").alias("n")).groupBy("doc_id", "digest").agg(F.array_join(F.sort_array(F.collect_set("named")), ",").alias("notices"))
-    named = named.select(F.col("doc_id").alias("at"), F.col("digest").alias("of"), "notices")
-    out = whole.join(named, F.col("doc_id").eqNullSafe(F.col("at")) & (F.col("digest") == F.col("of")), "left")
-    return out.select("doc_id", "digest", "license", "notices")
+    digest = lambda x: F.sha2(x, 256)
+    if names:
+        hits = F.filter(F.transform(F.filter("lines", lambda x: F.length(x).isin(sizes)), digest), lambda x: x.isin(list(names)))
+    else:
+        hits = F.array().cast("array<string>")
+    one = one.select("doc_id", digest(F.array_join("lines", " ")).alias("digest"), F.explode(F.array(F.array_distinct(hits))).alias("hits"))
+    by_digest = F.create_map(*[F.lit(x) for pair in sorted(names.items()) for x in pair]) if names else F.create_map(F.lit(""), F.lit(""))
+    named = F.array_join(F.array_sort(F.array_distinct(F.transform("hits", lambda x: F.try_element_at(by_digest, x)))), ",")
+    out = one.join(F.broadcast(table.select("digest", "license")), "digest", "left")
+    return out.select("doc_id", "digest", "license", F.when(F.size("hits") > 0, named).alias("notices"))
