@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own_roots: dict[str, str] = {}
+from tidemark.functions.session import work_folder
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder URI below ``spark.checkpoint.dir``; one of our own only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        app = spark.sparkContext.applicationId
-        root = _own_roots.setdefault(app, "file://" + tempfile.mkdtemp(prefix="tidemark-"))
-    return f"{root.rstrip('/')}/tidemark-{label}-{uuid.uuid4().hex[:12]}"
+    """A new folder URI below ``spark.checkpoint.dir``, which all executors share."""
+    return work_folder(spark, label)
 
 
 def saved(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:

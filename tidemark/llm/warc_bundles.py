@@ -7,8 +7,8 @@ record to its bundle, frame and place in the plain frame.
 Defined results: a null html is an empty payload, a null url an empty target; rows are written in
 the order of page_id in each task; repeated page_ids are repeated records. Of records with equal
 payloads of ``least`` bytes or more, those of the largest page_id are responses and all others
-revisit it. A row without page_id is written and takes part like page_id -1. An empty table gives
-no bundle.
+revisit it. A row without page_id is written and revisits a page that has one and the same payload;
+where none has one, rows without page_id are responses. An empty table gives no bundle.
 """
 
 from __future__ import annotations
@@ -19,30 +19,42 @@ import struct
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tidemark.llm.components import spread
 from tidemark.llm.store import open_files, saved, scratch, write_file
 
 FRAME = 1 << 20
+MOST_BROADCAST = 500_000  # shared digests (about 60 bytes each) that are sent to all tasks
 # Fixed values of the seekable format: magic numbers of the skippable frame and of its footer.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def classify(pages: DataFrame, least: int = 1000) -> DataFrame:
-    """page_id, url, payload, payload_digest, record_type, refers_to of every page."""
-    rows = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(-1)).alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
+def classify(pages: DataFrame, least: int = 1000, most: int = MOST_BROADCAST) -> DataFrame:
+    """page_id, url, payload, payload_digest, record_type, refers_to of every page.
+
+    Payloads shared by pages are found by (digest, id) pairs alone. Up to ``most`` such digests are
+    broadcast to where the payloads are. More are first joined with the pairs, and each page then
+    meets its own answer, so no digest gathers the payloads of its copies.
+    """
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("payload_digest", F.sha1("payload")).withColumn("n", F.octet_length("payload"))
-    # only (digest, id) pairs are shuffled, summed before they are sent
-    shared = rows.filter(F.col("n") >= least).groupBy("payload_digest", "n").agg(F.max("page_id").alias("last"), F.min("page_id").alias("low")).filter("low < last").drop("low")
-    rows = rows.join(shared, ["payload_digest", "n"], "left")
-    later = F.col("last").isNotNull() & (F.col("last") != F.col("page_id"))
+    keys = rows.filter(F.col("n") >= least).select("page_id", "payload_digest", "n")
+    shared = keys.groupBy("payload_digest", "n").agg(F.max("page_id").alias("last"), F.count("*").alias("copies")).filter("copies > 1 and last is not null")
+    shared = saved(shared.select("payload_digest", "n", "last"), "warc-shared")
+    if shared.count() <= most:
+        rows = rows.join(F.broadcast(shared), ["payload_digest", "n"], "left")
+    else:
+        told = spread(keys.distinct(), shared, ["payload_digest", "n"], "page_id").select(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_digest"), "last")
+        rows = rows.join(told, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("payload_digest") == F.col("_digest")), "left")
+    later = F.col("last").isNotNull() & ~F.col("last").eqNullSafe(F.col("page_id"))
     return rows.select("page_id", "url", "payload", "payload_digest", F.when(later, "revisit").otherwise("response").alias("record_type"), F.when(later, F.col("last")).alias("refers_to"))
 
 
-def record(page_id: int, url: str, payload: bytes, digest: str, kind: str, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str, payload: bytes, digest: str, kind: str, refers_to: int | None) -> bytes:
     """One WARC/1.1 record; a revisit has no payload."""
     url = url.replace("\r", "%0D").replace("\n", "%0A")
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {url}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {url}",
         f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: text/html; charset=utf-8",
     ]
     if kind == "revisit":
@@ -64,6 +76,11 @@ def parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     return head, data[body:upto], upto + 4
 
 
+def page_of(record_id: str) -> int | None:
+    number = record_id[len("<urn:page:") : -1]
+    return int(number) if number else None
+
+
 def write_bundle(uri: str, records) -> tuple[str, list[tuple[int, int, int]]]:
     """Write ``(page_id, bytes)``; the URI and, for each record, page_id, frame, place in the frame."""
     import zstandard
@@ -165,7 +182,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                 for i, data in read_frames(bundle, wanted):
                     for at in wanted[i]:
                         head, body, _ = parse(data, at)
-                        digest, page = head["WARC-Payload-Digest"].removeprefix("sha1:"), int(head["WARC-Record-ID"][len("<urn:page:") : -1])
+                        digest, page = head["WARC-Payload-Digest"].removeprefix("sha1:"), page_of(head["WARC-Record-ID"])
                         if head["WARC-Type"] == "response":
                             if hashlib.sha1(body).hexdigest() != digest:
                                 raise ValueError(f"page {page} is damaged")
@@ -176,6 +193,6 @@ def read_archives(manifest: DataFrame) -> DataFrame:
 
     rows = frames.repartition("bundle", F.floor(F.col("frame") / 16)).mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
     rows = saved(rows, "warc-read")
-    sizes = rows.filter("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("size"))
-    revisits = rows.filter("record_type = 'revisit'").join(sizes, ["refers_to", "payload_digest"], "left").withColumn("payload_bytes", F.col("size"))
-    return rows.filter("record_type = 'response'").unionByName(revisits.select(rows.columns)).withColumn("page_id", F.nullif("page_id", F.lit(-1)))
+    sizes = rows.filter("record_type = 'response' and page_id is not null").groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("size"))
+    revisits = spread(rows.filter("record_type = 'revisit'"), sizes, ["refers_to", "payload_digest"], "page_id", "left").withColumn("payload_bytes", F.col("size"))
+    return rows.filter("record_type = 'response'").unionByName(revisits.select(rows.columns))
