@@ -5,6 +5,7 @@ import hashlib
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from fixtures import no_docs, odd_docs
@@ -47,6 +48,14 @@ def test_url_rules_aliases_and_odd_urls(spark):
     assert got[3][2:] == (None, "block") and got[4][3] == "block" and got[5][3] == "block" and got[6][2:] == ("com/", "allow")
     assert got[7] == ("", "", None, "allow") and got[8][:2] == ("", "") and got[9] == ("notexample.com", "", None, "allow") and got[10][3] == "allow" and got[11][3] == got[12][3] == "block" and got[None][2:] == ("net/es/", "block")
     assert url_filter.judge(df.limit(0), RULES).count() == 0
+    odd = [("/dir/a", "b"), ("/dir/c", "./x/../b"), ("/dir/sub/d", "../b#part"), ("/e?p=1", "?p=2"), ("/f", "HTTP://R.org/dir/b?x=1&amp;y=2"), ("/g", "//R.ORG/dir/b"), ("/h/", "../dir/b"), ("/i", "#top"), ("", "dir/b")]
+    rows = [(i, f"http://r.org{at}", link.format(to), "x") for i, (at, to) in enumerate(odd)] + [(20, "http://r.org/dir/b", link.format("http://y.net/fr/p"), "x"), (21, "http://r.org/e?p=2", link.format("//y.net/fr/"), "x"), (22, "http://r.org/j", '<BASE href="/dir/">' + link.format("b"), "x"), (23, "http://r.org/dir/b?x=1&y=2", link.format("b"), "x"), (24, "http://r.org/dir/b#z", "", "x")]
+    more = spark.createDataFrame(rows, df.schema)
+    got_more = {r["page_id"]: r["verdict"] for r in url_filter.judge(more, RULES).collect()}
+    assert got_more == {i: "allow" if i == 7 else "block" for i in [*range(9), *range(20, 25)]}
+    con = duckdb.connect()
+    con.register("pages", more.toPandas())
+    assert dict(con.execute(f"SELECT page_id, verdict FROM ({ORACLES['op1_url_filter']})").fetchall()) == got_more
     many = RULES + [("block", f"host{i}.org", "/") for i in range(300)]
     assert {r["page_id"]: r["verdict"] for r in url_filter.judge(df, many).collect()} == {k: v[3] for k, v in got.items()}
 
@@ -123,6 +132,14 @@ def test_warc_round_trip_and_seeking(spark):
         revisit = len(payload) >= 1000 and last is not None and page_id != last
         expected.append((page_id, len(payload), hashlib.sha1(payload).hexdigest(), "revisit" if revisit else "response", last if revisit else None))
     assert got == sorted(expected, key=str)
+    extra = [(-1, "http://m", "w" * 1200), (-2, "http://o", "w" * 1200), (None, "http://n", "w" * 1200), (None, None, "q" * 1200), (None, None, "q" * 1200)]
+    both_ways = []
+    for most in (10, 0):
+        rows = warc_bundles.classify(spark.createDataFrame([(*p, 1) for p in pages + extra], df.schema), most=most)
+        both_ways.append(sorted((str(r["page_id"]), r["payload_digest"], r["record_type"], r["refers_to"] or 0) for r in rows.collect()))
+    assert both_ways[0] == both_ways[1]
+    odd_ids = warc_bundles.read_archives(warc_bundles.write_archives(spark.createDataFrame([(*p, 1) for p in extra], df.schema))).collect()
+    assert sorted(((r["page_id"], r["record_type"], r["refers_to"]) for r in odd_ids), key=str) == sorted([(-1, "response", None), (-2, "revisit", -1), (None, "revisit", -1), (None, "response", None), (None, "response", None)], key=str)
     row = manifest.filter("page_id = 2").first()
     data = dict(warc_bundles.read_frames(row["bundle"], [row["frame"]]))[row["frame"]]
     head, body, _ = warc_bundles.parse(data, row["offset"])
@@ -357,6 +374,9 @@ def test_whole_licences_in_other_spelling(spark):
     df = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, license string")
     got = {(r["doc_id"], r["license"], r["notices"]) for r in license_digest.scan(df).collect()}
     assert got == {(1, "MIT", None), (2, "MIT", "MIT"), (3, None, "CC-BY-NC-4.0"), (4, None, None), (5, None, None), (6, None, None)}
+    long = spark.createDataFrame([(1, "Some Long\tLicence\n\n  of words"), (2, "nothing")], "doc_id int, text string")
+    form = license_digest.scan(long).filter("doc_id = 1").first()["digest"]
+    assert {r["doc_id"]: r["license"] for r in license_digest.scan(long, digests=[("LONG", form)]).collect()} == {1: "LONG", 2: None} and license_digest.scan(long, known=[("x", "y")], digests=[("z", form)]).count() == 2
     assert license_digest.scan(df).count() == 7 and license_digest.scan(df.limit(0)).count() == 0
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.llm.license_digest import COPYRIGHT_LINE, KNOWN, SPELLINGS
+from tidemark.llm.license_digest import COPYRIGHT_LINE, KNOWN, KNOWN_DIGESTS, SPELLINGS
 
 _HOST = "translate(regexp_extract({u}, '^[\\s\\S]*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PATH = "regexp_extract({u}, '^[\\s\\S]*?://[^/?#]*([^?#]*)', 1)"
 
 
@@ -17,14 +18,25 @@ def url_filter(rules) -> str:
     """Alias edges, their closure, and the verdicts; closure by recursion over distinct pairs."""
     action, rule = (lambda h, p: _rule_case(rules, h, p, lambda r: r[0])), (lambda h, p: _rule_case(rules, h, p, lambda r: r[1] + r[2]))
     tags = r"(?i)<link\b[^>]*\brel\s*=\s*[\"'']?canonical\b[^>]*>|<meta\b[^>]*\bhttp-equiv\s*=\s*[\"'']?refresh\b[^>]*>"
+    link, jump = r"(?i)\bhref\s*=\s*[\"'']?([^\"''\s>]+)", r"(?i)\burl\s*=\s*([^\"''\s>]+)"
+    ground = r"(?i)<base\b[^>]*?\bhref\s*=\s*[\"'']?([^\"''\s>]+)"
+    clean = lambda x: f"replace(trim({x}), '&amp;', '&')"
+    site, rest = (lambda u: f"regexp_extract({u}, '^[^:/?#]+://[^/?#]*')"), (lambda u: f"regexp_extract({u}, '^[^:/?#]+://[^/?#]*([^?#]*)', 1)")
+    query = lambda u: f"regexp_extract({u}, '^[^?#]*([?][^#]*)', 1)"
+    dots = lambda x: f"list_reduce(list_prepend('', string_split({x}, '/')[2:]), lambda a, s: CASE WHEN s = '..' THEN regexp_replace(a, '/[^/]*$', '') WHEN s = '.' THEN a ELSE a || '/' || s END) || CASE WHEN regexp_matches({x}, '/[.][.]?$') THEN '/' ELSE '' END"
+    plain = lambda u: f"CASE WHEN regexp_matches({u}, '^[^:/?#]+://') THEN translate({site(u)}, '{_UPPER}', '{_LOWER}') || ({dots(f'CASE WHEN {rest(u)} = {chr(39) * 2} THEN {chr(39)}/{chr(39)} ELSE {rest(u)} END')}) || {query(u)} END"
+    meet = lambda base, t: f"""CASE WHEN regexp_matches({t}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN {t} WHEN starts_with({t}, '//') THEN regexp_extract({base}, '^[^:]*:') || {t} WHEN starts_with({t}, '/') THEN {site(base)} || {t}
+    WHEN starts_with({t}, '?') THEN {site(base)} || {rest(base)} || {t} WHEN {t} = '' OR starts_with({t}, '#') THEN NULL ELSE {site(base)} || regexp_replace('/' || ltrim(regexp_replace({rest(base)}, '[^/]*$', ''), '/'), '/*$', '/') || {t} END"""
     return f"""WITH RECURSIVE p AS (SELECT page_id, url, coalesce({_HOST.format(u='url')}, '') AS host, coalesce({_PATH.format(u='url')}, '') AS path FROM pages),
-  tag AS (SELECT url, unnest(regexp_extract_all(html, '{tags}')) AS t FROM pages),
-  edge AS (SELECT url AS a, trim(CASE WHEN regexp_extract(t, '(?i)\\bhref\\s*=\\s*[\"'']?([^\"''\\s>]+)', 1) <> '' THEN regexp_extract(t, '(?i)\\bhref\\s*=\\s*[\"'']?([^\"''\\s>]+)', 1)
-    ELSE regexp_extract(t, '(?i)\\burl\\s*=\\s*([^\"''\\s>]+)', 1) END) AS b FROM tag),
-  sides AS (SELECT a, b FROM edge WHERE contains(b, '://') UNION SELECT b, a FROM edge WHERE contains(b, '://')),
+  based AS (SELECT url, html, {clean(f"regexp_extract(html, '{ground}', 1)")} AS b FROM pages),
+  tag AS (SELECT url, CASE WHEN b = '' THEN url ELSE coalesce({meet('url', 'b')}, url) END AS base, unnest(regexp_extract_all(html, '{tags}')) AS t FROM based),
+  raw AS (SELECT url, base, {clean(f"CASE WHEN regexp_extract(t, '{link}', 1) <> '' THEN regexp_extract(t, '{link}', 1) ELSE regexp_extract(t, '{jump}', 1) END")} AS t FROM tag),
+  far AS (SELECT url, {meet('base', 't')} AS target FROM raw),
+  edge AS (SELECT {plain('url')} AS a, {plain('target')} AS b FROM far),
+  sides AS (SELECT a, b FROM edge WHERE a <> b UNION SELECT b, a FROM edge WHERE a <> b),
   reach AS (SELECT a, b FROM sides UNION SELECT r.a, x.b FROM reach r JOIN sides x ON r.b = x.a),
   bad AS (SELECT DISTINCT a FROM reach WHERE {action(_HOST.format(u='b'), _PATH.format(u='b'))} = 'block')
-  SELECT page_id, host, path, {rule('host', 'path')} AS rule, coalesce({action('host', 'path')}, CASE WHEN url IN (SELECT a FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM p"""
+  SELECT page_id, host, path, {rule('host', 'path')} AS rule, coalesce({action('host', 'path')}, CASE WHEN {plain('url')} IN (SELECT a FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM p"""
 
 
 WARC = """WITH r AS (SELECT page_id, sha1(coalesce(html, '')) AS payload_digest, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages),
@@ -71,7 +83,9 @@ def _canonical(text: str) -> str:
 def license_digest() -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     values = ", ".join(f"({quoted(n)}, {quoted(t)})" for n, t in KNOWN)
+    told = ", ".join(f"({quoted(n)}, '{d}')" for n, d in KNOWN_DIGESTS)
     return f"""WITH known AS (SELECT array_to_string({_canonical('t')}, ' ') AS form, min(n) AS license FROM (VALUES {values}) v(n, t) GROUP BY 1),
+  whole AS (SELECT digest, min(license) AS license FROM (SELECT sha256(form) AS digest, license FROM known UNION ALL SELECT digest, license FROM (VALUES {told}) v(license, digest)) GROUP BY digest),
   d AS (SELECT doc_id, {_canonical('text')} AS lines FROM documents),
   named AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM (SELECT doc_id, unnest(lines) AS line FROM d) x JOIN known ON known.form = x.line GROUP BY doc_id)
-  SELECT d.doc_id, sha256(array_to_string(lines, ' ')) AS digest, known.license, notices FROM d LEFT JOIN known ON known.form = array_to_string(lines, ' ') LEFT JOIN named ON named.doc_id = d.doc_id"""
+  SELECT d.doc_id, sha256(array_to_string(lines, ' ')) AS digest, whole.license, notices FROM d LEFT JOIN whole ON whole.digest = sha256(array_to_string(lines, ' ')) LEFT JOIN named ON named.doc_id = d.doc_id"""

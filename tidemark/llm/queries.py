@@ -20,7 +20,8 @@ def tokenizer() -> str:
 
 
 def held_out(doc_id="doc_id"):
-    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5)) == 0
+    """Whether a row is kept from training; one without doc_id counts as the empty text, so it is."""
+    return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -227,7 +227,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Mode
     if not bad or bad == n:
         return Model(coefficients=[math.log((bad + 0.5) / (n - bad + 0.5)) if n else -20.0] + [0.0] * (FEATURES - 1))
     words = texts.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), 0))).alias("word"))
-    counts = words.filter(F.length("word") <= 40).groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("bad"))
+    counts = words.groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("bad"))
     precision = (F.col("bad") + 0.5) / (F.col("n") + 1)
     chosen = counts.filter((F.col("bad") >= max(LEAST_SUPPORT, LEAST_SHARE * bad)) & (precision >= LEAST_PRECISION) & (F.length("word") >= 3))
     chosen = chosen.orderBy(F.desc("bad"), "word").collect()  # words of at most ``rows`` texts that have the support

@@ -60,17 +60,54 @@ def _joined_rule(rows: DataFrame, rules: list[tuple[str, str, str]]) -> DataFram
     return rows.join(best.select("host", "path", "best.rule", "best.action"), ["host", "path"], "left")
 
 
+_SITE, _QUERY = r"^([^:/?#]+://[^/?#]*)", r"^[^?#]*(\?[^#]*)"
+_PATH_OF = r"^[^:/?#]+://[^/?#]*([^?#]*)"
+_TAG = r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>|<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)"
+
+
+def normal(url: Column) -> Column:
+    """One form for urls that name one page: scheme and host in lower case, no fragment, no dot segments; null without scheme and host."""
+    path = F.regexp_extract(url, _PATH_OF, 1)
+    path = F.when(path == "", "/").otherwise(path)
+    parts = F.split(path, "/")
+    walked = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), F.lit(""), lambda a, s: F.when(s == "..", F.regexp_replace(a, "/[^/]*$", "")).when(s == ".", a).otherwise(F.concat(a, F.lit("/"), s)))
+    walked = F.concat(walked, F.when(path.rlike(r"/\.\.?$"), "/").otherwise(""))
+    site = F.translate(F.regexp_extract(url, _SITE, 1), _UPPER, _LOWER)
+    return F.when(url.rlike(_SITE), F.concat(site, walked, F.regexp_extract(url, _QUERY, 1)))
+
+
+def resolved(base: Column, link: Column) -> Column:
+    """The url that a link on a page at ``base`` leads to; null for a link to the page itself."""
+    site, path = F.regexp_extract(base, _SITE, 1), F.regexp_extract(base, _PATH_OF, 1)
+    folder = F.concat(F.regexp_replace(F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace(path, "[^/]+$", ""), "^/+", "")), "/+$", ""), F.lit("/"))
+    return (
+        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), link)
+        .when(link.startswith("//"), F.concat(F.regexp_extract(base, "^([^:]*:)", 1), link))
+        .when(link.startswith("/"), F.concat(site, link))
+        .when(link.startswith("?"), F.concat(site, path, link))
+        .when((link != "") & ~link.startswith("#"), F.concat(site, folder, link))
+    )
+
+
+def _attribute(tag: Column, pattern: str) -> Column:
+    return F.replace(F.trim(F.regexp_extract(tag, pattern, 1)), F.lit("&amp;"), F.lit("&"))
+
+
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """``(url, target)`` for each canonical link or redirect in the html; relative targets get the page's host."""
-    html, url = F.col("html"), F.col("url")
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>|<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)"), 1)
-    marked = pages.filter(html.rlike(r"(?i)canonical|http-equiv")).select("url", F.explode(tags).alias("tag"))
-    href = F.regexp_extract("tag", r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    jump = F.regexp_extract("tag", r"(?is)\bcontent\s*=\s*[\"']?[^\"'>]*?\burl\s*=\s*([^\"'\s>]+)", 1)
-    target = F.trim(F.when(href != "", href).otherwise(jump))
-    site = F.regexp_extract(url, r"^([^:]*://[^/?#]*)", 1)
-    target = F.when(target.startswith("//"), F.concat(F.regexp_extract(url, r"^([^:]*:)", 1), target)).when(target.startswith("/"), F.concat(site, target)).otherwise(target)
-    return marked.select("url", target.alias("target")).filter(F.col("target").contains("://") & (F.col("target") != url)).distinct()
+    """``(url, target)`` in normal form for each canonical link or redirect in the html.
+
+    Relative targets are resolved against ``<base>``, if the page has one, and the page's url.
+    """
+    html = F.col("html")
+    marked = pages.filter(html.rlike(r"(?i)canonical|http-equiv"))
+    ground = _attribute(html, r"(?is)<base\b[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)")
+    base = F.when(ground == "", F.col("url")).otherwise(F.coalesce(resolved(F.col("url"), ground), "url"))
+    tags = marked.select("url", base.alias("base"), F.explode(F.regexp_extract_all(html, F.lit(_TAG), 1)).alias("tag"))
+    href = _attribute(F.col("tag"), r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)")
+    jump = _attribute(F.col("tag"), r"(?is)\burl\s*=\s*([^\"'\s>]+)")
+    links = tags.select("url", "base", F.when(href != "", href).otherwise(jump).alias("link"))
+    edges = links.select(normal(F.col("url")).alias("url"), normal(resolved(F.col("base"), F.col("link"))).alias("target"))
+    return edges.filter(F.col("url") != F.col("target")).distinct()
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], edges: DataFrame | None = None) -> DataFrame:
@@ -80,13 +117,13 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], edges: DataFrame
     """
     links = alias_edges(pages)
     if edges is not None:
-        links = links.unionByName(edges.select("url", "target"))
+        links = links.unionByName(edges.select(normal(F.col("url")).alias("url"), normal(F.col("target")).alias("target")))
     rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rows = with_rule(rows, rules)
     roots = components(links.select(F.col("url").alias("a"), F.col("target").alias("b")))
     nodes = roots.select(F.col("node").alias("url"), "root", host_of(F.col("node")).alias("host"), path_of(F.col("node")).alias("path"))
     blocked = with_rule(nodes, rules).groupBy("root").agg(F.max(F.col("action") == "block").alias("bad")).filter("bad").select("root")
     aliases = roots.join(blocked, "root", "left_semi").select(F.col("node").alias("url"), F.lit(True).alias("by_alias"))
-    rows = rows.join(aliases, "url", "left")
+    rows = rows.withColumn("node", normal(F.col("url"))).join(aliases.withColumnRenamed("url", "node"), "node", "left")
     by_alias = F.col("action").isNull() & F.coalesce("by_alias", F.lit(False))
     return rows.select("page_id", "host", "path", "rule", F.coalesce("action", F.when(by_alias, "block").otherwise("allow")).alias("verdict"), by_alias.alias("by_alias"))
