@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, with all their columns;
 ``run`` writes each stage's result as Parquet in the shared folder and gives what is read back to
 the next stage. The last stage returns the packed pieces.
+
+Defined results, of all stages: a null or empty text is kept as it is, and packed as its end id
+alone; a row without doc_id is kept by every stage that its text does not fail; rows are never
+merged, so repeated rows pass together, but for ``one_of_each_group``; extra columns come through
+whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -16,29 +21,41 @@ from tidemark.llm.store import saved
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below one half; the model learns from the labelled rows of four folds."""
+    """Documents that score below one half; the model learns from the labelled rows of four folds.
+
+    A text without words, or a null one, has the score of no hits. Equal texts share their fate.
+    """
     ship(spark)
     model = toxicity.learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").filter(~held_out()))
     return toxicity.below(docs, model, 0.5)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the least id."""
+    """Of each group of near duplicates, the document with the least id.
+
+    Where rows share an id, each text is judged by itself; of rows with one id and one text, one stays.
+    """
     return lsh_forest.keep_one(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the 50-byte strings that a document with a smaller id has."""
+    """Texts without the 50-byte strings that a document with a smaller id has.
+
+    No row goes. Rows with one id leave each other's text alone; a row without id comes after all others.
+    """
     return suffix_dedup.cleaned(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark.
+
+    Rows that share an id go together; those without one are one document in this. Null and empty items fit nothing.
+    """
     return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in windows of 1024 tokens."""
+    """The pieces of all documents in windows of 1024 tokens, rows with one id in order of text."""
     return packing.pack(docs, tokenizer())
 
 
