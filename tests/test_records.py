@@ -31,7 +31,56 @@ def test_versions_switch_whole(spark, tmp_path):
     assert t.read() is None
     t.write(spark.range(3))
     t.write(spark.range(5))
-    assert t.read().count() == 5
+    assert t.read().count() == 5 and t.versions() == [1, 2]
+
+
+def test_a_crash_between_any_steps_leaves_the_version_before(spark, tmp_path, monkeypatch):
+    t = store.VersionedTable(spark, f"file://{tmp_path}/t")
+    t.write(spark.range(3))
+    with monkeypatch.context() as m:
+        m.setattr(t, "_publish", lambda *_: 1 / 0)  # data is written, its name is not
+        for step in (lambda: t.write(spark.range(9)), lambda: t.merge(spark.range(9), ["id"], ["id"])):
+            try:
+                step()
+            except ZeroDivisionError:
+                pass
+    (tmp_path / "t" / "_draft-x").write_text("")  # the file is there, not its name
+    assert t.read().count() == 3
+    assert t.write(spark.range(4)) == 2 and t.read().count() == 4
+    try:
+        t._publish(2, {"whole": "x"})
+        raise AssertionError
+    except RuntimeError:
+        assert t.read().count() == 4
+
+
+def test_merging_rewrites_touched_buckets_alone(spark, tmp_path):
+    t = store.VersionedTable(spark, f"file://{tmp_path}/t")
+    schema = "k int, v string, seq int"
+    t.merge(spark.createDataFrame([(i, "a", 1) for i in range(200)], schema), ["k"], ["seq"], buckets=8)
+    first = t._manifest()[1]["buckets"]
+    t.merge(spark.createDataFrame([(3, "b", 2), (3, "old", 0), (500, "n", 1)], schema), ["k"], ["seq"])
+    second = t._manifest()[1]["buckets"]
+    assert len(first) == 8 and 1 <= sum(first[k] != second[k] for k in first) <= 2
+    got = {r["k"]: r["v"] for r in t.read().collect()}
+    assert got == {i: "a" for i in range(200)} | {3: "b", 500: "n"}
+    t.merge(spark.createDataFrame([], schema), ["k"], ["seq"])
+    assert t.read().count() == 201
+    w = store.VersionedTable(spark, f"file://{tmp_path}/w")
+    w.write(spark.createDataFrame([(1, "a", 1), (2, "a", 1)], schema))
+    w.merge(spark.createDataFrame([(2, "b", 2)], schema), ["k"], ["seq"])
+    assert {r["k"]: r["v"] for r in w.read().collect()} == {1: "a", 2: "b"}
+
+
+def test_deletes_by_source_reach_all_tables_and_the_log_keeps_times(spark):
+    a = spark.createDataFrame([("f1", 1), ("f2", 2)], "source_file string, x int")
+    b = spark.createDataFrame([("f2", "y"), (None, "z")], "source_file string, y string")
+    left = store.delete_sources({"a": a, "b": b}, a.filter("x = 2"))
+    assert [r["x"] for r in left["a"].collect()] == [1] and [r["y"] for r in left["b"].collect()] == ["z"]
+    at = lambda d: F.lit(d).cast("timestamp")
+    log = store.mark_ingested(None, spark.createDataFrame([("p", "h1"), ("q", "h2")], "path string, hash string"), at("2025-01-01"))
+    log = store.mark_ingested(log, spark.createDataFrame([("p", "h3")], "path string, hash string"), at("2025-01-02"))
+    assert {(r["path"], r["hash"], str(r["ingested_at"].date())) for r in log.collect()} == {("p", "h3", "2025-01-02"), ("q", "h2", "2025-01-01")}
 
 
 def test_as_of_before_between_and_equal(spark):

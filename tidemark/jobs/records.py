@@ -353,6 +353,5 @@ def stream_counts(spark, d):
     rows = _streamed(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
     root = work_folder(spark, "counts")
     target = store.VersionedTable(spark, f"{root}/table")
-    counts = ingest.counts_by_window(rows, "ts", "event_type")
-    counts.writeStream.outputMode("complete").foreachBatch(lambda batch, _: target.write(batch)).option("checkpointLocation", f"{root}/log").trigger(availableNow=True).start().awaitTermination()
+    ingest.merge_counts(rows, target, "ts", "event_type", f"{root}/log").awaitTermination()
     return target.read().select(F.col("start").cast("date").alias("day"), "event_type", "n")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -57,42 +58,95 @@ def replace_sources(existing: DataFrame, incoming: DataFrame, source: str, keys:
 
 
 class VersionedTable:
-    """Full versions of a table in a folder, and a pointer that readers follow.
+    """Versions of a table in a folder; the newest complete one is what readers see.
 
-    A version is written whole before the pointer moves, so readers see one version or the other;
-    a job that dies leaves the old one in place.
+    Data is written first, into a folder of its own; then a small file appears under the version's
+    name by one rename, which never replaces another. A job that dies between any two steps leaves
+    the version before in place, and what it wrote is never read. One writer at a time: of two that
+    make the same version the second fails. ``merge`` rewrites only the buckets that a batch touches.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
 
+    def _path(self, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
     def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm
+        return self._path("x").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def versions(self) -> list[int]:
+        fs, root = self._fs(), self._path("x").getParent()
+        names = [f.getPath().getName() for f in fs.listStatus(root)] if fs.exists(root) else []
+        return sorted(int(n.removeprefix("version-")) for n in names if n.startswith("version-"))
+
+    def _manifest(self) -> tuple[int, dict]:
+        known = self.versions()
+        if not known:
+            return 0, {}
+        return known[-1], json.loads(self.spark.read.text(f"{self.path}/version-{known[-1]:012d}", wholetext=True).first()[0])
+
+    def _publish(self, version: int, manifest: dict) -> int:
+        fs, draft = self._fs(), self._path(f"_draft-{uuid.uuid4().hex}")
+        out = fs.create(draft, False)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        name = self._path(f"version-{version:012d}")
+        if fs.exists(name) or not fs.rename(draft, name):
+            raise RuntimeError(f"version {version} of {self.path} has been written by another job")
+        return version
 
-    def _pointer(self) -> dict | None:
-        fs, jvm = self._fs()
-        if not fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT")):
-            return None
-        return json.loads(self.spark.read.text(f"{self.path}/CURRENT", wholetext=True).first()[0])
+    def _parts(self, manifest: dict, buckets=None) -> DataFrame | None:
+        if "whole" in manifest:
+            return self.spark.read.parquet(f"{self.path}/{manifest['whole']}")
+        wanted = [f"{self.path}/{folder}/_bucket={k}" for k, folder in manifest["buckets"].items() if buckets is None or int(k) in buckets]
+        return self.spark.read.parquet(*wanted) if wanted else None
 
     def read(self) -> DataFrame | None:
-        now = self._pointer()
-        return None if now is None else self.spark.read.parquet(f"{self.path}/v{now['version']}")
+        version, manifest = self._manifest()
+        return self._parts(manifest) if version else None
 
     def write(self, rows: DataFrame, partition_by: list[str] | None = None) -> int:
-        version = (self._pointer() or {"version": 0})["version"] + 1
-        writer = rows.write.mode("overwrite")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.path}/v{version}")
-        fs, jvm = self._fs()
-        new, now = (jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}") for n in ("_NEXT", "CURRENT"))
-        out = fs.create(new, True)
-        out.write(bytearray(json.dumps({"version": version}).encode()))
-        out.close()
-        fs.delete(now, False)
-        fs.rename(new, now)
-        return version
+        version = self._manifest()[0] + 1
+        folder = f"data-{version:012d}-{uuid.uuid4().hex[:8]}"
+        writer = rows.write
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.path}/{folder}")
+        return self._publish(version, {"whole": folder})
+
+    def merge(self, rows: DataFrame, keys: list[str], order: list[str], buckets: int = 64) -> int:
+        """Last write wins, in the buckets of the rows' keys alone; a table written whole is cut into buckets once."""
+        version, now = self._manifest()
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(now.get("n", buckets))).cast("int")
+        rows = rows.withColumn("_bucket", bucket)
+        touched = None
+        old = None
+        if "whole" in now:
+            old = self._parts(now)
+        elif version:
+            touched = {r[0] for r in rows.select("_bucket").distinct().collect()}  # numbers of buckets
+            old = self._parts(now, touched)
+        rows = upsert(rows.drop("_bucket"), keys, order) if old is None else merge(old.select(rows.drop("_bucket").columns), rows.drop("_bucket"), keys, order)
+        folder = f"data-{version + 1:012d}-{uuid.uuid4().hex[:8]}"
+        rows.withColumn("_bucket", bucket).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
+        if touched is None:
+            fs, root = self._fs(), self._path(folder)
+            touched = {int(f.getPath().getName().removeprefix("_bucket=")) for f in fs.listStatus(root) if f.getPath().getName().startswith("_bucket=")}
+        parts = {} if "whole" in now else dict(now.get("buckets", {}))
+        if not touched and not parts:
+            return version
+        return self._publish(version + 1, {"n": now.get("n", buckets), "buckets": parts | {str(k): folder for k in touched}})
+
+
+def delete_sources(tables: dict[str, DataFrame], gone: DataFrame, column: str = "source_file") -> dict[str, DataFrame]:
+    """All tables without the rows of the sources in ``gone``, to be written as one version of each."""
+    gone = gone.select(column).distinct()
+    return {name: rows.join(gone, column, "left_anti").select(*rows.columns) for name, rows in tables.items()}
+
+
+def mark_ingested(log: DataFrame | None, files: DataFrame, at) -> DataFrame:
+    """The log (path, hash, ingested_at) with these files, ingested at the UTC time ``at`` (a Column, one for all)."""
+    fresh = files.select("path", "hash", at.alias("ingested_at"))
+    return fresh if log is None else merge(log, fresh, ["path"], ["ingested_at"])
 
 
 def numbered_names(names: DataFrame, prefix: str) -> DataFrame:

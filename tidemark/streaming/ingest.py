@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.operators.store import VersionedTable, merge, upsert
+from tidemark.operators.store import VersionedTable
 
 
 def merge_stream(rows: DataFrame, target: VersionedTable, keys: list[str], order: list[str], checkpoint: str) -> StreamingQuery:
     """Last write wins, batch by batch; a repeated batch changes nothing, as merging is idempotent."""
 
     def apply(batch: DataFrame, _: int) -> None:
-        now = target.read()
-        target.write(upsert(batch, keys, order) if now is None else merge(now, batch, keys, order))
+        target.merge(batch, keys, order)
 
     return rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -21,3 +20,10 @@ def merge_stream(rows: DataFrame, target: VersionedTable, keys: list[str], order
 def counts_by_window(rows: DataFrame, time: str, key: str, width: str = "1 day", late: str = "2 days") -> DataFrame:
     """Counts by tumbling window and key; rows later than the watermark are left out of closed windows."""
     return rows.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), key, "n")
+
+
+def merge_counts(rows: DataFrame, target: VersionedTable, time: str, key: str, checkpoint: str) -> StreamingQuery:
+    """Counts by window kept in ``target``: each batch brings the windows that changed, and the state of closed ones is dropped."""
+    counts = counts_by_window(rows, time, key)
+    merged = lambda batch, _: target.merge(batch, ["start", key], ["n"])  # noqa: E731  a window's count only grows
+    return counts.writeStream.outputMode("update").foreachBatch(merged).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
