@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import has_text
 from tidemark.jobs import views_sql as S
 from tidemark.operators import retrieve as R, route, vector
 from tidemark.sources import views as V
@@ -77,24 +78,54 @@ def q_prompt_kind(spark, d):
     return route.prompt_kind(routed(spark, d)).select("query_id", "prompt")
 
 
-_LIMITED = f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY session_date DESC, seq DESC) AS rn FROM (SELECT q.query_id, q.session_limit, q.date_from, s.session_date, s.text, s.seq FROM ({_ROUTED}) q JOIN {S.SESSIONS} s ON s.patient_id = q.patient_id WHERE q.strategy = 'treatment_sessions_sqlite')"
+_WITHIN = "(q.date_from IS NULL OR {0}.session_date >= q.date_from) AND (q.date_to IS NULL OR {0}.session_date <= q.date_to)"
+#: A query's vector is that of the session its number picks.
+_ASKED = f"(SELECT q.*, v.embedding AS query FROM (SELECT *, CAST(string_split(query_id, '_')[1] AS BIGINT) % 100 AS pick FROM ({_ROUTED})) q JOIN ({S.VECTORS}) v ON v.vec_id = q.pick)"
+_SHORT = f"(SELECT q.query_id, s.session_date, s.text, row_number() OVER (PARTITION BY q.query_id ORDER BY s.session_date DESC, s.seq DESC) AS rn, q.session_limit, q.strategy FROM ({_ROUTED}) q JOIN {S.SESSIONS} s ON s.patient_id = q.patient_id WHERE q.session_limit IS NOT NULL)"
+_RETRIEVED = f"""WITH q AS MATERIALIZED {_ASKED}, s AS MATERIALIZED {S.SESSIONS}, f AS MATERIALIZED ({S.FINDINGS}), x AS MATERIALIZED {S.PATIENT_SECTIONS}, v AS MATERIALIZED {S.SESSION_VECTORS}, short AS MATERIALIZED (SELECT * FROM {_SHORT} WHERE rn <= session_limit),
+  own AS (SELECT q.query_id, q.patient_id, x.session_date, x.text, max(x.session_date) OVER (PARTITION BY q.query_id) AS last, q.session_limit IS NOT NULL OR q.date_from IS NULL AS newest, {_WITHIN.format('x')} AS inside FROM q JOIN x ON x.patient_id = q.patient_id AND x.template = q.template WHERE q.strategy = 'family_a_sqlite'),
+  doc AS (SELECT * FROM own WHERE CASE WHEN newest THEN session_date = last ELSE inside END),
+  dom AS (SELECT q.query_id, f.session_date, f.text FROM q JOIN f ON f.patient_id = q.patient_id AND (f.domain = q.used_topic OR f.parent_domain = q.used_topic) WHERE q.strategy = 'domain_sqlite' AND f.text <> ''),
+  semantic AS (SELECT q.query_id, q.patient_id, q.query, coalesce(r.low, q.date_from) AS date_from, coalesce(r.high, q.date_to) AS date_to FROM q LEFT JOIN (SELECT query_id, min(session_date) AS low, max(session_date) AS high FROM short GROUP BY query_id) r ON r.query_id = q.query_id
+    WHERE q.strategy = 'pinecone' OR (q.strategy = 'domain_sqlite' AND q.query_id NOT IN (SELECT query_id FROM dom))),
+  near AS (SELECT q.query_id, v.vec_id, v.patient_id, v.session_date, v.chunk_type, row_number() OVER (PARTITION BY q.query_id ORDER BY {_SCORE.replace('q.embedding', 'q.query')} DESC, v.vec_id) AS rank FROM semantic q JOIN v ON v.patient_id = q.patient_id AND {_WITHIN.format('v')}),
+  hit AS (SELECT * FROM near WHERE rank <= 10)
+  SELECT query_id, 'session' AS side, session_date, text FROM short WHERE strategy = 'treatment_sessions_sqlite'
+  UNION ALL SELECT q.query_id, 'session', s.session_date, s.text FROM q JOIN s ON s.patient_id = q.patient_id AND {_WITHIN.format('s')} WHERE q.strategy = 'treatment_sessions_sqlite' AND q.session_limit IS NULL
+  UNION ALL SELECT q.query_id, CASE WHEN s.session_date < q.date_from THEN 'before' ELSE 'after' END, s.session_date, s.text FROM q JOIN s ON s.patient_id = q.patient_id WHERE q.strategy = 'compare_sqlite'
+  UNION ALL SELECT query_id, 'document', session_date, text FROM doc WHERE text <> ''
+  UNION ALL SELECT d.query_id, 'finding', f.session_date, f.text FROM (SELECT DISTINCT query_id, patient_id, session_date FROM doc) d JOIN f ON f.patient_id = d.patient_id AND f.session_date = d.session_date WHERE f.text <> ''
+  UNION ALL SELECT query_id, 'domain', session_date, text FROM dom
+  UNION ALL SELECT h.query_id, 'vector', h.session_date, s.text FROM hit h JOIN s ON s.patient_id = h.patient_id AND s.session_date = h.session_date WHERE h.chunk_type = 'session_summary'
+  UNION ALL SELECT h.query_id, 'vector', h.session_date, g.text FROM hit h ASOF JOIN {S.GOALS} g ON h.patient_id = g.patient_id AND h.session_date >= g.session_date WHERE h.chunk_type = 'goals_row' AND g.text IS NOT NULL"""
+
+
+def asked(spark, d):
+    v = V.vectors(spark, d).select(F.col("vec_id").alias("_pick"), F.col("embedding").alias("query"))
+    pick = F.get(F.split("query_id", "_"), F.lit(0)).cast("long") % 100
+    return routed(spark, d).withColumn("_pick", pick).join(v, "_pick").drop("_pick")
+
+
+def retrieved(spark, d, q):
+    """All questions at once, one plan for each of the five strategies, whatever their number."""
+    sessions, findings = V.sessions(spark, d), V.findings(spark, d)
+    of = lambda name: q.filter(F.col("strategy") == name)
+    one = R.sessions_for(of("treatment_sessions_sqlite"), sessions).filter(has_text(F.col("text"))).select("query_id", F.lit("session").alias("side"), "session_date", "text")
+    both = of("compare_sqlite").select("query_id", "patient_id", "date_from").join(sessions, "patient_id")
+    two = R.compare_split(both, F.col("date_from")).select("query_id", "side", "session_date", "text")
+    three = R.documents_for(of("family_a_sqlite"), V.patient_sections(spark, d), findings)
+    four, rest = R.domains_for(of("domain_sqlite"), findings)
+    five = R.vectors_for(of("pinecone").unionByName(rest.select(q.columns)), V.session_vectors(spark, d), sessions, V.goals(spark, d))
+    return one.unionByName(two).unionByName(three).unionByName(four).unionByName(five)
 
 
-@query("q_retrieve_all", f"""SELECT query_id, 'sessions' AS side, session_date, text FROM ({_LIMITED}) WHERE (session_limit IS NOT NULL AND rn <= session_limit) OR (session_limit IS NULL AND (date_from IS NULL OR session_date >= date_from))
-  UNION ALL SELECT q.query_id, CASE WHEN s.session_date < q.date_from THEN 'before' ELSE 'after' END, s.session_date, s.text FROM ({_ROUTED}) q JOIN {S.SESSIONS} s ON s.patient_id = q.patient_id WHERE q.strategy = 'compare_sqlite'
-  UNION ALL SELECT q.query_id, 'domain', f.session_date, f.text FROM ({_ROUTED}) q JOIN ({S.FINDINGS}) f ON f.patient_id = q.patient_id AND (f.domain = q.used_topic OR f.parent_domain = q.used_topic) WHERE q.strategy = 'domain_sqlite'""")
+@query("q_retrieve_all", _RETRIEVED)
 def q_retrieve_all(spark, d):
-    """All questions at once: one join for each strategy, whatever the number of questions."""
-    q = routed(spark, d)
-    sessions = V.sessions(spark, d)
-    own = q.filter("strategy = 'treatment_sessions_sqlite'").select("query_id", "patient_id", "session_limit", "date_from").join(sessions, "patient_id")
-    limited = R.latest_n(own.filter("session_limit is not null"), "query_id", 5).join(q.select("query_id", F.col("session_limit").alias("_n")), "query_id")
-    w_all = limited.groupBy("query_id").agg(F.max("place").alias("_top"))
-    limited = limited.join(w_all, "query_id").filter(F.col("_top") - F.col("place") < F.col("_n"))
-    ranged = own.filter("session_limit is null and (date_from is null or session_date >= date_from)")
-    one = limited.select("query_id", F.lit("sessions").alias("side"), "session_date", "text").unionByName(ranged.select("query_id", F.lit("sessions").alias("side"), "session_date", "text"))
-    both = q.filter("strategy = 'compare_sqlite'").select("query_id", "patient_id", "date_from").join(sessions, "patient_id")
-    two = R.compare_split(both, F.col("date_from")).select("query_id", "side", "session_date", "text")
-    asked = q.filter("strategy = 'domain_sqlite'").select("query_id", "patient_id", F.col("used_topic").alias("topic"))
-    three = R.domain_lookup(V.findings(spark, d), asked).select("query_id", F.lit("domain").alias("side"), "session_date", "text")
-    return one.unionByName(two).unionByName(three)
+    return retrieved(spark, d, asked(spark, d))
+
+
+@query("q_retrieve_status", f"""SELECT q.query_id, q.strategy, CASE WHEN count(r.side) = 0 THEN 'no_results' WHEN q.strategy = 'compare_sqlite' AND count(*) FILTER (r.side = 'before') = 0 THEN 'no_before'
+  WHEN q.strategy = 'compare_sqlite' AND count(*) FILTER (r.side = 'after') = 0 THEN 'no_after' ELSE 'ok' END AS status FROM {_ASKED} q LEFT JOIN ({_RETRIEVED}) r ON r.query_id = q.query_id GROUP BY q.query_id, q.strategy""")
+def q_retrieve_status(spark, d):
+    q = asked(spark, d)
+    return R.outcomes(q, retrieved(spark, d, q)).select("query_id", "strategy", "status")

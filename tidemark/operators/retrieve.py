@@ -113,3 +113,69 @@ def first_root(files: DataFrame, roots: list[str], key: str = "folder") -> DataF
     """For each key the path below the first root, in the order given, that has it."""
     place = F.coalesce(*[F.when(F.col("path").startswith(r), F.lit(i)) for i, r in enumerate(roots)])
     return files.withColumn("_p", place).filter("_p is not null").groupBy(key).agg(F.min_by("path", F.struct("_p", "path")).alias("path"))
+
+
+def within(rows: DataFrame) -> Column:
+    """Whether ``session_date`` lies within the row's optional ``date_from`` and ``date_to``."""
+    day = F.col("session_date")
+    return (F.col("date_from").isNull() | (day >= F.col("date_from"))) & (F.col("date_to").isNull() | (day <= F.col("date_to")))
+
+
+def sessions_for(queries: DataFrame, sessions: DataFrame) -> DataFrame:
+    """``(query_id, session_date, text)``: a query's latest ``session_limit`` sessions, or those within its dates.
+
+    ``queries``: query_id, patient_id, session_limit, date_from, date_to; any limit, each its own.
+    """
+    own = queries.select("query_id", "patient_id", "session_limit", "date_from", "date_to").join(sessions, "patient_id")
+    w = Window.partitionBy("query_id").orderBy(F.desc("session_date"), F.desc("seq"))
+    limited = own.filter("session_limit is not null").withColumn("_rn", F.row_number().over(w)).filter("_rn <= session_limit")
+    ranged = own.filter(F.col("session_limit").isNull() & within(own))
+    return limited.select("query_id", "session_date", "text").unionByName(ranged.select("query_id", "session_date", "text"))
+
+
+def documents_for(queries: DataFrame, sections: DataFrame, findings: DataFrame) -> DataFrame:
+    """``(query_id, side, session_date, text)``: documents of a query's template, with the findings of their dates.
+
+    The latest document where a limit or no first date is given, else those within the dates.
+    """
+    own = queries.select("query_id", "patient_id", "template", "session_limit", "date_from", "date_to").join(sections, ["patient_id", "template"])
+    newest = F.max("session_date").over(Window.partitionBy("query_id"))
+    latest = F.col("session_limit").isNotNull() | F.col("date_from").isNull()
+    own = own.withColumn("_last", newest).filter(F.when(latest, F.col("session_date") == F.col("_last")).otherwise(within(own)))
+    dates = own.select("query_id", "patient_id", "session_date").distinct()
+    found = dates.join(findings.select("patient_id", "session_date", "text"), ["patient_id", "session_date"])
+    side = lambda rows, name: rows.select("query_id", F.lit(name).alias("side"), "session_date", "text").filter(has_text(F.col("text")))
+    return side(own, "document").unionByName(side(found, "finding"))
+
+
+def domains_for(queries: DataFrame, findings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Findings with text of each query's topic, and the queries that have none, which vectors answer."""
+    rows = domain_lookup(findings, queries.select("query_id", "patient_id", F.col("used_topic").alias("topic")))
+    rows = rows.filter(has_text(F.col("text"))).select("query_id", F.lit("domain").alias("side"), "session_date", "text")
+    return rows, queries.join(rows.select("query_id").distinct(), "query_id", "left_anti")
+
+
+def vectors_for(queries: DataFrame, vectors: DataFrame | None, sessions: DataFrame, goals: DataFrame, k: int = 10) -> DataFrame:
+    """The texts of each query's ``k`` nearest vectors within its dates, a limit standing for the dates of its latest sessions.
+
+    ``queries`` also has ``query``, its vector. Without an index (None) all sessions within the dates
+    are the answer; a query that the index has nothing for gets no rows.
+    """
+    from tidemark.operators.vector import top_k_batch
+
+    if vectors is None:
+        return sessions_for(queries.withColumn("session_limit", F.lit(None).cast("int")), sessions).filter(has_text(F.col("text"))).select("query_id", F.lit("session").alias("side"), "session_date", "text")
+    recent = sessions_for(queries.filter("session_limit is not null"), sessions).groupBy("query_id").agg(F.min("session_date").alias("_from"), F.max("session_date").alias("_to"))
+    asked = queries.join(recent, "query_id", "left").withColumn("date_from", F.coalesce("_from", "date_from")).withColumn("date_to", F.coalesce("_to", "date_to"))
+    best = top_k_batch(vectors, asked.select("query_id", "patient_id", "date_from", "date_to", "query"), k)
+    hits = best.select("query_id", "vec_id").join(vectors.select("vec_id", "patient_id", "session_date", "chunk_type"), "vec_id")
+    return hydrate(hits, sessions, goals).select("query_id", F.lit("vector").alias("side"), "session_date", "text")
+
+
+def outcomes(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """``queries`` with ``status``: ok; no_results; or, of a comparison, no_before or no_after."""
+    n = rows.groupBy("query_id").agg(F.count("*").alias("_n"), F.count_if(F.col("side") == "before").alias("_before"), F.count_if(F.col("side") == "after").alias("_after"))
+    out = queries.join(n, "query_id", "left")
+    compared = F.col("strategy") == "compare_sqlite"
+    status = F.when(F.coalesce("_n", F.lit(0)) == 0, "no_results").when(compared & (F.col("_before") == 0), "no_before").when(compared & (F.col("_after") == 0), "no_after").otherwise("ok")
+    return out.withColumn("status", status).drop("_n", "_before", "_after")

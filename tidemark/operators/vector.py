@@ -25,12 +25,17 @@ def top_k(vectors: DataFrame, query: list[float], k: int = 10, where: Column | N
     return scored.orderBy(F.desc("score"), "vec_id").limit(k)
 
 
-def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, salts: int = 16) -> DataFrame:
     """The ``k`` nearest vectors of each query within its patient and dates.
 
-    ``queries``: query_id, patient_id, date_from, date_to, query. An equi-join on the patient.
+    ``queries``: query_id, patient_id, date_from, date_to, query. An equi-join on the patient and a
+    salt of the vectors, so that a patient with very many is spread over tasks; each salt keeps its
+    k best of a query, and the best of those are left.
     """
-    pairs = queries.join(vectors, "patient_id").filter((F.col("date_from").isNull() | (F.col("session_date") >= F.col("date_from"))) & (F.col("date_to").isNull() | (F.col("session_date") <= F.col("date_to"))))
-    scored = pairs.select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("query")), 6).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+    spread = queries.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = vectors.withColumn("_salt", F.pmod(F.xxhash64("vec_id"), F.lit(salts)).cast("int"))
+    pairs = spread.join(dealt, ["patient_id", "_salt"]).filter((F.col("date_from").isNull() | (F.col("session_date") >= F.col("date_from"))) & (F.col("date_to").isNull() | (F.col("session_date") <= F.col("date_to"))))
+    scored = pairs.select("query_id", "_salt", "vec_id", F.round(cosine(F.col("embedding"), F.col("query")), 6).alias("score"))
+    best = [F.desc("score"), F.col("vec_id")]
+    scored = scored.withColumn("_rank", F.row_number().over(Window.partitionBy("query_id", "_salt").orderBy(*best))).filter(F.col("_rank") <= k)
+    return scored.select("query_id", "vec_id", "score", F.row_number().over(Window.partitionBy("query_id").orderBy(*best)).cast("long").alias("rank")).filter(F.col("rank") <= k)

@@ -53,13 +53,24 @@ def day_of(doc_id: Column) -> Column:
 
 def sections(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n")).alias("ord", "line"))
-    rows = docs.filter("ord < 5").select(
+    rows = docs.select(
         F.col("source").alias("patient_id"), template_of(F.col("lang")).alias("template"), day_of(F.col("doc_id")).alias("session_date"), F.concat(F.lit("s"), F.col("ord").cast("string")).alias("section"),
         F.col("line").alias("text"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("source_file"), F.col("doc_id").alias("seq"),
     )
     return upsert(rows, ["patient_id", "template", "session_date", "section"], ["seq"])
 
 
+def patient_sections(spark: SparkSession, d: str) -> DataFrame:
+    """The sections with numbers for patients."""
+    return sections(spark, d).withColumn("patient_id", F.regexp_extract("patient_id", "[0-9]+", 0).cast("long"))
+
+
+def session_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The vectors, each of the session whose number is three times its own."""
+    own = vectors(spark, d).select("vec_id", "chunk_type", "embedding", (F.col("vec_id") * 3).alias("seq"))
+    return own.join(sessions(spark, d).select("seq", "patient_id", "session_date"), "seq").drop("seq")
+
+
 def attributes(spark: SparkSession, d: str) -> DataFrame:
     named = table(spark, d, "customer").select("c_custkey", F.col("c_name").alias("display_name"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").cast("string").alias("nation"))
     return named.unpivot(["c_custkey"], ["display_name", "segment", "nation"], "field_name", "value").withColumnRenamed("c_custkey", "patient_id")
@@ -81,5 +92,6 @@ def params(spark: SparkSession, d: str) -> DataFrame:
         F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("query_id"), (k % 150).alias("patient_id"),
         pick(5, ["summarize", "find_specific", "check_domain", "compare_progress", "other"]).alias("intent"), pick(4, ["diagnosis", "clinic_visit_summary", "treatment_plan", None]).alias("template"),
         F.when(k % 3 == 0, F.concat(F.lit(' "'), pick(7, ["click", "view", "engagement", "purchase", "signup", "search", "none"]), F.lit('", '))).when(k % 3 == 1, word).alias("topic"),
-        F.when(k % 2 == 0, F.date_add(F.lit("1995-01-01").cast("date"), (k % 1500).cast("int"))).alias("date_from"), F.when(k % 7 == 0, (k % 5 + 1).cast("int")).alias("session_limit"),
+        F.when(k % 2 == 0, F.date_add(F.lit("1995-01-01").cast("date"), (k % 1500).cast("int"))).alias("date_from"), F.when(k % 7 == 0, (k % 12 + 1).cast("int")).alias("session_limit"),
+        F.when(k % 4 == 0, F.date_add(F.lit("1995-01-01").cast("date"), (k % 1500 + 400).cast("int"))).alias("date_to"),
     )
