@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import parse_day
 from tidemark.jobs import views_sql as S
-from tidemark.operators import parse, route
+from tidemark.functions.vocab import HEADER_B
+from tidemark.operators import boundary, parse, route
 from tidemark.sources import views as V
 
 QUERIES: dict = {}
@@ -153,3 +154,21 @@ def parse_generated(spark, d):
     answer = F.concat(F.lit("Sure.\n"), F.to_json(F.struct(F.concat(F.lit(" "), "event_type", F.lit("\n")).alias("background"), F.col("value").alias("other"))), F.lit("\nDone"))
     m = route.parse_generated(answer, ["background", "summary"])
     return V.table(spark, d, "events").select("event_id", m["background"].alias("background"), m["summary"].alias("summary"))
+
+
+@query("q_header_iso", "SELECT o_orderkey AS doc_id, o_orderpriority AS name, CASE WHEN o_orderkey % 3 = 0 THEN 'soon' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS start_date FROM orders")
+def header_iso(spark, d):
+    """Headers of treatment plans made of orders: a name, and a start date in one of two forms or in words."""
+    k, day = F.col("o_orderkey") % 3, F.col("o_orderdate")
+    told = F.when(k == 0, "soon").when(k == 1, F.date_format(day, "dd/MM/yyyy")).otherwise(F.date_format(day, "d.M.yyyy"))
+    lines = F.array(F.concat(F.lit("שם: "), "o_orderpriority"), F.lit(""), F.concat(F.lit("תאריך התחלת הטיפול : "), told))
+    rows = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.posexplode(lines).alias("ord", "line"))
+    return parse.header_b(rows, HEADER_B).select("doc_id", "name", "start_date")
+
+
+@query("q_judge_averages", "SELECT event_type, " + ", ".join(f"round(avg(CASE WHEN event_id % {n} BETWEEN 1 AND 5 THEN event_id % {n} ELSE 0 END), 6) AS {name}" for name, n in (("relevance", 6), ("faithfulness", 7), ("completeness", 5), ("fluency", 4))) + ", count(*) FILTER (event_id % 6 BETWEEN 1 AND 5 OR event_id % 7 BETWEEN 1 AND 5 OR event_id % 5 > 0 OR event_id % 4 > 0) AS n_judged FROM events GROUP BY event_type")
+def judge_averages(spark, d):
+    """A judge's answers about events, with scores that are out of range now and then."""
+    k = F.col("event_id")
+    said = F.concat(F.lit("Scores: "), F.to_json(F.struct((k % 6).alias("relevance"), (k % 7).alias("faithfulness"), (k % 5).alias("completeness"), (k % 4).alias("fluency"))))
+    return boundary.averages(V.table(spark, d, "events").select("event_type", boundary.scores(said).alias("scores")), "event_type")

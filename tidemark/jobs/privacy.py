@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.functions.session import saved
+from tidemark.functions.session import saved, work_folder
 from tidemark.functions.vocab import PII
 from tidemark.operators import boundary, deid
 from tidemark.sources import views as V
@@ -184,3 +184,27 @@ def entities(spark, d):
     """A gazetteer in place of an entity model, in windows of 800 characters."""
     found = boundary.entities(_docs(spark, d), boundary.gazetteer(["that", "with", "der", "pour"]))
     return found.groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+_PREFIX = "CASE lang WHEN 'en' THEN 'סיכום אבחון' WHEN 'de' THEN 'סיכום טיפול' WHEN 'fr' THEN 'תוכנית טיפול' ELSE 'note' END"
+_PATH = f"'root/' || source || '/' || {_PREFIX} || ' ' || doc_id || ' ' || CASE WHEN doc_id % 7 = 0 THEN 'other' ELSE source END || '.docx'"
+_STATUS = "CASE WHEN doc_id % 10 = 0 THEN 'skipped' WHEN doc_id % 11 = 0 THEN 'error:BadZipFile' WHEN lang NOT IN ('en', 'de', 'fr') THEN 'unknown_template' WHEN doc_id % 7 = 0 THEN 'blocked:name_conflict' ELSE 'ok' END"
+
+
+@query("q_ingest_run", f"""SELECT path, status, CASE WHEN status = 'ok' THEN 'skipped' ELSE status END AS again, CASE WHEN status = 'ok' THEN 1 ELSE 0 END AS logged FROM (SELECT {_PATH} AS path, {_STATUS} AS status FROM documents)""")
+def ingest_run(spark, d):
+    """All documents as files, some of them known, damaged, unknown or another person's; then the same once more."""
+    from tidemark.jobs import ingest, parsing
+    from tidemark.operators import parse, store
+
+    k = F.col("doc_id")
+    prefix = F.when(F.col("lang") == "en", "סיכום אבחון").when(F.col("lang") == "de", "סיכום טיפול").when(F.col("lang") == "fr", "תוכנית טיפול").otherwise("note")
+    path = F.concat(F.lit("root/"), "source", F.lit("/"), prefix, F.lit(" "), k.cast("string"), F.lit(" "), F.when(k % 7 == 0, "other").otherwise(F.col("source")), F.lit(".docx"))
+    damaged = k % 11 == 0
+    files = V.table(spark, d, "documents").select(path.alias("path"), F.col("source").alias("folder"), F.sha2("text", 256).alias("hash"), F.when(~damaged, F.split("text", "\n")).alias("paragraphs"), F.lit(None).cast("array<array<string>>").alias("cells"), F.when(damaged, "BadZipFile").alias("error"), (k % 10 == 0).alias("known"))
+    root, at = work_folder(spark, "ingest"), F.lit("2025-01-01 12:00:00").cast("timestamp")
+    store.VersionedTable(spark, f"{root}/log").write(store.mark_ingested(None, files.filter("known"), at))
+    how = {"classify": lambda lines: parse.classify(lines, parsing.SECTIONS, parsing.DOMAINS, "findings", parsing.MARK, parsing.START), "domains": lambda rows: parse.domain_texts(rows, parsing.PARENTS)}
+    runs = [ingest.run(spark, files.drop("known"), root, at, boundary.gazetteer(["zzz"]), patterns=PATTERNS, **how) for _ in range(2)]
+    log = store.VersionedTable(spark, f"{root}/log").read().join(files.filter("not known").select("path"), "path").groupBy("path").agg(F.count("*").cast("int").alias("logged"))
+    return runs[0].join(runs[1].withColumnRenamed("status", "again"), "path").join(log, "path", "left").select("path", "status", "again", F.coalesce("logged", F.lit(0)).alias("logged"))

@@ -66,21 +66,27 @@ def embed(rows: DataFrame, column: str, factory: Factory) -> DataFrame:
 def entities(docs: DataFrame, factory: Factory, size: int = 800, overlap: int = 150, letters: str | None = None) -> DataFrame:
     """``(doc_id, start, end, label, text)`` of entities in overlapping windows, each once.
 
+    A window owns the entities that begin in its middle, up to half an overlap from its edges (the
+    first and the last window from the text's edges), so what an edge cuts is told by the neighbour
+    that has it whole.
     Kept are entities of two characters at least that stand as whole words in the document's text;
     ``letters``: a pattern that one of their characters must match.
     """
     windows = text_windows(docs, size, overlap).withColumnRenamed("window", "part")
+    half = overlap // 2
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = factory()
         for frame in frames:
             out = []
-            for doc, start, part, found in zip(frame["doc_id"], frame["start"], frame["part"], model(frame["part"].tolist())):
-                out += [(doc, start + a, start + b, label) for a, b, label in found if a < b <= len(part)]
+            for doc, start, part, last, found in zip(frame["doc_id"], frame["start"], frame["part"], frame["last"], model(frame["part"].tolist())):
+                out += [(doc, start + a, start + b, label) for a, b, label in found if a < b <= len(part) and (a >= half or start == 0) and (a < size - overlap + half or last)]
             yield pd.DataFrame(out, columns=["doc_id", "start", "end", "label"]).astype({"start": "int64", "end": "int64"})
 
     doc_type = docs.schema["doc_id"].dataType.simpleString()
-    found = windows.select("doc_id", "start", "part").mapInPandas(run, f"doc_id {doc_type}, start long, end long, label string").distinct()
+    lengths = docs.select("doc_id", F.length("text").alias("n")).distinct()
+    windows = windows.join(lengths, "doc_id").withColumn("last", F.col("start") + F.lit(size) >= F.col("n"))
+    found = windows.select("doc_id", "start", "part", "last").mapInPandas(run, f"doc_id {doc_type}, start long, end long, label string").distinct()
     rows = found.join(docs.select("doc_id", "text"), "doc_id")
     value = F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))
     before, after = F.substring("text", F.col("start"), F.when(F.col("start") > 0, 1).otherwise(0)), F.substring("text", F.col("end") + 1, F.lit(1))
@@ -98,17 +104,36 @@ def answers(prompts: DataFrame, factory: Factory, column: str = "prompt") -> Dat
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = factory()
         for frame in frames:
-            got = []
-            for text in frame[column]:
-                try:
-                    got.append(model([text])[0] or None)
-                except Exception:  # noqa: BLE001  whatever a remote model raises
-                    got.append(None)
+            texts = frame[column].tolist()
+            try:
+                got = [x or None for x in model(texts)]
+            except Exception:  # noqa: BLE001  whatever a remote model raises: then one by one
+                got = [_alone(model, text) for text in texts]
             yield frame.assign(answer=got, status=["ok" if g else "error" for g in got])
 
     return prompts.mapInPandas(run, schema)
 
 
+def _alone(model: Callable[[list], list], text: str):
+    try:
+        return model([text])[0] or None
+    except Exception:  # noqa: BLE001
+        return None
+
+
+def evaluated(questions: DataFrame, answer: Factory, judge: Factory) -> DataFrame:
+    """``questions`` (question, expected_answer) with answer, status and the judge's four scores; an error scores zero."""
+    told = answers(questions, answer, "question")
+    judged = answers(told.withColumnRenamed("answer", "_given").withColumnRenamed("status", "_status").withColumn("_prompt", F.to_json(F.struct("question", F.coalesce("_given", F.lit("[error]")).alias("answer"), "expected_answer"))), judge, "_prompt")
+    return judged.select(*questions.columns, F.col("_given").alias("answer"), F.col("_status").alias("status"), scores(F.col("answer")).alias("scores"))
+
+
+def averages(rows: DataFrame, *by: str) -> DataFrame:
+    """The mean of each score and how many rows were judged, whose scores are not all zero; by ``by``."""
+    names = ["relevance", "faithfulness", "completeness", "fluency"]
+    return rows.groupBy(*by).agg(*[F.round(F.avg(f"scores.{n}"), 6).alias(n) for n in names], F.count_if(F.greatest(*[F.col(f"scores.{n}") for n in names]) > 0).alias("n_judged"))
+
+
 def scores(answer: Column) -> Column:
     """Four scores of a judge from 1 to 5; zeros where its answer does not parse."""
     names = ["relevance", "faithfulness", "completeness", "fluency"]

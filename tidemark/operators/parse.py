@@ -26,6 +26,12 @@ def header_fields(lines: DataFrame, patterns: list[tuple[str, str]], first: int)
     return rows.groupBy("doc_id").agg(*hits)
 
 
+def header_b(lines: DataFrame, patterns: list[tuple[str, str]], first: int = 15) -> DataFrame:
+    """``header_fields`` with ``start_date`` in ISO form where it is a date, as it is written where not."""
+    rows = header_fields(lines, patterns, first)
+    return rows.withColumn("start_date", F.coalesce(F.date_format(parse_day(F.col("start_date")), "yyyy-MM-dd"), "start_date"))
+
+
 def classify(lines: DataFrame, sections=SECTIONS, domains=DOMAINS, findings: str = FINDINGS, mark: str = SIGNATURE_MARK, start: str = SIGNATURE_START) -> DataFrame:
     """Each non-blank line with its section, run of lines, domain and kind.
 
