@@ -583,4 +583,7 @@ def test_leaks_on_odd_rows(spark):
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench).collect()}
     assert {(9, 1), (7, 2), (8, 2)} <= got and all(i not in (3, 4, 6) for _, i in got)
     assert {r["doc_id"] for r in decontaminate.drop_leaks(docs, bench).collect()} == set(by_id) - {7, 8, 9} | {None}
+    leaky = " ".join(by_id[9].split()[2990:3050])
+    rows = spark.createDataFrame([(None, leaky, "a"), (None, "fine", "b"), (1, leaky, "c"), (1, "fine", "d"), (2, None, "e")], "doc_id long, text string, digest string")
+    assert sorted(r["digest"] for r in decontaminate.drop_leaks(rows, bench).collect()) == ["b", "d", "e"]
     assert decontaminate.find_leaks(no_docs(spark), bench).count() == 0 and decontaminate.find_leaks(docs, bench.limit(0)).count() == 0

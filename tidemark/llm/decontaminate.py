@@ -101,6 +101,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILAR
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """The documents without a passage of the benchmark, with all their columns."""
-    found = find_leaks(docs, benchmark, threshold).select("doc_id").distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti")
+    """The rows of ``docs`` whose text has no passage of the benchmark, with all their columns.
+
+    A row is judged by its text alone, whatever other rows have its doc_id, or none.
+    """
+    digest = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
+    found = find_leaks(docs.select(digest.alias("doc_id"), "text"), benchmark, threshold).select(F.col("doc_id").alias("digest")).distinct()
+    return docs.join(found, digest == found["digest"], "left_anti")
