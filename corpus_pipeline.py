@@ -49,7 +49,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark.
 
-    Rows that share an id go together; those without one are one document in this. Null and empty items fit nothing.
+    Each row is judged by its text, whatever rows share its id. Null and empty items fit nothing.
     """
     return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
