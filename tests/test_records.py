@@ -19,6 +19,16 @@ def test_last_write_wins_and_is_idempotent(spark):
     assert sorted(map(str, store.merge(once, once, ["k", "d"], ["seq"]).collect())) == sorted(map(str, once.collect()))
 
 
+def test_working_columns_clash_with_none(spark):
+    rows = spark.createDataFrame([("p", D(2025, 1, 1), "a", 1, 7, 8, 9), ("p", D(2025, 1, 2), "b", 2, 7, 8, 9)], "_last string, session_date date, _new string, seq int, _rank int, _side int, _value int")
+    assert store.upsert(rows, ["_last"], ["seq"]).collect()[0]["_new"] == "b"
+    assert store.merge(rows, rows, ["_last"], ["seq"]).columns == rows.columns
+    assert [r["_rank"] for r in retrieve.latest_n(rows, "_last", 1).collect()] == [7]
+    aims = spark.createDataFrame([("p", D(2025, 1, 1), "g", 1)], "_last string, session_date date, goal string, k int")
+    got = retrieve.as_of(rows, aims, "_last", "session_date", "goal", ["k"])
+    assert got.columns == [*rows.columns, "goal"] and [(r["_side"], r["_value"], r["goal"]) for r in got.collect()] == [(8, 9, "g")] * 2
+
+
 def test_reingest_and_cascade(spark):
     old = spark.createDataFrame([("f1", "k1", "a", 1), ("f2", "k1", "b", 0), ("f2", "k2", "c", 2)], "src string, k string, t string, seq int")
     new = spark.createDataFrame([("f2", "k3", "n", 3)], old.schema)

@@ -209,11 +209,11 @@ def vector_ids_by_file(spark, d):
     return make(V.sessions(spark, d).filter("seq % 100 = 7"), "session").unionByName(make(V.goals(spark, d).filter("orderkey % 100 = 7"), "goal"))
 
 
-@query("q_missing_sections", f"""SELECT p.patient_id, s.section FROM (SELECT DISTINCT patient_id FROM {S.SECTIONS}) p CROSS JOIN (SELECT unnest(['s0', 's1', 's2', 's3', 's4', 's5']) AS section) s
-  WHERE NOT EXISTS (SELECT 1 FROM {S.SECTIONS} x WHERE x.patient_id = p.patient_id AND x.section = s.section AND x.template = 'diagnosis')""")
+@query("q_missing_sections", f"""SELECT p.patient_id, p.session_date, s.section FROM (SELECT DISTINCT patient_id, session_date FROM {S.SECTIONS} WHERE template = 'diagnosis') p CROSS JOIN (SELECT 's' || CAST(unnest(range(0, 40, 4)) AS VARCHAR) AS section) s
+  WHERE NOT EXISTS (SELECT 1 FROM {S.SECTIONS} x WHERE x.patient_id = p.patient_id AND x.session_date = p.session_date AND x.section = s.section AND x.template = 'diagnosis')""")
 def missing_sections(spark, d):
-    have = V.sections(spark, d).groupBy("patient_id").agg(F.collect_set(F.when(F.col("template") == "diagnosis", F.col("section"))).alias("have"))
-    return have.select("patient_id", F.explode(F.array_except(F.array(*[F.lit(f"s{i}") for i in range(6)]), "have")).alias("section"))
+    have = V.sections(spark, d).filter("template = 'diagnosis'").groupBy("patient_id", "session_date").agg(F.collect_set("section").alias("have"))
+    return have.select("patient_id", "session_date", F.explode(F.array_except(F.array(*[F.lit(f"s{i}") for i in range(0, 40, 4)]), "have")).alias("section"))
 
 
 @query("q_upsert_lww", f"SELECT patient_id, session_date, text, seq FROM {S.SESSIONS}")

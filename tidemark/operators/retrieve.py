@@ -1,9 +1,14 @@
-"""Temporal retrieval: ranges, latest N, as-of, before and after, documents with findings, hierarchy."""
+"""Temporal retrieval: ranges, latest N, as-of, before and after, documents with findings, hierarchy.
+
+Defined results: a null date is in no range with a bound; a null key matches none in joins; ties go by
+the columns named, the largest first; repeated rows stay repeated; empty tables give no rows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.functions.columns import free_names
 from tidemark.functions.text import has_text
 
 
@@ -20,8 +25,9 @@ def in_range(date: Column, low=None, high=None) -> Column:
 def latest_n(rows: DataFrame, key: str, n: int, date: str = "session_date", ties: tuple[str, ...] = ("seq",)) -> DataFrame:
     """The latest ``n`` rows of each key with their place, 1 for the oldest of them."""
     w = Window.partitionBy(key).orderBy(F.desc(date), *[F.desc(t) for t in ties])
-    rows = rows.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
-    return rows.withColumn("place", (F.max("_rn").over(Window.partitionBy(key)) - F.col("_rn") + 1).cast("long")).drop("_rn")
+    (rank,) = free_names(rows, "_rank")
+    rows = rows.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)
+    return rows.withColumn("place", (F.max(rank).over(Window.partitionBy(key)) - F.col(rank) + 1).cast("long")).drop(rank)
 
 
 def recent_window(rows: DataFrame, key: str, n: int, date: str = "session_date", ties: tuple[str, ...] = ("seq",)) -> DataFrame:
@@ -36,19 +42,20 @@ def as_of(left: DataFrame, right: DataFrame, key: str, date: str, value: str, ti
     predecessor. The order is cut into buckets of time, so a key with very many rows is spread over
     tasks; what a bucket starts with comes from a small table of the last value of each bucket.
     """
+    v, side, part = free_names(left, "_value", "_side", "_part")
     cut = F.trunc(F.col(date), bucket)
-    r = right.select(key, date, *ties, F.struct(F.col(value)).alias("_v"), F.lit(1).alias("_side")).withColumn("_b", cut)
-    l = left.withColumn("_side", F.lit(2)).withColumn("_b", cut)  # noqa: E741
-    last = r.groupBy(key, "_b").agg(F.max_by("_v", F.struct(date, *ties)).alias("_v"))
-    asked = l.select(key, "_b").distinct().withColumn("_v", F.lit(None).cast(r.schema["_v"].dataType))
-    buckets = last.unionByName(asked).groupBy(key, "_b").agg(F.first("_v", ignorenulls=True).alias("_v"))
-    before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    opening = buckets.select(key, "_b", F.last("_v", ignorenulls=True).over(before).alias("_v"), F.lit(0).alias("_side")).filter("_v is not null")
+    r = right.select(key, date, *ties, F.struct(F.col(value).alias("is")).alias(v), F.lit(1).alias(side)).withColumn(part, cut)
+    l = left.withColumn(side, F.lit(2)).withColumn(part, cut)  # noqa: E741
+    last = r.groupBy(key, part).agg(F.max_by(v, F.struct(date, *ties)).alias(v))
+    asked = l.select(key, part).distinct().withColumn(v, F.lit(None).cast(r.schema[v].dataType))
+    buckets = last.unionByName(asked).groupBy(key, part).agg(F.first(v, ignorenulls=True).alias(v))
+    before = Window.partitionBy(key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    opening = buckets.select(key, part, F.last(v, ignorenulls=True).over(before).alias(v), F.lit(0).alias(side)).filter(F.col(v).isNotNull())
     both = l.unionByName(r, allowMissingColumns=True).unionByName(opening, allowMissingColumns=True)
-    order = [F.col(date).asc_nulls_first(), F.col("_side"), *[F.col(t).asc_nulls_first() for t in ties]]
-    w = Window.partitionBy(key, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    both = both.withColumn("_v", F.last("_v", ignorenulls=True).over(w))
-    return both.filter("_side = 2").withColumn(value, F.col(f"_v.{value}")).select(*left.columns, value)
+    order = [F.col(date).asc_nulls_first(), F.col(side), *[F.col(t).asc_nulls_first() for t in ties]]
+    w = Window.partitionBy(key, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn(v, F.last(v, ignorenulls=True).over(w))
+    return both.filter(F.col(side) == 2).withColumn(value, F.col(v)["is"]).select(*left.columns, value)
 
 
 def compare_split(rows: DataFrame, reference: Column, date: str = "session_date") -> DataFrame:

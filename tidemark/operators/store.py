@@ -1,4 +1,8 @@
-"""Keyed writes without a table format: last write wins, cascades, incremental loads, versions."""
+"""Keyed writes without a table format: last write wins, cascades, incremental loads, versions.
+
+Defined results: a null key is a key like any other; repeated rows count once; extra columns, whatever
+their names, come through; empty tables give no rows.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from tidemark.functions.columns import free_names
+
 
 def upsert(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Of rows with equal keys, the last by ``order``; one aggregation, partial before the shuffle.
@@ -15,13 +21,15 @@ def upsert(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """
     rest = [c for c in rows.columns if c not in keys]
     last = F.max_by(F.struct(*rest), F.struct(*order))
-    return rows.groupBy(*keys).agg(last.alias("_last")).select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest]).select(*rows.columns)
+    (own,) = free_names(rows, "_last")
+    return rows.groupBy(*keys).agg(last.alias(own)).select(*keys, *[F.col(own)[c].alias(c) for c in rest]).select(*rows.columns)
 
 
 def merge(existing: DataFrame, incoming: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Existing and incoming rows, last write wins; incoming wins a tie of ``order``."""
-    both = existing.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)))
-    return upsert(both, keys, [*order, "_new"]).drop("_new")
+    (new,) = free_names(existing, "_new")
+    both = existing.withColumn(new, F.lit(0)).unionByName(incoming.withColumn(new, F.lit(1)))
+    return upsert(both, keys, [*order, new]).drop(new)
 
 
 def overwritten(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -31,8 +39,9 @@ def overwritten(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def set_values(rows: DataFrame, updates: DataFrame, keys: list[str], column: str) -> DataFrame:
     """Conditional update: ``column`` from ``updates`` where it has the key."""
-    new = updates.select(*keys, F.col(column).alias("_new"))
-    return rows.join(new, keys, "left").withColumn(column, F.coalesce("_new", column)).drop("_new").select(*rows.columns)
+    (own,) = free_names(rows, "_new")
+    new = updates.select(*keys, F.col(column).alias(own))
+    return rows.join(new, keys, "left").withColumn(column, F.coalesce(own, column)).select(*rows.columns)
 
 
 def without_sources(rows: DataFrame, gone: DataFrame, column: str) -> DataFrame:
@@ -47,9 +56,9 @@ def cascade(children: DataFrame, parents: DataFrame, keys: list[str]) -> DataFra
 
 def changed(files: DataFrame, log: DataFrame) -> DataFrame:
     """Files whose path and hash the log lacks, and whether they are new or changed."""
-    known = log.select(F.col("path"), F.col("hash").alias("_old"))
-    rows = files.join(known, "path", "left")
-    return rows.filter(F.col("_old").isNull() | (F.col("_old") != F.col("hash"))).withColumn("status", F.when(F.col("_old").isNull(), "new").otherwise("changed")).drop("_old")
+    (old,) = free_names(files, "_old")
+    rows = files.join(log.select(F.col("path"), F.col("hash").alias(old)), "path", "left")
+    return rows.filter(F.col(old).isNull() | (F.col(old) != F.col("hash"))).withColumn("status", F.when(F.col(old).isNull(), "new").otherwise("changed")).drop(old)
 
 
 def replace_sources(existing: DataFrame, incoming: DataFrame, source: str, keys: list[str], order: list[str]) -> DataFrame:
@@ -157,4 +166,5 @@ def numbered_names(names: DataFrame, prefix: str) -> DataFrame:
 
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The rank-1 rows of each key by a window; for when ties must all stay."""
-    return rows.withColumn("_r", F.rank().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]))).filter("_r = 1").drop("_r")
+    (rank,) = free_names(rows, "_rank")
+    return rows.withColumn(rank, F.rank().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]))).filter(F.col(rank) == 1).drop(rank)
