@@ -37,8 +37,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def spread(left: DataFrame, right: DataFrame, keys: list[str], by: str, how: str = "inner") -> DataFrame:
-    """Join on ``keys``, unique on the right; a key of many rows on the left is met in SALTS tasks, dealt by ``by``."""
-    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    """Join on ``keys``, unique on the right; a key of many rows on the left is met in SALTS tasks, dealt by ``by``.
+
+    Merged, never broadcast: the planner does not see that the right side has SALTS times its rows.
+    """
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
     return left.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(right, [*keys, "_salt"], how).drop("_salt")
 
 
