@@ -110,11 +110,11 @@ def test_latest_n_and_compare(spark):
 
 def test_routing_table(spark):
     cases = [
-        ("summarize", "treatment_plan", None, None, "treatment_sessions_sqlite"), ("summarize", "diagnosis", None, None, "family_a_sqlite"), ("summarize", None, None, None, "treatment_sessions_sqlite"),
-        ("check_domain", None, f' "{DOMAINS[3]}". ', None, "domain_sqlite"), ("check_domain", None, "x", None, "pinecone"), ("check_domain", None, None, None, "pinecone"),
-        ("find_specific", None, None, None, "treatment_sessions_sqlite"), ("find_specific", None, "", None, "treatment_sessions_sqlite"), ("find_specific", None, "x", None, "pinecone"),
-        ("find_specific", "clinic_visit_summary", None, None, "family_a_sqlite"), ("compare_progress", None, None, D(2025, 1, 1), "compare_sqlite"), ("compare_progress", None, None, None, "treatment_sessions_sqlite"),
-        ("other", None, None, None, "pinecone"), (None, None, None, None, "pinecone"),
+        ("summarize", "treatment_plan", None, None, "sessions"), ("summarize", "diagnosis", None, None, "documents"), ("summarize", None, None, None, "sessions"),
+        ("check_domain", None, f' "{DOMAINS[3]}". ', None, "domain"), ("check_domain", None, "x", None, "vectors"), ("check_domain", None, None, None, "vectors"),
+        ("find_specific", None, None, None, "sessions"), ("find_specific", None, "", None, "sessions"), ("find_specific", None, "x", None, "vectors"),
+        ("find_specific", "clinic_visit_summary", None, None, "documents"), ("compare_progress", None, None, D(2025, 1, 1), "compare"), ("compare_progress", None, None, None, "sessions"),
+        ("other", None, None, None, "vectors"), (None, None, None, None, "vectors"),
     ]
     rows = spark.createDataFrame([(i, *c[:4]) for i, c in enumerate(cases)], "query_id int, intent string, template string, topic string, date_from date")
     got = [r["strategy"] for r in route.route(rows).orderBy("query_id").collect()]

@@ -56,11 +56,11 @@ _DOC = "coalesce(template IN ('diagnosis', 'clinic_visit_summary'), false)"
 _PLAIN = "trim(trim(topic), ' \",.:;''')"
 _IN = f"coalesce({_PLAIN} IN ({', '.join(repr(t) for t in TOPICS)}), false)"
 _ROUTED = f"""SELECT *, CASE WHEN intent = 'check_domain' AND {_IN} THEN {_PLAIN} ELSE topic END AS used_topic, CASE
-  WHEN intent = 'summarize' THEN CASE WHEN {_DOC} THEN 'family_a_sqlite' ELSE 'treatment_sessions_sqlite' END
-  WHEN intent = 'compare_progress' THEN CASE WHEN date_from IS NULL THEN 'treatment_sessions_sqlite' ELSE 'compare_sqlite' END
-  WHEN intent = 'check_domain' THEN CASE WHEN {_IN} THEN 'domain_sqlite' ELSE 'pinecone' END
-  WHEN intent = 'find_specific' THEN CASE WHEN {_DOC} THEN 'family_a_sqlite' WHEN topic IS NOT NULL AND topic <> '' THEN 'pinecone' ELSE 'treatment_sessions_sqlite' END
-  ELSE 'pinecone' END AS strategy FROM ({S.PARAMS})"""
+  WHEN intent = 'summarize' THEN CASE WHEN {_DOC} THEN 'documents' ELSE 'sessions' END
+  WHEN intent = 'compare_progress' THEN CASE WHEN date_from IS NULL THEN 'sessions' ELSE 'compare' END
+  WHEN intent = 'check_domain' THEN CASE WHEN {_IN} THEN 'domain' ELSE 'vectors' END
+  WHEN intent = 'find_specific' THEN CASE WHEN {_DOC} THEN 'documents' WHEN topic IS NOT NULL AND topic <> '' THEN 'vectors' ELSE 'sessions' END
+  ELSE 'vectors' END AS strategy FROM ({S.PARAMS})"""
 
 
 def routed(spark, d):
@@ -72,7 +72,7 @@ def q_route(spark, d):
     return routed(spark, d).select("query_id", "intent", "strategy", "used_topic")
 
 
-@query("q_prompt_kind", f"""SELECT query_id, CASE WHEN strategy = 'compare_sqlite' THEN 'compare' WHEN intent = 'compare_progress' THEN 'trend' WHEN strategy = 'domain_sqlite' THEN 'domain' WHEN strategy = 'family_a_sqlite' THEN 'document'
+@query("q_prompt_kind", f"""SELECT query_id, CASE WHEN strategy = 'compare' THEN 'compare' WHEN intent = 'compare_progress' THEN 'trend' WHEN strategy = 'domain' THEN 'domain' WHEN strategy = 'documents' THEN 'document'
   WHEN intent = 'summarize' THEN 'summarize' ELSE 'specific' END AS prompt FROM ({_ROUTED})""")
 def q_prompt_kind(spark, d):
     return route.prompt_kind(routed(spark, d)).select("query_id", "prompt")
@@ -83,16 +83,16 @@ _WITHIN = "(q.date_from IS NULL OR {0}.session_date >= q.date_from) AND (q.date_
 _ASKED = f"(SELECT q.*, v.embedding AS query FROM (SELECT *, CAST(string_split(query_id, '_')[1] AS BIGINT) % 100 AS pick FROM ({_ROUTED})) q JOIN ({S.VECTORS}) v ON v.vec_id = q.pick)"
 _SHORT = f"(SELECT q.query_id, s.session_date, s.text, row_number() OVER (PARTITION BY q.query_id ORDER BY s.session_date DESC, s.seq DESC) AS rn, q.session_limit, q.strategy FROM ({_ROUTED}) q JOIN {S.SESSIONS} s ON s.patient_id = q.patient_id WHERE q.session_limit IS NOT NULL)"
 _RETRIEVED = f"""WITH q AS MATERIALIZED {_ASKED}, s AS MATERIALIZED {S.SESSIONS}, f AS MATERIALIZED ({S.FINDINGS}), x AS MATERIALIZED {S.PATIENT_SECTIONS}, v AS MATERIALIZED {S.SESSION_VECTORS}, short AS MATERIALIZED (SELECT * FROM {_SHORT} WHERE rn <= session_limit),
-  own AS (SELECT q.query_id, q.patient_id, x.session_date, x.text, max(x.session_date) OVER (PARTITION BY q.query_id) AS last, q.session_limit IS NOT NULL OR q.date_from IS NULL AS newest, {_WITHIN.format('x')} AS inside FROM q JOIN x ON x.patient_id = q.patient_id AND x.template = q.template WHERE q.strategy = 'family_a_sqlite'),
+  own AS (SELECT q.query_id, q.patient_id, x.session_date, x.text, max(x.session_date) OVER (PARTITION BY q.query_id) AS last, q.session_limit IS NOT NULL OR q.date_from IS NULL AS newest, {_WITHIN.format('x')} AS inside FROM q JOIN x ON x.patient_id = q.patient_id AND x.template = q.template WHERE q.strategy = 'documents'),
   doc AS (SELECT * FROM own WHERE CASE WHEN newest THEN session_date = last ELSE inside END),
-  dom AS (SELECT q.query_id, f.session_date, f.text FROM q JOIN f ON f.patient_id = q.patient_id AND (f.domain = q.used_topic OR f.parent_domain = q.used_topic) WHERE q.strategy = 'domain_sqlite' AND f.text <> ''),
+  dom AS (SELECT q.query_id, f.session_date, f.text FROM q JOIN f ON f.patient_id = q.patient_id AND (f.domain = q.used_topic OR f.parent_domain = q.used_topic) WHERE q.strategy = 'domain' AND f.text <> ''),
   semantic AS (SELECT q.query_id, q.patient_id, q.query, coalesce(r.low, q.date_from) AS date_from, coalesce(r.high, q.date_to) AS date_to FROM q LEFT JOIN (SELECT query_id, min(session_date) AS low, max(session_date) AS high FROM short GROUP BY query_id) r ON r.query_id = q.query_id
-    WHERE q.strategy = 'pinecone' OR (q.strategy = 'domain_sqlite' AND q.query_id NOT IN (SELECT query_id FROM dom))),
+    WHERE q.strategy = 'vectors' OR (q.strategy = 'domain' AND q.query_id NOT IN (SELECT query_id FROM dom))),
   near AS (SELECT q.query_id, v.vec_id, v.patient_id, v.session_date, v.chunk_type, row_number() OVER (PARTITION BY q.query_id ORDER BY {_SCORE.replace('q.embedding', 'q.query')} DESC, v.vec_id) AS rank FROM semantic q JOIN v ON v.patient_id = q.patient_id AND {_WITHIN.format('v')}),
   hit AS (SELECT * FROM near WHERE rank <= 10)
-  SELECT query_id, 'session' AS side, session_date, text FROM short WHERE strategy = 'treatment_sessions_sqlite'
-  UNION ALL SELECT q.query_id, 'session', s.session_date, s.text FROM q JOIN s ON s.patient_id = q.patient_id AND {_WITHIN.format('s')} WHERE q.strategy = 'treatment_sessions_sqlite' AND q.session_limit IS NULL
-  UNION ALL SELECT q.query_id, CASE WHEN s.session_date < q.date_from THEN 'before' ELSE 'after' END, s.session_date, s.text FROM q JOIN s ON s.patient_id = q.patient_id WHERE q.strategy = 'compare_sqlite'
+  SELECT query_id, 'session' AS side, session_date, text FROM short WHERE strategy = 'sessions'
+  UNION ALL SELECT q.query_id, 'session', s.session_date, s.text FROM q JOIN s ON s.patient_id = q.patient_id AND {_WITHIN.format('s')} WHERE q.strategy = 'sessions' AND q.session_limit IS NULL
+  UNION ALL SELECT q.query_id, CASE WHEN s.session_date < q.date_from THEN 'before' ELSE 'after' END, s.session_date, s.text FROM q JOIN s ON s.patient_id = q.patient_id WHERE q.strategy = 'compare'
   UNION ALL SELECT query_id, 'document', session_date, text FROM doc WHERE text <> ''
   UNION ALL SELECT d.query_id, 'finding', f.session_date, f.text FROM (SELECT DISTINCT query_id, patient_id, session_date FROM doc) d JOIN f ON f.patient_id = d.patient_id AND f.session_date = d.session_date WHERE f.text <> ''
   UNION ALL SELECT query_id, 'domain', session_date, text FROM dom
@@ -110,12 +110,12 @@ def retrieved(spark, d, q):
     """All questions at once, one plan for each of the five strategies, whatever their number."""
     sessions, findings = V.sessions(spark, d), V.findings(spark, d)
     of = lambda name: q.filter(F.col("strategy") == name)
-    one = R.sessions_for(of("treatment_sessions_sqlite"), sessions).filter(has_text(F.col("text"))).select("query_id", F.lit("session").alias("side"), "session_date", "text")
-    both = of("compare_sqlite").select("query_id", "patient_id", "date_from").join(sessions, "patient_id")
+    one = R.sessions_for(of("sessions"), sessions).filter(has_text(F.col("text"))).select("query_id", F.lit("session").alias("side"), "session_date", "text")
+    both = of("compare").select("query_id", "patient_id", "date_from").join(sessions, "patient_id")
     two = R.compare_split(both, F.col("date_from")).select("query_id", "side", "session_date", "text")
-    three = R.documents_for(of("family_a_sqlite"), V.patient_sections(spark, d), findings)
-    four, rest = R.domains_for(of("domain_sqlite"), findings)
-    five = R.vectors_for(of("pinecone").unionByName(rest.select(q.columns)), V.session_vectors(spark, d), sessions, V.goals(spark, d))
+    three = R.documents_for(of("documents"), V.patient_sections(spark, d), findings)
+    four, rest = R.domains_for(of("domain"), findings)
+    five = R.vectors_for(of("vectors").unionByName(rest.select(q.columns)), V.session_vectors(spark, d), sessions, V.goals(spark, d))
     return one.unionByName(two).unionByName(three).unionByName(four).unionByName(five)
 
 
@@ -124,8 +124,8 @@ def q_retrieve_all(spark, d):
     return retrieved(spark, d, asked(spark, d))
 
 
-@query("q_retrieve_status", f"""SELECT q.query_id, q.strategy, CASE WHEN count(r.side) = 0 THEN 'no_results' WHEN q.strategy = 'compare_sqlite' AND count(*) FILTER (r.side = 'before') = 0 THEN 'no_before'
-  WHEN q.strategy = 'compare_sqlite' AND count(*) FILTER (r.side = 'after') = 0 THEN 'no_after' ELSE 'ok' END AS status FROM {_ASKED} q LEFT JOIN ({_RETRIEVED}) r ON r.query_id = q.query_id GROUP BY q.query_id, q.strategy""")
+@query("q_retrieve_status", f"""SELECT q.query_id, q.strategy, CASE WHEN count(r.side) = 0 THEN 'no_results' WHEN q.strategy = 'compare' AND count(*) FILTER (r.side = 'before') = 0 THEN 'no_before'
+  WHEN q.strategy = 'compare' AND count(*) FILTER (r.side = 'after') = 0 THEN 'no_after' ELSE 'ok' END AS status FROM {_ASKED} q LEFT JOIN ({_RETRIEVED}) r ON r.query_id = q.query_id GROUP BY q.query_id, q.strategy""")
 def q_retrieve_status(spark, d):
     q = asked(spark, d)
     return R.outcomes(q, retrieved(spark, d, q)).select("query_id", "strategy", "status")

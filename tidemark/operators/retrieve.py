@@ -183,6 +183,6 @@ def outcomes(queries: DataFrame, rows: DataFrame) -> DataFrame:
     """``queries`` with ``status``: ok; no_results; or, of a comparison, no_before or no_after."""
     n = rows.groupBy("query_id").agg(F.count("*").alias("_n"), F.count_if(F.col("side") == "before").alias("_before"), F.count_if(F.col("side") == "after").alias("_after"))
     out = queries.join(n, "query_id", "left")
-    compared = F.col("strategy") == "compare_sqlite"
+    compared = F.col("strategy") == "compare"
     status = F.when(F.coalesce("_n", F.lit(0)) == 0, "no_results").when(compared & (F.col("_before") == 0), "no_before").when(compared & (F.col("_after") == 0), "no_after").otherwise("ok")
     return out.withColumn("status", status).drop("_n", "_before", "_after")

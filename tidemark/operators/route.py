@@ -21,11 +21,11 @@ def route(params: DataFrame, domains: list[str] = DOMAINS) -> DataFrame:
     document = F.coalesce(template.isin(*DOCUMENTS), F.lit(False))
     known = F.coalesce(plain.isin(*domains), F.lit(False))
     strategy = (
-        F.when(intent == "summarize", F.when(document, "family_a_sqlite").otherwise("treatment_sessions_sqlite"))
-        .when(intent == "compare_progress", F.when(F.col("date_from").isNull(), "treatment_sessions_sqlite").otherwise("compare_sqlite"))
-        .when(intent == "check_domain", F.when(known, "domain_sqlite").otherwise("pinecone"))
-        .when(intent == "find_specific", F.when(document, "family_a_sqlite").when(has_text(topic), "pinecone").otherwise("treatment_sessions_sqlite"))
-        .otherwise("pinecone")
+        F.when(intent == "summarize", F.when(document, "documents").otherwise("sessions"))
+        .when(intent == "compare_progress", F.when(F.col("date_from").isNull(), "sessions").otherwise("compare"))
+        .when(intent == "check_domain", F.when(known, "domain").otherwise("vectors"))
+        .when(intent == "find_specific", F.when(document, "documents").when(has_text(topic), "vectors").otherwise("sessions"))
+        .otherwise("vectors")
     )
     return params.withColumn("strategy", strategy).withColumn("used_topic", F.when((intent == "check_domain") & known, plain).otherwise(topic))
 
@@ -33,7 +33,7 @@ def route(params: DataFrame, domains: list[str] = DOMAINS) -> DataFrame:
 def prompt_kind(routed: DataFrame) -> DataFrame:
     """Which of six prompts a routed question gets, in fixed precedence."""
     s, intent = F.col("strategy"), F.col("intent")
-    kind = F.when(s == "compare_sqlite", "compare").when(intent == "compare_progress", "trend").when(s == "domain_sqlite", "domain").when(s == "family_a_sqlite", "document")
+    kind = F.when(s == "compare", "compare").when(intent == "compare_progress", "trend").when(s == "domain", "domain").when(s == "documents", "document")
     return routed.withColumn("prompt", kind.when(intent == "summarize", "summarize").otherwise("specific"))
 
 
