@@ -87,8 +87,29 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simple8b, op3_warc_bundles, op4_suffix_dedup, op5_lsh_forest, op6_window_packing, op7_license_digest, op8_quality_rules, op9_toxicity, op10_decontamination)}
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.importance import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_score_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.score_index import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.fill_in_middle import restored, transform
+
+    rows = transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simple8b, op3_warc_bundles, op4_suffix_dedup, op5_lsh_forest, op6_window_packing, op7_license_digest, op8_quality_rules, op9_toxicity, op10_decontamination, op11_importance, op12_score_index, op13_fill_in_middle)}
 ORACLES: dict[str, str] = {
     "op1_url_filter": oracles.url_filter(RULES), "op3_warc_bundles": oracles.WARC, "op4_suffix_dedup": oracles.SUFFIX,
     "op5_lsh_forest": oracles.JACCARD, "op7_license_digest": oracles.license_digest(), "op10_decontamination": oracles.LEAKS,
+    "op11_importance": oracles.IMPORTANCE, "op12_score_index": oracles.TOP_K, "op13_fill_in_middle": oracles.MIDDLE,
 }
