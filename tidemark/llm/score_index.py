@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.llm.store import saved
@@ -91,8 +92,8 @@ class Shard:
     """Posting segments of some vectors, and the vectors themselves in order of their ids."""
 
     def __init__(self, rows: pa.Table) -> None:
-        whole = rows.filter(pa.compute.is_null(rows["dim"])).slice(0, 1).to_pylist()[0]
-        rows = rows.filter(pa.compute.is_valid(rows["dim"])).sort_by("dim")
+        whole = rows.filter(pc.is_null(rows["dim"])).slice(0, 1).to_pylist()[0]
+        rows = rows.filter(pc.is_valid(rows["dim"])).sort_by("dim")
         self.ids = np.frombuffer(whole["ids"], np.int64)
         self.v = np.frombuffer(whole["vectors"], np.int64).reshape(len(self.ids), whole["width"])
         flat = lambda name, kind: np.concatenate([np.zeros(0, kind), *(np.array(x.as_py(), kind) for x in rows[name])])
