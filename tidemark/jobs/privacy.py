@@ -31,8 +31,10 @@ _TYPE = lambda v: "CASE " + " ".join(f"WHEN regexp_full_match({v}, '{p}') THEN '
 _HITS = f"SELECT doc_id, unnest(regexp_extract_all(text, '{_ALL}')) AS value FROM documents"
 _FOUND = f"SELECT DISTINCT doc_id, {_TYPE('value')} AS type, value FROM ({_HITS})"
 _W = "[^\\p{L}\\p{N}_]"
+#: Whether a text holds a value: one of Latin letters and digits alone as a whole word, any other anywhere.
+_HOLDS = lambda t, v: f"contains({t}, {v}) AND (NOT regexp_full_match({v}, '[0-9A-Za-z_]+') OR {_ALONE(t, v)})"
 #: Whether a text holds a value as a run of whole words.
-_HOLDS = lambda t, v: f"contains({t}, {v}) AND regexp_matches({t}, CASE WHEN regexp_matches({v}, '^[\\p{{L}}\\p{{N}}_]') THEN '(^|{_W})' ELSE '' END || regexp_escape({v}) || CASE WHEN regexp_matches({v}, '[\\p{{L}}\\p{{N}}_]$') THEN '({_W}|$)' ELSE '' END)"
+_ALONE = lambda t, v: f"contains({t}, {v}) AND regexp_matches({t}, CASE WHEN regexp_matches({v}, '^[\\p{{L}}\\p{{N}}_]') THEN '(^|{_W})' ELSE '' END || regexp_escape({v}) || CASE WHEN regexp_matches({v}, '[\\p{{L}}\\p{{N}}_]$') THEN '({_W}|$)' ELSE '' END)"
 
 
 def _docs(spark, d) -> DataFrame:
@@ -159,12 +161,12 @@ _PARTS = f"SELECT DISTINCT unnest([value, string_split(value, ' ')[1], string_sp
 _DIGEST = f"(SELECT sha256(min(value)) FROM ({_NAMES}))"
 
 
-_CONTAINED = lambda values: f"SELECT DISTINCT doc_id FROM (SELECT d.doc_id, text, value FROM documents d JOIN ({values}) v ON contains(text, value) OFFSET 0) WHERE {_HOLDS('text', 'value')}"
+_CONTAINED = lambda values: f"SELECT DISTINCT doc_id FROM (SELECT d.doc_id, text, value FROM documents d JOIN ({values}) v ON contains(text, value) OFFSET 0) WHERE {_ALONE('text', 'value')}"
 
 
 @query("q_audit", f"""WITH bare AS MATERIALIZED (SELECT doc_id, regexp_replace(text, '[\\s./-]', '', 'g') AS t FROM documents),
   hit AS (SELECT doc_id, 'derived_key' AS layer FROM documents WHERE doc_id % 10 = 0 UNION SELECT doc_id, 'digits' FROM bare JOIN ({_CARDS}) c ON contains(t, c.value)
-    UNION SELECT doc_id, 'name' FROM ({_CONTAINED(f'SELECT value FROM ({_PARTS}) WHERE length(value) >= 2')}) UNION SELECT doc_id, 'plain' FROM ({_CONTAINED(_MAILS)})
+    UNION SELECT doc_id, 'name' FROM ({_CONTAINED(f'SELECT value FROM ({_PARTS}) WHERE length(value) >= 2')}) UNION SELECT doc_id, 'plain' FROM documents JOIN ({_MAILS}) m ON contains(text, m.value)
     UNION SELECT doc_id, 'pattern_email' FROM documents WHERE regexp_matches(text, '{PATTERNS[0][1]}'))
   SELECT d.doc_id AS payload_id, string_agg(layer, ',' ORDER BY layer) AS layers, count(layer) = 0 AS clean FROM documents d LEFT JOIN hit ON d.doc_id = hit.doc_id GROUP BY d.doc_id""")
 def audit(spark, d):

@@ -18,10 +18,11 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemark.functions.columns import free_names
 from tidemark.functions.text import basename, strip
-from tidemark.functions.vocab import ATTACHED, ENTITY_TYPES, PII, TOKEN, TOKEN_TYPES
+from tidemark.functions.vocab import ATTACHED, ENTITY_TYPES, PII, TOKEN
+from tidemark.operators import known as known_values
 
-#: Known values up to this many are sent to all tasks; more are joined by shuffle.
-MOST_BROADCAST = 1_000_000
+#: Before a whole word, which one attached letter may precede.
+ALONE = rf"(?:(?<!\w)|(?<=(?<!\w)[{''.join(ATTACHED)}]))"
 ANY_TOKEN = TOKEN.replace("(", "(?:")
 
 
@@ -129,7 +130,7 @@ def replace(docs: DataFrame, found: DataFrame, reid: DataFrame) -> DataFrame:
     entry = F.struct((-F.length("surface")).alias("n"), "surface", F.col("v.token").alias("token"), "bounded")
     pairs = pairs.groupBy("doc_id").agg(F.array_sort(F.collect_list(entry)).alias(spans), F.count_distinct("v.value").alias(count))
     rows = docs.join(pairs, "doc_id", "left")
-    form = lambda s: F.when(s["bounded"], F.concat(F.lit(r"(?<!\w)"), quoted(s["surface"]), F.lit(r"(?!\w)"))).otherwise(quoted(s["surface"]))
+    form = lambda s: F.when(s["bounded"], F.concat(F.lit(ALONE), quoted(s["surface"]), F.lit(r"(?!\w)"))).otherwise(quoted(s["surface"]))
     pattern = F.concat(F.lit(f"(?uU)(?:{ANY_TOKEN})|"), F.array_join(F.transform(spans, form), "|"))
     table = F.map_from_arrays(F.col(f"{spans}.surface"), F.col(f"{spans}.token"))
     rows = rows.withColumn(parts, F.when(F.col(spans).isNotNull(), F.regexp_extract_all("text", pattern, F.lit(0))))
@@ -162,51 +163,19 @@ def scrubbed(text: Column) -> Column:
 def eligible(value: Column) -> Column:
     """Values that the sweep and the gate look for: two characters at least, one of them of a word.
 
-    Plain Latin words and digits count, too, as no text is ever searched inside its tokens.
+    Plain Latin words and digits count, too, as whole words (``plain``): no text is ever searched inside its tokens.
     """
     return (F.length(value) >= 2) & value.rlike(r"(?U)\w")
 
 
-def _words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"(?U)\w+"), 0)
+def plain(value: Column) -> Column:
+    """Values of Latin letters and digits alone count as whole words; all others count anywhere in a text, inside words, too."""
+    return value.rlike(r"^[A-Za-z0-9_]+$")
 
 
-def _gram(words: Column, at: Column, n: int, lead: int = 1) -> Column:
-    """A hash of ``n`` words from ``at`` on, the first from its character ``lead`` on."""
-    return F.xxhash64(F.lit(n), F.substring(F.get(words, at), lead, 1 << 30), *[F.get(words, at + k) for k in range(1, n)])
-
-
-def _grams(words: Column, n: int, attached: bool) -> Column:
-    """Hashes of all runs of ``n`` words; ``attached``: of those after a letter of ATTACHED, without it."""
-    places = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
-    if attached:
-        places = F.filter(places, lambda i: F.substring(F.get(words, i), 1, 1).isin(*ATTACHED) & (F.length(F.get(words, i)) > 1))
-    return F.transform(places, lambda i: _gram(words, i, n, 2 if attached else 1))
-
-
-def held(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """``(doc_id, value)``, distinct: the values of ``known`` that the scrubbed texts hold.
-
-    Known values meet texts in an equi-join on hashes of runs of as many words as they have; a
-    candidate counts if the text contains the value as whole words, one attached letter of ``ATTACHED``
-    before them aside; a theta join of texts with all
-    values would grow with their product.
-    """
-    known = known.select("value").distinct().withColumn("w", _words(F.col("value"))).withColumn("n", F.size("w")).filter("n > 0")
-    sizes = sorted(r["n"] for r in known.groupBy("n").count().collect())  # a row for each number of words
-    if not sizes:
-        return docs.select("doc_id", F.lit("").alias("value")).limit(0)
-    hashed = F.coalesce(*[F.when(F.col("n") == n, _gram(F.col("w"), F.lit(0), n)) for n in sizes])
-    index = known.select("value", hashed.alias("gram"))
-    if index.count() <= MOST_BROADCAST:
-        index = F.broadcast(index)
-    cut = docs.select("doc_id", F.explode(F.array(_words(scrubbed(F.col("text"))))).alias("w"))  # the generator keeps the words in one evaluation
-    grams = [_grams(F.col("w"), n, attached) for n in sizes for attached in (False, True)]
-    pairs = cut.select("doc_id", F.explode(F.array_distinct(F.concat(*grams))).alias("gram")).join(index, "gram").select("doc_id", "value").distinct()
-    # the text decides: equal hashes, other characters between words
-    begins = F.when(F.col("value").rlike(r"(?U)^\w"), rf"(?<!\w)[{''.join(ATTACHED)}]?").otherwise("")
-    whole = F.concat(F.lit("(?U)"), begins, quoted(F.col("value")), F.when(F.col("value").rlike(r"(?U)\w$"), r"(?!\w)").otherwise(""))
-    return pairs.join(docs.select("doc_id", scrubbed(F.col("text")).alias("text")), "doc_id").filter(F.contains("text", "value") & F.regexp_like("text", whole)).select("doc_id", "value").distinct()
+def held(docs: DataFrame, values: DataFrame, alone: Column | None = None) -> DataFrame:
+    """``(doc_id, value)``, distinct: the values that the scrubbed texts hold; those with ``alone`` (default: ``plain``) as whole words."""
+    return known_values.held(docs, values, scrubbed(F.col("text")), plain(F.col("value")) if alone is None else alone)
 
 
 def sweep(docs: DataFrame, reid: DataFrame, found: DataFrame | None = None) -> DataFrame:
@@ -215,7 +184,7 @@ def sweep(docs: DataFrame, reid: DataFrame, found: DataFrame | None = None) -> D
     What one document's detection missed but another's caught goes here.
     """
     values = held(docs, reid.filter(eligible(F.col("value"))))
-    values = values.select("doc_id", "value", F.col("value").alias("surface"), F.col("value").rlike(r"^[A-Za-z0-9_]+$").alias("bounded"))
+    values = values.select("doc_id", "value", F.col("value").alias("surface"), plain(F.col("value")).alias("bounded"))
     if found is not None:
         if "surface" not in found.columns:
             found = found.select("doc_id", "value", F.col("value").alias("surface"), F.lit(False).alias("bounded"))
@@ -313,17 +282,17 @@ def audit(payloads: DataFrame, forbidden: DataFrame, patterns=PII) -> DataFrame:
 
     derived_key: a 64-digit hex string that is the SHA-256 of a forbidden name. The other layers do
     not look into tokens. name: a forbidden name as whole words, one attached letter aside; digits:
-    forbidden digits within a run of the payload's, separators aside; plain: a forbidden string; and
-    pattern_*. ``forbidden``: kind (name, digits, plain), value. Names and strings are looked up by
-    runs of words (``held``), digits by windows of as many digits as some value has, both equi-joins.
+    forbidden digits within a run of the payload's, separators aside; plain: a forbidden string
+    anywhere; and pattern_*. ``forbidden``: kind (name, digits, plain), value. Names and strings are looked
+    up by windows of bytes (``held``), digits by windows of as many digits as some value has, all equi-joins.
     """
     text = scrubbed(F.col("text"))
     of = lambda kind: forbidden.filter(F.col("kind") == kind).select("value").distinct()
     hashes = payloads.select("payload_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[0-9a-f]{64}"), 0))).alias("value"))
     out = hashes.join(of("name").select(F.sha2("value", 256).alias("value")), "value").select("payload_id", F.lit("derived_key").alias("layer"))
-    names = held(payloads.select(F.col("payload_id").alias("doc_id"), "text"), of("name"))
+    names = held(payloads.select(F.col("payload_id").alias("doc_id"), "text"), of("name"), F.lit(True))
     out = out.unionByName(names.select(F.col("doc_id").alias("payload_id"), F.lit("name").alias("layer")))
-    strings = held(payloads.select(F.col("payload_id").alias("doc_id"), "text"), of("plain"))
+    strings = held(payloads.select(F.col("payload_id").alias("doc_id"), "text"), of("plain"), F.lit(False))
     out = out.unionByName(strings.select(F.col("doc_id").alias("payload_id"), F.lit("plain").alias("layer")))
     out = out.unionByName(_digit_windows(payloads, text, of("digits")).select("payload_id", F.lit("digits").alias("layer")))
     for kind, pattern in patterns:
