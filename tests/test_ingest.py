@@ -12,8 +12,8 @@ AT = "2025-03-01 08:00:00"
 
 def tables(spark, root):
     out = {}
-    for name in [*ingest.TABLES, "log"]:
-        now = store.VersionedTable(spark, f"{root}/{name}").read()
+    for name in [*ingest.TABLES, "vector", "attribute", "log"]:
+        now = store.Database(spark, root).read(name)
         out[name] = [] if now is None else sorted(str(r) for r in now.collect())
     return out
 
@@ -34,13 +34,13 @@ def test_files_become_rows_once(spark, tmp_path):
     assert {closed[report.name], closed["תוכנית טיפול דנה לוי.docx"]} == {"blocked:ner_rescan"} and tables(spark, root)["log"] == []
     first = go(model=model)
     assert first == {report.name: "ok", "תוכנית טיפול דנה לוי.docx": "ok", "סיכום טיפול 2 רון כהן.docx": "blocked:name_conflict", "other.docx": "unknown_template", "סיכום אבחון 9 דנה לוי.docx": "error:BadZipFile"}
-    reid = store.VersionedTable(spark, f"{root}/reid").read()
+    reid = store.Database(spark, root).read("reid")
     key = {r["value"]: f"{r['type']}_{r['key']}" for r in reid.collect()}
-    section = store.VersionedTable(spark, f"{root}/section").read().collect()
+    section = store.Database(spark, root).read("section").collect()
     assert [(r["name"], r["text"], str(r["session_date"]), r["raw_date"], f"PERSON_{r['patient_id']}") for r in section] == [(SECTIONS[0][1], f"{key['דנה']} באה עם {key['דנה לוי']} ועם {key['רות']}, {key['052-123-4567']}", "2025-02-01", "01/02/2025", key["דנה לוי"])]
-    finding = store.VersionedTable(spark, f"{root}/finding").read().first()
+    finding = store.Database(spark, root).read("finding").first()
     assert finding["text"] == f"טוב, גם ל{key['דנה לוי']}" and finding["name"] == DOMAINS[0]
-    session = store.VersionedTable(spark, f"{root}/session").read().first()
+    session = store.Database(spark, root).read("session").first()
     assert session["text"] == f"מפגש עם {key['רות']}" and str(session["session_date"]) == "2025-03-01"
     assert {r["patient_id"] for r in deid.subject_ids(spark.createDataFrame([("דנה לוי",)], "folder string"), reid).collect()} == {finding["patient_id"]}
     before = tables(spark, root)
@@ -48,8 +48,8 @@ def test_files_become_rows_once(spark, tmp_path):
     assert {k: v for k, v in again.items() if v == "skipped"}.keys() == {k for k, v in first.items() if v == "ok"} and tables(spark, root) == before
     docx.write(str(report), [*head, (SECTIONS[3][0], True), ("new", False)])
     assert go(model=model)[report.name] == "ok"
-    assert [(r["name"], r["text"]) for r in store.VersionedTable(spark, f"{root}/section").read().collect()] == [(SECTIONS[3][1], "new")]
-    assert store.VersionedTable(spark, f"{root}/finding").read().count() == 0 and store.VersionedTable(spark, f"{root}/session").read().count() == 1
+    assert [(r["name"], r["text"]) for r in store.Database(spark, root).read("section").collect()] == [(SECTIONS[3][1], "new")]
+    assert store.Database(spark, root).read("finding").count() == 0 and store.Database(spark, root).read("session").count() == 1
 
 
 def test_evaluation_takes_errors(spark):

@@ -205,8 +205,10 @@ def ingest_run(spark, d):
     damaged = k % 11 == 0
     files = V.table(spark, d, "documents").select(path.alias("path"), F.col("source").alias("folder"), F.sha2("text", 256).alias("hash"), F.when(~damaged, F.split("text", "\n")).alias("paragraphs"), F.lit(None).cast("array<array<string>>").alias("cells"), F.when(damaged, "BadZipFile").alias("error"), (k % 10 == 0).alias("known"))
     root, at = work_folder(spark, "ingest"), F.lit("2025-01-01 12:00:00").cast("timestamp")
-    store.VersionedTable(spark, f"{root}/log").write(store.mark_ingested(None, files.filter("known"), at))
+    known = store.Database(spark, root).begin()
+    known.merge("log", store.mark_ingested(None, files.filter("known"), at), ["path"], ["ingested_at"])
+    known.commit()
     how = {"classify": lambda lines: parse.classify(lines, parsing.SECTIONS, parsing.DOMAINS, "findings", parsing.MARK, parsing.START), "domains": lambda rows: parse.domain_texts(rows, parsing.PARENTS)}
     runs = [ingest.run(spark, files.drop("known"), root, at, boundary.gazetteer(["zzz"]), patterns=PATTERNS, **how) for _ in range(2)]
-    log = store.VersionedTable(spark, f"{root}/log").read().join(files.filter("not known").select("path"), "path").groupBy("path").agg(F.count("*").cast("int").alias("logged"))
+    log = store.Database(spark, root).read("log").join(files.filter("not known").select("path"), "path").groupBy("path").agg(F.count("*").cast("int").alias("logged"))
     return runs[0].join(runs[1].withColumnRenamed("status", "again"), "path").join(log, "path", "left").select("path", "status", "again", F.coalesce("logged", F.lit(0)).alias("logged"))

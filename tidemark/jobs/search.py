@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.session import saved
 from tidemark.functions.text import has_text
 from tidemark.jobs import views_sql as S
 from tidemark.operators import retrieve as R, route, vector
@@ -107,15 +108,21 @@ def asked(spark, d):
 
 
 def retrieved(spark, d, q):
-    """All questions at once, one plan for each of the five strategies, whatever their number."""
-    sessions, findings = V.sessions(spark, d), V.findings(spark, d)
+    """All questions at once, one plan for each of the five strategies, whatever their number.
+
+    Each view is written once, the rows of patients with a question alone.
+    """
+    q = saved(q, "asked")
+    patients = saved(q.select("patient_id").distinct(), "patients")
+    own = lambda view, name: saved(view.join(patients, "patient_id", "left_semi"), name)
+    sessions, findings, goals = own(V.sessions(spark, d), "sessions"), own(V.findings(spark, d), "findings"), own(V.goals(spark, d), "goals")
     of = lambda name: q.filter(F.col("strategy") == name)
     one = R.sessions_for(of("sessions"), sessions).filter(has_text(F.col("text"))).select("query_id", F.lit("session").alias("side"), "session_date", "text")
     both = of("compare").select("query_id", "patient_id", "date_from").join(sessions, "patient_id")
     two = R.compare_split(both, F.col("date_from")).select("query_id", "side", "session_date", "text")
-    three = R.documents_for(of("documents"), V.patient_sections(spark, d), findings)
+    three = R.documents_for(of("documents"), own(V.patient_sections(spark, d), "sections"), findings)
     four, rest = R.domains_for(of("domain"), findings)
-    five = R.vectors_for(of("vectors").unionByName(rest.select(q.columns)), V.session_vectors(spark, d), sessions, V.goals(spark, d))
+    five = R.vectors_for(of("vectors").unionByName(rest.select(q.columns)), own(V.session_vectors(spark, d), "vectors"), sessions, goals)
     return one.unionByName(two).unionByName(three).unionByName(four).unionByName(five)
 
 
@@ -129,3 +136,32 @@ def q_retrieve_all(spark, d):
 def q_retrieve_status(spark, d):
     q = asked(spark, d)
     return R.outcomes(q, retrieved(spark, d, q)).select("query_id", "strategy", "status")
+
+
+_BY = lambda cond: f"coalesce(string_agg(text, '{chr(10)}---{chr(10)}' ORDER BY session_date, side, text) FILTER ({cond}), '')"
+_N = "(CAST(string_split(query_id, '_')[1] AS BIGINT) * 31 + CAST(string_split(query_id, '_')[2] AS BIGINT))"
+
+
+@query("q_answers", f"""WITH asked AS (SELECT CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) AS query_id, min(text) AS text FROM conversations WHERE role = 'user' GROUP BY 1),
+  state AS (SELECT a.query_id, a.query_id || '|' || a.text AS question, {_N} AS k FROM asked a),
+  kind AS (SELECT query_id, strategy, CASE WHEN strategy = 'compare' THEN 'compare' WHEN intent = 'compare_progress' THEN 'trend' WHEN strategy = 'domain' THEN 'domain' WHEN strategy = 'documents' THEN 'document' WHEN intent = 'summarize' THEN 'summarize' ELSE 'specific' END AS prompt FROM ({_ROUTED})),
+  ctx AS (SELECT query_id, {_BY('true')} AS context, {_BY("side = 'before'")} AS before, {_BY("side = 'after'")} AS after, count(*) FILTER (side = 'before') AS n_before, count(*) FILTER (side = 'after') AS n_after FROM ({_RETRIEVED}) GROUP BY query_id),
+  done AS (SELECT s.query_id, s.k, CAST(CASE WHEN k % 3 = 0 OR k % 11 = 0 THEN 2 ELSE 1 END AS INTEGER) AS attempts, CASE WHEN k % 11 <> 0 THEN strategy END AS strategy, CASE WHEN k % 11 = 0 THEN 'extraction_failed' WHEN c.query_id IS NULL THEN 'no_results'
+    WHEN strategy = 'compare' AND n_before = 0 THEN 'no_before' WHEN strategy = 'compare' AND n_after = 0 THEN 'no_after' ELSE 'ok' END AS status,
+    prompt || '|' || CAST(length(prompt || chr(10) || CASE WHEN prompt = 'compare' THEN before || chr(10) || '===' || chr(10) || after ELSE context END || chr(10) || question) AS VARCHAR) AS answer FROM state s LEFT JOIN kind USING (query_id) LEFT JOIN ctx c USING (query_id)),
+  said AS (SELECT query_id, attempts, strategy, status, CASE WHEN status = 'ok' THEN answer END AS answer, length(CASE WHEN status = 'ok' THEN answer ELSE '[' || status || ']' END) AS n FROM done)
+  SELECT query_id, attempts, strategy, status, answer, CAST(n % 5 + 1 AS INTEGER) AS relevance, CAST(CASE WHEN n % 7 BETWEEN 1 AND 5 THEN n % 7 ELSE 0 END AS INTEGER) AS faithfulness, 5 AS completeness, 1 AS fluency FROM said""")
+def q_answers(spark, d):
+    """Questions from JSON, their parameters, contexts, answers and scores with stand-ins for the models, written as JSON and read back."""
+    from tidemark.jobs import answers
+
+    turns = V.table(spark, d, "conversations").filter("role = 'user'").withColumn("query_id", F.concat_ws("_", "conv_id", "turn")).groupBy("query_id").agg(F.min("text").alias("text"))
+    k = F.get(F.split("query_id", "_"), F.lit(0)).cast("long") * 31 + F.get(F.split("query_id", "_"), F.lit(1)).cast("long")
+    questions = turns.select("query_id", F.concat_ws("|", "query_id", "text").alias("question"), (k % 150).cast("string").alias("patient_id"), F.lit("x").alias("expected_answer"))
+
+    def find(routed):
+        v = V.vectors(spark, d).select(F.col("vec_id").alias("_pick"), F.col("embedding").alias("query"))
+        pick = F.get(F.split("query_id", "_"), F.lit(0)).cast("long") % 100
+        return retrieved(spark, d, routed.withColumn("patient_id", F.col("patient_id").cast("long")).withColumn("_pick", pick).join(v, "_pick").drop("_pick"))
+
+    return answers.report(spark, questions, find, TOPICS).select("query_id", "attempts", "strategy", "status", "answer", "scores.*")

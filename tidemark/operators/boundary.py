@@ -15,13 +15,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.operators.deid import text_windows
 
-Factory = Callable[[], Callable[[list], list]]
+Factory = Callable[..., Callable[[list], list]]
 
 
 def hashing_embedder(size: int = 64) -> Factory:
-    """Signed counts of hashed words; the same on every machine."""
+    """Signed counts of hashed words; the same on every machine and for documents and queries."""
 
-    def make():
+    def make(input_type: str = "document"):
         def embed(texts: list[str]) -> list[list[float]]:
             out = []
             for text in texts:
@@ -47,12 +47,12 @@ def gazetteer(names: list[str], label: str = "PER") -> Factory:
     return make
 
 
-def embed(rows: DataFrame, column: str, factory: Factory) -> DataFrame:
-    """Adds ``embedding``; a null or empty text has none."""
+def embed(rows: DataFrame, column: str, factory: Factory, input_type: str | None = None) -> DataFrame:
+    """Adds ``embedding``; a null or empty text has none. ``input_type`` (document, query), if given, goes to the factory."""
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, embedding array<double>"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = factory()
+        model = factory() if input_type is None else factory(input_type)
         for frame in frames:
             full = frame[column].map(bool)
             values = pd.Series([None] * len(frame), index=frame.index, dtype=object)
