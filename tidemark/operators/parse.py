@@ -16,19 +16,36 @@ def _first(cases: list[tuple[Column, Column]]) -> Column:
     return F.coalesce(*[F.when(c, v) for c, v in cases])
 
 
-def header_fields(lines: DataFrame, patterns: list[tuple[str, str]], first: int) -> DataFrame:
-    """The first non-empty match of each field among the first ``first`` lines of each document."""
+def labelled(line: Column, labels: list[str], colon: bool = True) -> Column:
+    """What follows a label in a stripped line: the line is cut at its first colon and what stands before it compared with
+    ``labels``, in any case; without ``colon`` a label may also be the line's first words. Else null."""
+    known = [x.lower() for x in labels]
+    head = F.lower(strip(F.substring_index(line, ":", 1)))
+    out = F.when(line.contains(":") & head.isin(known), F.substring(line, F.locate(":", line) + 1, F.length(line)))
+    if not colon:
+        for label in known:
+            after = F.substring(line, F.lit(len(label) + 1), F.length(line))
+            out = F.coalesce(out, F.when(F.lower(line).startswith(label) & after.rlike(r"(?U)^\s"), after))
+    return strip(out)
+
+
+def header_fields(lines: DataFrame, fields: list[tuple], first: int) -> DataFrame:
+    """The first non-empty value of each field among the first ``first`` lines of each document.
+
+    ``fields``: name, labels and whether a colon must follow; or name and an expression of which group 1 is the value.
+    """
     rows = lines.filter(F.col("ord") < first)
     hits = []
-    for name, pattern in patterns:
-        value = strip(F.regexp_extract(strip(F.col("line")), pattern, 1))
+    for name, how, *colon in fields:
+        line = strip(F.col("line"))
+        value = strip(F.regexp_extract(line, how, 1)) if isinstance(how, str) else labelled(line, how, *colon)
         hits.append(F.min_by(F.when(value != "", value), F.when(value != "", F.col("ord"))).alias(name))
     return rows.groupBy("doc_id").agg(*hits)
 
 
-def header_b(lines: DataFrame, patterns: list[tuple[str, str]], first: int = 15) -> DataFrame:
+def header_b(lines: DataFrame, fields: list[tuple], first: int = 15) -> DataFrame:
     """``header_fields`` with ``start_date`` in ISO form where it is a date, as it is written where not."""
-    rows = header_fields(lines, patterns, first)
+    rows = header_fields(lines, fields, first)
     return rows.withColumn("start_date", F.coalesce(F.date_format(parse_day(F.col("start_date")), "yyyy-MM-dd"), "start_date"))
 
 
