@@ -8,6 +8,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from fixtures import no_docs, odd_docs
 from oracle import both
 
@@ -556,7 +557,6 @@ def test_fingerprints_within_the_radius_share_a_block(spark):
         for k in rng.choice(63, decontaminate.RADIUS, replace=False):
             b ^= 1 << int(k)
         rows.append((a, b))
-    from pyspark.sql import functions as F
 
     df = spark.createDataFrame(rows, "a long, b long")
     same = F.exists(F.arrays_zip(F.array(*decontaminate.blocks(F.col("a"))).alias("x"), F.array(*decontaminate.blocks(F.col("b"))).alias("y")), lambda p: p["x"] == p["y"])
@@ -564,7 +564,6 @@ def test_fingerprints_within_the_radius_share_a_block(spark):
 
 
 def test_simhash_is_the_majority_of_bits(spark):
-    from pyspark.sql import functions as F
 
     rng = np.random.default_rng(10)
     sets = [rng.integers(-(2**63), 2**63 - 1, n).tolist() for n in (1, 2, 3, 40)]
@@ -587,3 +586,18 @@ def test_leaks_on_odd_rows(spark):
     rows = spark.createDataFrame([(None, leaky, "a"), (None, "fine", "b"), (1, leaky, "c"), (1, "fine", "d"), (2, None, "e")], "doc_id long, text string, digest string")
     assert sorted(r["digest"] for r in decontaminate.drop_leaks(rows, bench).collect()) == ["b", "d", "e"]
     assert decontaminate.find_leaks(no_docs(spark), bench).count() == 0 and decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
+
+
+def test_windows_meet_items_of_their_shingle_alone(spark):
+    """Items of one size that share no words: their fingerprints agree in some block for most pairs, yet few rows are made."""
+    rng = np.random.default_rng(4)
+    items = [(i, " ".join(f"w{x}" for x in rng.integers(0, 100_000, 40))) for i in range(400)]
+    docs = spark.createDataFrame([(i, " ".join(t for _, t in items[20 * i : 20 * i + 4])) for i in range(6)], "doc_id long, text string")
+    shingles = decontaminate.with_shingles(spark.createDataFrame(items, "item_id long, text string"), "item_id")
+    shingles = shingles.select("*", F.size("shingles").alias("size"), decontaminate.simhash(F.col("shingles"), 16).alias("item_print"))
+    rows = decontaminate.with_shingles(docs, "doc_id").select("doc_id", "shingles", F.posexplode("shingles").alias("pos", "h"), F.lit(36).alias("size"))
+    windows = rows.select("doc_id", "pos", "h", "size", decontaminate.simhash(F.slice("shingles", F.col("pos") + 1, F.lit(36)), 16).alias("print"))
+    n, made = windows.count(), decontaminate.met(windows, shingles, 400 * 36).count()
+    assert n > 700 and made < 25 * n
+    leaks = decontaminate.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in leaks.collect()} == {(i, 20 * i + k) for i in range(6) for k in range(4)}

@@ -2,13 +2,14 @@
 
 Windows of a document as long as a benchmark item get a 64-bit SimHash of their word shingles.
 Fingerprints are cut into radius + 1 blocks; two that differ in at most ``radius`` bits agree in a
-block, so a hash join on blocks finds every item within the radius. Candidates are verified by the
+block, so a hash join on an item's shingle and a block finds every item within the radius. Candidates are verified by the
 exact weighted-shingle similarity: shingles weigh as often as they occur, sum of minima over sum of
 maxima.
 
-Which windows: a window that reaches the threshold holds a shingle of an item. Moving its start on
-to its first such shingle loses none, so only windows that begin with a shingle of an item are
-looked at; no window that could reach the threshold is lost. All this happens where the text is
+Which windows: a window that reaches the threshold for an item holds a shingle of that item. Moving
+its start on to its first such shingle loses none, so each item is looked for only in windows that
+begin with one of its own shingles, and blocks alone never bring unlike texts together; no window that
+could reach the threshold is lost. All this happens where the text is
 read; what is shuffled is a row for each verified pair.
 
 Defined results: words are runs without ASCII white space, in lower case; null and empty texts and
@@ -21,8 +22,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.functions.columns import free_names
+from tidemark.llm.components import SALTS
+
 WIDTH, SIMILARITY, RADIUS = 5, 0.8, 20
-#: Item shingles up to this many (about 64 bytes each) are broadcast; more are joined by shuffle.
+#: Rows of items' shingles, or of shingles and blocks, up to this many (about 64 bytes each) are broadcast; more are joined by shuffle.
 MOST_BROADCAST = 1_000_000
 _WHITE = r"[ \t\n\x0B\f\r]+"
 
@@ -74,22 +78,32 @@ def similarity(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
+def _sent(rows: int):
+    """What to do with a table of so many rows in a join: send it to all tasks, or leave it."""
+    return F.broadcast if rows <= MOST_BROADCAST else (lambda df: df)
+
+
+def met(windows: DataFrame, items: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
+    """Windows (h, size, print: their first shingle, length and fingerprint) and the items (``n`` shingles in all) of their length that have the shingle and agree in a block; a row for each such block."""
+    index = items.select("item_id", "size", "item_print", F.explode(F.array_distinct("shingles")).alias("h"), F.array(*blocks(F.col("item_print"), radius)).alias("cut"))
+    index = index.select("item_id", "size", "item_print", "h", F.posexplode("cut").alias("block", "value"))
+    probes = windows.select("*", F.posexplode(F.array(*blocks(F.col("print"), radius))).alias("block", "value"))
+    return probes.join(_sent(n * (radius + 1))(index), ["h", "size", "block", "value"])
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """``(doc_id, item_id, start, similarity)``: the best window of each document for each item."""
     items = with_shingles(benchmark.select("item_id", "text"), "item_id").select("item_id", "shingles", F.size("shingles").alias("size"))
     n, longest = items.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
     lane = 16 if longest < 1 << 15 else 32
-    small = F.broadcast if n <= MOST_BROADCAST else (lambda df: df)
+    small = _sent(n)
     items = items.withColumn("item_print", simhash(F.col("shingles"), lane))
 
     starts = items.select("size", F.explode("shingles").alias("h")).distinct()
     rows = with_shingles(docs.select("doc_id", "text"), "doc_id")
     rows = rows.select("doc_id", "shingles", F.posexplode("shingles").alias("pos", "h"))
-    windows = rows.join(small(starts), "h").select("doc_id", "pos", "size", F.slice("shingles", F.col("pos") + 1, F.col("size")).alias("window"))
-    windows = windows.withColumn("print", simhash(F.col("window"), lane))
-    index = items.select("item_id", "size", "item_print", F.posexplode(F.array(*blocks(F.col("item_print"), radius))).alias("block", "value"))
-    probes = windows.select("doc_id", "pos", "size", "window", "print", F.posexplode(F.array(*blocks(F.col("print"), radius))).alias("block", "value"))
-    near = probes.join(small(index), ["size", "block", "value"])
+    windows = rows.join(small(starts), "h").select("doc_id", "pos", "h", "size", F.slice("shingles", F.col("pos") + 1, F.col("size")).alias("window"))
+    near = met(windows.withColumn("print", simhash(F.col("window"), lane)), items, n, radius)
     apart = F.col("print").bitwiseXOR(F.col("item_print"))
     # of all blocks in which a pair agrees, the first stands for it
     first = F.array_position(F.array(*[(x == 0) for x in blocks(apart, radius)]), True) - 1
@@ -107,4 +121,8 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILAR
     """
     digest = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
     found = find_leaks(docs.select(digest.alias("doc_id"), "text"), benchmark, threshold).select(F.col("doc_id").alias("digest")).distinct()
-    return docs.join(found, digest == found["digest"], "left_anti")
+    # copies of one text are dealt to SALTS tasks by their row
+    key, salt = free_names(docs, "_digest", "_salt")
+    rows = docs.withColumn(key, digest).withColumn(salt, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
+    found = found.select(F.col("digest").alias(key), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt)).hint("merge")
+    return rows.join(found, [key, salt], "left_anti").select(*docs.columns)
