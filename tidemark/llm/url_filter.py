@@ -3,7 +3,8 @@
 A rule (action, host, path) fits its host and all subdomains if the url's path starts with the
 rule's path; the longest fitting rule wins. Urls that no rule decides take the verdict of the
 pages they are equivalent to: connected components over redirect (``http-equiv="refresh"``) and
-canonical-link edges found in the html spread block decisions to aliases. An explicit allow rule
+canonical-link edges found in the html spread block decisions to aliases. A component is blocked if
+a rule blocks one of its pages, by its url as it is written, or a url in it that no page has. An explicit allow rule
 on a url always wins over what its component says; without either, a url is allowed.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.components import components
+from tidemark.llm.components import components, spread
 
 #: A bound on the rules that are planned as expressions; larger lists are joined by host suffix.
 MOST_INLINE_RULES = 200
@@ -62,7 +63,13 @@ def _joined_rule(rows: DataFrame, rules: list[tuple[str, str, str]]) -> DataFram
 
 _SITE, _QUERY = r"^([^:/?#]+://[^/?#]*)", r"^[^?#]*(\?[^#]*)"
 _PATH_OF = r"^[^:/?#]+://[^/?#]*([^?#]*)"
-_TAG = r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>|<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)"
+_SPACE = r"[ \t\n\f\r]"
+#: An attribute: its name, and a value in double, single or no quotes.
+_ATTRIBUTE = r"""[^\s"'>/=]++\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]++)"""
+#: What is looked at of a page: comments, which hold no tags, and link, meta and base tags, whose quoted values may hold any mark.
+_TAG = r"""(?is)<!--.*?(?:-->|$)|<(?:link|meta|base)(?=[\s/>])(?:[^"'>]++|"[^"]*+"|'[^']*+')*+>"""
+# The character references by name that urls may hold.
+_NAMED = [("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", "\u00a0"), ("amp", "&")]
 
 
 def normal(url: Column) -> Column:
@@ -89,25 +96,61 @@ def resolved(base: Column, link: Column) -> Column:
     )
 
 
-def _attribute(tag: Column, pattern: str) -> Column:
-    return F.replace(F.trim(F.regexp_extract(tag, pattern, 1)), F.lit("&amp;"), F.lit("&"))
+def unescaped(x: Column) -> Column:
+    """A value without character references: decimal and hexadecimal ones, and those by the names of ``_NAMED``; others stay."""
+    marks = r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});?"
+    code = lambda m: F.when(m.rlike("^&#[xX]"), F.conv(F.regexp_extract(m, "([0-9a-fA-F]+);?$", 1), 16, 10)).otherwise(F.regexp_extract(m, "([0-9]+)", 1)).cast("long")
+    fits = lambda c: (c > 0) & (c < 0x110000) & ~c.between(0xD800, 0xDFFF)
+    shown = lambda m: F.coalesce(F.get(F.transform(F.array(code(m)), lambda c: F.when(fits(c), F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32"))), F.lit(0)), m)
+    numbers = F.zip_with(F.split(x, marks, -1), F.regexp_extract_all(x, F.lit(marks), 0), lambda gap, m: F.concat(gap, F.coalesce(shown(m), F.lit(""))))
+    x = F.array_join(numbers, "")
+    for name, mark in _NAMED:  # the mark of all others last
+        x = F.replace(x, F.lit(f"&{name};"), F.lit(mark))
+    return x
+
+
+def _value(attributes: Column, name: str) -> Column:
+    """The value, as it is written, of the first of a tag's attributes with that name; null without one."""
+    own = F.get(F.filter(attributes, lambda x: F.lower(F.regexp_extract(x, r"^([^\s=]+)", 1)) == name), F.lit(0))
+    return F.regexp_replace(own, r"""^[^\s=]+\s*=\s*["']?|["']$""", "")
+
+
+def _once(rows: DataFrame, *columns: Column) -> DataFrame:
+    """``rows`` with more columns, each computed once whatever reads it: a generator stands between."""
+    keep = rows.columns
+    return rows.select(*keep, F.explode(F.array(F.struct(*columns))).alias("_new")).select(*keep, "_new.*")
+
+
+def _jump(content: Column) -> Column:
+    """The url of a refresh, maybe in quotes: after a number and a mark, with or without ``url=``."""
+    return F.regexp_extract(content, r"(?is)^\s*+[0-9.]++\s*+[;,\s]\s*+(?:url\s*+=\s*+)?(.+)$", 1)
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
     """``(url, target)`` in normal form for each canonical link or redirect in the html.
 
-    Relative targets are resolved against ``<base>``, if the page has one, and the page's url.
+    A page is read once, for its tags; comments are none. Relative targets are resolved against the
+    first ``<base>`` with a url, if the page has one, and the page's url. ``rel`` may hold several words.
     """
-    html = F.col("html")
-    marked = pages.filter(html.rlike(r"(?i)canonical|http-equiv"))
-    ground = _attribute(html, r"(?is)<base\b[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)")
-    base = F.when(ground == "", F.col("url")).otherwise(F.coalesce(resolved(F.col("url"), ground), "url"))
-    tags = marked.select("url", base.alias("base"), F.explode(F.regexp_extract_all(html, F.lit(_TAG), 1)).alias("tag"))
-    href = _attribute(F.col("tag"), r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)")
-    jump = _attribute(F.col("tag"), r"(?is)\burl\s*=\s*([^\"'\s>]+)")
-    links = tags.select("url", "base", F.when(href != "", href).otherwise(jump).alias("link"))
-    edges = links.select(normal(F.col("url")).alias("url"), normal(resolved(F.col("base"), F.col("link"))).alias("target"))
-    return edges.filter(F.col("url") != F.col("target")).distinct()
+    marked = pages.filter(F.col("html").rlike(r"(?i)canonical|refresh")).select("url", "html")
+    kind = lambda t: F.lower(F.substring(t, 2, 4))
+    attributes = lambda t: F.regexp_extract_all(t, F.lit(_ATTRIBUTE), 0)
+    trimmed = lambda x: F.regexp_replace(x, rf"^{_SPACE}+|{_SPACE}+$", "")
+    found = _once(marked, F.filter(F.regexp_extract_all("html", F.lit(_TAG), 0), lambda t: ~t.startswith("<!--")).alias("tags")).drop("html")
+    grounds = F.filter(F.transform(F.filter("tags", lambda t: kind(t) == "base"), lambda t: _value(attributes(t), "href")), lambda x: x.rlike(r"\S"))
+    found = _once(found, F.get(grounds, F.lit(0)).alias("ground"))
+    found = _once(found, trimmed(unescaped(F.col("ground"))).alias("link"))
+    found = _once(found, F.coalesce(resolved(F.col("url"), F.col("link")), "url").alias("base")).select("url", "base", F.explode("tags").alias("tag"))
+    tags = _once(found.filter(kind(F.col("tag")) != "base"), attributes(F.col("tag")).alias("own"))
+    tags = _once(tags, *[_value(F.col("own"), n).alias(n.replace("-", "_")) for n in ("rel", "href", "http-equiv", "content")])
+    names = F.array_contains(F.split(F.lower("rel"), rf"{_SPACE}+"), "canonical")
+    told = F.when((kind(F.col("tag")) == "link") & names, F.col("href")).when((kind(F.col("tag")) == "meta") & (F.lower("http_equiv") == "refresh"), _jump(F.col("content")))
+    links = _once(tags, unescaped(told).alias("told")).filter("told <> ''").select("url", "base", "told")
+    quote = F.substring("told", 1, 1)
+    bare = F.when(quote.isin('"', "'"), F.split_part(F.substring(F.col("told"), F.lit(2), F.length("told")), quote, F.lit(1))).otherwise(F.col("told"))
+    links = _once(links, trimmed(bare).alias("link"))
+    links = _once(links, resolved(F.col("base"), F.col("link")).alias("target")).select("url", "target")
+    return links.select(normal(F.col("url")).alias("url"), normal(F.col("target")).alias("target")).filter(F.col("url") != F.col("target")).distinct()
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], edges: DataFrame | None = None) -> DataFrame:
@@ -120,10 +163,13 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], edges: DataFrame
         links = links.unionByName(edges.select(normal(F.col("url")).alias("url"), normal(F.col("target")).alias("target")))
     rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rows = with_rule(rows, rules)
+    # urls that only differ in form are one node
+    known = rows.withColumn("node", normal(F.col("url")))
     roots = components(links.select(F.col("url").alias("a"), F.col("target").alias("b")))
-    nodes = roots.select(F.col("node").alias("url"), "root", host_of(F.col("node")).alias("host"), path_of(F.col("node")).alias("path"))
-    blocked = with_rule(nodes, rules).groupBy("root").agg(F.max(F.col("action") == "block").alias("bad")).filter("bad").select("root")
-    aliases = roots.join(blocked, "root", "left_semi").select(F.col("node").alias("url"), F.lit(True).alias("by_alias"))
-    rows = rows.withColumn("node", normal(F.col("url"))).join(aliases.withColumnRenamed("url", "node"), "node", "left")
-    by_alias = F.col("action").isNull() & F.coalesce("by_alias", F.lit(False))
+    unseen = with_rule(roots.select("node", host_of(F.col("node")).alias("host"), path_of(F.col("node")).alias("path")), rules)
+    bad = known.filter("action = 'block' and node is not null").select("node").unionByName(unseen.filter("action = 'block'").select("node")).distinct()
+    tops = roots.join(bad, "node", "left_semi").select("root").distinct()
+    aliases = spread(roots, tops, ["root"], "node", "left_semi").select("node", F.lit(True).alias("by"))
+    rows = spread(known.withColumn("row", F.monotonically_increasing_id()), aliases, ["node"], "row", "left")
+    by_alias = F.col("action").isNull() & F.coalesce("by", F.lit(False))
     return rows.select("page_id", "host", "path", "rule", F.coalesce("action", F.when(by_alias, "block").otherwise("allow")).alias("verdict"), by_alias.alias("by_alias"))
