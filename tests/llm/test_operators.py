@@ -601,3 +601,13 @@ def test_windows_meet_items_of_their_shingle_alone(spark):
     assert n > 700 and made < 25 * n
     leaks = decontaminate.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string"))
     assert {(r["doc_id"], r["item_id"]) for r in leaks.collect()} == {(i, 20 * i + k) for i in range(6) for k in range(4)}
+
+
+def test_any_number_of_known_licences(spark, monkeypatch):
+    texts = [(f"L{i}", f"Licence text number {i} of many." + " more words" * (i % 1500)) for i in range(10_050)]
+    docs = spark.createDataFrame([(i, f"intro\n{texts[i][1].upper()}\nend" if i % 2 else texts[i][1]) for i in range(300)] + [(7, texts[7][1]), (None, texts[9][1])], "doc_id long, text string")
+    got = {(r["doc_id"], r["license"], r["notices"]) for r in license_digest.scan(docs, texts).collect()}
+    assert got == {(i, None, f"L{i}") if i % 2 else (i, f"L{i}", f"L{i}") for i in range(300)} | {(7, "L7", "L7"), (None, "L9", "L9")}
+    monkeypatch.setattr(license_digest, "MOST_BROADCAST", 0)
+    known = spark.createDataFrame(texts, "license string, text string")
+    assert {(r["doc_id"], r["license"], r["notices"]) for r in license_digest.scan(docs, known).collect()} == got

@@ -14,6 +14,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tidemark.llm.components import spread
+from tidemark.llm.store import saved
+
 # Spellings that are taken as the same, as (pattern, replacement), applied in order to lower-case words.
 SPELLINGS = [
     ("licence", "license"), ("organisation", "organization"), ("authoris", "authoriz"), ("recognis", "recogniz"), ("favour", "favor"),
@@ -57,7 +60,8 @@ KNOWN_DIGESTS = [
     ("MPL-1.1", "a1b36de49a400e3d3385d5987188db954a084f9876243aa7207cd91de3f24a7b"),
     ("MPL-2.0", "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a"),
 ]
-MOST_KNOWN = 10_000  # known texts and digests; the list is broadcast
+#: Known texts and digests up to this many (about 100 bytes each) are broadcast, more are joined by shuffle; lengths of texts up to that many are planned as a list.
+MOST_BROADCAST, MOST_SIZES = 200_000, 1000
 
 
 def canonical_lines(text: Column) -> Column:
@@ -70,35 +74,35 @@ def canonical_lines(text: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, known=KNOWN, digests=KNOWN_DIGESTS) -> DataFrame:
-    """``(digest, license, size)`` of texts (license, text) and of canonical digests (license, digest); size is null for the latter."""
-    rows = spark.createDataFrame(list(known), "license string, text string").select("license", F.array_join(canonical_lines(F.col("text")), " ").alias("form"))
+    """``(digest, license, size)`` of texts (license, text) and of canonical digests (license, digest), as lists or tables; size is null for the latter."""
+    of = lambda given, schema: given if isinstance(given, DataFrame) else spark.createDataFrame(list(given), schema)
+    rows = of(known, "license string, text string").select("license", F.array_join(canonical_lines(F.col("text")), " ").alias("form"))
     rows = rows.select("license", F.sha2("form", 256).alias("digest"), F.length("form").alias("size"))
-    told = spark.createDataFrame(list(digests), "license string, digest string").withColumn("size", F.lit(None).cast("int"))
+    told = of(digests, "license string, digest string").select("license", "digest").withColumn("size", F.lit(None).cast("int"))
     return rows.unionByName(told).groupBy("digest").agg(F.min("license").alias("license"), F.max("size").alias("size"))
 
 
 def scan(docs: DataFrame, known=KNOWN, digests=KNOWN_DIGESTS) -> DataFrame:
     """Per document: digest of its canonical form, the licence it is as a whole, and those its lines name.
 
-    The canonical form is computed once and nothing is shuffled: the whole text's digest meets the
-    known ones in a broadcast hash join, and lines as long as a known text are looked up by digest
-    where they are.
+    The canonical form is computed once, where the text is read: what is left of it, the digests of
+    the whole and of lines as long as a known text, is written and then meets the known ones in hash
+    joins, by broadcast or, beyond MOST_BROADCAST of them, in salted tasks.
     """
-    table = known_digests(docs.sparkSession, known, digests)
-    rows = table.limit(MOST_KNOWN + 1).collect()
-    if len(rows) > MOST_KNOWN:
-        raise ValueError(f"more than {MOST_KNOWN} known texts")
-    sizes = sorted({r["size"] for r in rows if r["size"] is not None})
-    names = {r["digest"]: r["license"] for r in rows if r["size"] is not None}
-    # the generators keep the lines, and the digests of some, in one evaluation
+    table = saved(known_digests(docs.sparkSession, known, digests), "licences")
+    n, sizes = table.count(), [r[0] for r in table.select("size").dropna().distinct().limit(MOST_SIZES + 1).collect()]
+    # the generators keep the lines in one evaluation
     one = docs.select("doc_id", F.explode(F.array(canonical_lines(F.col("text")))).alias("lines"))
+    looked = F.filter("lines", lambda x: F.length(x).isin(sizes)) if len(sizes) <= MOST_SIZES else F.col("lines")
     digest = lambda x: F.sha2(x, 256)
-    if names:
-        hits = F.filter(F.transform(F.filter("lines", lambda x: F.length(x).isin(sizes)), digest), lambda x: x.isin(list(names)))
-    else:
-        hits = F.array().cast("array<string>")
-    one = one.select("doc_id", digest(F.array_join("lines", " ")).alias("digest"), F.explode(F.array(F.array_distinct(hits))).alias("hits"))
-    by_digest = F.create_map(*[F.lit(x) for pair in sorted(names.items()) for x in pair]) if names else F.create_map(F.lit(""), F.lit(""))
-    named = F.array_join(F.array_sort(F.array_distinct(F.transform("hits", lambda x: F.try_element_at(by_digest, x)))), ",")
-    out = one.join(F.broadcast(table.select("digest", "license")), "digest", "left")
-    return out.select("doc_id", "digest", "license", F.when(F.size("hits") > 0, named).alias("notices"))
+    one = one.select(F.monotonically_increasing_id().alias("row"), "doc_id", digest(F.array_join("lines", " ")).alias("digest"), F.array_distinct(F.transform(looked, digest)).alias("hits"))
+    one = saved(one, "digests")
+
+    def meet(rows: DataFrame, against: DataFrame, how: str) -> DataFrame:
+        return rows.join(F.broadcast(against), "digest", how) if n <= MOST_BROADCAST else spread(rows, against, ["digest"], "row", how)
+
+    lines = one.select("row", F.explode("hits").alias("digest"))
+    named = meet(lines, table.filter("size is not null").select("digest", F.col("license").alias("name")), "inner")
+    named = named.groupBy("row").agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("notices"))
+    out = meet(one.drop("hits"), table.select("digest", "license"), "left").join(named, "row", "left")
+    return out.select("doc_id", "digest", "license", "notices")
