@@ -611,3 +611,11 @@ def test_any_number_of_known_licences(spark, monkeypatch):
     monkeypatch.setattr(license_digest, "MOST_BROADCAST", 0)
     known = spark.createDataFrame(texts, "license string, text string")
     assert {(r["doc_id"], r["license"], r["notices"]) for r in license_digest.scan(docs, known).collect()} == got
+
+
+def test_lines_and_words_made_to_agree_without_a_key_are_told_apart(spark):
+    """The second block of each cancels what the first differs by, for who knows how hashes begin."""
+    a, b = bytes.fromhex("3269294130605a5d2121212140402121").decode(), bytes.fromhex("2468287629673e5a656b276c787b477d").decode()
+    docs = spark.createDataFrame([(1, f"{a}\n{b}", "en"), (2, f"{a}\n{a}", "en"), (3, a, "en"), (4, b, "en")], "doc_id long, text string, lang string")
+    assert {r["doc_id"]: r["n_dup_lines"] for r in quality_rules.counted(docs).collect()} == {1: 0, 2: 1, 3: 0, 4: 0}
+    assert {r["doc_id"]: r["class_id"] for r in lsh_forest.join(docs.select("doc_id", "text")).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}

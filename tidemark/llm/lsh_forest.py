@@ -18,7 +18,8 @@ class; a row without doc_id has no class and no links; rows with equal doc_id an
 copies of each other, rows with equal doc_id and other shingles are texts of their own; an empty
 table gives no rows. ``class_id`` is the least doc_id of all texts that links connect, ``n_links``
 the number of other rows with a similarity of the threshold or more. Texts are told apart by a
-128-bit digest of their sets, shingles by 64-bit hashes of five words.
+128-bit digest of their sets, shingles by 64-bit hashes of five words under a key drawn for each run;
+so which of the few links beyond the recall's target are missed may differ from run to run.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.llm.components import components, components_of_some_first, spread
 from tidemark.llm.store import saved
-from tidemark.llm.words import U64, find_words, mix, portions, run_hashes, shingles, utf8
+from tidemark.llm.words import U64, find_words, mix, new_key, portions, run_hashes, shingles, utf8
 
 WIDTH, SIMILARITY, RECALL = 5, 0.8, 0.99999
 TREES, DEEPEST, SHORTEST = 32, 8, 3
@@ -56,10 +57,10 @@ def reached(links: dict[int, int], depth: int, threshold: float) -> float:
     return 1 - unfound / (found + unfound + 1)
 
 
-def sets_of(raw: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+def sets_of(raw: np.ndarray, offsets: np.ndarray, width: int = WIDTH, key: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Ascending distinct shingles of each text, end to end, and where each text's begin."""
     starts, ends, first = find_words(raw, offsets)
-    values, at = shingles(run_hashes(raw, starts, ends), first, width)
+    values, at = shingles(run_hashes(raw, starts, ends, key), first, width)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(at))
     order = np.lexsort((values, text))
     values, text = values[order], text[order]
@@ -100,7 +101,7 @@ def digest_of(shingle_set: bytes) -> bytes:
     return hashlib.blake2b(shingle_set, digest_size=16).digest()
 
 
-def digest(docs: DataFrame, width: int = WIDTH, label: bool = True) -> DataFrame:
+def digest(docs: DataFrame, width: int = WIDTH, label: bool = True, key: int = 0) -> DataFrame:
     """All columns of ``docs`` but its text, size and digest of the shingle set, and the labels."""
     names = [f"c{i}" for i, c in enumerate(docs.columns) if c != "text"]
     plain = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"], "text")
@@ -108,7 +109,7 @@ def digest(docs: DataFrame, width: int = WIDTH, label: bool = True) -> DataFrame
     def run(batches):
         for batch in batches:
             for part in portions(batch, len(names)):
-                values, at = sets_of(*utf8(part.column(len(names))), width)
+                values, at = sets_of(*utf8(part.column(len(names))), width, key)
                 digests = [hashlib.blake2b(values[a:b].tobytes(), digest_size=16).digest() for a, b in zip(at[:-1], at[1:])]
                 out = [*part.columns[: len(names)], pa.array(np.diff(at)), pa.array(digests, pa.binary())]
                 if label:
@@ -220,7 +221,7 @@ def compare(sets: list[np.ndarray], counts: np.ndarray, sides: np.ndarray, thres
     return linked @ counts, root, np.bincount(bins, minlength=BINS + 1)
 
 
-def verify(rows: DataFrame, threshold: float, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
+def verify(rows: DataFrame, threshold: float, width: int = WIDTH, block: int = BLOCK, hash_key: int = 0) -> DataFrame:
     """``(node, n_links, root, bin)`` for each text of each candidate group, in parts to be added up.
 
     ``rows``: grp, members, sub, node, copies, text; texts of one ``sub`` have been compared before,
@@ -235,7 +236,7 @@ def verify(rows: DataFrame, threshold: float, width: int = WIDTH, block: int = B
     def to_sets(batches):
         for batch in batches:
             for part in portions(batch, 6):
-                values, at = sets_of(*utf8(part.column(6)), width)
+                values, at = sets_of(*utf8(part.column(6)), width, hash_key)
                 blobs = [values[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
                 same = pa.array([hashlib.blake2b(x, digest_size=16).digest() == d for x, d in zip(blobs, part.column(2).to_pylist())], pa.bool_())
                 yield pa.RecordBatch.from_arrays([*part.columns[:6], pa.array(blobs, pa.binary())], [*names, "shingles"]).filter(same)
@@ -283,7 +284,7 @@ def verify(rows: DataFrame, threshold: float, width: int = WIDTH, block: int = B
     return rows.mapInArrow(run, "node binary, n_links long, root binary, bin int")
 
 
-def text_classes(docs: DataFrame, rows: DataFrame, threshold: float, recall: float, width: int) -> DataFrame:
+def text_classes(docs: DataFrame, rows: DataFrame, threshold: float, recall: float, width: int, key: int = 0) -> DataFrame:
     """``(node, doc, copies, links, class_id, head)`` of every distinct shingle set of ``rows`` (``docs`` digested).
 
     ``doc``: its least doc_id; ``head``: whether it stands for its class.
@@ -311,7 +312,7 @@ def text_classes(docs: DataFrame, rows: DataFrame, threshold: float, recall: flo
         members = spread(found, sizes, ["root"], "node").select("node", F.col("root").alias("grp"), "members", "sub")
         members = members.join(texts.select("node", "doc", "copies"), "node")
         chosen = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(members, "doc")
-        part = saved(verify(chosen, threshold, width), "links")
+        part = saved(verify(chosen, threshold, width, BLOCK, key), "links")
         checked.append(part)
         for r in part.filter("node is null").groupBy("bin").agg(F.sum("n_links").alias("n")).collect():  # a row a bin
             links[r["bin"]] = links.get(r["bin"], 0) + r["n"]
@@ -333,8 +334,9 @@ def text_classes(docs: DataFrame, rows: DataFrame, threshold: float, recall: flo
 
 def join(docs: DataFrame, threshold: float = SIMILARITY, recall: float = RECALL, width: int = WIDTH) -> DataFrame:
     """``(doc_id, class_id, n_links, copy_of)`` of every row; ``copy_of`` stands for its equal sets."""
-    rows = saved(digest(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width), "signatures")
-    texts = text_classes(docs, rows, threshold, recall, width)
+    key = new_key()
+    rows = saved(digest(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width, key=key), "signatures")
+    texts = text_classes(docs, rows, threshold, recall, width, key)
     rows = rows.select("doc_id", F.when((F.col("size") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("node"))
     per_text = texts.select("node", "doc", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
     out = rows.join(per_text, "node", "left")
@@ -348,8 +350,9 @@ def keep_one(docs: DataFrame, threshold: float = SIMILARITY, recall: float = REC
     judged by itself: of several rows with one doc_id and one shingle set, one stays, the first by
     a hash of all columns.
     """
-    rows = saved(digest(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width), "signatures")
-    texts = saved(text_classes(docs, rows, threshold, recall, width), "classes")
+    key = new_key()
+    rows = saved(digest(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width, key=key), "signatures")
+    texts = saved(text_classes(docs, rows, threshold, recall, width, key), "classes")
     known = rows.filter("size > 0 and doc_id is not null").select("doc_id", F.col("digest").alias("node"))
     stays = known.join(texts.filter("head").select("node", F.col("doc").alias("doc_id")), ["node", "doc_id"]).distinct()
     per_id = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.max("size").alias("size"))
@@ -362,7 +365,7 @@ def keep_one(docs: DataFrame, threshold: float = SIMILARITY, recall: float = REC
     text = names[docs.columns.index("text")]
     lone = plain.filter(own.isNull()).unionByName(plain.join(single.withColumnRenamed("doc_id", "_key"), "_key", "left_semi").select(plain.columns))
     several = plain.join(repeated.withColumnRenamed("doc_id", "_key"), "_key", "left_semi")
-    several = digest(several.select("_key", F.struct(*names).alias("_row"), F.col(text).alias("text")), width, label=False)
+    several = digest(several.select("_key", F.struct(*names).alias("_row"), F.col(text).alias("text")), width, False, key)
     blank = several.filter("size = 0").select("_row.*", "_key")
     chosen = several.filter("size > 0").join(stays.select(F.col("doc_id").alias("_key"), F.col("node").alias("digest")), ["_key", "digest"], "left_semi")
     chosen = chosen.groupBy("_key", "digest").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row")).select("_row.*", "_key")

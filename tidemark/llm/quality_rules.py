@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm.store import saved
-from tidemark.llm.words import IS_WORD, U64, find_words, mix, portions, run_hashes, shingles, utf8
+from tidemark.llm.words import IS_WORD, U64, find_words, mix, new_key, portions, run_hashes, shingles, utf8
 
 MAX_FALSE_REJECTION, ALPHA = 0.02, 0.05
 _RATIOS = [round(float(x), 6) for x in np.geomspace(1.0, 0.004, 48)]
@@ -56,8 +56,8 @@ def _distinct(keys: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return again, twice
 
 
-def measure(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """The counts of all texts that lie end to end in ``raw``."""
+def measure(raw: np.ndarray, offsets: np.ndarray, key: int = 0) -> list[np.ndarray]:
+    """The counts of all texts that lie end to end in ``raw``; lines and windows of a text are equal if their hashes under ``key`` are."""
     n = len(offsets) - 1
     starts, ends, first = find_words(raw, offsets)
     inside = IS_WORD[raw]
@@ -74,8 +74,8 @@ def measure(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     line_ends = line_ends - (np.isin(line_ends, tail) & (line_ends > line_starts)) if len(tail) else line_ends
     worded = np.searchsorted(starts, line_ends, "left") > np.searchsorted(starts, line_starts, "left")
     line_starts, line_ends, line_text = line_starts[worded], line_ends[worded], line_text[worded]
-    again, _ = _distinct(run_hashes(raw, line_starts, line_ends), line_text)
-    windows, at = shingles(run_hashes(raw, starts, ends), first)
+    again, _ = _distinct(run_hashes(raw, line_starts, line_ends, key), line_text)
+    windows, at = shingles(run_hashes(raw, starts, ends, key), first)
     counts = np.diff(first)
     window_text = np.repeat(np.arange(n), np.diff(at))
     _, twice = _distinct(windows, window_text)
@@ -93,12 +93,13 @@ def measure(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 
 def counted(docs: DataFrame) -> DataFrame:
     """doc_id, lang and the counts of each document; no row is moved."""
+    key = new_key()
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
 
     def run(batches):
         for batch in batches:
             for part in portions(batch, 2):
-                cols = [c.astype(np.int64) for c in measure(*utf8(part.column(2)))]
+                cols = [c.astype(np.int64) for c in measure(*utf8(part.column(2)), key)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *map(pa.array, cols)], ["doc_id", "stratum", *COUNTS])
 
     rows = docs.select("doc_id", lang.alias("stratum"), "text")

@@ -1,13 +1,15 @@
 """Vectorised words and word hashes of whole texts, straight from Arrow buffers.
 
 A word is a run of bytes other than ASCII white space (0x20, 0x09-0x0D), so words never
-split a UTF-8 character. Hashes are 64 bits, the same on every machine.
+split a UTF-8 character. Hashes are 64 bits with a key: one that is drawn for each run, as the
+operators do, is not known to whoever wrote the texts, so no two can be made to agree.
 """
 
 from __future__ import annotations
 
 import ctypes
 import hashlib
+import secrets
 
 import numpy as np
 import pyarrow as pa
@@ -30,16 +32,22 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
-def run_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of ``raw[s:e]`` for each run.
+def new_key() -> int:
+    """A key for the hashes of one run, drawn on the driver."""
+    return secrets.randbits(64)
+
+
+def run_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int = 0) -> np.ndarray:
+    """A 64-bit hash of ``raw[s:e]`` for each run under ``key``.
 
     Eight bytes a step go through a bijective mixer, so runs of equal length up to eight bytes never
-    share a hash, and longer ones do by chance alone: no sum of powers that two texts can agree in.
+    share a hash. Of longer ones a later step can undo what an earlier one did, but only for who knows
+    the key, which enters before the first; else they agree by chance alone.
     """
     sizes = ends - starts
     padded = np.concatenate([raw, np.zeros(8, np.uint8)])
     view = np.ndarray((len(raw) + 1,), "<u8", padded.data, 0, (1,))
-    out = mix(sizes.astype(U64) * U64(_BASE) + U64(1))
+    out = mix(mix(np.array([key], U64)) ^ (sizes.astype(U64) * U64(_BASE) + U64(1)))
     live, at, left = np.flatnonzero(sizes > 0), starts[sizes > 0], sizes[sizes > 0]
     for _ in range(_STEPS):
         if not len(live):
@@ -51,7 +59,7 @@ def run_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
         on = left > 8
         live, at, left = live[on], at[on] + 8, left[on] - 8
     for i, a, n in zip(live.tolist(), at.tolist(), left.tolist()):  # very long runs
-        rest = hashlib.blake2b(raw[a : a + n].tobytes(), digest_size=8).digest()
+        rest = hashlib.blake2b(raw[a : a + n].tobytes(), digest_size=8, key=key.to_bytes(8, "little")).digest()
         out[i] ^= np.frombuffer(rest, "<u8")[0]
     out[live] = mix(out[live])
     return out
