@@ -244,6 +244,19 @@ def test_large_groups_are_compared_in_blocks(spark, monkeypatch):
     assert got == brute_links(rows)
 
 
+def test_levels_of_large_groups_find_each_pair_once(spark):
+    """More than SMALL near copies, of which some pairs share only short prefixes."""
+    rng = np.random.default_rng(6)
+    base, rows = [f"w{i}" for i in range(200)], []
+    for i in range(150):
+        w = list(base)
+        for k in rng.choice(200, rng.integers(0, 5), replace=False):
+            w[k] = f"n{i}x{k}"
+        rows.append((i, " ".join(w)))
+    got = sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in lsh_forest.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == brute_links(rows)
+
+
 def test_tries_hold_every_shared_prefix(spark):
     rng = np.random.default_rng(14)
     label = lambda: rng.integers(0, 3, lsh_forest.DEEPEST * lsh_forest.MINIMUM_BYTES, np.uint8)
@@ -619,3 +632,29 @@ def test_lines_and_words_made_to_agree_without_a_key_are_told_apart(spark):
     docs = spark.createDataFrame([(1, f"{a}\n{b}", "en"), (2, f"{a}\n{a}", "en"), (3, a, "en"), (4, b, "en")], "doc_id long, text string, lang string")
     assert {r["doc_id"]: r["n_dup_lines"] for r in quality_rules.counted(docs).collect()} == {1: 0, 2: 1, 3: 0, 4: 0}
     assert {r["doc_id"]: r["class_id"] for r in lsh_forest.join(docs.select("doc_id", "text")).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
+def test_unlike_texts_in_one_group_are_not_all_compared(spark, monkeypatch):
+    """Texts with much text in common, all below the threshold: prefixes chain most of them into one group."""
+    rng = np.random.default_rng(9)
+    common = [f"c{i}" for i in range(70)]
+    rows = [(i, " ".join([*common, *(f"u{i}x{k}" for k in range(36))])) for i in range(700)]
+    raw = np.frombuffer(" ".join(t for _, t in rows).encode(), np.uint8)
+    sizes = [len(t) + 1 for _, t in rows]
+    values, at = lsh_forest.sets_of(raw, np.minimum(np.concatenate([[0], np.cumsum(sizes)]), len(raw)))
+    sets, marks = [values[a:b] for a, b in zip(at[:-1], at[1:])], lsh_forest.labels(values, at)[:, :, : 8 * lsh_forest.MINIMUM_BYTES]
+    share = len(np.intersect1d(sets[0], sets[1])) / len(np.union1d(sets[0], sets[1]))
+    assert 0.4 < share < 0.6
+    sides = [np.arange(700)]
+    pairs = lsh_forest.meeting(marks, sides, 8, 0)
+    shared = {(i, j) for t in range(lsh_forest.TREES) for i in range(700) for j in range(i + 1, min(i + 40, 700)) if (marks[i, t] == marks[j, t]).all()}
+    assert shared <= set(map(tuple, pairs.tolist())) and 0 < len(pairs) < 700 * 699 // 2 // 5
+    assert lsh_forest.compare(sets, np.ones(700, np.int64), sides, 0.8, pairs)[0].sum() == 0
+    six = set(map(tuple, lsh_forest.meeting(marks, sides, 6, 0).tolist()))
+    assert set(map(tuple, lsh_forest.meeting(marks, sides, 6, 8).tolist())) == six - set(map(tuple, pairs.tolist())) and len(six) > len(pairs)
+    few = rng.choice(700, 60, replace=False)
+    some, ones, side = [sets[i] for i in few], np.ones(60, np.int64), [np.arange(60)]
+    every = np.argwhere(np.triu(np.ones((60, 60), bool), 1))
+    for threshold in (share - 0.02, 0.3, 0.8):
+        dense, sparse = lsh_forest.compare(some, ones, side, threshold), lsh_forest.compare(some, ones, side, threshold, every)
+        assert all((a == b).all() for a, b in zip(dense, sparse))

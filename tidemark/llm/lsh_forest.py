@@ -5,8 +5,10 @@ all. A signature holds ``TREES`` labels of ``DEEPEST`` minima (one permutation c
 bins borrow from others in an order of their own). Each tree's labels are sorted, by range
 partitions; the prefixes that neighbours in that order share are the forest's tries, and one pass
 over them gives, for every text, the least deep node that it hangs on. The tries are then walked
-from full depth up. Texts below one node are candidates; their groups are compared in full,
-exactly, in blocks of bounded size, each pair once, at the deepest level that brings it together.
+from full depth up. Texts below one node of some tree are candidates, and are compared exactly, each
+pair once, at the deepest level that brings it together. What nodes of all trees connect goes together
+to blocks of bounded size, so that a text is not sent once for each tree; there only pairs that share
+a node are compared, or all if the group is small.
 The links found tell how many more a shorter prefix would find: each stands for 1/p links of its
 similarity, p being the chance to share a prefix of the level in some tree. Prefixes are shortened
 until the share that this leaves unfound, with one more link at the threshold itself for what no
@@ -38,6 +40,7 @@ WIDTH, SIMILARITY, RECALL = 5, 0.8, 0.99999
 TREES, DEEPEST, SHORTEST = 32, 8, 3
 FIRST_TREES = 4  # whose groups are settled first; most others repeat them
 MINIMUM_BYTES = 2  # of each minimum in a label; agreement by chance only adds candidates
+SMALL = 64  # texts of a group that are all compared, whether they share a node or not
 BLOCK = 1024  # texts compared with as many others at once
 BINS = 20  # of similarity between the threshold and 1
 _EMPTY = np.iinfo(np.uint64).max
@@ -182,15 +185,73 @@ def tries(texts: DataFrame) -> DataFrame:
     return rows.filter("part is null").select("a", "b", "tree", "level").unionByName(ends)
 
 
-def compare(sets: list[np.ndarray], counts: np.ndarray, sides: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def meeting(marks: np.ndarray, sides: list[np.ndarray], level: int, before: int) -> np.ndarray:
+    """The pairs of texts that share a node of ``level`` in some tree but none of the deeper level ``before`` (0: none was looked at), and no side; each once.
+
+    ``marks``: the label's first bytes of each text in each tree. A group is what chains of nodes connect, so most of a
+    large group of unlike texts never share one.
+    """
+    m = len(marks)
+
+    def share(depth: int) -> np.ndarray:
+        out = np.zeros((m, m), bool)
+        for tree in range(marks.shape[1]):
+            own = np.ascontiguousarray(marks[:, tree, : depth * MINIMUM_BYTES]).view([("", np.void, depth * MINIMUM_BYTES)]).ravel()
+            _, node = np.unique(own, return_inverse=True)
+            order = np.argsort(node, kind="stable")
+            for group in np.split(order, np.flatnonzero(np.diff(node[order])) + 1):
+                if len(group) > 1:
+                    out[np.ix_(group, group)] = True
+        return out
+
+    shares = share(level)
+    if before:
+        shares &= ~share(before)
+    for side in sides:
+        shares &= side[:, None] != side[None, :]
+    return np.argwhere(np.triu(shares, 1))
+
+
+def compare(sets: list[np.ndarray], counts: np.ndarray, sides: list[np.ndarray], threshold: float, pairs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weighted number of links of each set, the least position each is linked with (itself too), and links by bin of similarity.
 
-    Sets of one side of ``sides``, a column for each way of dividing them, are not compared.
+    Sets of one side of ``sides``, a column for each way of dividing them, are not compared; of the others those of ``pairs``, or all.
     """
     m = len(sets)
-    sizes = np.array([len(s) for s in sets], np.float32)
-    flat = np.concatenate(sets)
-    values, inverse, times = np.unique(flat, return_inverse=True, return_counts=True)
+    sizes = np.array([len(s) for s in sets], np.float64)
+    if pairs is None:
+        apart = np.triu(np.ones((m, m), bool), 1)
+        for side in sides:
+            apart &= side[:, None] != side[None, :]
+        pairs = np.argwhere(apart)
+    one, other = pairs[:, 0], pairs[:, 1]
+    fits = np.minimum(sizes[one], sizes[other]) >= threshold * np.maximum(sizes[one], sizes[other]) - 1e-4  # sizes alone rule the rest out
+    one, other = one[fits], other[fits]
+    if len(one) * 16 < m * m:
+        both = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(one.tolist(), other.tolist())], np.float64)
+    else:  # one matrix product is cheaper
+        both = _dense(sets)[one, other].astype(np.float64)
+    either = sizes[one] + sizes[other] - both
+    ok = both >= threshold * either - 1e-4
+    one, other, share = one[ok], other[ok], both[ok] / either[ok]
+    bins = np.clip(((share - threshold) / (1 - threshold) * BINS).astype(np.int64), 0, BINS)
+    links = np.zeros(m, np.int64)
+    np.add.at(links, one, counts[other])
+    np.add.at(links, other, counts[one])
+    root, now = np.arange(m), None
+    while now is None or (now != root).any():  # least label among neighbours, then of the label
+        now = root
+        root = now.copy()
+        np.minimum.at(root, one, now[other])
+        np.minimum.at(root, other, now[one])
+        root = root[root]
+    return links, root, np.bincount(bins, minlength=BINS + 1)
+
+
+def _dense(sets: list[np.ndarray]) -> np.ndarray:
+    """The size of each intersection of two sets."""
+    m = len(sets)
+    values, inverse, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = np.flatnonzero(times > 1)  # a shingle of one set alone is in no intersection
     rank = np.full(len(values), -1, np.int64)
     rank[shared] = np.arange(len(shared))
@@ -206,72 +267,64 @@ def compare(sets: list[np.ndarray], counts: np.ndarray, sides: np.ndarray, thres
         part = np.zeros((m, min(step, len(shared) - low)), np.float32)
         part[row[a:b], column[a:b] - low] = 1
         both += part @ part.T
-    either = sizes[:, None] + sizes[None, :] - both
-    linked = both >= threshold * either - 1e-4
-    np.fill_diagonal(linked, False)
-    for side in sides:
-        linked &= side[:, None] != side[None, :]
-    one, other = np.nonzero(np.triu(linked))
-    bins = np.clip(((both[one, other] / either[one, other] - threshold) / (1 - threshold) * BINS).astype(np.int64), 0, BINS)
-    root, now = np.arange(m), None
-    while now is None or (now != root).any():  # least label among neighbours, then of the label
-        now = root
-        root = np.minimum(now, np.where(linked, now[None, :], m).min(1))
-        root = root[root]
-    return linked @ counts, root, np.bincount(bins, minlength=BINS + 1)
+    return both
 
 
-def verify(rows: DataFrame, threshold: float, width: int = WIDTH, block: int = BLOCK, hash_key: int = 0) -> DataFrame:
+def verify(rows: DataFrame, threshold: float, width: int = WIDTH, block: int = BLOCK, *, level: int = DEEPEST, before: int = 0, hash_key: int = 0) -> DataFrame:
     """``(node, n_links, root, bin)`` for each text of each candidate group, in parts to be added up.
 
     ``rows``: grp, members, sub, node, copies, text; texts of one ``sub`` have been compared before,
-    rows whose text has another digest than ``node`` go. Groups of more than ``block`` texts are
+    rows whose text has another digest than ``node`` go. Groups of SMALL texts at most are compared in
+    full, of others the pairs that share a node of ``level`` and none of ``before``, the level looked at last. Groups of more than ``block`` texts are
     dealt into blocks, and each pair of blocks is compared by itself. Rows without node count links
     by bin of similarity.
     """
     rows = rows.withColumn("parts", F.ceil(F.col("members") / block).cast("int"))
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    names = ["grp", "sub", "node", "copies", "parts", "mine"]
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("large", F.col("members") > SMALL)
+    names = ["grp", "sub", "node", "copies", "parts", "mine", "large"]
 
     def to_sets(batches):
         for batch in batches:
-            for part in portions(batch, 6):
-                values, at = sets_of(*utf8(part.column(6)), width, hash_key)
+            for part in portions(batch, 7):
+                values, at = sets_of(*utf8(part.column(7)), width, hash_key)
                 blobs = [values[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
                 same = pa.array([hashlib.blake2b(x, digest_size=16).digest() == d for x, d in zip(blobs, part.column(2).to_pylist())], pa.bool_())
-                yield pa.RecordBatch.from_arrays([*part.columns[:6], pa.array(blobs, pa.binary())], [*names, "shingles"]).filter(same)
+                large = part.column(6).to_numpy(zero_copy_only=False)
+                marks = [x.tobytes() if big else b"" for x, big in zip(labels(values, at)[:, :, : (before or level) * MINIMUM_BYTES], large)] if large.any() else [b""] * len(large)
+                yield pa.RecordBatch.from_arrays([*part.columns[:7], pa.array(blobs, pa.binary()), pa.array(marks, pa.binary())], [*names, "shingles", "labels"]).filter(same)
 
-    schema = "grp binary, sub binary, node binary, copies long, parts int, mine int, shingles binary"
+    schema = "grp binary, sub binary, node binary, copies long, parts int, mine int, large boolean, shingles binary, labels binary"
     rows = rows.select(*names, "text").mapInArrow(to_sets, schema)
     others = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    rows = rows.select("grp", "sub", "node", "copies", "mine", "shingles", others)
-    rows = rows.select("grp", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "sub", "node", "copies", "shingles")
+    rows = rows.select("grp", "sub", "node", "copies", "mine", "shingles", "labels", others)
+    rows = rows.select("grp", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "sub", "node", "copies", "shingles", "labels")
     rows = rows.repartition("grp", "low", "high").sortWithinPartitions("grp", "low", "high", "node")
 
-    def judged(key, nodes, copies, mine, subs, blobs):
+    def judged(key, nodes, copies, mine, subs, blobs, marks):
         number = {s: i for i, s in enumerate(dict.fromkeys(subs))}
         sides = [np.array([number[s] for s in subs])] + ([np.array(mine)] if key[1] != key[2] else [])
-        links, root, bins = compare([np.frombuffer(b, U64) for b in blobs], np.array(copies, np.int64), sides, threshold)
+        pairs = meeting(np.frombuffer(b"".join(marks), np.uint8).reshape(len(nodes), TREES, -1), sides, level, before) if marks[0] else None
+        links, root, bins = compare([np.frombuffer(b, U64) for b in blobs], np.array(copies, np.int64), sides, threshold, pairs)
         live = np.flatnonzero(bins).tolist()
         return nodes + [None] * len(live), links.tolist() + bins[live].tolist(), [nodes[r] for r in root.tolist()] + [None] * len(live), [None] * len(nodes) + live
 
     types = [pa.binary(), pa.int64(), pa.binary(), pa.int32()]
 
     def run(batches):
-        key, held = None, [[] for _ in range(5)]
+        key, held = None, [[] for _ in range(6)]
         out: list[list] = [[] for _ in range(4)]
         for batch in batches:
             grp, low, high, *rest = (c.to_pylist() for c in batch.columns)
-            mine, sub, node, copies, blob = rest
+            mine, sub, node, copies, blob, mark = rest
             for i in range(len(grp)):
                 own = (grp[i], low[i], high[i])
                 if key != own:
                     if key is not None:
                         for x, y in zip(out, judged(key, *held)):
                             x.extend(y)
-                    key, held = own, [[] for _ in range(5)]
+                    key, held = own, [[] for _ in range(6)]
                 if not held[0] or held[0][-1] != node[i]:  # rows with equal doc_id and text are one here
-                    for x, y in zip(held, (node[i], copies[i], mine[i], sub[i], blob[i])):
+                    for x, y in zip(held, (node[i], copies[i], mine[i], sub[i], blob[i], mark[i])):
                         x.append(y)
             if len(out[0]) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], ["node", "n_links", "root", "bin"])
@@ -295,7 +348,7 @@ def text_classes(docs: DataFrame, rows: DataFrame, threshold: float, recall: flo
     edges = saved(tries(texts), "edges")
     deep = {r["level"]: r["count"] for r in edges.groupBy("level").count().collect()}  # a row a level
     links: dict[int, int] = {}
-    checked, groups = [], None
+    checked, groups, before = [], None, 0
     waiting = 0  # rows of levels that have not been looked at
     for level in range(DEEPEST, SHORTEST - 1, -1):
         if not waiting and level < DEEPEST and reached(links, level + 1, threshold) >= recall:
@@ -306,17 +359,18 @@ def text_classes(docs: DataFrame, rows: DataFrame, threshold: float, recall: flo
             continue
         waiting = 0
         found = saved(components_of_some_first(edges.filter(F.col("level") >= level), F.col("tree") < FIRST_TREES), "groups")
-        found = found if groups is None else found.join(groups.select("node", F.col("root").alias("sub")), "node", "left")
-        found = found.select("node", "root", F.coalesce("sub", "node").alias("sub") if groups is not None else F.col("node").alias("sub"))
-        sizes = found.groupBy("root").agg(F.count("*").alias("members"), F.min("sub").alias("low"), F.max("sub").alias("high")).filter("low < high").select("root", "members")
-        members = spread(found, sizes, ["root"], "node").select("node", F.col("root").alias("grp"), "members", "sub")
+        found = found.select("node", "root", F.col("node").alias("sub")) if groups is None else found.join(groups, "node", "left").select("node", "root", F.coalesce("sub", "node").alias("sub"))
+        sizes = found.groupBy("root").agg(F.count("*").alias("members"), F.min("sub").alias("low"), F.max("sub").alias("high"))
+        members = spread(found, sizes.filter("low < high").select("root", "members"), ["root"], "node").select("node", F.col("root").alias("grp"), "members", "sub")
         members = members.join(texts.select("node", "doc", "copies"), "node")
         chosen = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(members, "doc")
-        part = saved(verify(chosen, threshold, width, BLOCK, key), "links")
+        part = saved(verify(chosen, threshold, width, level=level, before=before, hash_key=key), "links")
         checked.append(part)
         for r in part.filter("node is null").groupBy("bin").agg(F.sum("n_links").alias("n")).collect():  # a row a bin
             links[r["bin"]] = links.get(r["bin"], 0) + r["n"]
-        groups = found.select("node", "root")
+        before = level
+        # small groups have been compared in full
+        groups = spread(found, sizes.select("root", "members"), ["root"], "node").select("node", F.when(F.col("members") <= SMALL, F.col("root")).otherwise(F.col("sub")).alias("sub"))
     if not checked:
         return texts.select("node", "doc", "copies", F.lit(0).cast("long").alias("links"), F.col("doc").alias("class_id"), F.lit(True).alias("head"))
     pairs = checked[0]
