@@ -138,6 +138,21 @@ def q_retrieve_status(spark, d):
     return R.outcomes(q, retrieved(spark, d, q)).select("query_id", "strategy", "status")
 
 
+@query("q_topic_vectors", f"""SELECT query_id, CASE WHEN trim(coalesce(used_topic, '')) = '' THEN 'empty_topic' ELSE 'ok' END AS status, CASE WHEN trim(coalesce(used_topic, '')) = '' THEN 0 ELSE 16 END AS size FROM ({_ROUTED}) WHERE strategy = 'vectors'""")
+def q_topic_vectors(spark, d):
+    """Questions that are searched for by their topic, and those without one."""
+    from tidemark.operators import boundary
+
+    rows = R.with_topic_vectors(routed(spark, d).filter("strategy = 'vectors'"), boundary.hashing_embedder(16))
+    return rows.select("query_id", "status", F.coalesce(F.size("query"), F.lit(0)).alias("size"))
+
+
+@query("q_fallback_sessions", f"SELECT q.query_id, 'session' AS side, s.session_date, s.text FROM ({_ROUTED}) q JOIN {S.SESSIONS} s ON s.patient_id = q.patient_id AND {_WITHIN.format('s')} WHERE q.strategy = 'vectors' AND s.text <> ''")
+def q_fallback_sessions(spark, d):
+    """Without an index, questions that vectors should answer get all sessions within their dates."""
+    return R.vectors_for(routed(spark, d).filter("strategy = 'vectors'"), None, V.sessions(spark, d), V.goals(spark, d))
+
+
 _BY = lambda cond: f"coalesce(string_agg(text, '{chr(10)}---{chr(10)}' ORDER BY session_date, side, text) FILTER ({cond}), '')"
 _N = "(CAST(string_split(query_id, '_')[1] AS BIGINT) * 31 + CAST(string_split(query_id, '_')[2] AS BIGINT))"
 

@@ -116,6 +116,21 @@ def ingest_vectors(spark, d):
     return rows.select("folder", "n_first", "n_second", "n_sessions", F.coalesce("n_orphans", F.lit(0)).alias("n_orphans"))
 
 
+@query("q_sync_run", "SELECT source AS folder, sha256(source) AS patient_id, source AS display_name, CAST(1 AS BIGINT) AS n FROM documents WHERE source <> '' GROUP BY source")
+def sync_run(spark, d):
+    """Folders become patients with a key and a display name, in two overlapping batches; the second mints what is new alone."""
+    from tidemark.jobs import ingest
+    from tidemark.operators import deid
+
+    docs = V.table(spark, d, "documents").select(F.col("source").alias("folder"), "doc_id")
+    db = store.Database(spark, work_folder(spark, "subjects"))
+    for batch in (docs.filter("doc_id % 2 = 0"), docs):
+        ingest.synced(db, batch.select("folder"), key=lambda value: F.sha2(value, 256))
+    ids = deid.subject_ids(docs.select("folder").filter("folder <> ''").distinct(), db.read("reid"))
+    told = db.read("attribute").filter("field_name = 'display_name'").groupBy("patient_id").agg(F.max("value").alias("display_name"), F.count("*").alias("n"))
+    return ids.join(told, "patient_id").select("folder", "patient_id", "display_name", "n")
+
+
 #: Labels of a stand-in for a model: by a word's length.
 LABELS = ["O", "B_PERS", "B_PERS", "I_PERS", "B_ORG", "I_ORG", "B_LOC"]
 

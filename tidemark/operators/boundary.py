@@ -2,6 +2,9 @@
 
 A factory is called once in each task and gives a function on a list of inputs, so a model is
 loaded where it runs and sees batches. Without a model the offline factories here stand in.
+
+Defined results: a null or empty text has no entities and no embedding; a row whose answer fails or is empty has the status
+``error``; rows with equal doc_id and text have their entities told once; other columns come through; empty tables give no rows.
 """
 
 from __future__ import annotations

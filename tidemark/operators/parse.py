@@ -1,4 +1,8 @@
-"""Lines of semi-structured documents into typed rows, by carrying values forward in windows."""
+"""Lines of semi-structured documents into typed rows, by carrying values forward in windows.
+
+Defined results: a null or empty line is no line; a document without lines gives no rows; rows with equal doc_id are
+one document, lines of one ``ord`` in any order; lines of any length are read whole; extra columns are not read; empty tables give no rows.
+"""
 
 from __future__ import annotations
 

@@ -73,8 +73,9 @@ def compare_status(rows: DataFrame, key: str, reference: Column) -> DataFrame:
 
 def latest_documents(sections: DataFrame) -> DataFrame:
     """All sections of the latest date of each patient and template, by one window."""
+    (own,) = free_names(sections, "_last")
     last = F.max("session_date").over(Window.partitionBy("patient_id", "template"))
-    return sections.withColumn("_last", last).filter("session_date = _last").drop("_last")
+    return sections.withColumn(own, last).filter(F.col("session_date") == F.col(own)).drop(own)
 
 
 def base_documents(sections: DataFrame, priority: list[str]) -> DataFrame:
@@ -179,6 +180,19 @@ def vectors_for(queries: DataFrame, vectors: DataFrame | None, sessions: DataFra
     return hydrate(hits, sessions, goals).select("query_id", F.lit("vector").alias("side"), "session_date", "text")
 
 
+def with_topic_vectors(queries: DataFrame, factory) -> DataFrame:
+    """``queries`` with ``query``, the vector of ``used_topic`` as a model embeds questions, and ``status``: one without a topic is ``empty_topic``.
+
+    Such a question is not to be searched for: the vector of no text is near to anything.
+    """
+    from tidemark.operators.boundary import embed
+
+    blank = ~has_text(F.trim(F.coalesce("used_topic", F.lit(""))))
+    (topic,) = free_names(queries, "_topic")
+    rows = embed(queries.withColumn(topic, F.when(~blank, F.col("used_topic"))), topic, factory, "query")
+    return rows.withColumn("status", F.when(F.col("embedding").isNull(), "empty_topic").otherwise("ok")).withColumnRenamed("embedding", "query").drop(topic)
+
+
 def outcomes(queries: DataFrame, rows: DataFrame) -> DataFrame:
     """``queries`` with ``status``: ok; no_results; or, of a comparison, no_before or no_after."""
     n = rows.groupBy("query_id").agg(F.count("*").alias("_n"), F.count_if(F.col("side") == "before").alias("_before"), F.count_if(F.col("side") == "after").alias("_after"))

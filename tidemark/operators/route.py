@@ -1,4 +1,8 @@
-"""Rule-based routing of parameter rows to strategies, prompts and retrieval."""
+"""Rule-based routing of parameter rows to strategies, prompts and retrieval.
+
+Defined results: a null intent goes to vectors, a null topic or template counts as none; equal rows are routed alike; extra
+columns come through, whatever their names, but ``strategy``, ``used_topic`` and ``prompt``, which are set anew; an empty table gives none.
+"""
 
 from __future__ import annotations
 

@@ -1,9 +1,16 @@
-"""Filtered vector top-k."""
+"""Filtered vector top-k.
+
+Defined results: a vector without length has no score and comes last; vectors of another length than
+the query's score null; ties go by vec_id; repeated rows each count; a caller's own ``score`` stays
+under its name, and the new one takes an underscore; empty tables give no rows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.functions.columns import free_names
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -21,8 +28,9 @@ def top_k(vectors: DataFrame, query: list[float], k: int = 10, where: Column | N
     """
     rows = vectors if where is None else vectors.filter(where)
     q = F.array(*[F.lit(float(x)) for x in query])
-    scored = rows.withColumn("score", F.round(cosine(F.col("embedding"), q), 6)).drop("embedding")
-    return scored.orderBy(F.desc("score"), "vec_id").limit(k)
+    (score,) = free_names(rows, "score")
+    scored = rows.withColumn(score, F.round(cosine(F.col("embedding"), q), 6)).drop("embedding")
+    return scored.orderBy(F.desc(score), "vec_id").limit(k)
 
 
 def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, salts: int = 16) -> DataFrame:
