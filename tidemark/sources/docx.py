@@ -1,4 +1,9 @@
-"""Word files: paragraphs and first-table cells of each, read by Spark's binary source."""
+"""Word files: paragraphs and first-table cells of each, read by Spark's binary source.
+
+Defined results: a file that is no Word file has an error, null paragraphs and null cells; one without a
+table or without paragraphs has empty lists; equal files at two paths are two; a path that is listed by two roots
+counts once if the roots are equal; folders without such files give no rows.
+"""
 
 from __future__ import annotations
 
@@ -14,13 +19,26 @@ _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _SCHEMA = "path string, folder string, hash string, paragraphs array<string>, cells array<array<string>>, error string"
 
 
-def files(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """All ``.docx`` files below the roots with folder and content hash; lock files are left out."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.docx").load(list(dict.fromkeys(roots)))
+#: Columns of Spark's binary source.
+LISTED = "path string, modificationTime timestamp, length long, content binary"
+
+
+def listing(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """All ``.docx`` files below the roots as the binary source tells them; contents are read if they are asked for."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.docx").load(list(dict.fromkeys(roots)))
+
+
+def described(rows: DataFrame) -> DataFrame:
+    """Files (path, content) with folder and content hash; lock files are left out."""
     name = F.element_at(F.split("path", "/"), -1)
     return rows.filter(~name.startswith("~")).select("path", F.element_at(F.split("path", "/"), -2).alias("folder"), F.sha2("content", 256).alias("hash"), "content")
 
 
+def files(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """All ``.docx`` files below the roots with folder and content hash; lock files are left out."""
+    return described(listing(spark, roots))
+
+
 def _text(node) -> str:
     out = []
     for x in node.iter():
