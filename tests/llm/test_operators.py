@@ -658,3 +658,80 @@ def test_unlike_texts_in_one_group_are_not_all_compared(spark, monkeypatch):
     for threshold in (share - 0.02, 0.3, 0.8):
         dense, sparse = lsh_forest.compare(some, ones, side, threshold), lsh_forest.compare(some, ones, side, threshold, every)
         assert all((a == b).all() for a, b in zip(dense, sparse))
+
+
+def brute_features_of(model, text):
+    """Words, nearest terms and quotation by plain loops over one text alone."""
+    text, quotes = text.lower(), set(toxicity.QUOTES)
+    words, i = [], 0
+    while i < len(text):
+        j = i
+        while j < len(text) and text[j].isalnum():
+            j += 1
+        if j > i:
+            words.append((i, j))
+        i = max(j, i + 1)
+    plain = said = 0.0
+    for k, (a, b) in enumerate(words):
+        near = [(distance(text[a:b], t), n) for n, t in enumerate(model.terms) if distance(text[a:b], t) <= (len(t) >= toxicity.EXACT_BELOW)]
+        if near:
+            d, n = min(near)
+            weight = model.weights[n] if d == 0 else model.forms.get(text[a:b], model.unseen * model.weights[n])
+            low, high = words[max(0, k - toxicity.CONTEXT_WORDS)][0], words[min(len(words) - 1, k + toxicity.CONTEXT_WORDS)][1]
+            if quotes & set(text[max(0, low - 1) : a]) and quotes & set(text[b : high + 1]):
+                said += weight
+            else:
+                plain += weight
+    mild = lambda x: np.sign(x) * np.log1p(abs(x))
+    return [1.0, mild(plain), mild(said), plain / max(len(words), 1) ** 0.5, min(plain, 20) / 10]
+
+
+def test_features_equal_brute_force_whatever_stands_beside():
+    rng = np.random.default_rng(11)
+    model = toxicity.Model(["moron", "idiot", "scum", "idyll"], [1.5, 2.0, 3.0, -0.5], {"morom": 0.7, "idioot": 1.1})
+    pool = ["moron", "morom", "idioot", "idoit", "scum", "scam", "idyl", "fine", "a", "said", "„", '"', "»", "x\"y", "moron”", "“idiot", "é", "\n"]
+    texts = ["", '"', "moron", '"', 'moron "', '" moron', '"moron"', "moron", " ", "«", "idiot", "»", *(" ".join(rng.choice(pool, rng.integers(1, 40))) for _ in range(300))]
+    got = toxicity.Matcher(model).features(texts)
+    assert np.allclose(got, [brute_features_of(model, t) for t in texts])
+    assert np.allclose(got[6:7], toxicity.Matcher(model).features(texts[6:7]))
+
+
+def test_kept_equals_brute_force_over_joint_levels(spark):
+    """Each joint level of the path is judged document by document, with the binomial sum written out."""
+    import math
+
+    rng = np.random.default_rng(21)
+    docs, labels = [], []
+    for i in range(1400):
+        bad = rng.random() < 0.3
+        words = ["w" * int(rng.integers(2, 9)) + str(rng.integers(0, 500)) for _ in range(int(rng.integers(3, 60)))]
+        words += ["#" * int(rng.integers(1, 9)) if bad or rng.random() < 0.02 else "ok"] * int(rng.integers(0, 6)) + ["!?"] * int(rng.integers(0, 3 + 4 * bad))
+        docs.append((i, " ".join(rng.permutation(words)) + ("\nsame line\nsame line" if rng.random() < 0.2 else ""), ["en", "de", None, "fr"][int(rng.integers(0, 4))]))
+        if i % 10:
+            labels.append((i, int(not bad)))
+    labels += labels[:40]
+    df, ls = spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    rows = {r["doc_id"]: r.asDict() for r in quality_rules.counted(df).collect()}
+    share = lambda r, name: r[quality_rules.RULES[name][0]] / max(r[quality_rules.RULES[name][1]], 1)
+    failed = {i: r["n_words"] < 10 or 100 * r["n_repeat_words"] > 20 * r["n_words"] for i, r in rows.items()}
+    good = collections.defaultdict(list)
+    for i, q in labels:
+        if not failed[i] and rows[i]["stratum"]:
+            good[rows[i]["stratum"], q].append(i)
+    seen = {i for i, _ in labels}
+    sizes = {x: len(good[x, 1]) for x in ("en", "de", "fr")}
+    strata = next(sorted(sizes, key=lambda x: (-sizes[x], x))[:m] for m in (3, 2, 1, 0) if m == 0 or sorted(sizes.values())[-m] >= math.log(quality_rules.ALPHA / m) / math.log(1 - quality_rules.MAX_FALSE_REJECTION))
+    cut = {}
+    for x in strata:
+        others = [i for i, r in rows.items() if r["stratum"] == x and not failed[i] and i not in seen]
+        over = lambda ids: {name: [sum(share(rows[i], name) > level for i in ids) for level in rule[2]] for name, rule in quality_rules.RULES.items()}
+        cut[x], now, n, p = {}, {}, len(good[x, 1]), quality_rules.MAX_FALSE_REJECTION
+        for name, k in quality_rules.path(over(good[x, 0]), len(good[x, 0]), over(others), len(others)):
+            now[name] = quality_rules.RULES[name][2][k]
+            lost = sum(any(share(rows[i], a) > b for a, b in now.items()) for i in good[x, 1])
+            if sum(math.comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(lost + 1)) > quality_rules.ALPHA / len(strata):
+                break
+            cut[x] = dict(now)
+    expected = {i: not failed[i] and not any(share(r, a) > b for a, b in cut.get(r["stratum"], {}).items()) for i, r in rows.items()}
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.judge(df, ls).collect()}
+    assert len(strata) >= 2 and got == expected and sum(expected[i] != (not failed[i]) for i in rows) > 20

@@ -145,10 +145,11 @@ class Matcher:
         return kinds
 
     def words(self, texts: list[str]):
-        """Code points, words' starts and ends, each text's first word, automaton symbols."""
+        """Code points, words' starts and ends, each text's first word, automaton symbols; ``offsets``: where each text begins."""
         lowered = [t.lower() for t in texts]
         codes = np.frombuffer("".join(lowered).encode("utf-32-le", "replace"), np.uint32)
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in lowered], dtype=np.int64)])
+        self.offsets = offsets
         kind = self.kinds[codes]
         inside = kind > 0
         begin, stop = inside.copy(), inside.copy()
@@ -192,9 +193,9 @@ class Matcher:
         marks = np.concatenate([[0], np.cumsum(np.isin(codes, [ord(c) for c in QUOTES]))]) if len(word) else np.zeros(1, np.int64)
         if len(word):
             low, high = np.maximum(word - CONTEXT_WORDS, first[text]), np.minimum(word + CONTEXT_WORDS, first[text + 1] - 1)
-            # a mark may stand before the first word of the window or after its last
-            left = marks[starts[word]] - marks[np.maximum(starts[low] - 1, 0)]
-            right = marks[np.minimum(ends[high] + 1, len(codes))] - marks[ends[word]]
+            # a mark of the text may stand before the first word of the window or after its last
+            left = marks[starts[word]] - marks[np.maximum(starts[low] - 1, self.offsets[text])]
+            right = marks[np.minimum(ends[high] + 1, self.offsets[text + 1])] - marks[ends[word]]
             quoted = (left > 0) & (right > 0)
         else:
             quoted = np.zeros(0, bool)
