@@ -2,7 +2,7 @@
 
 Windows of a document as long as a benchmark item get a 64-bit SimHash of their word shingles.
 Fingerprints are cut into radius + 1 blocks; two that differ in at most ``radius`` bits agree in a
-block, so a hash join on an item's shingle and a block finds every item within the radius. Candidates are verified by the
+block, so a hash join on an item and a block finds every item within the radius. Candidates are verified by the
 exact weighted-shingle similarity: shingles weigh as often as they occur, sum of minima over sum of
 maxima.
 
@@ -26,7 +26,7 @@ from tidemark.functions.columns import free_names
 from tidemark.llm.components import SALTS
 
 WIDTH, SIMILARITY, RADIUS = 5, 0.8, 20
-#: Rows of items' shingles, or of shingles and blocks, up to this many (about 64 bytes each) are broadcast; more are joined by shuffle.
+#: Rows of items' shingles, or of items' blocks, up to this many (about 64 bytes each) are broadcast; more are joined by shuffle.
 MOST_BROADCAST = 1_000_000
 _WHITE = r"[ \t\n\x0B\f\r]+"
 
@@ -83,12 +83,20 @@ def _sent(rows: int):
     return F.broadcast if rows <= MOST_BROADCAST else (lambda df: df)
 
 
-def met(windows: DataFrame, items: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
-    """Windows (h, size, print: their first shingle, length and fingerprint) and the items (``n`` shingles in all) of their length that have the shingle and agree in a block; a row for each such block."""
-    index = items.select("item_id", "size", "item_print", F.explode(F.array_distinct("shingles")).alias("h"), F.array(*blocks(F.col("item_print"), radius)).alias("cut"))
-    index = index.select("item_id", "size", "item_print", "h", F.posexplode("cut").alias("block", "value"))
-    probes = windows.select("*", F.posexplode(F.array(*blocks(F.col("print"), radius))).alias("block", "value"))
-    return probes.join(_sent(n * (radius + 1))(index), ["h", "size", "block", "value"])
+def starts(items: DataFrame) -> DataFrame:
+    """(size, h, item_ids): the shingles that windows may begin with, and whose they are."""
+    return items.select("size", "item_id", F.explode(F.array_distinct("shingles")).alias("h")).groupBy("size", "h").agg(F.collect_set("item_id").alias("item_ids"))
+
+
+def met(windows: DataFrame, items: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Windows (item_ids, print: the items that have their first shingle, and their fingerprint) and those of the items that agree in a block; a row for each such block.
+
+    The index has radius + 1 rows an item.
+    """
+    index = items.select("item_id", "item_print", F.posexplode(F.array(*blocks(F.col("item_print"), radius))).alias("block", "value"))
+    probes = windows.withColumn("item_id", F.explode("item_ids")).drop("item_ids")
+    probes = probes.select("*", F.posexplode(F.array(*blocks(F.col("print"), radius))).alias("block", "value"))
+    return probes.join(_sent(items.count() * (radius + 1))(index), ["item_id", "block", "value"])
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
@@ -99,11 +107,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILAR
     small = _sent(n)
     items = items.withColumn("item_print", simhash(F.col("shingles"), lane))
 
-    starts = items.select("size", F.explode("shingles").alias("h")).distinct()
     rows = with_shingles(docs.select("doc_id", "text"), "doc_id")
     rows = rows.select("doc_id", "shingles", F.posexplode("shingles").alias("pos", "h"))
-    windows = rows.join(small(starts), "h").select("doc_id", "pos", "h", "size", F.slice("shingles", F.col("pos") + 1, F.col("size")).alias("window"))
-    near = met(windows.withColumn("print", simhash(F.col("window"), lane)), items, n, radius)
+    windows = rows.join(small(starts(items)), "h").select("doc_id", "pos", "item_ids", F.slice("shingles", F.col("pos") + 1, F.col("size")).alias("window"))
+    near = met(windows.withColumn("print", simhash(F.col("window"), lane)), items, radius)
     apart = F.col("print").bitwiseXOR(F.col("item_print"))
     # of all blocks in which a pair agrees, the first stands for it
     first = F.array_position(F.array(*[(x == 0) for x in blocks(apart, radius)]), True) - 1
