@@ -8,6 +8,7 @@ from tidemark.functions.session import saved
 from tidemark.functions.text import has_text
 from tidemark.jobs import views_sql as S
 from tidemark.operators import retrieve as R, route, vector
+from tidemark.operators.cells import CellIndex
 from tidemark.sources import views as V
 
 QUERIES: dict = {}
@@ -52,6 +53,15 @@ def vector_topk_batch(spark, d):
     return vector.top_k_batch(v, queries)
 
 
+@query("q_vector_topk_pruned", f"""SELECT query_id, vec_id, score, rank FROM (SELECT q.vec_id AS query_id, v.vec_id, {_SCORE} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_SCORE} DESC, v.vec_id) AS rank
+  FROM ({S.VECTORS}) v JOIN ({S.VECTORS}) q ON v.chunk_type = q.chunk_type AND v.session_date BETWEEN q.session_date - 60 AND q.session_date + 60 WHERE q.vec_id % 50 = 0) WHERE rank <= 10""")
+def vector_topk_pruned(spark, d):
+    v = V.vectors(spark, d)
+    day = F.col("session_date")
+    queries = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "chunk_type", F.date_sub(day, 60).alias("date_from"), F.date_add(day, 60).alias("date_to"), F.col("embedding").alias("query"))
+    return CellIndex.build(v, ["chunk_type"], k=16).top_k(queries).hits
+
+
 TOPICS = ["click", "view", "engagement", "purchase", "signup", "search"]
 _DOC = "coalesce(template IN ('diagnosis', 'clinic_visit_summary'), false)"
 _PLAIN = "trim(trim(topic), ' \",.:;''')"
