@@ -2,7 +2,10 @@
 
 import random
 
-from tidemark.llm.components import components
+from pyspark.sql import functions as F
+
+from tidemark.llm import lsh_forest
+from tidemark.llm.components import components, components_of_some_first
 
 
 def test_components_of_chains_stars_and_noise(spark):
@@ -36,3 +39,21 @@ def test_long_chains_in_any_order_settle(spark):
     edges += list(zip(lone, lone[1:]))
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: x // 10_000 * 10_000 for k in range(4) for x in range(k * 10_000, k * 10_000 + n)}
+
+
+def test_folded_edges_connect_the_same(spark, monkeypatch):
+    r = random.Random(5)
+    name = lambda i: bytes([i // 256, i % 256])
+    rows = [(name(i), name(r.randrange(i)) if r.random() < 0.7 else name(i), i % 5) for i in range(1, 500) for _ in range(4)]
+    rows += [(name(600), name(i), 4) for i in range(0, 500, 50)] + [(None, name(1), 0), (name(2), None, 4)]
+    edges = spark.createDataFrame(rows, "a binary, b binary, tree int").repartition(3)
+    of = lambda df: sorted((bytes(x["node"]), bytes(x["root"])) for x in df.collect())
+    whole = dict(of(components(edges.filter("a <> b"))))
+    for size in (1 << 20, 7):
+        monkeypatch.setattr(lsh_forest, "FOLD", size)
+        less = lsh_forest.folded(edges.dropna())
+        assert less.filter("a = b").isEmpty() and less.count() < edges.count()
+        assert dict(of(components(less))) == whole
+        assert dict(of(components_of_some_first(edges, F.col("tree") < 2, lsh_forest.folded))) == whole
+    assert lsh_forest.folded(edges.limit(0)).count() == 0
+    assert of(components_of_some_first(edges.filter("tree < 2"), F.col("tree") < 2, lsh_forest.folded)) == of(components(edges.filter("tree < 2 and a <> b")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm.store import saved
@@ -45,17 +47,21 @@ def spread(left: DataFrame, right: DataFrame, keys: list[str], by: str, how: str
     return left.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(right, [*keys, "_salt"], how).drop("_salt")
 
 
-def components_of_some_first(edges: DataFrame, first: Column) -> DataFrame:
+def components_of_some_first(edges: DataFrame, first: Column, fold: Callable[[DataFrame], DataFrame] = lambda edges: edges) -> DataFrame:
     """``components`` of edges that mostly tell the same: those with ``first`` are settled before the others.
 
-    The others then are edges between roots, of which few are no loops.
+    The others then are edges between roots, of which few are no loops. ``fold`` may replace edges (a, b) by fewer
+    that connect the same nodes, before they are moved.
     """
-    some = saved(components(edges.filter(first).select("a", "b")), "some")
-    rest = edges.filter(~first).select("a", "b").dropna()
+    some = saved(components(fold(edges.filter(first).select("a", "b").dropna())), "some")
+    rest = fold(edges.filter(~first).select("a", "b").dropna())
     for end, other in (("a", "b"), ("b", "a")):
         rest = spread(rest, some.select(F.col("node").alias(end), F.col("root").alias("_root")), [end], other, "left")
         rest = rest.withColumn(end, F.coalesce("_root", end)).drop("_root")
-    more = components(saved(rest.filter("a <> b").distinct(), "rest"))
+    rest = saved(rest.filter("a <> b").distinct(), "rest")
+    if rest.isEmpty():
+        return some
+    more = components(fold(rest))
     tops = spread(some, more.select(F.col("node").alias("root"), F.col("root").alias("_top")), ["root"], "node", "left")
     tops = tops.select("node", F.coalesce("_top", "root").alias("root"))
     return tops.unionByName(more.join(some.select("node"), "node", "left_anti"))

@@ -38,6 +38,7 @@ from tidemark.llm.words import U64, find_words, mix, new_key, portions, run_hash
 
 WIDTH, SIMILARITY, RECALL = 5, 0.8, 0.99999
 TREES, DEEPEST, SHORTEST = 32, 8, 3
+FOLD = 1 << 20  # edges that a task holds at once
 FIRST_TREES = 4  # whose groups are settled first; most others repeat them
 MINIMUM_BYTES = 2  # of each minimum in a label; agreement by chance only adds candidates
 SMALL = 64  # texts of a group that are all compared, whether they share a node or not
@@ -185,6 +186,40 @@ def tries(texts: DataFrame) -> DataFrame:
     return rows.filter("part is null").select("a", "b", "tree", "level").unionByName(ends)
 
 
+def folded(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect what those of ``edges`` do, without loops: in each portion of FOLD rows a task reads, one for each node but a component's first.
+
+    Trees mostly tell the same, so where a task reads several of them little is left to be shuffled; never more than there was.
+    """
+
+    def stars(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(parts)
+        codes = pa.concat_arrays([*table.column(0).chunks, *table.column(1).chunks]).dictionary_encode()
+        a, b = np.split(codes.indices.to_numpy(), 2)
+        root = np.arange(len(codes.dictionary))
+        while len(a):  # the larger root takes the smaller one for its own, then every node its root's root
+            low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+            apart = low < high
+            a, b = a[apart], b[apart]
+            np.minimum.at(root, high[apart], low[apart])
+            while (root != root[root]).any():
+                root = root[root]
+        own = np.flatnonzero(root != np.arange(len(root)))
+        return pa.RecordBatch.from_arrays([codes.dictionary.take(pa.array(own)), codes.dictionary.take(pa.array(root[own]))], ["a", "b"])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            held, n = [*held, batch], n + batch.num_rows
+            if n >= FOLD:
+                yield stars(held)
+                held, n = [], 0
+        if n:
+            yield stars(held)
+
+    return edges.select("a", "b").mapInArrow(run, edges.select("a", "b").schema)
+
+
 def meeting(marks: np.ndarray, sides: list[np.ndarray], level: int, before: int) -> np.ndarray:
     """The pairs of texts that share a node of ``level`` in some tree but none of the deeper level ``before`` (0: none was looked at), and no side; each once.
 
@@ -358,7 +393,7 @@ def text_classes(docs: DataFrame, rows: DataFrame, threshold: float, recall: flo
         if not waiting or (checked and level > SHORTEST and reached(links, level, threshold) < recall):
             continue
         waiting = 0
-        found = saved(components_of_some_first(edges.filter(F.col("level") >= level), F.col("tree") < FIRST_TREES), "groups")
+        found = saved(components_of_some_first(edges.filter(F.col("level") >= level), F.col("tree") < FIRST_TREES, folded), "groups")
         found = found.select("node", "root", F.col("node").alias("sub")) if groups is None else found.join(groups, "node", "left").select("node", "root", F.coalesce("sub", "node").alias("sub"))
         sizes = found.groupBy("root").agg(F.count("*").alias("members"), F.min("sub").alias("low"), F.max("sub").alias("high"))
         members = spread(found, sizes.filter("low < high").select("root", "members"), ["root"], "node").select("node", F.col("root").alias("grp"), "members", "sub")
