@@ -4,16 +4,17 @@ Texts are cut before a space that a visible character follows, between letters a
 and around single line ends. There the split pattern of a byte-level pre-tokenizer always ends a
 piece, and merges never cross a piece, so the ids of the segments, end to end, are those of the
 whole text. Arrow finds the distinct segments of a batch, the library encodes those that a worker
-has not met, many in one call; segments are told apart by their text, never by a hash alone. Texts
-with the string of an added token, and all texts of a tokenizer that is set up in another way, go
-to the library whole.
+has not met, many in one call; segments are told apart by their text, never by a hash alone. Segments
+of letters alone are one piece each, so they need no split pattern. A full memory keeps the segments
+that more than one batch had. Texts with the string of an added token, and all texts of a tokenizer
+that is set up in another way, go to the library whole.
 """
 
 from __future__ import annotations
 
 import functools
 import json
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +30,20 @@ _KIND[[*range(65, 91), *range(97, 123)]] = LETTER
 _KIND[list(b".,;:!?")], _KIND[32], _KIND[10] = MARK, SPACE, LINE
 
 
-def cut_points(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where segments begin, for texts in UTF-8 laid end to end."""
-    if not len(raw):
-        return np.zeros(0, np.int64)
+def _kinds(raw: np.ndarray) -> np.ndarray:
+    """The kind of each byte of UTF-8."""
     kind = _KIND[raw]
     lead = np.flatnonzero((raw >= 0xC3) & (raw <= 0xC9))  # of the Latin letters beyond ASCII, in two bytes
     lead = lead[~((raw[lead] == 0xC3) & np.isin(raw[lead + 1], [0x97, 0xB7]))]  # two signs among them
     kind[lead] = kind[lead + 1] = LETTER
+    return kind
+
+
+def cut_points(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where segments begin, for texts in UTF-8 laid end to end."""
+    if not len(raw):
+        return np.zeros(0, np.int64)
+    kind = _kinds(raw)
     seen = (kind > 0) & (kind <= VISIBLE)
     cut = np.zeros(len(raw) + 1, bool)
     cut[:-2] = (kind[:-1] == SPACE) & seen[1:]
@@ -66,9 +73,11 @@ class Encoder:
     """``encode(texts)`` gives all ids and, for each text, where its ids begin (n + 1)."""
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
+        self.lines = Tokenizer(self.library.model)  # each line is one piece
+        self.lines.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit("\n"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.by_segments = cuts_at_spaces(path)
         self.widths = np.array([len(self.library.id_to_token(i) or "") for i in range(self.library.get_vocab_size())], np.int64)
@@ -76,16 +85,38 @@ class Encoder:
 
     def clear(self) -> None:
         """Forget all segments."""
-        self.known: dict[str, int] = {}
+        self.known: dict[str, int] = {}  # in the order of their numbers
         self.count, self.begin, self.flat = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.int32)
+        self.times = np.zeros(1 << 12, np.int32)  # batches that had the segment
         self.used, self.chars = 0, 0
 
+    def forget(self) -> None:
+        """Forget the segments of one batch alone; all, if most are of more."""
+        kept = np.flatnonzero(self.times[: len(self.known)] > 1)
+        if 2 * len(kept) > _KEPT:
+            return self.clear()
+        listed = list(self.known)
+        listed = [listed[i] for i in kept.tolist()]
+        self.count = self.count[kept]
+        self.flat, upto = _gathered(self.flat, self.begin[kept], self.count)
+        self.begin, self.times = upto[:-1], np.zeros(len(kept), np.int32)
+        self.known = dict(zip(listed, range(len(listed))))
+        self.used, self.chars = len(self.flat), sum(len(x.encode()) for x in listed)
+        if 2 * self.chars > _KEPT_CHARS:
+            self.clear()
+
     def _library_ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _joined_ids(self, segments: list[str], sizes: np.ndarray, between: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of segments from one call, and how many each has; cut where the bytes of tokens add up to ``sizes``."""
-        ids = np.array(self._library_ids([between.join(segments)])[0], np.int32)
+        return self._cut(np.array(self._library_ids([between.join(segments)])[0], np.int32), sizes, between)
+
+    def _piece_ids(self, segments: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for segments of one piece each."""
+        return self._cut(np.array(self.lines.encode_batch_fast(["\n".join(segments)], add_special_tokens=False)[0].ids, np.int32), sizes, "")
+
+    def _cut(self, ids: np.ndarray, sizes: np.ndarray, between: str) -> tuple[np.ndarray, np.ndarray]:
         upto = np.cumsum(self.widths[ids])
         ends = np.cumsum(sizes + len(between)) - len(between)
         last = np.searchsorted(upto, ends)
@@ -96,16 +127,24 @@ class Encoder:
             last = last - np.arange(len(last))
         return ids, np.diff(last, prepend=-1)
 
-    def _learn(self, segments: pa.Array, listed: list[str]) -> None:
+    def _learn(self, segments: pa.Array, listed: list[str]) -> np.ndarray:
+        """Remember new segments; their numbers."""
         raw, at = utf8(segments)
+        place = np.zeros(len(listed), np.int64)
+        other = _kinds(raw) != LETTER
+        other[at[:-1][(raw[at[:-1]] == 32) & (np.diff(at) > 1)]] = False
+        letters = np.diff(np.concatenate([[0], np.cumsum(other)])[at]) == 0
         kind = _KIND[raw]
         lead, tail = kind[at[:-1]], kind[at[1:] - 1]
         spaced = (lead == SPACE) & (kind[np.minimum(at[:-1] + 1, len(raw) - 1)] != SPACE) & (np.diff(at) > 1)
         spaced &= np.isin(kind[np.minimum(at[:-1] + 1, len(raw) - 1)], [LETTER, MARK, VISIBLE])
         bare = np.isin(lead, [LETTER, MARK, VISIBLE]) & np.isin(tail, [LETTER, MARK, VISIBLE])
-        for group, between in ((spaced, ""), (bare, "\n"), (~spaced & ~bare, None)):
+        spaced, bare = spaced & ~letters, bare & ~letters
+        for group, between in ((letters, None), (spaced, ""), (bare, "\n"), (~letters & ~spaced & ~bare, None)):
             chosen = [listed[i] for i in np.flatnonzero(group).tolist()]
-            if chosen and between is not None:
+            if chosen and group is letters:
+                ids, sizes = self._piece_ids(chosen, np.diff(at)[group])
+            elif chosen and between is not None:
                 ids, sizes = self._joined_ids(chosen, np.diff(at)[group], between)
             elif chosen:
                 got = self._library_ids(chosen)
@@ -113,7 +152,8 @@ class Encoder:
             else:
                 continue
             n = len(self.known)
-            for name, need in (("begin", n + len(chosen)), ("count", n + len(chosen)), ("flat", self.used + len(ids))):
+            place[group] = np.arange(n, n + len(chosen))
+            for name, need in (("begin", n + len(chosen)), ("count", n + len(chosen)), ("times", n + len(chosen)), ("flat", self.used + len(ids))):
                 have = getattr(self, name)
                 if need > len(have):
                     setattr(self, name, np.concatenate([have, np.zeros(max(need, 2 * len(have)) - len(have), have.dtype)]))
@@ -123,13 +163,14 @@ class Encoder:
             self.used += len(ids)
             self.chars += int(np.diff(at)[group].sum())
             self.known.update(zip(chosen, range(n, n + len(chosen))))
+        return place
 
     def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
         """A null text has no ids."""
         texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if len(self.known) > _KEPT or self.chars > _KEPT_CHARS:
-            self.clear()
+            self.forget()
         whole = np.full(len(texts), not self.by_segments)
         for token in self.specials:
             whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
@@ -138,11 +179,11 @@ class Encoder:
         ends = np.append(starts, len(raw)).astype(np.int64)
         coded = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(raw)]).dictionary_encode()
         segments = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        place = list(map(self.known.get, segments))
-        if new := [i for i, k in enumerate(place) if k is None]:
-            self._learn(coded.dictionary.take(pa.array(new)), [segments[i] for i in new])
-            place = list(map(self.known.get, segments))
-        place = np.array(place, np.int64)[coded.indices.to_numpy()]
+        place = np.fromiter(map(self.known.get, segments, repeat(-1)), np.int64, len(segments))
+        if len(new := np.flatnonzero(place < 0)):
+            place[new] = self._learn(coded.dictionary.take(pa.array(new)), [segments[i] for i in new.tolist()])
+        self.times[place] += 1
+        place = place[coded.indices.to_numpy()]
         ids, upto = _gathered(self.flat, self.begin[place], self.count[place])
         at = upto[np.searchsorted(starts, offsets)]
         if not whole.any():
