@@ -2,6 +2,7 @@
 
 import random
 
+from tidemark.llm import lsh_forest
 from tidemark.llm.components import components
 
 
@@ -36,3 +37,32 @@ def test_long_chains_in_any_order_settle(spark):
     edges += list(zip(lone, lone[1:]))
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: x // 10_000 * 10_000 for k in range(4) for x in range(k * 10_000, k * 10_000 + n)}
+
+
+def test_a_round_is_one_write_that_counts_its_own_changes(spark, monkeypatch):
+    """No job of its own asks whether a round has changed anything."""
+    edges = spark.createDataFrame([(1, i) for i in range(2, 30)], "a long, b long")
+    asked = []
+    plain = type(edges).isEmpty
+    monkeypatch.setattr(type(edges), "isEmpty", lambda self: asked.append(1) or plain(self))
+    got = components(edges)
+    assert not asked and got.columns == ["node", "root"]
+    assert {tuple(r) for r in got.collect()} == {(i, 1) for i in range(1, 30)}
+
+
+def test_few_edges_are_settled_at_once_with_the_same_classes(spark, monkeypatch):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(300)]
+    base = [[rng.choice(words) for _ in range(60)] for _ in range(25)]
+    texts = [" ".join(t) for t in base] + [" ".join(t[:k] + ["x"] + t[k + 1 :]) for t in base for k in (0, 59)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    calls = []
+    plain = lsh_forest.components_of_some_first
+    monkeypatch.setattr(lsh_forest, "components_of_some_first", lambda *a: calls.append(1) or plain(*a))
+    out = []
+    for few in (0, 100):
+        monkeypatch.setattr(lsh_forest, "FEW_EDGES", few)
+        calls.clear()
+        out.append(sorted(tuple(r) for r in lsh_forest.join(docs).select("doc_id", "class_id", "n_links").collect()))
+        assert bool(calls) == (few == 0)
+    assert out[0] == out[1] and len({c for _, c, _ in out[0]}) == 25

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from tidemark.llm.store import saved
 
@@ -16,8 +16,8 @@ def components(edges: DataFrame) -> DataFrame:
     the least that its nodes found on to the node it names (so whole trees are hooked, not only the
     nodes at their rims), and then each node takes the label of its label. Chains of n nodes so
     settle in about log2(n) rounds, whatever the order of their ids. Labels only fall, so rounds
-    go on until nothing changes. Rounds are written to the shared folder, so a lost executor
-    repeats one round. Edges with nulls are left out; repeated edges and loops do no harm.
+    go on until nothing changes, which the write of a round counts itself. Rounds are written to the
+    shared folder, so a lost executor repeats one round. Edges with nulls are left out; repeated edges and loops do no harm.
     """
     both = edges.select("a", "b").dropna()
     both = saved(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
@@ -30,9 +30,10 @@ def components(edges: DataFrame) -> DataFrame:
         tops = tops.filter("top < root").groupBy("root").agg(F.min("top").alias("top")).join(step.select("root").distinct(), "root", "left_semi")
         tops = tops.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         step = step.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(tops, ["root", "salt"], "left")
-        step = saved(step.select("node", "old", F.coalesce("top", "root").alias("root")), "labels")
-        labels = step.select("node", "root")
-        if step.filter(F.col("old") != F.col("root")).isEmpty():
+        step = step.select("node", "old", F.coalesce("top", "root").alias("root"))
+        seen = Observation()
+        labels = saved(step.observe(seen, F.count_if(F.col("old") != F.col("root")).alias("changed")).select("node", "root"), "labels")
+        if not seen.get.get("changed"):
             return labels
 
 

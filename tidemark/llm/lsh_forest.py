@@ -38,7 +38,8 @@ from tidemark.llm.words import U64, find_words, mix, new_key, portions, run_hash
 
 WIDTH, SIMILARITY, RECALL = 5, 0.8, 0.99999
 TREES, DEEPEST, SHORTEST = 32, 8, 3
-FIRST_TREES = 4  # whose groups are settled first; most others repeat them
+FIRST_TREES = 4  # whose groups are settled first, where edges are many; most others repeat them
+FEW_EDGES = 4  # a text, up to which all trees are settled at once, in half the jobs
 MINIMUM_BYTES = 2  # of each minimum in a label; agreement by chance only adds candidates
 SMALL = 64  # texts of a group that are all compared, whether they share a node or not
 BLOCK = 1024  # texts compared with as many others at once
@@ -347,6 +348,7 @@ def text_classes(docs: DataFrame, rows: DataFrame, threshold: float, recall: flo
     texts = saved(texts, "texts")
     edges = saved(tries(texts), "edges")
     deep = {r["level"]: r["count"] for r in edges.groupBy("level").count().collect()}  # a row a level
+    few = sum(deep.values()) <= FEW_EDGES * texts.count()
     links: dict[int, int] = {}
     checked, groups, before = [], None, 0
     waiting = 0  # rows of levels that have not been looked at
@@ -358,7 +360,8 @@ def text_classes(docs: DataFrame, rows: DataFrame, threshold: float, recall: flo
         if not waiting or (checked and level > SHORTEST and reached(links, level, threshold) < recall):
             continue
         waiting = 0
-        found = saved(components_of_some_first(edges.filter(F.col("level") >= level), F.col("tree") < FIRST_TREES), "groups")
+        near = edges.filter(F.col("level") >= level)
+        found = components(near) if few else saved(components_of_some_first(near, F.col("tree") < FIRST_TREES), "groups")
         found = found.select("node", "root", F.col("node").alias("sub")) if groups is None else found.join(groups, "node", "left").select("node", "root", F.coalesce("sub", "node").alias("sub"))
         sizes = found.groupBy("root").agg(F.count("*").alias("members"), F.min("sub").alias("low"), F.max("sub").alias("high"))
         members = spread(found, sizes.filter("low < high").select("root", "members"), ["root"], "node").select("node", F.col("root").alias("grp"), "members", "sub")
