@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from fixtures import no_docs, odd_docs
 from oracle import both
 
-from tidemark.llm import decontaminate, license_digest, lsh_forest, packing, pieces, quality_rules, simple8b, suffix_dedup, toxicity, url_filter, warc_bundles
+from tidemark.llm import decontaminate, license_digest, lsh_forest, packing, pieces, quality_rules, simple8b, suffix_dedup, toxicity, url_filter, warc_bundles, words
 from tidemark.llm.pieces import Encoder, encoder
 from tidemark.llm.queries import ORACLES, QUERIES, RULES, tokenizer
 
@@ -119,6 +119,18 @@ def test_a_full_memory_keeps_what_came_again(monkeypatch):
     assert len(kept) > 2 and all(kept)
 
 
+def test_what_another_stage_kept_is_dropped(monkeypatch):
+    dropped, stage = [], [1]
+    monkeypatch.setattr(words, "_stage", lambda: stage[0])
+    words.keep("x", lambda: dropped.append("x"))
+    words.give_back()
+    assert not dropped
+    stage[0] = 2
+    words.give_back()
+    words.give_back()
+    assert dropped == ["x"]
+
+
 def test_other_tokenizers_go_to_the_library_whole():
     import public_tokenizers
 

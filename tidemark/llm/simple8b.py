@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.llm.pieces import encoder, with_end
 from tidemark.llm.store import open_files, saved, scratch, write_file
-from tidemark.llm.words import portions
+from tidemark.llm.words import keep, portions
 
 MAGIC, BLOCK, ESCAPE = b"S8B1", 1024, 0
 # How many ids of how many bits a word holds, for selectors 1, 2, ...
@@ -182,6 +182,7 @@ def in_ranges(docs: DataFrame, columns: list[str]) -> DataFrame:
 def token_batches(batches, tokenizer: str, end: int | None):
     """``(doc_ids, ids, offsets)`` for Arrow batches of (doc_id, text)."""
     encode = encoder(tokenizer)
+    keep("segments", encode.clear)
     for batch in batches:
         for part in portions(batch, 1, 1 << 21):
             ids, at = encode.encode(part.column(1))

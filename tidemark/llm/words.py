@@ -10,6 +10,7 @@ from __future__ import annotations
 import ctypes
 import hashlib
 import secrets
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -88,8 +89,28 @@ def portions(batch: pa.RecordBatch, text: int, most: int = 1 << 21, rows: int =
     give_back()
 
 
+_kept: dict[str, tuple[int | None, Callable[[], None]]] = {}  # by name: the stage that used it last, and what empties it
+
+
+def _stage() -> int | None:
+    from pyspark import TaskContext
+
+    task = TaskContext.get()
+    return task.stageId() if task else None
+
+
+def keep(name: str, forget: Callable[[], None]) -> None:
+    """Tell that this worker keeps something for further tasks of its stage."""
+    _kept[name] = _stage(), forget
+
+
 def give_back() -> None:
-    """Return freed memory to the system: a worker that waits for its next task should not hold it."""
+    """Return freed memory to the system: a worker that waits for its next task should not hold it.
+
+    What tasks of another stage have kept goes first.
+    """
+    for name in [n for n, (stage, _) in _kept.items() if stage != _stage()]:
+        _kept.pop(name)[1]()
     if _libc is not None:
         _libc.malloc_trim(0)
 
