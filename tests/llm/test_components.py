@@ -66,3 +66,31 @@ def test_few_edges_are_settled_at_once_with_the_same_classes(spark, monkeypatch)
         out.append(sorted(tuple(r) for r in lsh_forest.join(docs).select("doc_id", "class_id", "n_links").collect()))
         assert bool(calls) == (few == 0)
     assert out[0] == out[1] and len({c for _, c, _ in out[0]}) == 25
+
+
+def joined(spark, since):
+    """Rows out of inner joins of all executions beyond ``since``, and the last execution's number."""
+    store, rows, last = spark._jsparkSession.sharedState().statusStore(), 0, since
+    runs = store.executionsList()
+    for k in [runs.apply(i).executionId() for i in range(runs.size())]:
+        last = max(last, k)
+        if k > since:
+            values, nodes = store.executionMetrics(k), store.planGraph(k).allNodes()
+            for node in (nodes.apply(i) for i in range(nodes.size())):
+                if "Join" in node.name() and "Inner" in node.desc():
+                    ids = [m.accumulatorId() for m in (node.metrics().apply(i) for i in range(node.metrics().size())) if m.name() == "number of output rows"]
+                    rows += sum(int(values.apply(i).replace(",", "")) for i in ids if values.contains(i))
+    return rows, last
+
+
+def test_a_group_tied_many_times_costs_its_edges_once_not_once_a_round(spark):
+    rng = random.Random(5)
+    for n in (400, 1600):
+        nodes = rng.sample(range(10**6), n)
+        edges = {(hub, x) for hub in rng.sample(nodes, 16) for x in rng.sample(nodes, n // 2)} | set(zip(nodes, nodes[1:]))
+        table = spark.createDataFrame(list(edges), "a long, b long")
+        _, since = joined(spark, -1)
+        got = components(table)
+        rows, _ = joined(spark, since)
+        assert {tuple(r) for r in got.collect()} == {(x, min(nodes)) for x in nodes}
+        assert 0 < rows < 3 * len(edges)

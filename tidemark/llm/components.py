@@ -12,29 +12,34 @@ SALTS = 16
 def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of ``edges`` (columns a, b): root is its component's least node.
 
-    Each round every node takes the least label among its neighbours' labels, every label passes
-    the least that its nodes found on to the node it names (so whole trees are hooked, not only the
-    nodes at their rims), and then each node takes the label of its label. Chains of n nodes so
-    settle in about log2(n) rounds, whatever the order of their ids. Labels only fall, so rounds
-    go on until nothing changes, which the write of a round counts itself. Rounds are written to the
-    shared folder, so a lost executor repeats one round. Edges with nulls are left out; repeated edges and loops do no harm.
+    Labels form trees that point to smaller nodes. Each round every root with a smaller neighbour is
+    hooked on the least one, each node takes the label of its label, and each edge then stands
+    between the labels of its ends: what fell together is dropped, what became equal is one edge. A
+    group tied many times so costs its edges about once, not once a round. Chains of n nodes settle in
+    about log2(n) rounds, whatever the order of their ids. Rounds go on until no edge is left and no
+    label moves, which the writes of a round count themselves; they go to the shared folder, so a
+    lost executor repeats one round. Edges with nulls are left out; repeated edges and loops do no harm.
     """
-    both = edges.select("a", "b").dropna()
-    both = saved(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")), "labels")
+    near = saved(edges.dropna(subset=["a", "b"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    ends = near.select(F.col("b").alias("node"), "a").unionByName(near.select(F.col("a").alias("node"), "a"))
+    labels, hooks = ends.groupBy("node").agg(F.min("a").alias("root")), None
+    left = True
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("root").alias("new")), "b").groupBy(F.col("a").alias("node")).agg(F.min("new").alias("new"))
-        step = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "new").alias("root"))
-        # labels that have a smaller label themselves, or whose nodes found one; a label of many nodes is met in SALTS tasks
-        tops = step.select(F.col("node").alias("root"), F.col("root").alias("top")).unionByName(step.select(F.col("old").alias("root"), F.col("root").alias("top")))
-        tops = tops.filter("top < root").groupBy("root").agg(F.min("top").alias("top")).join(step.select("root").distinct(), "root", "left_semi")
-        tops = tops.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        step = step.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(tops, ["root", "salt"], "left")
-        step = step.select("node", "old", F.coalesce("top", "root").alias("root"))
-        seen = Observation()
-        labels = saved(step.observe(seen, F.count_if(F.col("old") != F.col("root")).alias("changed")).select("node", "root"), "labels")
-        if not seen.get.get("changed"):
+        # labels that have a smaller label themselves, or are hooked; one of many nodes is met in SALTS tasks
+        tops = labels.filter("root < node").select(F.col("node").alias("root"), F.col("root").alias("top")).join(labels.select("root").distinct(), "root", "left_semi")
+        tops = tops if hooks is None else tops.unionByName(hooks)
+        step, moved = spread(labels, tops, ["root"], "node", "left"), Observation()
+        labels = saved(step.observe(moved, F.count("top").alias("n")).select("node", F.coalesce("top", "root").alias("root")), "labels")
+        if left:
+            for end in ("a", "b"):
+                near = near.join(labels.select(F.col("node").alias(end), F.col("root").alias("_root")), end).withColumn(end, F.col("_root")).drop("_root")
+            near = near.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            kept = Observation()
+            near = saved(near.observe(kept, F.count(F.lit(1)).alias("n")), "edges")
+            left = bool(kept.get.get("n"))
+        if not left and not moved.get.get("n"):
             return labels
+        hooks = near.groupBy(F.col("b").alias("root")).agg(F.min("a").alias("top")).join(labels.filter("root = node").select("root"), "root", "left_semi") if left else None
 
 
 def spread(left: DataFrame, right: DataFrame, keys: list[str], by: str, how: str = "inner") -> DataFrame:
