@@ -350,7 +350,7 @@ def text_classes(docs: DataFrame, rows: DataFrame, threshold: float, recall: flo
     deep = {r["level"]: r["count"] for r in edges.groupBy("level").count().collect()}  # a row a level
     few = sum(deep.values()) <= FEW_EDGES * texts.count()
     links: dict[int, int] = {}
-    checked, groups, before = [], None, 0
+    checked, groups, met, before = [], None, None, 0
     waiting = 0  # rows of levels that have not been looked at
     for level in range(DEEPEST, SHORTEST - 1, -1):
         if not waiting and level < DEEPEST and reached(links, level + 1, threshold) >= recall:
@@ -361,8 +361,10 @@ def text_classes(docs: DataFrame, rows: DataFrame, threshold: float, recall: flo
             continue
         waiting = 0
         near = edges.filter(F.col("level") >= level)
-        found = components(near) if few else saved(components_of_some_first(near, F.col("tree") < FIRST_TREES), "groups")
-        found = found.select("node", "root", F.col("node").alias("sub")) if groups is None else found.join(groups, "node", "left").select("node", "root", F.coalesce("sub", "node").alias("sub"))
+        if met is not None:  # the groups of the level before stand for its edges
+            near = near.filter(F.col("level") < before).select("a", "b", "tree").unionByName(met.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"), F.lit(0).alias("tree")))
+        met = components(near) if few else saved(components_of_some_first(near, F.col("tree") < FIRST_TREES), "groups")
+        found = met.select("node", "root", F.col("node").alias("sub")) if groups is None else met.join(groups, "node", "left").select("node", "root", F.coalesce("sub", "node").alias("sub"))
         sizes = found.groupBy("root").agg(F.count("*").alias("members"), F.min("sub").alias("low"), F.max("sub").alias("high"))
         members = spread(found, sizes.filter("low < high").select("root", "members"), ["root"], "node").select("node", F.col("root").alias("grp"), "members", "sub")
         members = members.join(texts.select("node", "doc", "copies"), "node")
