@@ -42,6 +42,21 @@ def test_spans_equal_a_state_machine(spark):
     assert [r[0] for r in only] == ["ORG"]
 
 
+def test_a_model_gets_bounded_portions_of_text(spark):
+    texts = ["ab é" * (60_000 if i == 7 else 500) for i in range(600)]
+
+    def model():
+        return lambda some: [[(0, 2, f"B-{sum(len(t.encode()) for t in some)}-{len(some)}")] for _ in some]
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = tags.tagged(docs, model).select("doc_id", F.col("tokens")[0]["label"].alias("label")).groupBy("doc_id").agg(F.max("label").alias("label"), F.count("*").alias("n")).collect()
+    assert {r["doc_id"]: r["n"] for r in got} == {i: 1 if len(t) <= 800 else -(-(len(t) - 800) // 650) + 1 for i, t in enumerate(texts)}
+    whole = tags.tagged(docs, model, size=1 << 20, overlap=0).select("doc_id", F.col("tokens")[0]["label"].alias("label")).collect()
+    asked = {r["doc_id"]: [int(x) for x in r["label"].split("-")[1:]] for r in whole}
+    assert len(asked) == 600 and all(size <= tags.PORTION or n == 1 for size, n in asked.values())
+    assert all(int(r["label"].split("-")[1]) <= tags.PORTION for r in got)
+
+
 def test_entities_of_windows_are_told_once(spark):
     text = " ".join(f"w{i}" for i in range(800)) + " Dana Levi " + "x " * 700 + "Dana"
 

@@ -128,15 +128,15 @@ def candidates(docs: DataFrame, known: Filter, sizes: list[int], text: Column) -
         for size in lengths:
             by_anchor.setdefault(anchor_of(size), []).append(size)
         for batch in batches:
-            for part in _portions(batch):
+            for part in portions(batch, 1):
                 yield _found(part, known, by_anchor)
 
     return docs.select("doc_id", text.alias("text")).filter("text <> ''").mapInArrow(find, schema)
 
 
-def _portions(batch: pa.RecordBatch, most: int = 1 << 21):
-    """Runs of rows with about ``most`` bytes of text, a row at least."""
-    sizes = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)
+def portions(batch: pa.RecordBatch, column: int, most: int = 1 << 21):
+    """Runs of rows with about ``most`` bytes of text in a column, a row at least."""
+    sizes = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
     upto = np.cumsum(sizes)
     at = 0
     while at < len(sizes):
