@@ -20,8 +20,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemark.functions.vocab import ATTACHED
 
-#: Bits of the filter for each value, and at most: 32 MB are sent to the tasks. Beyond that it lets more through, and the join decides.
-BITS_EACH, MOST_BITS = 24, 1 << 28
+#: Bits of the filter for each value, at least, and at most: 32 MB are sent to the tasks. Beyond that it lets more through, and the join decides.
+BITS_EACH, LEAST_BITS, MOST_BITS = 24, 1 << 20, 1 << 28
 #: Widths of a value's first bytes, which are looked for at every place.
 ANCHORS = (1, 2, 4, 8)
 #: Tasks that rows of one value are dealt to.
@@ -86,7 +86,7 @@ def anchor_of(size: int) -> int:
 def build_filter(values: DataFrame) -> tuple[Filter, list[int]]:
     """The filter of ``values`` (value, distinct) and their lengths in bytes; what reaches the driver is bounded by MOST_BITS and a number a length."""
     sizes = sorted((r["size"], r["n"]) for r in values.groupBy(F.octet_length("value").alias("size")).agg(F.count("*").alias("n")).collect())
-    bits = 1 << min(MOST_BITS.bit_length() - 1, max(12, (BITS_EACH * sum(n for _, n in sizes)).bit_length()))
+    bits = 1 << min(MOST_BITS.bit_length() - 1, max(LEAST_BITS.bit_length() - 1, (BITS_EACH * sum(n for _, n in sizes)).bit_length()))
 
     def fill(batches):
         words = np.zeros(bits // 64, np.uint64)
