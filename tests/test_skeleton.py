@@ -55,3 +55,23 @@ def test_files_count_once_the_manifest_names_them(spark, tmp_path):
     assert got == [(1, "x"), (2, "y"), (2, "y"), (None, "old one")]
     assert skeleton.write(df.limit(0), root).count() == 0
     assert {r["hash"] for r in back.collect()} == {r["hash"] for r in manifest.filter("error is null").collect()}
+
+
+def test_files_are_read_as_the_manifest_names_them_and_never_listed(spark, tmp_path, monkeypatch):
+    rows = [(i, f"s {i % 20}%.docx", plan(), {A: f"x{i}"}, {}) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, name string, skeleton binary, sections map<string,string>, domains map<string,string>").coalesce(1)
+    root = f"file://{tmp_path}/out"
+    manifest = skeleton.write(df, root)
+    assert len(list((tmp_path / "out").iterdir())) == 2  # ten names come twice
+    named = {r["doc_id"]: r["path"] for r in manifest.collect()}
+    open(named[3].removeprefix("file://"), "wb").close()
+    listed = lambda *_: 1 / 0
+    monkeypatch.setattr(docx, "listing", listed)
+    monkeypatch.setattr(docx, "files", listed)
+    gone = manifest.unionByName(manifest.filter("doc_id = 5").selectExpr("null doc_id", "concat(path, 'x') path", "hash", "missing", "error"))
+    for most in (1, 1 << 22):
+        back = skeleton.read(gone, root, most)
+        assert back.columns == ["path", "folder", "hash", "paragraphs", "cells", "error", "doc_id"]
+        got = {r["doc_id"]: (r["path"], r["error"], r["paragraphs"] and r["paragraphs"][3], r["folder"]) for r in back.collect()}
+        assert got.pop(None)[1:3] == ("FileNotFoundError", None) and got.pop(3)[1:3] == ("BadZipFile", None)
+        assert got == {i: (path, None, f"x{i}", path.split("/")[-2]) for i, path in named.items() if i != 3}

@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Fixed value: the namespace of word-processing documents.
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-_SCHEMA = "path string, folder string, hash string, paragraphs array<string>, cells array<array<string>>, error string"
+#: Columns of parsed files.
+PARSED = "path string, folder string, hash string, paragraphs array<string>, cells array<array<string>>, error string"
 
 
 #: Columns of Spark's binary source.
@@ -74,9 +75,9 @@ def documents(found: DataFrame) -> DataFrame:
                     out.append((path, folder, hash_, None, None, f"{type(error).__name__}"))
             if out:
                 types = [pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.list_(pa.string())), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], [x.split()[0] for x in _SCHEMA.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], [x.split()[0] for x in PARSED.split(", ")])
 
-    return found.select("path", "folder", "hash", "content").mapInArrow(run, _SCHEMA)
+    return found.select("path", "folder", "hash", "content").mapInArrow(run, PARSED)
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
